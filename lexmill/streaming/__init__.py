@@ -1,0 +1 @@
+"""lexmill.streaming"""
