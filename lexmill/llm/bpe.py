@@ -319,22 +319,23 @@ class _Shared:
 
 
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows ``(id, token_ids ARRAY<INT>, decoded STRING)`` for each row of ``docs``."""
+    """Rows ``(id, n_tokens, token_ids ARRAY<INT>, decoded STRING)`` for each row of ``docs``."""
     shared = _Shared(docs.sparkSession, load_ranks(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
+        gc.freeze()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):  # bounds what is held decoded and encoded at once
                 part = batch.slice(at, 256)
                 ids = [codec.encode(t or "") for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([codec.decode(x) for x in ids], pa.string())],
-                    ["id", "token_ids", "decoded"],
+                    [part.column(0), pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([codec.decode(x) for x in ids], pa.string())],
+                    ["id", "n_tokens", "token_ids", "decoded"],
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, token_ids array<int>, decoded string").withColumnRenamed("id", id_col)
+    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n_tokens long, token_ids array<int>, decoded string").withColumnRenamed("id", id_col)
 
 
 def round_trip_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -254,6 +254,24 @@ def predict(docs: DataFrame, model: Model, vocabulary: str, id_col: str = "doc_i
     return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
+def identified(docs: DataFrame, model: Model, vocabulary: str, least_score: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose language is told with at least ``least_score``, whole and in place."""
+    known = docs.sparkSession.sparkContext.broadcast((load_pieces(vocabulary), model))
+    key, at_text = known._jbroadcast.id(), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if key not in _scorers:
+            _scorers.clear()
+            _scorers[key] = _Scorer(*known.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                said = _scorers[key].predict(part.column(at_text).to_pylist())
+                yield part.filter(pa.array([lang != UNKNOWN and score >= least_score for lang, score in said]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """The fold that is never learned from: a quarter of the ids, by CRC-32 of their decimal form."""
     return F.coalesce(F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")) % 4 == 2, F.lit(False))

@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import bpe, langid, mix, quality, shard
+from lexmill.llm import bpe, html, langid, licenses, mix, neardup, quality, shard, topk, warc
 
 
 def vocabulary(name: str) -> str:
@@ -26,11 +26,27 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op2_warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op3_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op4_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op5_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = shard.shard_by_bytes(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     pieces = vocabulary("piece_bpe_32k.model")
@@ -47,6 +63,24 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op5_byte_shards, op7_language_id, op8_byte_bpe, op9_source_mix)}
+def op10_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules,
+        op2_warc_chain,
+        op3_html_layout,
+        op4_license_templates,
+        op5_byte_shards,
+        op6_pivot_topk,
+        op7_language_id,
+        op8_byte_bpe,
+        op9_source_mix,
+        op10_hyperminhash,
+    )
+}
 
 ORACLES: dict[str, str] = {}
