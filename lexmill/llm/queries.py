@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm import bpe, html, langid, licenses, mix, neardup, quality, shard, topk, warc
+from lexmill.storage import importable
 
 
 def vocabulary(name: str) -> str:
@@ -18,6 +19,7 @@ def vocabulary(name: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

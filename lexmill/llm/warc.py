@@ -80,61 +80,61 @@ def _chain(candidates: DataFrame) -> DataFrame:
     return reached.join(candidates.select("file", "at"), ["file", "at"], "left_semi")
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, at, type, id, url, digest, refers_to, payload BINARY, payload_digest)`` of each record in the archives.
+def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
+    """``(file, at, type, id, url, digest, refers_to, payload_bytes, payload_digest[, payload BINARY])`` of each record.
 
-    ``digest`` is what the header says, ``payload_digest`` what the payload has.
+    ``digest`` is what the header says, ``payload_digest`` what the payload has. Payloads are
+    not kept between the passes: the second reads the archives again where it needs them.
     """
+    sep, end, bins = len(MAGIC), len(END), 1 << 22
+    # A block is read by one task in order, so ``i`` orders its pieces and is the same for each reading of the same files.
     pieces = spark.read.option("lineSep", MAGIC).text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"), F.col("value").cast("binary").alias("body")
     )
-    sep, end = len(MAGIC), len(END)
-    # Latin-1 keeps one character a byte, so positions in the header are byte offsets.
-    head = F.decode(F.substring("body", 1, 16_384), "ISO-8859-1")
-    cut = F.locate("\r\n\r\n", head)
     field = lambda name: F.regexp_extract("head", rf"(?:^|\r\n){name}: ([^\r\n]*)", 1)
-    parsed = (
+    number = lambda c: F.expr(f"try_cast(nullif(regexp_extract({c}, 'urn:page:(-?[0-9]+)', 1), '') as bigint)")
+    parsed = stage(
         pieces.withColumn("size", F.octet_length("body").cast("long"))
-        .withColumn("cut", cut)
+        # Latin-1 keeps one character a byte, so positions in the header are byte offsets.
+        .withColumn("cut", F.locate("\r\n\r\n", F.decode(F.substring("body", 1, 16_384), "ISO-8859-1")))
         .withColumn("head", F.when(F.col("cut") > 0, F.decode(F.substring(F.col("body"), F.lit(1), F.col("cut") - 1), "UTF-8")).otherwise(F.lit("")))
         .withColumn("length", F.expr("try_cast(nullif(regexp_extract(head, '(?:^|\\r\\n)Content-Length: ([0-9]{1,18})', 1), '') as bigint)"))
         .withColumn("payload", F.expr("case when length is not null and cut + 3 + length <= size then substring(body, cut + 4, cast(length as int)) end"))
-        .withColumn("payload_digest", F.sha1("payload"))
         .select("file", "block", "i", "size", "cut", "length", field("WARC-Type").alias("type"), field("WARC-Record-ID").alias("urn"), field("WARC-Target-URI").alias("url"),
-                field("WARC-Payload-Digest").alias("digest"), field("WARC-Refers-To").alias("refers"), "payload", "payload_digest", F.when(F.col("payload").isNull() | (F.col("size") != F.col("cut") + 3 + F.col("length") + end), F.col("body")).alias("body"))
+                field("WARC-Payload-Digest").alias("digest"), field("WARC-Refers-To").alias("refers"), F.sha1("payload").alias("payload_digest")),
+        "pieces",
     )
-    parsed = stage(parsed, "pieces")
     slim = parsed.select("file", "block", "i", (F.col("size") + sep).alias("span"), "cut", "length")
     upto = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = slim.groupBy("file", "block").agg(F.sum("span").alias("s")).select("file", "block", F.coalesce(F.sum("s").over(upto), F.lit(0)).alias("start"))  # one row for each block
     within = Window.partitionBy("file", "block").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # A piece follows the version line at ``at``; the file's first piece follows none.
     placed = slim.withColumn("b", F.sum("span").over(within) - F.col("span")).join(stage(blocks, "blocks"), ["file", "block"]).withColumn("at", F.col("start") + F.col("b") - sep)
-    candidates = stage(
-        placed.select("file", "i", "at", (F.col("at") + F.col("span")).alias("stop"), F.when((F.col("cut") > 0) & F.col("length").isNotNull(), F.col("at") + sep + F.col("cut") + 3 + F.col("length") + end).alias("next")).where("at >= 0"),
-        "candidates",
-    )
+    claimed = F.when((F.col("cut") > 0) & F.col("length").isNotNull(), F.col("at") + sep + F.col("cut") + 3 + F.col("length") + end)
+    candidates = stage(placed.select("file", "i", "at", (F.col("at") + F.col("span")).alias("stop"), claimed.alias("next"), "cut", "length").where("at >= 0"), "candidates")
     real = stage(_chain(candidates), "chain")
-    records_ = stage(candidates.join(real, ["file", "at"]), "records")
+    found = stage(candidates.join(real, ["file", "at"]), "records")
+    out = found.select("file", "i", "at", "stop", "next").join(parsed.drop("file"), "i").select(
+        "file", "at", "i", "type", number("urn").alias("id"), "url", F.regexp_replace("digest", "^sha1:", "").alias("digest"), number("refers").alias("refers_to"),
+        F.when(F.col("stop") >= F.col("next"), F.col("payload_digest")).alias("payload_digest"), "cut", "length",
+    )
     # Records whose piece ends early were cut at a version line inside them: put the pieces up to their end back.
-    bins = 1 << 22
-    short = records_.where("stop < next").select("file", F.col("at").alias("owner"), "next", F.explode(F.expr(f"sequence(at div {bins}, next div {bins})")).alias("bin"))
-    inner = candidates.join(real, ["file", "at"], "left_anti").withColumn("bin", F.expr(f"at div {bins}")).join(short, ["file", "bin"]).where("at > owner and at < next").select("owner", "i", "at")
-    parts = inner.unionByName(records_.where("stop < next").select(F.col("at").alias("owner"), "i", "at"))
-    text = parsed.select("i", "body", "file", "cut", "length")
-    joined = (
-        parts.join(text, "i").groupBy("file", "owner")
-        .agg(F.sort_array(F.collect_list(F.struct("at", "body"))).alias("p"), F.max(F.when(F.col("at") == F.col("owner"), F.struct("cut", "length"))).alias("h"))
-        .select("file", F.col("owner").alias("at"), F.expr(f"substring(concat(p[0].body, aggregate(slice(p, 2, size(p)), cast('' as binary), (z, x) -> concat(z, encode({MAGIC!r}, 'UTF-8'), x.body))), h.cut + 4, cast(h.length as int))").alias("whole"))
-    )
-    number = lambda c: F.expr(f"try_cast(nullif(regexp_extract({c}, 'urn:page:(-?[0-9]+)', 1), '') as bigint)")
-    return (
-        records_.select("file", "i", "at").join(parsed.drop("file", "body"), "i").join(joined, ["file", "at"], "left")
-        .select(
-            "file", "at", "type", number("urn").alias("id"), "url", F.regexp_replace("digest", "^sha1:", "").alias("digest"), number("refers").alias("refers_to"),
-            F.coalesce("whole", "payload").alias("payload"), F.coalesce(F.sha1("whole"), "payload_digest").alias("payload_digest"),
+    short = found.where("stop < next")
+    if short.isEmpty():
+        out = out.withColumn("whole", F.lit(None).cast("binary"))
+    else:
+        spans = short.select("file", F.col("at").alias("owner"), F.col("next").alias("until"), F.explode(F.expr(f"sequence(at div {bins}, next div {bins})")).alias("bin"))
+        inner = candidates.join(real, ["file", "at"], "left_anti").withColumn("bin", F.expr(f"at div {bins}")).join(spans, ["file", "bin"]).where("at > owner and at < until")
+        parts = inner.select("file", "owner", "i", "at").unionByName(short.select("file", F.col("at").alias("owner"), "i", "at"))
+        joined = (
+            parts.join(pieces.select("i", "body"), "i").groupBy("file", F.col("owner").alias("at")).agg(F.sort_array(F.collect_list(F.struct("at", "body"))).alias("p"))  # one record
+            .select("file", "at", F.expr(f"aggregate(slice(p, 2, size(p)), p[0].body, (z, x) -> concat(z, encode('{MAGIC[:-2]}\\r\\n', 'UTF-8'), x.body))").alias("all"))
         )
-    )
+        out = out.join(joined, ["file", "at"], "left").withColumn("whole", F.expr("substring(all, cut + 4, cast(length as int))")).drop("all")
+    out = out.withColumn("payload_digest", F.coalesce(F.sha1("whole"), "payload_digest"))
+    if with_payload:
+        out = out.join(pieces.select("i", "body"), "i").withColumn("payload", F.expr("coalesce(whole, substring(body, cut + 4, cast(length as int)))"))
+    return out.select("file", "at", "type", "id", "url", "digest", "refers_to", F.col("length").alias("payload_bytes"), "payload_digest", *["payload"] * with_payload)
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -145,7 +145,7 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     write(records(pages, id_col, url_col, html_col), path)
-    back = stage(read(spark, path).select("type", "id", "digest", "refers_to", F.octet_length("payload").cast("long").alias("bytes"), "payload_digest"), "read-back")
+    back = stage(read(spark, path, with_payload=False).select("type", "id", "digest", "refers_to", F.col("payload_bytes").alias("bytes"), "payload_digest"), "read-back")
     full = back.where("type = 'response'").groupBy(F.col("id").alias("refers_to"), F.col("payload_digest").alias("digest")).agg(F.max("bytes").alias("full_bytes"))
     revisits = back.where("type = 'revisit'").select("type", "id", "digest", "refers_to").join(stage(full, "responses-read"), ["refers_to", "digest"], "left")
     responses = back.where("type = 'response'")
