@@ -1,6 +1,774 @@
-"""Every registered query with its SQL twin."""
+"""Every registered query of the corpus engine with its SQL twin.
+
+The tables stand in for the inputs the operators are made for: ``documents`` for web pages,
+articles and records, ``conversations`` for talks and message trees, ``embeddings`` for
+scores of next tokens, ``events`` for training logs.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexmill.functions import hashing
+from lexmill.functions import text as tx
+from lexmill.operators import bpe_training, config, corpus, metrics, order, sampling, sft, synthetic, tokens
+from lexmill.plans import duck
+from lexmill.sources import readers
+from lexmill.storage import importable
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def docs(spark, d) -> DataFrame:
+    return table(spark, d, "documents")
+
+
+def talks(spark, d) -> DataFrame:
+    """One row a conversation with its messages in order."""
+    turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
+    return turns.select("conv_id", F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).alias("messages"))
+
+
+def logits(spark, d) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("step"), F.posexplode("embedding").alias("token_id", "logit")).select(
+        "step", "token_id", (F.col("logit").cast("double") * 10).alias("logit")
+    )
+
+
+def evals(spark, d) -> DataFrame:
+    return table(spark, d, "events").where("event_id % 10 = 0 and value is not null").select(F.col("event_id").alias("it"), F.col("value").alias("val_loss"))
+
+
+#: DuckDB: scores of next tokens; talks; a damaged copy of texts, so that defects occur.
+LOGITS = "logits as (select vec_id as step, (i - 1)::int as token_id, embedding[i]::double * 10 as logit from embeddings, range(1, len(embedding) + 1) r(i))"
+EVALS = "evals as (select event_id as it, value as val_loss from events where event_id % 10 = 0 and value is not null)"
+DAMAGED_SQL = "replace(replace(text, ' de ', ' de , '), ' the ', ' the  ')"
+
+
+def damaged(c="text"):
+    return F.replace(F.replace(F.col(c), F.lit(" de "), F.lit(" de , ")), F.lit(" the "), F.lit(" the  "))
+
+
+# ---- cleaning -------------------------------------------------------------------------------------------------------
+
+
+@query(f"with t as (select doc_id, {duck.web_page('text')} as t from documents) select doc_id, length(t)::bigint as n, md5(t) as digest from t where t is not null")
+def web_clean(spark, d):
+    rows = docs(spark, d).select("doc_id", tx.web_page(F.col("text")).alias("t")).where("t is not null")
+    return rows.select("doc_id", F.length("t").cast("long").alias("n"), F.md5("t").alias("digest"))
+
+
+#: Lines up to the closing section, without headings, with their sentences.
+WIKI = f"""l as (select doc_id, {duck.lines(DAMAGED_SQL)} as ls from documents),
+    u as (select doc_id, unnest(range(1, len(ls) + 1)) as i, unnest(ls) as line from l),
+    b as (select *, max(({duck.tail('line')})::int) over (partition by doc_id order by i) as ended from u),
+    p as (select doc_id, i, {duck.sentences('line')} as ss from b where ended = 0 and not {duck.heading('line')}),
+    q as (select doc_id, i, len(ss) as n, list_filter(ss, lambda s: not {duck.defect('s')}) as kept from p)"""
+
+
+@query(
+    f"""with {WIKI}, c as (select doc_id, i, array_to_string(kept, ' ') as para from q where len(kept) > 0 and (n - len(kept))::double / n <= 0.4::double and length(array_to_string(kept, ' ')) >= 40),
+    a as (select doc_id, string_agg(para, chr(10) || chr(10) order by i) as t from c group by doc_id)
+    select doc_id, length(t)::bigint as n, md5(t) as digest from a where length(t) >= 300"""
+)
+def wiki_clean(spark, d):
+    rows = docs(spark, d).select("doc_id", tx.article(tx.judged_lines(damaged())).alias("t")).where("t is not null")
+    return rows.select("doc_id", F.length("t").cast("long").alias("n"), F.md5("t").alias("digest"))
+
+
+@query(f"with {WIKI} select sum(n)::bigint as sent_total, sum(n - len(kept))::bigint as sent_dropped, round(100.0::double * sum(n - len(kept)) / greatest(1, sum(n)), 6) as percent from q")
+def sentence_drop_rate(spark, d):
+    judged = docs(spark, d).select(F.explode(tx.judged_lines(damaged())).alias("p")).select(F.col("p.n").alias("n"), (F.col("p.n") - F.size("p.kept")).alias("gone"))
+    total = judged.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("sent_total"), F.coalesce(F.sum("gone"), F.lit(0)).alias("sent_dropped"))
+    return total.withColumn("percent", F.round(F.col("sent_dropped") * 100.0 / F.greatest(F.lit(1), "sent_total"), 6))
+
+
+@query(f"select doc_id, len({duck.sentences('text')})::bigint as n, md5(array_to_string({duck.sentences('text')}, chr(10))) as digest from documents")
+def sentence_split(spark, d):
+    s = docs(spark, d).select("doc_id", tx.sentences(F.col("text")).alias("s"))
+    return s.select("doc_id", F.size("s").cast("long").alias("n"), F.md5(F.array_join("s", "\n")).alias("digest"))
+
+
+@query(
+    "with t as (select 'd' || doc_id as k, text as x from documents union all select 'p' || page_id, html from pages) "
+    + " union all ".join(f"select {i + 1} as rule, count(*) filter (regexp_matches(x, '{p}'))::bigint as hits from t" for i, p in enumerate(tx.DEFECTS))
+)
+def defect_counts_by_rule(spark, d):
+    rows = docs(spark, d).select(F.col("text").alias("x")).unionByName(table(spark, d, "pages").select(F.col("html").alias("x")))
+    hits = rows.select(F.posexplode(F.array(*tx.defect_rules(F.col("x")))).alias("i", "hit"))
+    return hits.groupBy((F.col("i") + 1).alias("rule")).agg(F.sum(F.coalesce(F.col("hit"), F.lit(False)).cast("long")).alias("hits"))
+
+
+@query(f"with u as (select doc_id, unnest({duck.lines('text')}) as line from documents) select doc_id, count(*) filter ({duck.heading('line')})::bigint as headings, count(*)::bigint as lines from u group by doc_id")
+def heading_lines(spark, d):
+    rows = docs(spark, d).select("doc_id", F.explode(tx.lines(F.col("text"))).alias("line"))
+    return rows.groupBy("doc_id").agg(F.sum(tx.is_heading(F.col("line")).cast("long")).alias("headings"), F.count("*").alias("lines"))
+
+
+@query(
+    f"""with s as (select doc_id, text || chr(10) || (case when doc_id % 3 = 0 then 'Voir aussi :' else 'Suite' end) || chr(10) || text as t from documents),
+    u as (select doc_id, unnest(range(1, len({duck.lines('t')}) + 1)) as i, unnest({duck.lines('t')}) as line from s),
+    b as (select *, max(({duck.tail('line')})::int) over (partition by doc_id order by i) as ended from u)
+    select doc_id, count(*)::bigint as kept from b where ended = 0 and not {duck.heading('line')} group by doc_id"""
+)
+def tail_cut(spark, d):
+    t = F.concat("text", F.lit("\n"), F.when(F.col("doc_id") % 3 == 0, F.lit("Voir aussi :")).otherwise(F.lit("Suite")), F.lit("\n"), "text")
+    return docs(spark, d).select("doc_id", F.size(tx.body_lines(t)).cast("long").alias("kept")).where("kept > 0")
+
+
+@query(
+    """with recursive p as (select doc_id, list_filter(list_transform(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)), lambda x: regexp_replace(x, '"""
+    + tx.STRIP
+    + """', '', 'g')), lambda x: x <> '') as ps from documents),
+    f as (select doc_id, ps, 1 as i, 0::bigint as n, ''::varchar as open, null::varchar as done from p
+      union all select doc_id, ps, i + 1, case when n + length(ps[i]) >= 1000 then 0 else n + length(ps[i]) end,
+        case when n + length(ps[i]) >= 1000 then '' when n = 0 then ps[i] else open || chr(10) || chr(10) || ps[i] end,
+        case when n + length(ps[i]) >= 1000 then case when n = 0 then ps[i] else open || chr(10) || chr(10) || ps[i] end end
+      from f where i <= len(ps)),
+    c as (select doc_id, i, done as t from f where done is not null union all select doc_id, i, open from f where i = len(ps) + 1 and n >= 200)
+    select doc_id, count(*)::bigint as chunks, md5(string_agg(t, '|' order by i)) as digest from c group by doc_id"""
+)
+def chunk_paragraphs(spark, d):
+    c = docs(spark, d).select("doc_id", tx.chunks(F.replace("text", F.lit("\n"), F.lit("\n\n")), 1000).alias("c")).where(F.size("c") > 0)
+    return c.select("doc_id", F.size("c").cast("long").alias("chunks"), F.md5(F.array_join("c", "|")).alias("digest"))
+
+
+_SCRIPT = "string_agg('[' || role || ' :] ' || text, ' ' order by turn)"
+
+
+@query(
+    f"""with s as (select conv_id, {_SCRIPT} as t from conversations group by conv_id),
+    p as (select conv_id, list_filter(list_transform(string_split_regex(t, '\\[[^\\]\\n]{{1,40}}?[{tx.S}]*:[{tx.S}]*\\][{tx.S}]*')[2:], lambda x: {duck.strip('x')}), lambda x: x <> '')[1:10] as ts from s),
+    e as (select conv_id, ts[1:(len(ts) - len(ts) % 2)] as ts from p)
+    select conv_id, len(ts)::bigint as turns, md5(array_to_string(list_transform(ts, lambda x: x[1:600]), '|')) as digest from e where len(ts) >= 2"""
+)
+def dialogue_turns(spark, d):
+    script = F.concat(F.lit("["), F.col("role"), F.lit(" :] "), F.col("text"))
+    s = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", script.alias("x")))).alias("m"))
+    m = s.select("conv_id", tx.dialogue(F.array_join(F.transform("m", lambda x: x["x"]), " ")).alias("m")).where("m is not null")
+    return m.select("conv_id", F.size("m").cast("long").alias("turns"), F.md5(F.array_join(F.transform("m", lambda x: x["content"]), "|")).alias("digest"))
+
+
+_W0 = "greatest(0, least(a - 200, length(text) - 600))"
+
+
+@query(
+    f"""with q as (select doc_id, text, length(text) // 2 as a, 20 as n from documents),
+    s as (select *, {_W0} as s0, substring(text, 1, a) as head from q),
+    e as (select *, greatest(least(length(text), s0 + 600), a + n) as e0, case when instr(head, '. ') = 0 then -1 else a - instr(reverse(head), ' .') - 1 end as cut from s),
+    b as (select *, case when s0 > 0 then case when cut <> -1 and cut >= s0 - 200 then cut + 2 when instr(substring(text, s0 + 1), ' ') = 0 then 0 else s0 + instr(substring(text, s0 + 1), ' ') end else s0 end as s1,
+      case when instr(substring(text, a + n + 1), '. ') = 0 then 0 else a + n + instr(substring(text, a + n + 1), '. ') end as dot from e),
+    w as (select *, case when e0 < length(text) and dot > 0 and dot - 1 - s1 <= 850 then dot else e0 end as e1 from b)
+    select doc_id, length(x)::bigint as n, md5(x) as digest from (select doc_id, {duck.strip('substring(text, s1 + 1, greatest(0, e1 - s1))')} as x from w)"""
+)
+def qa_window(spark, d):
+    w = docs(spark, d).select("doc_id", tx.qa_window("text", "(length(text) div 2)", "20").alias("x"))
+    return w.select("doc_id", F.length("x").cast("long").alias("n"), F.md5("x").alias("digest"))
+
+
+@query(
+    """select doc_id, md5(replace('<|user|> ' || text, '<|', '< |')) as sanitized, case when right(substring(text, 1, 30), 1) in ('.', '!', '?') then substring(text, 1, 30) else substring(text, 1, 30) || '.' end as ended,
+    coalesce(nullif(lang, ''), source, '') as first_filled from documents"""
+)
+def text_repairs(spark, d):
+    return docs(spark, d).select(
+        "doc_id", F.md5(tx.sanitized(F.concat(F.lit("<|user|> "), "text"))).alias("sanitized"), tx.ends_sentence(F.substring("text", 1, 30)).alias("ended"), tx.first_filled(F.col("lang"), F.col("source")).alias("first_filled")
+    )
+
+
+# ---- corpus ---------------------------------------------------------------------------------------------------------
+
+
+@query(f"select doc_id, xor({duck.crc('substring(text, 1, 600)')}, length(text)::bigint << 32) as key, {duck.crc('substring(text, 1, 400)')} % 1000 < 150 as val from documents")
+def dedup_and_split_keys(spark, d):
+    return docs(spark, d).select("doc_id", hashing.dedup_key(F.col("text")).alias("key"), hashing.in_validation(F.col("text"), 150).alias("val"))
+
+
+_FIRST = "row_number() over (partition by substring(text, 1, 600), length(text) order by source, doc_id)"
+
+
+def ranked(spark, d) -> DataFrame:
+    return docs(spark, d).select("doc_id", "text", F.col("source").alias("src"), F.col("source").alias("src_rank"), F.col("doc_id").alias("ord"))
+
+
+@query(f"select doc_id, src from (select doc_id, source as src, {_FIRST} as r from documents) where r = 1")
+def dedup_first_wins(spark, d):
+    return corpus.first_wins(ranked(spark, d)).select("doc_id", "src")
+
+
+@query(f"select src, sum((r = 1)::int)::bigint as kept, sum((r > 1)::int)::bigint as duplicates from (select source as src, {_FIRST} as r from documents) group by src")
+def dedup_stats_by_source(spark, d):
+    return corpus.duplicates_by_source(ranked(spark, d))
+
+
+@query(
+    f"""with c as (select doc_id, source as src, {duck.web_page('text')} as t from documents),
+    k as (select *, row_number() over (partition by substring(t, 1, 600), length(t) order by src, doc_id) as r from c where t is not null),
+    s as (select src, t, case when {duck.crc('substring(t, 1, 400)')} % 1000 < 10 then 'val' else 'train' end as split from k where r = 1)
+    select src, split, count(*)::bigint as docs, sum(length(t))::bigint as chars from s group by src, split"""
+)
+def corpus_flagship(spark, d):
+    """Web cleaning, first-wins deduplication, split, and counts by source and split."""
+    cleaned = ranked(spark, d).withColumn("text", tx.web_page(F.col("text"))).where("text is not null")
+    split = corpus.with_split(corpus.first_wins(cleaned), 10)
+    return split.groupBy("src", "split").agg(F.count("*").alias("docs"), F.sum(F.length("text")).cast("long").alias("chars"))
+
+
+@query("select source as src, count(*)::bigint as docs, sum(length(text))::bigint as chars from documents group by rollup (source)")
+def source_totals(spark, d):
+    return corpus.source_stats(docs(spark, d), "source").withColumnRenamed("source", "src")
+
+
+@query("select doc_id, copy_no from documents, range(1, 5) r(copy_no) where doc_id % 7 = 0")
+def replicate_chat(spark, d):
+    return corpus.repeated(docs(spark, d).where("doc_id % 7 = 0").select("doc_id"), 4).select("doc_id", F.col("copy_no").cast("long").alias("copy_no"))
+
+
+_TALKS = "talks as (select conv_id, list(struct_pack(role := role, content := text) order by turn) as messages from conversations group by conv_id)"
+
+
+def records(spark, d) -> DataFrame:
+    texts = docs(spark, d).select(F.col("doc_id").alias("id"), "text", F.lit("web").alias("src"))
+    return corpus.union(texts, talks(spark, d).select(F.col("conv_id").alias("id"), "messages", F.lit("chat").alias("src")))
+
+
+_RECORDS = f"""{_TALKS}, records as (select doc_id as id, text, null as messages, 'web' as src from documents union all
+    select conv_id, null, messages, 'chat' from talks)"""
+_JOINED = "coalesce(text, array_to_string(list_transform(messages, lambda m: m.content), '{}'))"
+
+
+@query(f"with {_RECORDS} select id, src, md5({_JOINED.format(chr(10))}) as text, {duck.crc('substring(' + _JOINED.format(' ') + ', 1, 400)')} % 1000 < 150 as val from records")
+def union_records(spark, d):
+    return records(spark, d).select("id", "src", F.md5(corpus.record_text()).alias("text"), hashing.in_validation(corpus.split_text(), 150).alias("val"))
+
+
+@query("""with b as (select doc_id // 100 as b, sum(length(text)) as t from documents group by 1), k as (select b from (select b, coalesce(sum(t) over (order by b rows between unbounded preceding and 1 preceding), 0) as s from b) where s < 500000)
+    select doc_id from documents where doc_id // 100 in (select b from k)""")
+def max_tokens_cut(spark, d):
+    rows = docs(spark, d).select("doc_id", F.length("text").alias("n_tokens"))
+    return corpus.token_cut(rows, 500_000, "doc_id", batch=100).select("doc_id")
+
+
+@query("select doc_id, (sum(octet_length(encode(text)) + 1) over (order by doc_id) - octet_length(encode(text)) - 1)::bigint as \"offset\" from documents")
+def offsets(spark, d):
+    rows = docs(spark, d).select("doc_id", (F.octet_length("text") + 1).alias("n"))
+    return order.running_sum(rows, "doc_id", "n", "offset", bucket=64).select("doc_id", "offset")
+
+
+@query("select doc_id from documents where doc_id % greatest(1, (select sum(octet_length(encode(text))) from documents) // 300000) = 0")
+def tokenizer_stride(spark, d):
+    rows = docs(spark, d)
+    n = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return corpus.strided(rows, corpus.tokenizer_stride(n, 0.3), "doc_id").select("doc_id")
+
+
+@query("select doc_id, (row_number() over (order by doc_id // 50, (doc_id % 4 = 0)::int, doc_id) - 1)::bigint as place from documents")
+def flush_order(spark, d):
+    rows = docs(spark, d).select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("is_chat"))
+    return order.numbered(rows, *corpus.flush_order("doc_id", batch=50), out="place").select("doc_id", "place")
+
+
+@query("select doc_id from documents where length(text) >= 400 order by md5('7:' || doc_id), doc_id limit 100")
+def seeded_survivors(spark, d):
+    rows = docs(spark, d).withColumn("kept", F.when(F.length("text") >= 400, F.col("text")))
+    return corpus.survivors(rows, "kept", 100, 7, "doc_id").select("doc_id")
+
+
+# ---- tokens ---------------------------------------------------------------------------------------------------------
+
+
+def token_docs(spark, d) -> DataFrame:
+    return docs(spark, d).where("length(text) <= 2000").select(F.col("doc_id").alias("ord"), F.col("source").alias("src"), F.col("text"), tokens.with_eot(tokens.byte_ids(F.col("text"))).alias("ids"))
+
+
+_BYTES = "list_transform(range(0, octet_length(encode({0}))), lambda i: ('0x' || substring(hex(encode({0})), (i * 2 + 1)::int, 2))::int + 5)"
+_SANE = "replace(text, '<|', '< |')"
+_TOKENS = f"tok as (select doc_id as ord, source as src, text, list_append({_BYTES.format(_SANE)}, 0) as ids from documents where length(text) <= 2000)"
+
+
+@query(f"with {_TOKENS} select src, sum(len(ids))::bigint as tokens, count(*)::bigint as docs from tok group by src")
+def tokens_per_source(spark, d):
+    return token_docs(spark, d).groupBy("src").agg(F.sum(F.size("ids")).cast("long").alias("tokens"), F.count("*").alias("docs")).orderBy(F.col("tokens").desc(), "src")
+
+
+@query(f"with {_TOKENS} select round(sum(length(text))::double / greatest(1, sum(len(ids))), 3) as chars_per_token, max(list_max(ids))::int as max_id from tok")
+def chars_per_token(spark, d):
+    return token_docs(spark, d).agg(F.round(F.sum(F.length("text")) / F.greatest(F.lit(1), F.sum(F.size("ids"))), 3).alias("chars_per_token"), F.max(F.array_max("ids")).alias("max_id"))
+
+
+@query(
+    f"""with {_TOKENS}, u as (select ord, unnest(range(0, len(ids))) as j, unnest(ids) as t from tok), g as (select t, row_number() over (order by ord, j) - 1 - 17 as pos from u),
+    n as (select count(*) // 64 - 1 as n from u), b as (select pos // 64 as block_id, pos % 64 as k, t from g where pos >= 0 union all select pos // 64 - 1, 64, t from g where pos > 0 and pos % 64 = 0)
+    select block_id::bigint as block_id, md5(array_to_string(list(t order by k)[1:64], ',')) as x, md5(array_to_string(list(t order by k)[2:65], ',')) as y from b, n where block_id < n group by block_id"""
+)
+def pack_blocks(spark, d):
+    b = tokens.blocks(token_docs(spark, d), 64, offset=17)
+    return b.select("block_id", F.md5(F.array_join("x", ",")).alias("x"), F.md5(F.array_join("y", ",")).alias("y"))
+
+
+@query("select doc_id as block_id, (row_number() over (order by md5('1337:2:' || doc_id), doc_id) - 1)::bigint as pos from documents")
+def epoch_permutation(spark, d):
+    return tokens.epoch_positions(docs(spark, d).select(F.col("doc_id").alias("block_id")), 1337, 2).select("block_id", "pos")
+
+
+@query("select id // 4 as g, id % 4 as j, (((id // 4) * 2 + 1) * 4 + id % 4) // 37 as epoch, (((id // 4) * 2 + 1) * 4 + id % 4) % 37 as pos from range(0, 80) r(id)")
+def rank_batches(spark, d):
+    return tokens.slots(spark, 20, 4, 1, 2, 37)
+
+
+@query("select (row_number() over (order by b) - 1)::bigint as i, b as block_id from (select distinct case when k = 49 then 556 else floor(k * (556::double / 49))::bigint end as b from range(0, 50) r(k)) qualify (row_number() over (order by b) - 1) % 2 = 1")
+def val_blocks(spark, d):
+    return tokens.validation_blocks(spark, 557, 50, 1, 2)
+
+
+@query(
+    """with p as (select doc_id as ord, length(text) as n, row_number() over (order by md5('3:0:' || doc_id), doc_id) - 1 as pos from documents), c as (select *, pos // 32 as chunk from p),
+    r as (select *, row_number() over (partition by chunk order by n, pos) - 1 as r from c) select ord, chunk::bigint as chunk, (r // 8)::bigint as batch_no, (r % 8)::bigint as row_no from r"""
+)
+def bucket_batches(spark, d):
+    rows = docs(spark, d).select(F.col("doc_id").alias("ord"), F.length("text").alias("n"))
+    return tokens.bucketed_batches(rows, 8, 3, 0, multiple=4).select("ord", "chunk", "batch_no", "row_no")
+
+
+_CHAT = f"""msg as (select conv_id, turn, list_concat([case role when 'system' then 1 when 'user' then 2 else 3 end], {_BYTES.format("replace(" + duck.strip('text') + ", '<|', '< |')")}, [4]) as ids, role = 'assistant' as says from conversations),
+    chat as (select conv_id, flatten(list(ids order by turn)) as ids, flatten(list(list_transform(range(0, len(ids)), lambda i: case when says and i > 0 then 1 else 0 end) order by turn)) as mask from msg group by conv_id)"""
+
+
+def chats(spark, d) -> DataFrame:
+    ids, mask = tokens.encode_chat(F.col("messages"))
+    return talks(spark, d).select("conv_id", "messages", ids.alias("ids"), mask.alias("mask"))
+
+
+@query(f"with {_CHAT} select conv_id, md5(array_to_string(ids, ',')) as ids, md5(array_to_string(mask, ',')) as mask, len(ids)::bigint as n from chat")
+def chat_encode_mask(spark, d):
+    return chats(spark, d).select("conv_id", F.md5(F.array_join("ids", ",")).alias("ids"), F.md5(F.array_join(F.transform("mask", lambda x: x.cast("string")), ",")).alias("mask"), F.size("ids").cast("long").alias("n"))
+
+
+@query(f"with {_CHAT} select sum(list_sum(mask))::bigint as answer_tokens, sum(len(ids))::bigint as tokens, round(sum(list_sum(mask))::double / sum(len(ids)), 9) as share from chat")
+def answer_token_share(spark, d):
+    total = chats(spark, d).agg(F.sum(F.aggregate("mask", F.lit(0), lambda n, x: n + x.cast("int"))).cast("long").alias("answer_tokens"), F.sum(F.size("ids")).cast("long").alias("tokens"))
+    return total.withColumn("share", F.round(F.col("answer_tokens") / F.greatest(F.lit(1), "tokens"), 9))
+
+
+@query(
+    f"""with {_CHAT}, b as (select *, max(len(ids)) over (partition by conv_id // 10) - 1 as most, len(ids) - 1 as n from chat)
+    select conv_id, md5(array_to_string(list_concat(ids[1:n], list_transform(range(0, most - n), lambda i: 0)), ',')) as x,
+    md5(array_to_string(list_concat(list_transform(range(1, n + 1), lambda i: case when mask[i + 1] > 0 then ids[i + 1] else -1 end), list_transform(range(0, most - n), lambda i: -1)), ',')) as y from b"""
+)
+def collate_pad(spark, d):
+    rows = chats(spark, d).withColumn("batch", F.expr("conv_id div 10"))
+    return tokens.collated(rows, ["batch"]).select("conv_id", F.md5(F.array_join("x", ",")).alias("x"), F.md5(F.array_join("y", ",")).alias("y"))
+
+
+@query(f"with {_CHAT} select conv_id, list_sum(mask)::int as n_answer, len(ids) <= 513 and list_sum(mask) > 0 as kept from chat")
+def length_filter(spark, d):
+    return sft.fits(chats(spark, d), 512).select("conv_id", "n_answer", "kept")
+
+
+@query(f"with {_TALKS} select conv_id, case when {duck.crc('messages[1].content')} % 1000 < 20 then 'val' else 'train' end as split from talks")
+def sft_split(spark, d):
+    return sft.with_split(talks(spark, d), 20).select("conv_id", "split")
+
+
+@query(
+    """with t as (select doc_id, row_number() over (order by doc_id) - 1 as i, count(*) over () as n from documents where doc_id % 101 <> 0)
+    select doc_id, case when i % greatest(2, n // 50) = 0 then 'val' else 'train' end as split from t union all select doc_id, 'val' from documents where doc_id % 101 = 0"""
+)
+def val_fallback(spark, d):
+    rows = docs(spark, d).select("doc_id", F.when(F.col("doc_id") % 101 == 0, F.lit("val")).otherwise(F.lit("train")).alias("split"))
+    return sft.fallback_validation(rows, ordinal="doc_id").select("doc_id", "split")
+
+
+@query(
+    f"""with {_CHAT}, f as (select *, greatest(1, coalesce(list_position(mask, 1), 1)) as f from chat), t as (select *, ids[f:] as tail from f), e as (select *, coalesce(list_position(tail, 4), 0) as e from t)
+    select conv_id, (f - 1)::bigint as prompt, (e - 1)::bigint as reference from e where e > 0 and f - 1 + 64 <= 512"""
+)
+def qa_split(spark, d):
+    return metrics.qa_split(chats(spark, d), tokens.END, 64, 512).select("conv_id", F.size("prompt").cast("long").alias("prompt"), F.size("reference").cast("long").alias("reference"))
+
+
+@query()
+def pre_tokens(spark, d):
+    """Frequencies of the pieces that merges work in; SQL's regular expressions lack the look-ahead."""
+    return bpe_training.word_frequencies(docs(spark, d))
+
+
+@query()
+def bpe_encode(spark, d):
+    """Merges learned from the corpus. Training is a loop; tests compare it with recounting."""
+    learned = bpe_training.train(docs(spark, d), 320)
+    return spark.createDataFrame([(i, a.hex(), b.hex()) for i, (a, b) in enumerate(learned)], "rank long, left string, right string")
+
+
+# ---- fine-tuning sources --------------------------------------------------------------------------------------------
+
+_PLAIN = "replace(lower({}), '’', '''')"
+
+
+def _contradicts(q: str, a: str) -> str:
+    quote = lambda k: k.replace("'", "''")
+    return "(" + " or ".join([*(f"contains({_PLAIN.format(q)}, '{quote(k)}')" for k in sft.IDENTITY_QUESTIONS), *(f"contains({_PLAIN.format(a)}, '{quote(k)}')" for k in sft.IDENTITY_ANSWERS)]) + ")"
+
+
+@query(f"select conv_id, turn, {_contradicts('q', 'text')} as contradicts from (select *, case when turn % 5 = 0 then 'Qui es-tu ? ' || text when turn % 5 = 1 then text || ' En tant qu’IA' else text end as q from conversations)")
+def persona_filter(spark, d):
+    q = F.when(F.col("turn") % 5 == 0, F.concat(F.lit("Qui es-tu ? "), "text")).when(F.col("turn") % 5 == 1, F.concat("text", F.lit(" En tant qu’IA"))).otherwise(F.col("text"))
+    return table(spark, d, "conversations").select("conv_id", "turn", sft.contradicts_persona(q, F.col("text")).alias("contradicts"))
+
+
+@query(
+    f"""with i as (select doc_id, case when doc_id % 3 = 0 then '' else substring(text, 1, 200 + doc_id % 200) end as instruction, case when doc_id % 2 = 0 then source else ' ' end as input, substring(text, 300, doc_id % 400) as output from documents),
+    q as (select doc_id, case when {duck.strip('instruction')} = '' then '' else instruction end as q0, case when {duck.strip('input')} = '' then '' else input end as m, case when {duck.strip('output')} = '' then '' else output end as a from i),
+    c as (select doc_id, case when m = '' then q0 else q0 || chr(10) || chr(10) || m end as q, a from q)
+    select doc_id, md5(q) as question, md5(a) as answer from c where q <> '' and a <> '' and length(q) <= 300 and length(a) between 3 and 350 and not contains(q || ' ' || a, '###') and not contains(q || ' ' || a, 'http') and not {_contradicts('q', 'a')}"""
+)
+def instruction_filter(spark, d):
+    rows = docs(spark, d).select(
+        "doc_id", F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.expr("substring(text, 1, cast(200 + doc_id % 200 as int))")).alias("instruction"),
+        F.when(F.col("doc_id") % 2 == 0, F.col("source")).otherwise(F.lit(" ")).alias("input"), F.expr("substring(text, 300, cast(doc_id % 400 as int))").alias("output"),
+    )
+    return sft.instructions(rows).select("doc_id", F.md5("question").alias("question"), F.md5("answer").alias("answer"))
+
+
+@query(
+    f"""with m as (select conv_id * 1000 + turn as message_id, conv_id * 1000 + turn - 1 as parent_id, case role when 'user' then 'prompter' else role end as role, case when conv_id % 5 = 0 then 'en' else 'fr' end as lang, text, case when turn % 3 = 0 then null else (turn % 2)::int end as rank from conversations),
+    j as (select c.message_id, {duck.strip('p.text')} as q, {duck.strip('c.text')} as a from m c join m p on c.parent_id = p.message_id where c.lang = 'fr' and p.lang = 'fr' and c.role = 'assistant' and p.role = 'prompter' and (c.rank is null or c.rank = 0))
+    select message_id, md5(q) as question, md5(a) as answer from j where length(q) <= 400 and length(a) between 3 and 500 and not {_contradicts('q', 'a')}"""
+)
+def parent_reply_pairs(spark, d):
+    tree = table(spark, d, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("message_id"), (F.col("conv_id") * 1000 + F.col("turn") - 1).alias("parent_id"), F.when(F.col("role") == "user", F.lit("prompter")).otherwise(F.col("role")).alias("role"),
+        F.when(F.col("conv_id") % 5 == 0, F.lit("en")).otherwise(F.lit("fr")).alias("lang"), "text", F.when(F.col("turn") % 3 == 0, None).otherwise((F.col("turn") % 2).cast("int")).alias("rank"),
+    )
+    return sft.replies(tree).select("message_id", F.md5("question").alias("question"), F.md5("answer").alias("answer"))
+
+
+@query(
+    f"""with q as (select doc_id, text, 'Q' || doc_id as question, {duck.strip('substring(text, length(text) // 2 + 1, 12)')} as a from documents where length(text) >= 100 and length(text) <= 600)
+    select doc_id, md5('Contexte : ' || {duck.strip('text')} || chr(10) || chr(10) || 'Question : ' || question) as question, case when right(a, 1) in ('.', '!', '?') then a else a || '.' end as answer from q where a <> '' and contains(text, a)"""
+)
+def extractive_qa(spark, d):
+    """Contexts no longer than the window, where the window is the whole text; ``qa_window`` has the long ones."""
+    a = F.expr("substring(text, length(text) div 2 + 1, 12)")
+    rows = docs(spark, d).where("length(text) between 100 and 600").select("doc_id", F.col("text").alias("context"), F.concat(F.lit("Q"), "doc_id").alias("question"), F.struct(F.array(a).alias("text"), F.array(F.expr("length(text) div 2").cast("int")).alias("answer_start")).alias("answers"))
+    m = readers.extractive_qa(rows)
+    return m.select("doc_id", F.md5(F.col("messages")[0]["content"]).alias("question"), F.col("messages")[1]["content"].alias("answer"))
+
+
+# ---- scores ---------------------------------------------------------------------------------------------------------
+
+_NORMAL = "list_filter(string_split_regex(regexp_replace(strip_accents(lower({})), '[^\\p{{L}}\\p{{N}}_{S}]', ' ', 'g'), '[{S}]+'), lambda w: w <> '' and w not in (" + ", ".join(f"'{w}'" for w in tx.ARTICLES) + "))"
+
+
+def _normal(x: str) -> str:
+    return _NORMAL.format(x, S=tx.S)
+
+
+@query(f"select conv_id, turn, md5(array_to_string({_normal('text')}, ' ')) as words from conversations")
+def normalize_answers(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", F.md5(F.array_join(metrics.answer_tokens(F.col("text")), " ")).alias("words"))
+
+
+_PAIRS = f"""w as (select conv_id, turn, {_normal('text')} as p, {_normal("case when turn % 4 = 1 then text else lag(text, 1, '') over (partition by conv_id order by turn) end")} as r from conversations)"""
+
+
+def answer_pairs(spark, d) -> DataFrame:
+    from pyspark.sql.window import Window
+
+    before = F.lag("text", 1, "").over(Window.partitionBy("conv_id").orderBy("turn"))
+    rows = table(spark, d, "conversations").withColumn("ref", F.when(F.col("turn") % 4 == 1, F.col("text")).otherwise(before))
+    return rows.select("conv_id", "turn", metrics.answer_tokens(F.col("text")).alias("p"), metrics.answer_tokens(F.col("ref")).alias("r"))
+
+
+_F1 = """f as (select conv_id, turn, p, r, list_sum(list_transform(list_distinct(p), lambda w: least(len(list_filter(p, lambda x: x = w)), len(list_filter(r, lambda x: x = w))))) as c from w),
+    g as (select *, case when len(p) = 0 or len(r) = 0 then (p = r)::int::double when c = 0 then 0.0::double else 2.0::double * (c / len(p)::double) * (c / len(r)::double) / (c / len(p)::double + c / len(r)::double) end as f1 from f)"""
+
+
+@query(f"with {_PAIRS}, {_F1} select conv_id, turn, round(f1, 9) as f1, p = r as em from g")
+def token_f1(spark, d):
+    return answer_pairs(spark, d).select("conv_id", "turn", F.round(metrics.token_f1(F.col("p"), F.col("r")), 9).alias("f1"), (F.col("p") == F.col("r")).alias("em"))
+
+
+@query(f"with {_PAIRS}, {_F1} select count(*)::bigint as n, round_even(avg((p = r)::int::double), 4) as exact_match, round_even(avg(f1), 4) as f1, round_even(avg((len(p) < 64)::int::double), 4) as ends_properly from g")
+def qa_metrics(spark, d):
+    scored = answer_pairs(spark, d).select((F.col("p") == F.col("r")).alias("em"), metrics.token_f1(F.col("p"), F.col("r")).alias("f1"), F.size("p").alias("n_generated"), F.lit(64).alias("max_new"))
+    return metrics.qa_scores(scored)
+
+
+@query("select round(sum(case when user_id % 3 <> 0 then value else 0 end) / greatest(1, sum((user_id % 3 <> 0)::int)), 6) as mean_loss, sum((user_id % 3 <> 0)::int)::bigint as n_labels, round(exp(least(sum(case when user_id % 3 <> 0 then value else 0 end) / greatest(1, sum((user_id % 3 <> 0)::int)) / 100, 20)), 6) as perplexity from events")
+def masked_mean_loss(spark, d):
+    rows = table(spark, d, "events").select(F.col("value").alias("loss"), F.when(F.col("user_id") % 3 == 0, F.lit(-1)).otherwise(F.col("user_id")).alias("label"))
+    m = metrics.masked_mean_loss(rows)
+    return m.select(F.round("mean_loss", 6).alias("mean_loss"), "n_labels", F.round(metrics.perplexity(F.col("mean_loss") / 100, 20.0), 6).alias("perplexity"))
+
+
+_BEST = "b as (select *, least(coalesce(min(val_loss) over (order by it rows between unbounded preceding and 1 preceding), 'inf'::double), 50::double) as best_before, row_number() over (order by it) as i from evals), f as (select *, val_loss < best_before as improved from b), n as (select *, i - coalesce(max(case when improved then i end) over (order by it), 0) as no_improve from f)"
+
+
+@query(f"with {EVALS}, {_BEST} select it, best_before, improved, no_improve::bigint as no_improve from n")
+def running_best(spark, d):
+    return metrics.running_best(evals(spark, d), 50.0).select("it", "best_before", "improved", "no_improve")
+
+
+@query(f"with {EVALS}, {_BEST} select min(case when no_improve >= 5 then it end) as stop_it from n")
+def early_stop(spark, d):
+    return metrics.early_stop(evals(spark, d), 5, 50.0)
+
+
+@query(
+    """with l as (select user_id as it, event_id as line_no, value as val_loss from events), k as (select * from l qualify row_number() over (partition by it order by line_no desc) = 1)
+    select min(val_loss) as min_loss, arg_min(it, (val_loss, it)) as min_it, arg_max(val_loss, it) as last_loss, arg_max(val_loss, it) - min(val_loss) as gap from k"""
+)
+def log_dedup_min(spark, d):
+    log = table(spark, d, "events").select(F.col("user_id").alias("it"), F.col("event_id").alias("line_no"), F.col("value").alias("val_loss"))
+    return metrics.summary(metrics.last_of_each(log))
+
+
+@query("select case when event_id % 2 = 0 then 'train' else 'eval' end as kind, event_id as it, value, case when event_id % 2 = 1 then value > 50 end as improved from events where event_id % 4 <> 3")
+def log_curves(spark, d):
+    e = table(spark, d, "events")
+    kind = F.when(F.col("event_id") % 4 == 3, F.lit("other")).when(F.col("event_id") % 2 == 0, F.lit("train")).otherwise(F.lit("eval"))
+    return metrics.curves(e.select(kind.alias("type"), F.col("event_id").alias("it"), F.col("value").alias("loss"), F.col("value").alias("val_loss"), (F.col("value") > 50).alias("improved")))
+
+
+@query("with l as (select event_id as it, event_id * 65536 as tokens, epoch(ts) as t from events where event_id % 100 = 0) select it, round(case when t - lag(t) over (order by it) > 0 then (tokens - lag(tokens) over (order by it)) / (t - lag(t) over (order by it)) end, 3) as tok_s from l")
+def throughput(spark, d):
+    e = table(spark, d, "events").where("event_id % 100 = 0").select(F.col("event_id").alias("it"), (F.col("event_id") * 65536).alias("tokens"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
+    return metrics.throughput(e).select("it", F.round("tok_s", 3).alias("tok_s"))
+
+
+@query("with c as (select 'run/ckpt_' || lpad((doc_id * 50)::varchar, 7, '0') || '.pt' as path, doc_id * 50 as it, row_number() over (order by doc_id desc) as r from documents) select path, it, r <= 3 as kept, r = 1 as latest from c")
+def checkpoint_retention(spark, d):
+    files = docs(spark, d).select(F.concat(F.lit("run/ckpt_"), F.lpad((F.col("doc_id") * 50).cast("string"), 7, "0"), F.lit(".pt")).alias("path")).unionByName(spark.createDataFrame([("run/best.json",)], "path string"))
+    return metrics.checkpoints(files, 3)
+
+
+@query("select user_id % 20 as step, round(sum(value) / greatest(1, sum(event_id % 7)), 6) as loss from events group by 1")
+def step_loss(spark, d):
+    rows = table(spark, d, "events").select((F.col("user_id") % 20).alias("step"), F.col("value").alias("loss_sum"), (F.col("event_id") % 7).alias("n_answer"))
+    return metrics.step_loss(rows).select("step", F.round("loss", 6).alias("loss"))
+
+
+# ---- sampling -------------------------------------------------------------------------------------------------------
+
+
+@query(f"with {LOGITS} select step, token_id from (select *, rank() over (partition by step order by logit desc) as r from logits) where r <= 5")
+def topk_filter(spark, d):
+    return sampling.top_k(logits(spark, d), 5).select("step", "token_id")
+
+
+_SOFT = "e as (select *, exp((logit - max(logit) over (partition by step)) / 0.7::double) as e from logits), p as (select step, token_id, e / sum(e) over (partition by step) as p from e)"
+
+
+@query(f"with {LOGITS}, {_SOFT} select step, token_id, round(p, 9) as p from p")
+def softmax_temperature(spark, d):
+    return sampling.softmax(logits(spark, d), 0.7).select("step", "token_id", F.round("p", 9).alias("p"))
+
+
+@query(f"with {LOGITS}, {_SOFT} select step, token_id from (select *, max(p) over (partition by step) as m from p) where p >= 0.2::double * m")
+def minp_filter(spark, d):
+    return sampling.min_p(sampling.softmax(logits(spark, d), 0.7), 0.2).select("step", "token_id")
+
+
+_TOPP = "c as (select *, sum(p) over (partition by step order by p desc, token_id rows unbounded preceding) - p as b, sum(p) over (partition by step) as t from p)"
+
+
+@query(f"with {LOGITS}, {_SOFT}, {_TOPP} select step, token_id from c where b <= 0.9::double * t")
+def topp_filter(spark, d):
+    return sampling.top_p(sampling.softmax(logits(spark, d), 0.7), 0.9).select("step", "token_id")
+
+
+@query(f"with {LOGITS} select step, arg_max(token_id, (logit, -token_id)) as token_id from logits group by step")
+def argmax_token(spark, d):
+    return sampling.best(logits(spark, d))
+
+
+def histories(spark, d) -> DataFrame:
+    return logits(spark, d).select("step").distinct().select("step", F.transform(F.sequence(F.lit(0), F.lit(29)), lambda i: F.pmod(F.col("step") * 7 + i * i, F.lit(11)).cast("int")).alias("generated"))
+
+
+_HISTORY = "h as (select vec_id as step, list_transform(range(0, 30), lambda i: ((vec_id * 7 + i * i) % 11)::int) as g from embeddings)"
+
+
+@query(f"with {LOGITS}, {_HISTORY} select l.step, token_id, round(case when list_contains(g, token_id) then case when logit > 0 then logit / 1.3::double else logit * 1.3::double end else logit end, 9) as logit from logits l join h using (step)")
+def repetition_penalty(spark, d):
+    return sampling.penalised(logits(spark, d), histories(spark, d), 1.3).select("step", "token_id", F.round("logit", 9).alias("logit"))
+
+
+@query(f"with {_HISTORY} select step, array_to_string(list_sort(list_distinct(list_transform(list_filter(range(1, 29), lambda i: g[i] = g[29] and g[i + 1] = g[30]), lambda i: g[i + 2]))), ',') as banned from h")
+def banned_ngrams(spark, d):
+    return histories(spark, d).select("step", F.array_join(sampling.banned(F.col("generated"), 3), ",").alias("banned"))
+
+
+@query(
+    f"""with {LOGITS}, {_HISTORY}, m as (select l.step, token_id, case when list_contains(g, token_id) then case when logit > 0 then logit / 1.1::double else logit * 1.1::double end else logit end as logit, g from logits l join h using (step) where token_id < 60 and token_id not in (1, 2)),
+    n as (select step, token_id, logit / 0.7::double as logit from m where not list_contains(list_transform(list_filter(range(1, 29), lambda i: g[i] = g[29] and g[i + 1] = g[30]), lambda i: g[i + 2]), token_id)),
+    k as (select * from (select *, rank() over (partition by step order by logit desc) as r from n) where r <= 40), e as (select *, exp(logit - max(logit) over (partition by step)) as e from k), p0 as (select step, token_id, e / sum(e) over (partition by step) as p from e),
+    p as (select step, token_id, p from (select *, max(p) over (partition by step) as mx from p0) where p >= 0.02::double * mx), {_TOPP}
+    select step, token_id, round(p / sum(p) over (partition by step), 9) as p from c where b <= 0.9::double * t"""
+)
+def sampling_chain(spark, d):
+    cfg = sampling.Sampling(min_p=0.02, valid_vocab=60, forbidden=(1, 2))
+    return sampling.distribution(logits(spark, d), histories(spark, d), cfg).select("step", "token_id", F.round("p", 9).alias("p"))
+
+
+@query()
+def sampled_tokens(spark, d):
+    """One seeded draw a step; the number drawn with is a hash."""
+    return sampling.draw(sampling.softmax(logits(spark, d), 0.7), 11)
+
+
+@query(
+    """with t as (select conv_id, turn, role, octet_length(encode(text)) + 2 as n, role = 'system' and turn = min(turn) over (partition by conv_id) as sys from conversations),
+    a as (select *, sum(case when sys then n else 0 end) over (partition by conv_id) as head, bool_or(sys) over (partition by conv_id) as has_sys, max(turn) over (partition by conv_id) as last, min(case when not sys then turn end) over (partition by conv_id) as opening,
+      sum(case when sys then 0 else n end) over (partition by conv_id order by turn desc rows unbounded preceding) as tail from t),
+    f as (select *, min(case when not sys and (turn = opening or role <> 'assistant') and head + tail <= 512 - 128 - 1 then turn end) over (partition by conv_id) as first, max(case when not has_sys and turn = last and role <> 'assistant' then turn end) over (partition by conv_id) as alone from a)
+    select conv_id, turn from f where sys or turn >= coalesce(first, alone)"""
+)
+def history_truncate(spark, d):
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "role", (F.octet_length("text") + 2).alias("n_tokens"))
+    return sampling.truncated_history(turns, 512, 128).select("conv_id", "turn")
+
+
+# ---- settings -------------------------------------------------------------------------------------------------------
+
+
+def _lr_sql(schedule: str) -> str:
+    warm = "when it < 10 then 1.0::double * (it + 1) / 10"
+    if schedule == "wsd":
+        return f"case {warm} when it < 80 then 1.0::double else 1.0::double + (0.1::double - 1.0::double) * least(1.0::double, (it - 80)::double / 20) end"
+    return f"case {warm} when it >= 100 then 0.1::double else 0.1::double + 0.5::double * (1 + cos(pi() * ((it - 10)::double / 90))) * (1.0::double - 0.1::double) end"
+
+
+@query(f"select it, round({_lr_sql('cosine')}, 9) as cosine, round({_lr_sql('wsd')}, 9) as wsd from range(0, 121) r(it)")
+def lr_schedule(spark, d):
+    it = spark.range(121).withColumnRenamed("id", "it")
+    lr = lambda s: F.round(config.learning_rate(F.col("it"), 1.0, 0.1, 10, s, 0.2, 100), 9)
+    return it.select("it", lr("cosine").alias("cosine"), lr("wsd").alias("wsd"))
+
+
+#: Model shapes: layers, width, heads, key heads, context.
+SHAPES = ((6, 256, 4, 4, 512), (6, 384, 6, 6, 512), (10, 512, 8, 8, 512), (12, 768, 12, 12, 1024), (24, 1024, 16, 8, 2048), (20, 2048, 16, 4, 2048))
+_SHAPES = ", ".join(map(str, SHAPES))
+_SPELLED = "case when n >= 1e9 then format('{:.1f}B', n / 1e9::double) when n >= 1e6 then round_even(n / 1e6::double, 0)::bigint::varchar || 'M' else round_even(n / 1e3::double, 0)::bigint::varchar || 'K' end"
+
+
+@query(
+    f"""with s(layers, d, heads, kv, ctx) as (values {_SHAPES}), f as (select *, ((floor(8.0::double / 3 * d)::bigint + 63) // 64) * 64 as ffn from s),
+    p as (select *, (32000 * d + layers * (2 * d * d + 2 * d * kv * (d // heads) + 3 * d * ffn + 2 * d + 2 * (d // heads)) + d)::bigint as n from f)
+    select layers::bigint as layers, d::bigint as d_model, ffn::bigint as ffn, n as parameters, {_SPELLED} as name, d % heads = 0 and heads % kv = 0 and (d // heads) % 2 = 0 as valid,
+    round(32000 * d::double / n, 6) as embedding_share, round(4 * n / 1e9::double, 6) as weights_gb, round(16 * n / 1e9::double, 6) as training_gb, round(ln(32000::double), 6) as first_loss from p"""
+)
+def param_count(spark, d):
+    s = spark.createDataFrame(list(SHAPES), "layers long, d_model long, heads long, kv long, ctx long").withColumn("ffn", config.ffn_width(F.col("d_model")))
+    n = config.parameters(F.lit(32_000), F.col("layers"), F.col("d_model"), F.col("heads"), F.col("kv"), F.col("ffn"), F.lit(True), F.lit(True))
+    return s.withColumn("parameters", n).select(
+        "layers", "d_model", "ffn", "parameters", config.size_name(F.col("parameters")).alias("name"), config.valid(F.col("d_model"), F.col("heads"), F.col("kv")).alias("valid"),
+        F.round(32_000 * F.col("d_model") / F.col("parameters"), 6).alias("embedding_share"), F.round(4 * F.col("parameters") / 1e9, 6).alias("weights_gb"), F.round(16 * F.col("parameters") / 1e9, 6).alias("training_gb"), F.round(F.log(F.lit(32_000.0)), 6).alias("first_loss"),
+    )
+
+
+@query("select b, (b * 4 * 2 * 512)::bigint as each, (b * 4 * 2 * 512 * 1000)::bigint as planned, round(b * 4 * 2 * 512 * 1000 / 3226000000::double, 9) as epochs, (((b * 100 + 63) // 64) * 64)::bigint as padded, case when b * 1000 <= 65535 then 'uint16' else 'uint32' end as kind from range(1, 129) r(b)")
+def training_plan(spark, d):
+    b = F.col("b")
+    each, planned, epochs = config.plan(b, F.lit(4), F.lit(2), F.lit(512), F.lit(1000), F.lit(3_226_000_000))
+    return spark.range(1, 129).withColumnRenamed("id", "b").select(
+        "b", each.cast("long").alias("each"), planned.cast("long").alias("planned"), F.round(epochs, 9).alias("epochs"), config.round_up(b * 100, 64).alias("padded"), config.token_dtype(b * 1000).alias("kind")
+    )
+
+
+# ---- generated families ---------------------------------------------------------------------------------------------
+
+_U = "(('0x' || substring(md5('3:{}:' || i), 1, 8))::bigint / 4294967296::double)"
+
+
+@query(
+    f"""with g as (select i, (['+', '+', '-', '*'])[floor({_U.format('op')} * 4)::int + 1] as op, {_U.format('a')} as ua, {_U.format('b')} as ub, {_U.format('form')} as uf from range(0, 200) r(i)),
+    m as (select *, floor(ua * case when op = '*' then 10 else 50 end)::bigint as x, floor(ub * case when op = '*' then 10 else 50 end)::bigint as y from g),
+    v as (select i, op, uf, case when op = '-' then greatest(x, y) else x end as a, case when op = '-' then least(x, y) else y end as b from m),
+    w as (select *, case op when '+' then a + b when '-' then a - b else a * b end as value, case op when '+' then 'plus' when '-' then 'moins' else 'fois' end as word from v)
+    select i, 'Combien font ' || a || ' ' || (case when uf < 0.6::double then word else op end) || ' ' || b || ' ?' as question, a || ' ' || word || ' ' || b || (case when value = 1 then ' fait ' else ' font ' end) || value || '.' as answer, value from w"""
+)
+def arithmetic_qa(spark, d):
+    return synthetic.arithmetic(spark, 200, 3).select("i", "question", "answer", "value")
+
+
+DAYS = ["lundi", "mardi", "mercredi", "jeudi", "vendredi", "samedi", "dimanche"]
+MONTHS = ["janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août", "septembre", "octobre", "novembre", "décembre"]
+
+
+def _around(names: list[str], kind: str, article: str) -> str:
+    rows = ", ".join(f"({i}, '{n}')" for i, n in enumerate(names))
+    one = "select 'Quel {k} vient {w} {a}' || x.name || ' ?' as question, y.name || '.' as answer from (values {r}) x(i, name) join (values {r}) y(i, name) on (x.i + {d} + {n}) % {n} = y.i"
+    return " union all ".join(one.format(k=kind, w=w, a=article, r=rows, d=step, n=len(names)) for w, step in (("après", 1), ("avant", -1)))
+
+
+@query(
+    f"""{_around(DAYS, 'jour', 'le ')} union all {_around(MONTHS, 'mois', '')} union all select 'Quel est le numéro du mois ' || case when regexp_matches(name, '^[aeiouâéèêô]') then 'd''' else 'de ' end || name || ' ?', i || '.' from (values {", ".join(f"({i + 1}, '{m}')" for i, m in enumerate(MONTHS))}) m(i, name)
+    union all select 'Quels sont les jours de la semaine ?', '{", ".join(DAYS)}.' union all select 'Quels sont les mois de l''année ?', '{", ".join(MONTHS)}.'"""
+)
+def calendar_qa(spark, d):
+    return synthetic.calendar(spark, DAYS, MONTHS)
+
+
+OPPOSITES = [("grand", "petit"), ("chaud", "froid"), ("haut", "bas")]
+
+
+@query(f"with p(a, b) as (values {', '.join(map(str, OPPOSITES))}), u as (select a, b from p union all select b, a from p) select 'Quel est le contraire de ' || a || ' ?' as question, 'Le contraire de ' || a || ' est ' || b || '.' as answer from u")
+def opposites_qa(spark, d):
+    return synthetic.opposites(spark.createDataFrame(OPPOSITES, "a string, b string"))
+
+
+@query(
+    """with f as (select n_name as key, r_name as value from nation join region on n_regionkey = r_regionkey), t(template) as (values ('Où est {key} ?'), ('{key} est dans quelle région ?'), ('Région de {key} ?'), ('Situe {key}.')),
+    x as (select key, value, template, row_number() over (partition by key order by md5('5:' || key || ':' || template)) as r from f, t)
+    select key, replace(template, '{key}', key) as question, key || ' : ' || value || '.' as answer from x where r <= 2"""
+)
+def template_facts(spark, d):
+    facts = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("key"), F.col("r_name").alias("value"))
+    t = spark.createDataFrame([(x, "{key} : {value}.") for x in ("Où est {key} ?", "{key} est dans quelle région ?", "Région de {key} ?", "Situe {key}.")], "template string, answer_template string")
+    return synthetic.from_templates(facts, t, 2, 5)
+
+
+@query()
+def two_turn_mix(spark, d):
+    """Pairs picked by hash from the arithmetic family."""
+    one = synthetic.arithmetic(spark, 200, 3).select("i", sft.pair(F.col("question"), F.col("answer")).alias("messages"))
+    return synthetic.two_turns(one, 0.15, 3).select("k", F.to_json("messages").alias("messages"))
+
+
+@query()
+def picked_groups(spark, d):
+    groups = spark.createDataFrame([("bonjour", ["Bonjour", "Salut"], ["Bonjour !", "Salut, que puis-je faire ?"])], "name string, questions array<string>, answers array<string>")
+    return synthetic.picked(groups, 8, 3)
+
+
+@query("with u as (select doc_id, case when doc_id % 50 = 0 then 'persona' else source end as src, length(text) <= 3000 as kept from documents) select case when src = 'persona' then 'persona (x20)' else src end as src, sum(kept::int)::bigint as kept, sum((not kept and src <> 'persona')::int)::bigint as skipped_too_long from u group by 1")
+def sft_source_report(spark, d):
+    rows = docs(spark, d).select("doc_id", F.when(F.col("doc_id") % 50 == 0, F.lit("persona")).otherwise(F.col("source")).alias("src"), (F.length("text") <= 3000).alias("kept"))
+    return sft.source_report(rows, times=20)
+
+
+@query("select doc_id, 'train' as split from documents, range(0, 20) r(k) where doc_id % 50 = 0 union all select doc_id, case when doc_id % 9 = 0 then 'val' else 'train' end from documents where doc_id % 50 <> 0")
+def persona_replication(spark, d):
+    rows = docs(spark, d).select("doc_id", F.when(F.col("doc_id") % 9 == 0, F.lit("val")).otherwise(F.lit("train")).alias("split"))
+    return sft.add_persona(rows.where("doc_id % 50 <> 0"), rows.where("doc_id % 50 = 0").drop("split"), 20)
