@@ -38,6 +38,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, STRIP, "")
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, where the body's lambdas would compute it for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def defect_rules(c: Column) -> list[Column]:
     return [c.rlike(p) for p in DEFECTS]
 
@@ -91,7 +96,7 @@ def judged_lines(c: Column) -> Column:
     """``(n, kept)`` for each body line: its sentences, and those without defects."""
 
     def one(line):
-        return F.transform(F.array(sentences(line)), lambda found: F.struct(F.size(found).alias("n"), F.filter(found, lambda s: ~has_defect(s)).alias("kept")))[0]
+        return let(sentences(line), lambda found: F.struct(F.size(found).alias("n"), F.filter(found, lambda s: ~has_defect(s)).alias("kept")))
 
     return F.transform(body_lines(c), one)
 
@@ -99,18 +104,17 @@ def judged_lines(c: Column) -> Column:
 def article(judged: Column, least_line: int = 40, least: int = 300) -> Column:
     """An encyclopaedia article from its judged lines, or null."""
     kept = F.filter(F.transform(judged, paragraph), lambda p: p.isNotNull() & (F.length(p) >= least_line))
-    text = F.array_join(kept, "\n\n")
-    return F.when(F.length(text) >= least, text)
+    return let(F.array_join(kept, "\n\n"), lambda text: F.when(F.length(text) >= least, text))
 
 
 def web_page(c: Column, least: int = 400, most: int = 20_000) -> Column:
     """Web text, or null if it is short, mostly not letters, or repeats its lines."""
-    whole = strip(c)
-    text = F.substring(whole, 1, most)
-    alpha = F.length(F.regexp_replace(text, r"[^\p{L}]", "")) / F.greatest(F.lit(1), F.length(text))
-    own = lines(text)
-    distinct = F.size(F.array_distinct(own)) >= F.size(own) * F.lit(0.7)
-    return F.when((F.length(whole) >= least) & (alpha >= 0.6) & distinct, F.array_join(own, "\n\n"))
+    def judged(text):
+        own = lines(text)
+        alpha = F.length(F.regexp_replace(text, r"[^\p{L}]", "")) / F.greatest(F.lit(1), F.length(text))
+        return F.when(alpha >= 0.6, let(own, lambda x: F.when(F.size(F.array_distinct(x)) >= F.size(x) * F.lit(0.7), F.array_join(x, "\n\n"))))
+
+    return let(strip(c), lambda whole: F.when(F.length(whole) >= least, let(F.substring(whole, 1, most), judged)))
 
 
 def chunks(c: Column, size: int = 4000, least_tail: int = 200) -> Column:

@@ -8,13 +8,14 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.window import Window
 
 from lexmill.functions.text import ARTICLES, S
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def without_marks(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Lower case, decomposed, without combining marks: there is no built-in for the decomposition."""
     for t in texts:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexmill.functions import hashing
-from lexmill.functions.text import sanitized, strip
+from lexmill.functions.text import let, sanitized, strip
 from lexmill.operators.order import running_sum
 
 #: Special tokens in the order of their ids; bytes follow.
@@ -19,9 +19,11 @@ FIRST_BYTE = len(SPECIALS)
 
 def byte_ids(text: Column) -> Column:
     """Ids of a vocabulary without merges: one a UTF-8 byte."""
-    digits = F.hex(F.encode(sanitized(text), "UTF-8"))
-    pairs = F.when(F.length(digits) > 0, F.sequence(F.lit(1), F.length(digits) - 1, F.lit(2))).otherwise(F.array().cast("array<int>"))
-    return F.transform(pairs, lambda i: F.conv(F.substring(digits, i, F.lit(2)), 16, 10).cast("int") + FIRST_BYTE)
+    def ids(digits):
+        pairs = F.when(F.length(digits) > 0, F.sequence(F.lit(1), F.length(digits) - 1, F.lit(2))).otherwise(F.array().cast("array<int>"))
+        return F.transform(pairs, lambda i: F.conv(F.substring(digits, i, F.lit(2)), 16, 10).cast("int") + FIRST_BYTE)
+
+    return let(F.hex(F.encode(sanitized(text), "UTF-8")), ids)
 
 
 def with_eot(ids: Column) -> Column:
@@ -43,7 +45,7 @@ def encode_chat(messages: Column, prompt: bool = False) -> tuple[Column, Column]
             messages,
             lambda m: F.concat(
                 F.array(F.lit(0)),
-                F.array_repeat(F.when(m["role"] == "assistant", F.lit(1)).otherwise(F.lit(0)), F.size(byte_ids(strip(m["content"]))) + 1),
+                F.array_repeat(F.when(m["role"] == "assistant", F.lit(1)).otherwise(F.lit(0)), F.octet_length(F.encode(sanitized(strip(m["content"])), "UTF-8")) + 1),
             ),
         )
     )
