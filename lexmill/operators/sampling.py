@@ -10,7 +10,10 @@ from pyspark.sql.window import Window
 
 from lexmill.functions import hashing
 
-STEP = Window.partitionBy("step")
+
+
+def _step():
+    return Window.partitionBy("step")
 
 
 @dataclass(frozen=True)
@@ -62,24 +65,24 @@ def top_k(logits: DataFrame, k: int) -> DataFrame:
     """Ties at the threshold survive; 0 is off."""
     if k <= 0:
         return logits
-    return logits.withColumn("_r", F.rank().over(STEP.orderBy(F.col("logit").desc()))).where(F.col("_r") <= k).drop("_r")
+    return logits.withColumn("_r", F.rank().over(_step().orderBy(F.col("logit").desc()))).where(F.col("_r") <= k).drop("_r")
 
 
 def softmax(logits: DataFrame, temperature: float = 1.0) -> DataFrame:
-    e = logits.withColumn("_e", F.exp((F.col("logit") - F.max("logit").over(STEP)) / temperature))
-    return e.withColumn("p", F.col("_e") / F.sum("_e").over(STEP)).drop("_e")
+    e = logits.withColumn("_e", F.exp((F.col("logit") - F.max("logit").over(_step())) / temperature))
+    return e.withColumn("p", F.col("_e") / F.sum("_e").over(_step())).drop("_e")
 
 
 def min_p(probs: DataFrame, least: float) -> DataFrame:
-    return probs.withColumn("_m", F.max("p").over(STEP)).where(F.col("p") >= least * F.col("_m")).drop("_m") if least > 0 else probs
+    return probs.withColumn("_m", F.max("p").over(_step())).where(F.col("p") >= least * F.col("_m")).drop("_m") if least > 0 else probs
 
 
 def top_p(probs: DataFrame, mass: float) -> DataFrame:
     """The most probable tokens until what comes before one exceeds ``mass`` of all."""
     if mass >= 1:
         return probs
-    before = F.sum("p").over(STEP.orderBy(F.col("p").desc(), "token_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("p")
-    return probs.withColumn("_b", before).withColumn("_t", F.sum("p").over(STEP)).where(F.col("_b") <= mass * F.col("_t")).drop("_b", "_t")
+    before = F.sum("p").over(_step().orderBy(F.col("p").desc(), "token_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("p")
+    return probs.withColumn("_b", before).withColumn("_t", F.sum("p").over(_step())).where(F.col("_b") <= mass * F.col("_t")).drop("_b", "_t")
 
 
 def distribution(logits: DataFrame, history: DataFrame, cfg: Sampling) -> DataFrame:
@@ -92,12 +95,12 @@ def distribution(logits: DataFrame, history: DataFrame, cfg: Sampling) -> DataFr
         return best(at).withColumn("p", F.lit(1.0))
     at = at.withColumn("logit", F.col("logit") / cfg.temperature)
     at = top_p(min_p(softmax(top_k(at, cfg.top_k)), cfg.min_p), cfg.top_p)
-    return at.withColumn("p", F.col("p") / F.sum("p").over(STEP)).select("step", "token_id", "p")
+    return at.withColumn("p", F.col("p") / F.sum("p").over(_step())).select("step", "token_id", "p")
 
 
 def draw(probs: DataFrame, seed: int) -> DataFrame:
     """One token a step, by inverting the cumulative distribution at a number hashed from the seed."""
-    c = probs.withColumn("_c", F.sum("p").over(STEP.orderBy("token_id").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_t", F.sum("p").over(STEP))
+    c = probs.withColumn("_c", F.sum("p").over(_step().orderBy("token_id").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_t", F.sum("p").over(_step()))
     hit = c.where(F.col("_c") >= hashing.uniform(seed, F.col("step")) * F.col("_t"))
     return hit.groupBy("step").agg(F.min("token_id").alias("token_id"))
 
