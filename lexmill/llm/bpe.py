@@ -45,7 +45,7 @@ class Transducer:
     demand, which changes time and never results.
     """
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 100_000, max_pairs: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 400_000, max_pairs: int = 600_000):
         self.ranks, self.max_states, self.max_pairs = ranks, max_states, max_pairs
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.child: dict[int, int] = {}
@@ -324,7 +324,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
-        gc.freeze()
+        gc.disable()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):  # bounds what is held decoded and encoded at once
                 part = batch.slice(at, 256)
@@ -344,7 +344,7 @@ def round_trip_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
-        gc.freeze()  # the tables are large and hold no cycles; else each collection walks them
+        gc.disable()  # the tables are large and hold no cycles; each collection would walk them
         for batch in batches:
             n, a, b = [], [], []
             for text in batch.column(1):
