@@ -8,7 +8,7 @@
    member: a star, as long as the bucket. Pairs pass the size bound, then the
    collision-corrected Jaccard estimate, then exact verification on both whole texts.
 4. Components of the confirmed links. Buckets that still hold several components are gone
-   through again, every pair of members from different components, in cells of bounded size.
+   through again in cells of bounded size: every pair of members whose components differ.
 5. Components again: each document gets the smallest id it reaches.
 
 Step 4 covers every pair that shares a bucket, so links are lost only where no band agrees
@@ -139,6 +139,18 @@ def plausible(one: np.ndarray, n: int, others: np.ndarray, sizes: np.ndarray) ->
     return out
 
 
+class _Groups:
+    """Which components a cell's links have joined so far."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def top(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(y, y)
+        return x
+
+
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both > 0 and 100 * both >= THRESHOLD * (len(a) + len(b) - both)
@@ -177,6 +189,7 @@ def band_members(reps: DataFrame) -> DataFrame:
             key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) * _FACTORS[0], bands.shape[:2]).copy()
             for i in range(BAND_ROWS):
                 key = _scramble(key + bands[:, :, i] * _FACTORS[1] + _U(i))
+            key = key * _U(BANDS) + np.arange(BANDS, dtype=np.uint64)  # the band can be read from the key
             yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64).ravel()), pa.array(np.repeat(np.array(batch.column(0)), BANDS))], ["key", "id"])
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,12 +233,17 @@ def estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "n", "ra", "m", "rb").mapInArrow(run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Pairs whose whole sets are similar enough. A text that many pairs share is sent once for each ``SHARE`` partners."""
-    need = stage(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "need")
+def needed_texts(need: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id, text)`` of the given ids."""
+    need = stage(need, "need")
     if need.count() <= 1_000_000:  # 8 MB of ids; beyond it the join is shuffled
         need = F.broadcast(need)
-    texts = stage(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(need, "id", "left_semi"), "texts")
+    return stage(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(need, "id", "left_semi"), "texts")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Pairs whose whole sets are similar enough. A text that many pairs share is sent once for each ``SHARE`` partners."""
+    texts = needed_texts(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), docs, id_col, text_col)
     degree = stage(pairs.groupBy("a").agg(F.count("*").alias("d")), "degree")
     salted = pairs.join(degree, "a").select("a", "b", F.expr(f"cast(pmod(xxhash64(b), d div {SHARE} + 1) as int)").alias("salt"))
     heads = degree.select("a", F.explode(F.expr(f"sequence(0, cast(d div {SHARE} as int))")).alias("salt"))
@@ -253,48 +271,67 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
     return mixed.mapInArrow(run, "a long, b long")
 
 
-def rest_pairs(members: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
-    """Plausible pairs of members of one bucket that lie in different components so far.
+def rest_links(members: DataFrame, reps: DataFrame, labels: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(a, b)``: links between members of one bucket that lie in different components so far.
 
     A bucket's largest component need not meet itself: the other members (``minor``) are cut
-    into chunks, and each chunk meets chunks of all members.
+    into chunks, and each chunk meets chunks of all members in a cell. Texts come along, so
+    pairs are refuted where they meet and only links leave. A pair is looked at in the first
+    band in which it agrees, and not where the cell's links have joined it already.
     """
     rows = members.select("key", "id").unionByName(members.select("key", F.col("first").alias("id")).distinct())
     rows = rows.join(labels, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
     sizes = stage(rows.groupBy("key", "comp").agg(F.count("*").alias("n")), "bucket-components")
     top = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("comps")).where("comps > 1")
     top = stage(top.select("key", F.col("top.comp").alias("major"), "all", (F.col("all") - F.col("top.n")).alias("others")), "mixed-buckets")
-    rows = rows.join(top, "key").withColumn("minor", F.col("comp") != F.col("major"))
-    rows = rows.withColumn("h", F.xxhash64("id"))
+    rows = stage(rows.join(top, "key").withColumn("minor", F.col("comp") != F.col("major")).withColumn("h", F.xxhash64("id")), "mixed-members")
+    texts = needed_texts(rows.select("id").distinct(), docs, id_col, text_col)
     # Cells (u, v): chunk u of the minor members with chunk v of all members.
     as_minor = rows.where("minor").select("key", "id", "comp", F.lit(True).alias("asks"), F.expr(f"cast(pmod(h, others div {CELL} + 1) as int)").alias("u"), F.explode(F.expr(f"sequence(0, cast(`all` div {CELL} as int))")).alias("v"))
     as_any = rows.select("key", "id", "comp", F.lit(False).alias("asks"), F.explode(F.expr(f"sequence(0, cast(others div {CELL} as int))")).alias("u"), F.expr(f"cast(pmod(h, `all` div {CELL} + 1) as int)").alias("v"))
-    cells = as_minor.unionByName(as_any).join(reps.select("id", "n_shingles", "regs"), "id")
+    cells = as_minor.unionByName(as_any).join(reps.select("id", "n_shingles", "regs"), "id").join(texts, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, asking = None, None
+        at = asking = texts_ = sets = packed = bands = groups = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
             asks, ids, comps, n = (batch.column(i).to_pylist() for i in (3, 4, 5, 6))
-            regs = _regs(batch.column(7))
+            regs, text = _regs(batch.column(7)), batch.column(8)
             out = ([], [])
             for i, key in enumerate(keys):
                 if key != at:
-                    at, asking = key, ([], [], [], [])
-                if asks[i]:  # sorted first in the cell; at most a chunk of them
-                    for held, x in zip(asking, (ids[i], comps[i], n[i], regs[i]), strict=True):
+                    at, asking, texts_, packed, sets, groups = key, ([], [], [], []), [], None, {}, _Groups()
+                if asks[i]:  # sorted first in the cell; at most about a chunk of them
+                    for held, x in zip(asking, (ids[i], comps[i], n[i], regs[i].copy()), strict=True):
                         held.append(x)
-                elif asking[0]:
-                    ok = plausible(regs[i], n[i], np.array(asking[3]), np.array(asking[2]))
-                    for j in np.flatnonzero(ok):
-                        if asking[1][j] != comps[i] and asking[0][j] != ids[i]:
-                            out[0].append(min(asking[0][j], ids[i]))
-                            out[1].append(max(asking[0][j], ids[i]))
+                    texts_.append(text[i].as_py())
+                    continue
+                if not asking[0]:
+                    continue
+                if packed is None:
+                    packed = [np.array(x) for x in asking]
+                    bands = packed[3].reshape(-1, BANDS, BAND_ROWS)
+                agree = (bands == regs[i].reshape(BANDS, BAND_ROWS)).all(axis=2)
+                here = (agree.argmax(axis=1) == key[0] % BANDS) & (packed[1] != comps[i]) & (packed[0] != ids[i])
+                hits = np.flatnonzero(here)
+                hits = hits[plausible(regs[i], n[i], packed[3][hits], packed[2][hits])]
+                own = None
+                for j in hits.tolist():
+                    one, two = groups.top(comps[i]), groups.top(asking[1][j])
+                    if one == two:
+                        continue
+                    own = shingles(text[i].as_py()) if own is None else own
+                    if j not in sets:
+                        sets[j] = shingles(texts_[j])
+                    if linked(own, sets[j]):
+                        groups.up[max(one, two)] = min(one, two)
+                        out[0].append(min(asking[0][j], ids[i]))
+                        out[1].append(max(asking[0][j], ids[i]))
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], ["a", "b"])
 
-    sorted_cells = cells.select("key", "u", "v", "asks", "id", "comp", "n_shingles", "regs").repartition("key", "u", "v").sortWithinPartitions("key", "u", "v", F.col("asks").desc())
+    sorted_cells = cells.select("key", "u", "v", "asks", "id", "comp", "n_shingles", "regs", "text").repartition("key", "u", "v").sortWithinPartitions("key", "u", "v", F.col("asks").desc())
     return sorted_cells.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -309,8 +346,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = stage(members.select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), "stars")
     links = stage(confirmed(stage(estimated(stars, reps), "star-pairs"), docs, id_col, text_col), "links")
     labels = components(links)
-    more = stage(rest_pairs(members, reps, labels), "rest-pairs")
-    more = stage(confirmed(more, docs, id_col, text_col), "rest-links")
+    more = stage(rest_links(members, reps, labels, docs, id_col, text_col), "rest-links")
     # Rows that repeat an id with different texts join their classes.
     same = known.join(classes.withColumnRenamed("id", "a"), "digest").where("id <> a").select("a", F.col("id").alias("b"), "digest")
     own = known.groupBy("id").agg(F.countDistinct("digest").alias("k")).where("k > 1").select(F.col("id").alias("b"))
