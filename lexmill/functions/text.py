@@ -58,9 +58,9 @@ def sentences(c: Column) -> Column:
     return F.filter(F.split(strip(c), rf"(?<={SENTENCE_END})[{S}]+(?={SENTENCE_START})"), lambda s: s != "")
 
 
-def is_heading(c: Column) -> Column:
+def is_heading(c: Column, stripped: bool = False) -> Column:
     """A short line without closing punctuation."""
-    s = strip(c)
+    s = c if stripped else strip(c)
     return (F.length(s) <= 90) & ~s.rlike(TERMINAL) & (F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit(""))) <= 12)
 
 
@@ -82,14 +82,12 @@ def paragraph(found: Column, most_dropped: float = 0.4) -> Column:
 
 def body_lines(c: Column) -> Column:
     """Lines before the first closing section, without headings."""
-    before = F.aggregate(
-        lines(c),
-        F.struct(F.array().cast("array<string>").alias("kept"), F.lit(False).alias("ended")),
-        lambda z, s: F.struct(
-            F.when(z["ended"] | is_tail(s) | is_heading(s), z["kept"]).otherwise(F.concat(z["kept"], F.array(s))).alias("kept"), (z["ended"] | is_tail(s)).alias("ended")
-        ),
-    )
-    return before["kept"]
+    def cut(own):
+        ends = F.array_position(F.transform(own, is_tail), F.lit(True)).cast("int")
+        before = F.when(ends > 0, F.slice(own, F.lit(1), ends - 1)).otherwise(own)
+        return F.filter(before, lambda s: ~is_heading(s, stripped=True))
+
+    return let(lines(c), cut)
 
 
 def judged_lines(c: Column) -> Column:
@@ -103,7 +101,7 @@ def judged_lines(c: Column) -> Column:
 
 def article(judged: Column, least_line: int = 40, least: int = 300) -> Column:
     """An encyclopaedia article from its judged lines, or null."""
-    kept = F.filter(F.transform(judged, paragraph), lambda p: p.isNotNull() & (F.length(p) >= least_line))
+    kept = F.filter(F.transform(judged, lambda found: paragraph(found)), lambda p: p.isNotNull() & (F.length(p) >= least_line))
     return let(F.array_join(kept, "\n\n"), lambda text: F.when(F.length(text) >= least, text))
 
 

@@ -30,7 +30,7 @@ def valid(d: Column, heads: Column, kv_heads: Column) -> Column:
 
 def size_name(n: Column) -> Column:
     return (
-        F.when(n >= 10**9, F.concat(F.format_number(n / 1e9, "0.0"), F.lit("B")))
+        F.when(n >= 10**9, F.format_string("%.1fB", n / 1e9))
         .when(n >= 10**6, F.concat(F.bround(n / 1e6, 0).cast("long").cast("string"), F.lit("M")))
         .otherwise(F.concat(F.bround(n / 1e3, 0).cast("long").cast("string"), F.lit("K")))
     )
