@@ -300,7 +300,7 @@ def token_docs(spark, d) -> DataFrame:
     return docs(spark, d).where("length(text) <= 2000").select(F.col("doc_id").alias("ord"), F.col("source").alias("src"), F.col("text"), tokens.with_eot(tokens.byte_ids(F.col("text"))).alias("ids"))
 
 
-_BYTES = "list_transform(range(0, octet_length(encode({0}))), lambda i: ('0x' || substring(hex(encode({0})), (i * 2 + 1)::int, 2))::int + 5)"
+_BYTES = "list_transform(regexp_extract_all(hex(encode({0})), '..'), lambda b: ('0x' || b)::int + 5)"
 _SANE = "replace(text, '<|', '< |')"
 _TOKENS = f"tok as (select doc_id as ord, source as src, text, list_append({_BYTES.format(_SANE)}, 0) as ids from documents where length(text) <= 2000)"
 

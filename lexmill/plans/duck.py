@@ -44,7 +44,7 @@ def crc_table() -> list[int]:
 
 def crc(x: str) -> str:
     table = "[" + ",".join(map(str, crc_table())) + "]::bigint[]"
-    byte = f"list_transform(range(0, octet_length(encode({x}))), lambda i_: ('0x' || substring(hex(encode({x})), (i_ * 2 + 1)::int, 2))::bigint)"
+    byte = f"list_transform(regexp_extract_all(hex(encode({x})), '..'), lambda b_: ('0x' || b_)::bigint)"
     return f"xor(list_reduce({byte}, lambda c_, b_: xor(c_ >> 8, ({table})[xor(c_ & 255, b_) + 1]), 4294967295::bigint), 4294967295::bigint)"
 
 
