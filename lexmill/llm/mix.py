@@ -130,7 +130,8 @@ def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", tex
         .groupBy("source", "block")
         .agg(F.count("*").alias("times"), F.sort_array(F.collect_list("words")).alias("words"))  # at most three
     )
-    key = ["id", "row_hash", "source", "ordinal"]
+    key = ["_id", "row_hash", "source", "ordinal"]
+    line = line.withColumn("_id", F.coalesce(F.col("id").cast("string"), F.lit("")))  # joins don't match nulls
     pieces = line.where("size > 0").select(*key, "at", "size", F.explode(F.expr(f"sequence(at div {block_words}, (at + size - 1) div {block_words})")).alias("block"))
     start = f"greatest(at, block * {block_words}) - block * {block_words}"
     stop = f"least(at + size, (block + 1) * {block_words}) - block * {block_words}"

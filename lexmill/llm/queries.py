@@ -95,13 +95,13 @@ ORACLES: dict[str, str] = {
         l as (select *, sum(size) over (order by doc_id, text_crc32, size rows unbounded preceding) - size as before, sum(size) over () as total from s), c as (select *, least(23, ((2 * before + size) * 24) // (2 * total))::int as shard from l)
         select doc_id, size, text_crc32, 'bytes' as law, shard, (row_number() over (partition by shard order by doc_id, text_crc32, size) - 1)::bigint as slot, null::int as grown_shard from c""",
     "op6_pivot_topk": """with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as v from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-        s as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score from v q join v c on c.vec_id <> q.vec_id where q.vec_id % 20 = 0)
+        s as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score from v q join v c on c.vec_id <> q.vec_id where q.vec_id % 20 = 0),
         r as (select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score from s)
         select query_id, rank, vec_id, score from r where rank <= 20""",
     "op10_hyperminhash": r"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
         g as (select doc_id, case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')] else list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) end as s from w),
         u as (select doc_id, len(s) as n, unnest(s) as x from g), c as (select a.doc_id as a, b.doc_id as b, any_value(a.n) as n, any_value(b.n) as m, count(*) as k from u a join u b on a.x = b.x and a.doc_id < b.doc_id group by 1, 2),
         e as (select a, b from c where 100 * k >= 85 * (n + m - k)), l as (select a, b from e union all select b, a from e),
-        r(id, at) as (select doc_id, doc_id from documents union select r.id, l.b from r join l on r.at = l.a), t as (select id, min(at) as component_id from r group by id)
+        r(id, there) as (select doc_id, doc_id from documents union select r.id, l.b from r join l on r.there = l.a), t as (select id, min(there) as component_id from r group by id)
         select doc_id, len(s)::bigint as n_shingles, component_id, doc_id = component_id as kept from g join t on id = doc_id""",
 }
