@@ -7,17 +7,21 @@ don't. The merge loop keeps pair counts up to date instead of recounting.
 from __future__ import annotations
 
 import heapq
+import unicodedata
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexmill.functions.text import pre_tokens, sanitized
-from lexmill.operators.tokens import FIRST_BYTE
+from lexmill.operators.tokens import FIRST_BYTE, SPECIALS
 
 
 def word_frequencies(docs: DataFrame, text: str = "text", min_frequency: int = 2) -> DataFrame:
-    words = docs.select(F.explode(pre_tokens(sanitized(F.col(text)))).alias("word"))
+    words = docs.select(F.explode(pre_tokens(composed(sanitized(F.col(text))))).alias("word"))
     return words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= min_frequency)
 
 
@@ -65,3 +69,57 @@ def merges(words: dict[str, int], vocab_size: int, min_frequency: int = 2) -> li
 def train(docs: DataFrame, vocab_size: int = 32_000, text: str = "text", min_frequency: int = 2) -> list[tuple[bytes, bytes]]:
     rows = word_frequencies(docs, text, min_frequency).toLocalIterator()
     return merges({r["word"]: r["n"] for r in rows}, vocab_size, min_frequency)
+
+
+@F.pandas_udf(T.StringType())
+def composed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Canonical composition (NFC), for which there is no built-in."""
+    for t in texts:
+        yield t.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+
+
+class Tokenizer:
+    """Ids of learned merges: special tokens, then bytes, then merges in the order they were learned."""
+
+    def __init__(self, learned: list[tuple[bytes, bytes]]):
+        self.rank = {pair: i for i, pair in enumerate(learned)}
+        self.spelled = [s.encode() for s in SPECIALS] + [bytes([b]) for b in range(256)] + [a + b for a, b in learned]
+        self.id_of = {s: i for i, s in enumerate(self.spelled) if i >= FIRST_BYTE}
+
+    def missing(self, tokens: list[str]) -> list[str]:
+        """Of the given special tokens those that the vocabulary lacks."""
+        return [t for t in tokens if t not in SPECIALS]
+
+    def word(self, word: str) -> list[int]:
+        parts = [bytes([b]) for b in word.encode()]
+        while len(parts) > 1:
+            rank, i = min((self.rank.get(pair, len(self.rank)), i) for i, pair in enumerate(zip(parts, parts[1:], strict=False)))
+            if rank == len(self.rank):
+                break
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return [self.id_of[p] for p in parts]
+
+    def decode(self, ids: list[int], skip_special: bool = True) -> str:
+        return b"".join(self.spelled[i] for i in ids if not (skip_special and i < FIRST_BYTE)).decode("utf-8", "replace")
+
+    def encode_col(self, text: Column) -> Column:
+        """``ARRAY<INT>``: sanitized, composed, cut natively, merged in Arrow batches with the words met so far kept."""
+        shared = self
+
+        @F.pandas_udf(T.ArrayType(T.IntegerType()))
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            known: dict[str, list[int]] = {}
+            for batch in batches:
+                out = []
+                for words in batch:
+                    ids: list[int] = []
+                    for w in words if words is not None else ():
+                        if w not in known:
+                            if len(known) >= 200_000:
+                                known.clear()
+                            known[w] = shared.word(w)
+                        ids += known[w]
+                    out.append(ids)
+                yield pd.Series(out)
+
+        return run(pre_tokens(composed(sanitized(F.coalesce(text, F.lit(""))))))

@@ -55,3 +55,12 @@ def plan(batch: Column, accum: Column, world: Column, length: Column, iters: Col
     """Tokens an iteration, tokens in all, and epochs of them."""
     each = batch * accum * world * length
     return each, each * iters, each * iters / tokens
+
+
+def iterations_per_epoch(n_blocks: Column, batch: Column, accum: Column, world: Column) -> Column:
+    return F.greatest(F.lit(1), F.floor(n_blocks / (batch * accum * world)).cast("long"))
+
+
+def epoch_of(step: Column, batch: Column, world: Column, n_blocks: Column) -> Column:
+    """How many epochs are behind a rank's step, with fractions."""
+    return step * batch * world / F.greatest(F.lit(1), n_blocks)

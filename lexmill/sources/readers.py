@@ -96,6 +96,13 @@ def write_examples(examples: DataFrame, path: str, ordinal: str = "ord", ids: st
     )
 
 
+def write_stream(docs: DataFrame, path: str, ids: str = "ids", ordinal: str = "ord") -> None:
+    """Token streams by split, each document with the position at which it begins."""
+    from lexmill.operators.order import running_sum
+
+    running_sum(docs, ordinal, F.size(ids), "offset", by=["split"]).write.partitionBy("split").parquet(path)
+
+
 def write_manifest(values: dict, spark: SparkSession, path: str) -> None:
     """One JSON object, put in place by a rename."""
     jvm = spark._jvm

@@ -163,3 +163,14 @@ def test_files_and_guards(spark, tmp_path):
         readers.verified(spark.createDataFrame([([70],)], "ids array<int>"), 64)
     with pytest.raises(ValueError, match="context"):
         readers.compatible(64, 64, 600, 512)
+
+
+def test_tokenizer_round_trip(spark):
+    texts = ["Été à l'hôtel, 1234 fois !", "<|end|> é \U0001f600", "", "aujourd'hui\n\nhier", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    learned = bpe_training.merges({"aujourd": 5, "hui": 4, " fois": 3, "tel": 3}, 5 + 256 + 12)
+    tokenizer = bpe_training.Tokenizer(learned)
+    got = [r[0] for r in df.select(tokenizer.encode_col(F.col("text"))).collect()]
+    assert [tokenizer.decode(ids) for ids in got] == [(t or "").replace("<|", "< |") for t in texts]
+    assert all(i >= tokens.FIRST_BYTE for ids in got for i in ids) and len(tokenizer.word("1")) == 1
+    assert tokenizer.missing(["<|end|>", "<|none|>"]) == ["<|none|>"]
