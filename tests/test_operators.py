@@ -174,3 +174,21 @@ def test_tokenizer_round_trip(spark):
     assert [tokenizer.decode(ids) for ids in got] == [(t or "").replace("<|", "< |") for t in texts]
     assert all(i >= tokens.FIRST_BYTE for ids in got for i in ids) and len(tokenizer.word("1")) == 1
     assert tokenizer.missing(["<|end|>", "<|none|>"]) == ["<|none|>"]
+
+
+def test_replies(spark):
+    rows = [
+        ("p", None, "prompter", "fr", "Une question ?", None), ("q", None, "prompter", "en", "A question?", None),
+        ("a", "p", "assistant", "fr", "Une réponse.", 0), ("b", "p", "assistant", "fr", "Une autre.", None), ("c", "p", "assistant", "fr", "Moins bonne.", 1),
+        ("d", "q", "assistant", "fr", "Parent étranger.", 0), ("e", "none", "assistant", "fr", "Sans parent.", 0), ("f", "p", "assistant", "fr", "ab", 0),
+        ("g", "p", "assistant", "fr", "x" * 501, 0), ("h", "p", "assistant", "fr", "Je suis une IA", 0), ("i", "a", "assistant", "fr", "Suite.", 0),
+    ]
+    tree = spark.createDataFrame(rows, "message_id string, parent_id string, role string, lang string, text string, rank int")
+    assert sorted(r.message_id for r in sft.replies(tree).collect()) == ["a", "b"]
+
+
+def test_short_talks_keep_their_end(spark):
+    talks = [(1, 0, "system", 5), (1, 1, "user", 40), (1, 2, "assistant", 10), (1, 3, "user", 10), (2, 0, "user", 90), (3, 0, "system", 5), (3, 1, "user", 90), (4, 0, "user", 5), (4, 1, "assistant", 90)]
+    df = spark.createDataFrame(talks, "conv_id int, turn int, role string, n_tokens int")
+    got = sorted((r.conv_id, r.turn) for r in sampling.truncated_history(df, 60, 20).collect())
+    assert got == [(1, 0), (1, 3), (2, 0), (3, 0)]
