@@ -42,33 +42,53 @@ def load_pieces(path: str) -> list[str]:
 
 
 class Lattice:
-    """Words laid out as piece ids: ``ids[w, i, k]`` is the piece that ends at ``i + 1`` and is ``k + 1`` long, or -1."""
+    """Words laid out as piece ids: ``ids[w, i, k]`` is the piece that ends at ``i + 1`` and is ``k + 1`` long, or -1.
+
+    Pieces are found by 64-bit polynomial hashes of all substrings at once, length by length.
+    """
+
+    BASE = 0x9E3779B97F4A7C15
 
     def __init__(self, pieces: list[str]):
-        self.id = {p: i for i, p in enumerate(pieces) if p}
-        self.longest = max(map(len, self.id), default=1)
+        by_length: dict[int, list[tuple[int, int]]] = {}
+        for i, p in enumerate(pieces):
+            if p:
+                by_length.setdefault(len(p), []).append((self._hash(p), i))
+        self.longest = max(by_length, default=1)
+        self.known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n, found in by_length.items():
+            found.sort()
+            self.known[n] = np.array([h for h, _ in found], np.uint64), np.array([i for _, i in found], np.int32)
+            if len(np.unique(self.known[n][0])) < len(found):
+                raise ValueError("two pieces have the same hash")
+
+    def _hash(self, piece: str) -> int:
+        out = 0
+        for c in piece:
+            out = (out * self.BASE + ord(c)) % (1 << 64)
+        return out
 
     def lay(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Word positions and their lattices, in groups of equal length and bounded size."""
         by_length: dict[int, list[int]] = {}
         for at, w in enumerate(words):
             by_length.setdefault(len(w) + 1, []).append(at)
-        get = self.id.get
         for n, found in by_length.items():
             width, step = min(n, self.longest), max(1, 400_000 // (n * min(n, self.longest)))
             for start in range(0, len(found), step):
                 part = found[start : start + step]
+                line = "".join([WORD_MARK + words[at] for at in part]).encode("utf-32-le")
+                chars = np.frombuffer(line, np.uint32).reshape(len(part), n).astype(np.uint64)
                 ids = np.full((len(part), n, width), -1, np.int32)
-                for row, at in enumerate(part):
-                    w = WORD_MARK + words[at]
-                    for i in range(n):
-                        if (p := get(w[i])) is None:
-                            p = 0
-                        ids[row, i, 0] = p
-                        for k in range(1, min(i + 1, width)):
-                            p = get(w[i - k : i + 1])
-                            if p is not None:
-                                ids[row, i, k] = p
+                h = chars
+                for k in range(1, width + 1):
+                    if k > 1:
+                        h = h[:, :-1] * np.uint64(self.BASE) + chars[:, k - 1 :]
+                    if k in self.known:
+                        table, own = self.known[k]
+                        at = np.searchsorted(table, h).clip(max=len(table) - 1)
+                        ids[:, k - 1 :, k - 1] = np.where(table[at] == h, own[at], -1)
+                np.maximum(ids[:, :, 0], 0, out=ids[:, :, 0])  # characters that no piece covers
                 yield np.array(part), ids
 
 
