@@ -92,7 +92,7 @@ def schedule(spark: SparkSession, owed: list[int], seed: int = 0, bucket_slots:
     return ranked.select("slot", "source", "turn").unionByName(late)
 
 
-def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", block_words: int = 2048, bucket_rows: int = 50_000, seed: int = 0) -> DataFrame:
+def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", block_words: int = 2048, bucket_rows: int = 4_000, seed: int = 0) -> DataFrame:
     """``(id, row_hash, size, source_size, target, taken)`` for each row of ``docs``: how many of its words the mix takes.
 
     ``row_hash`` tells rows that share an id apart by their text and source.
