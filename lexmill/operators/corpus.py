@@ -12,11 +12,11 @@ from lexmill.operators.order import running_sum
 
 def first_wins(records: DataFrame, rank: str = "src_rank", ordinal: str = "ord", text: str = "text") -> DataFrame:
     """Of texts with the same beginning and length the first by source and ordinal stays; rows without text all stay."""
-    key = hashing.dedup_key(F.col(text))
-    keyed = records.withColumn("_key", F.when(F.col(text).isNotNull(), key))
-    first = F.row_number().over(Window.partitionBy("_key").orderBy(rank, ordinal)) == 1
-    texts = keyed.where("_key is not null").withColumn("_first", first).where("_first").drop("_first", "_key")
-    return texts.unionByName(keyed.where("_key is null").drop("_key"))
+    # Rows without text are spread by what identifies them, so they don't meet under one null key.
+    keyed = records.withColumn("_key", hashing.dedup_key(F.col(text)))
+    alone = [F.when(F.col("_key").isNull(), F.col(c)) for c in (rank, ordinal)]
+    first = F.row_number().over(Window.partitionBy("_key", *alone).orderBy(rank, ordinal)) == 1
+    return keyed.withColumn("_first", first).where(F.col("_first") | F.col("_key").isNull()).drop("_first", "_key")
 
 
 def duplicates_by_source(records: DataFrame, source: str = "src", rank: str = "src_rank", ordinal: str = "ord", text: str = "text") -> DataFrame:

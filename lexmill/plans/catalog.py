@@ -674,7 +674,7 @@ def lr_schedule(spark, d):
     return it.select("it", lr("cosine").alias("cosine"), lr("wsd").alias("wsd"))
 
 
-#: Model shapes: layers, width, heads, key heads, context.
+#: Model shapes as layers, width, heads, key heads, context.
 SHAPES = ((6, 256, 4, 4, 512), (6, 384, 6, 6, 512), (10, 512, 8, 8, 512), (12, 768, 12, 12, 1024), (24, 1024, 16, 8, 2048), (20, 2048, 16, 4, 2048))
 _SHAPES = ", ".join(map(str, SHAPES))
 _SPELLED = "case when n >= 1e9 then format('{:.1f}B', n / 1e9::double) when n >= 1e6 then round_even(n / 1e6::double, 0)::bigint::varchar || 'M' else round_even(n / 1e3::double, 0)::bigint::varchar || 'K' end"
