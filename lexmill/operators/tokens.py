@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexmill.functions import hashing
-from lexmill.functions.text import let, sanitized, strip
+from lexmill.functions.text import sanitized, strip
 from lexmill.operators.order import running_sum
 
 #: Special tokens in the order of their ids; bytes follow.
@@ -19,11 +19,9 @@ FIRST_BYTE = len(SPECIALS)
 
 def byte_ids(text: Column) -> Column:
     """Ids of a vocabulary without merges: one a UTF-8 byte."""
-    def ids(digits):
-        pairs = F.when(F.length(digits) > 0, F.sequence(F.lit(1), F.length(digits) - 1, F.lit(2))).otherwise(F.array().cast("array<int>"))
-        return F.transform(pairs, lambda i: F.conv(F.substring(digits, i, F.lit(2)), 16, 10).cast("int") + FIRST_BYTE)
-
-    return let(F.hex(F.encode(sanitized(text), "UTF-8")), ids)
+    # Latin-1 keeps one character a byte; the split is linear in long texts, where substrings by position are not.
+    single = F.split(F.decode(F.encode(sanitized(text), "UTF-8"), "ISO-8859-1"), "")
+    return F.transform(F.filter(single, lambda c: c != ""), lambda c: F.ascii(c) + FIRST_BYTE)
 
 
 def with_eot(ids: Column) -> Column:
@@ -67,13 +65,12 @@ def blocks(docs: DataFrame, length: int, ids: str = "ids", ordinal: str = "ord",
     at = running_sum(sized, ordinal, "_n", "_s").withColumn("_s", F.col("_s") - offset).withColumn("_e", F.col("_s") + F.col("_n"))
     total = sized.agg(F.sum("_n").alias("total"))
     n_blocks = total.select(F.greatest(F.lit(0), F.expr(f"coalesce(total, 0) div {length} - 1")).alias("n_blocks"))
-    touched = at.where("_e > 0 and _n > 0").select(
-        "_ids", "_s", "_e", F.explode(F.expr(f"sequence(greatest(0L, greatest(_s, 0L) - 1) div {length}, (_e - 1) div {length})")).alias("block_id")
-    )
-    lo, hi = F.greatest(F.col("_s"), F.col("block_id") * length), F.least(F.col("_e"), F.col("block_id") * length + length + 1)
-    pieces = touched.withColumn("_lo", lo).withColumn("_hi", hi).where("_hi > _lo")
-    pieces = pieces.crossJoin(F.broadcast(n_blocks)).where("block_id < n_blocks")  # one row
-    cut = pieces.select("block_id", F.struct(F.col("_lo"), F.expr("slice(_ids, cast(_lo - _s + 1 as int), cast(_hi - _lo as int))").alias("t")).alias("p"))
+    # Slices are cut before rows are made of them, so a long document isn't copied for each block.
+    lo, hi = f"greatest(_s, b * {length})", f"least(_e, b * {length} + {length} + 1)"
+    piece = f"named_struct('block_id', b, 'p', named_struct('_lo', {lo}, 't', slice(_ids, cast({lo} - _s + 1 as int), cast(greatest(0L, {hi} - {lo}) as int))))"
+    touched = at.where("_e > 0 and _n > 0").select(F.explode(F.expr(f"transform(sequence(greatest(0L, greatest(_s, 0L) - 1) div {length}, (_e - 1) div {length}), b -> {piece})")).alias("x"))
+    pieces = touched.select("x.block_id", "x.p").where(F.size("p.t") > 0)
+    cut = pieces.crossJoin(F.broadcast(n_blocks)).where("block_id < n_blocks").select("block_id", "p")  # one row
     whole = cut.groupBy("block_id").agg(F.array_sort(F.collect_list("p")).alias("p")).select("block_id", F.flatten(F.transform("p", lambda p: p["t"])).alias("t"))
     return whole.select("block_id", F.slice("t", 1, length).alias("x"), F.slice("t", 2, length).alias("y"))
 

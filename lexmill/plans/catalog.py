@@ -191,7 +191,7 @@ def qa_window(spark, d):
 )
 def text_repairs(spark, d):
     return docs(spark, d).select(
-        "doc_id", F.md5(tx.sanitized(F.concat(F.lit("<|user|> "), "text"))).alias("sanitized"), tx.ends_sentence(F.substring("text", 1, 30)).alias("ended"), tx.first_filled(F.col("lang"), F.col("source")).alias("first_filled")
+        "doc_id", F.md5(tx.sanitized(F.concat(F.lit("<|user|> "), "text"))).alias("sanitized"), tx.ends_sentence(F.col("text")).alias("ended"), tx.first_filled(F.col("lang"), F.col("source")).alias("first_filled")
     )
 
 
@@ -297,7 +297,7 @@ def seeded_survivors(spark, d):
 
 
 def token_docs(spark, d) -> DataFrame:
-    return docs(spark, d).where("length(text) <= 2000").select(F.col("doc_id").alias("ord"), F.col("source").alias("src"), F.col("text"), tokens.with_eot(tokens.byte_ids(F.col("text"))).alias("ids"))
+    return docs(spark, d).where("text is not null").select(F.col("doc_id").alias("ord"), F.col("source").alias("src"), F.col("text"), tokens.with_eot(tokens.byte_ids(F.col("text"))).alias("ids"))
 
 
 _BYTES = "list_transform(regexp_extract_all(hex(encode({0})), '..'), lambda b: ('0x' || b)::int + 5)"
@@ -422,7 +422,7 @@ def bpe_encode(spark, d):
 @query()
 def bpe_tokens(spark, d):
     """Texts under the learned merges, and whether they decode to themselves."""
-    rows = docs(spark, d).where("length(text) <= 2000").select("doc_id", "text")
+    rows = docs(spark, d).where("text is not null").select("doc_id", "text")
     tokenizer = bpe_training.Tokenizer(bpe_training.train(rows, 320))
     return rows.select("doc_id", F.size(tokenizer.encode_col(F.col("text"))).cast("long").alias("n_tokens"))
 
@@ -475,9 +475,9 @@ def parent_reply_pairs(spark, d):
     select doc_id, md5('Contexte : ' || {duck.strip('text')} || chr(10) || chr(10) || 'Question : ' || question) as question, case when right(a, 1) in ('.', '!', '?') then a else a || '.' end as answer from q where a <> '' and contains(text, a)"""
 )
 def extractive_qa(spark, d):
-    """Contexts no longer than the window, where the window is the whole text; ``qa_window`` has the long ones."""
+    """Every document as a context, cut to the window around the answer where it is longer."""
     a = F.expr("substring(text, length(text) div 2 + 1, 12)")
-    rows = docs(spark, d).where("length(text) between 100 and 600").select("doc_id", F.col("text").alias("context"), F.concat(F.lit("Q"), "doc_id").alias("question"), F.struct(F.array(a).alias("text"), F.array(F.expr("length(text) div 2").cast("int")).alias("answer_start")).alias("answers"))
+    rows = docs(spark, d).select("doc_id", F.col("text").alias("context"), F.concat(F.lit("Q"), "doc_id").alias("question"), F.struct(F.array(a).alias("text"), F.array(F.expr("length(text) div 2").cast("int")).alias("answer_start")).alias("answers"))
     m = readers.extractive_qa(rows)
     return m.select("doc_id", F.md5(F.col("messages")[0]["content"]).alias("question"), F.col("messages")[1]["content"].alias("answer"))
 
