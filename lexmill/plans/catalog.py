@@ -55,7 +55,7 @@ def logits(spark, d) -> DataFrame:
 
 
 def evals(spark, d) -> DataFrame:
-    return table(spark, d, "events").where("event_id % 10 = 0 and value is not null").select(F.col("event_id").alias("it"), F.col("value").alias("val_loss"))
+    return table(spark, d, "events").where("value is not null").select(F.col("event_id").alias("it"), F.col("value").alias("val_loss"))
 
 
 #: DuckDB: scores of next tokens; talks; a damaged copy of texts, so that defects occur.
@@ -240,7 +240,7 @@ def source_totals(spark, d):
 
 @query("select doc_id, copy_no from documents, range(1, 5) r(copy_no) where doc_id % 7 = 0")
 def replicate_chat(spark, d):
-    return corpus.repeated(docs(spark, d).where("doc_id % 7 = 0").select("doc_id"), 4).select("doc_id", F.col("copy_no").cast("long").alias("copy_no"))
+    return corpus.repeated(docs(spark, d).select("doc_id"), 4).select("doc_id", F.col("copy_no").cast("long").alias("copy_no"))
 
 
 _TALKS = "talks as (select conv_id, list(struct_pack(role := role, content := text) order by turn) as messages from conversations group by conv_id)"
@@ -560,7 +560,7 @@ def log_curves(spark, d):
 
 @query("with l as (select event_id as it, event_id * 65536 as tokens, epoch(ts) as t from events where event_id % 100 = 0) select it, round(case when t - lag(t) over (order by it) > 0 then (tokens - lag(tokens) over (order by it)) / (t - lag(t) over (order by it)) end, 3) as tok_s from l")
 def throughput(spark, d):
-    e = table(spark, d, "events").where("event_id % 100 = 0").select(F.col("event_id").alias("it"), (F.col("event_id") * 65536).alias("tokens"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
+    e = table(spark, d, "events").select(F.col("event_id").alias("it"), (F.col("event_id") * 65536).alias("tokens"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
     return metrics.throughput(e).select("it", F.round("tok_s", 3).alias("tok_s"))
 
 
