@@ -4,7 +4,7 @@
    leading-zero count and ten mantissa bits of the bucket's least hash. Empty buckets borrow
    from another bucket by a fixed probe order, so small sets keep the Jaccard property.
 2. Equal sets are one class, found by a 128-bit digest; one representative goes on.
-3. Bands of six registers give candidate buckets. First each member meets its bucket's least
+3. Bands of registers (six at 85 %, five at 80 %) give candidate buckets. First each member meets its bucket's least
    member: a star, as long as the bucket. Pairs pass the size bound, then the
    collision-corrected Jaccard estimate, then exact verification on both whole texts.
 4. Components of the confirmed links. Buckets that still hold several components are gone
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +35,43 @@ from lexmill.llm.graph import components
 from lexmill.storage import stage
 
 WIDTH, THRESHOLD = 5, 85  # words in a shingle; percent
-BUCKETS, BAND_ROWS = 192, 6
-BANDS = BUCKETS // BAND_ROWS
+BUCKETS = 192
 VALUE_BITS, MANTISSA = 44, 10
-#: Four and a half standard deviations of the estimate at the threshold.
-MARGIN = 4.5 * (0.85 * 0.15 / BUCKETS) ** 0.5
 CELL = 400  # members of a bucket that meet as many others in one group
 SHARE = 64  # partners that one representative's text is sent along with
 
+
+@dataclass(frozen=True)
+class Bound:
+    """What follows from a threshold in percent."""
+
+    percent: int = THRESHOLD
+
+    def __post_init__(self):
+        if not 50 <= self.percent < 100:
+            raise ValueError(f"threshold must be 50 to 99 percent, not {self.percent}")
+
+    @functools.cached_property
+    def rows(self) -> int:
+        """Registers in a band: as many as leave a pair at the threshold in no common bucket with a chance under 1e-6."""
+        at = self.percent / 100
+        return max(r for r in range(1, BUCKETS) if r == 1 or (1 - at**r) ** (BUCKETS // r) < 1e-6)
+
+    @functools.cached_property
+    def bands(self) -> int:
+        return BUCKETS // self.rows
+
+    @functools.cached_property
+    def least_estimate(self) -> float:
+        """Four and a half standard deviations of the estimate under the threshold."""
+        at = self.percent / 100
+        return at - 4.5 * (at * (1 - at) / BUCKETS) ** 0.5
+
+    def cut(self, regs: np.ndarray) -> np.ndarray:
+        """Sketches as bands; registers that fill no band are left to the estimate."""
+        return regs[..., : self.bands * self.rows].reshape(*regs.shape[:-1], self.bands, self.rows)
+
+
 _U = np.uint64
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -129,13 +159,13 @@ def estimates(one: np.ndarray, n: int, others: np.ndarray, sizes: np.ndarray) ->
     return (agree - chance) / (1 - chance)
 
 
-def plausible(one: np.ndarray, n: int, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def plausible(one: np.ndarray, n: int, others: np.ndarray, sizes: np.ndarray, bound: Bound) -> np.ndarray:
     """Pairs that the size bound and the estimate leave: no set shares more than the smaller holds."""
-    fits = 100 * np.minimum(sizes, n) >= THRESHOLD * np.maximum(sizes, n)
+    fits = 100 * np.minimum(sizes, n) >= bound.percent * np.maximum(sizes, n)
     out = np.zeros(len(sizes), bool)
     at = np.flatnonzero(fits)
     if len(at):
-        out[at] = estimates(one, n, others[at], sizes[at]) >= THRESHOLD / 100 - MARGIN
+        out[at] = estimates(one, n, others[at], sizes[at]) >= bound.least_estimate
     return out
 
 
@@ -151,9 +181,9 @@ class _Groups:
         return x
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
+def linked(a: np.ndarray, b: np.ndarray, bound: Bound) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return both > 0 and 100 * both >= THRESHOLD * (len(a) + len(b) - both)
+    return both > 0 and 100 * both >= bound.percent * (len(a) + len(b) - both)
 
 
 def _regs(column: pa.Array) -> np.ndarray:
@@ -178,19 +208,20 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "id long, n_shingles long, digest binary, regs binary")
 
 
-def band_members(reps: DataFrame) -> DataFrame:
+def band_members(reps: DataFrame, bound: Bound) -> DataFrame:
     """``(key, first, id)`` for each member of each band bucket but its least, ``first``."""
+    n_bands, n_rows = bound.bands, bound.rows
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bands = _regs(batch.column(1)).reshape(-1, BANDS, BAND_ROWS).astype(np.uint64)
-            key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) * _FACTORS[0], bands.shape[:2]).copy()
-            for i in range(BAND_ROWS):
+            bands = bound.cut(_regs(batch.column(1))).astype(np.uint64)
+            key = np.broadcast_to(np.arange(n_bands, dtype=np.uint64) * _FACTORS[0], bands.shape[:2]).copy()
+            for i in range(n_rows):
                 key = _scramble(key + bands[:, :, i] * _FACTORS[1] + _U(i))
-            key = key * _U(BANDS) + np.arange(BANDS, dtype=np.uint64)  # the band can be read from the key
-            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64).ravel()), pa.array(np.repeat(np.array(batch.column(0)), BANDS))], ["key", "id"])
+            key = key * _U(256) + np.arange(n_bands, dtype=np.uint64)  # the band can be read from the key
+            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64).ravel()), pa.array(np.repeat(np.array(batch.column(0)), n_bands))], ["key", "id"])
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key = last_first = None
@@ -213,7 +244,7 @@ def band_members(reps: DataFrame) -> DataFrame:
     return bands.repartition("key").sortWithinPartitions("key", "id").mapInArrow(runs, "key long, first long, id long")
 
 
-def estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+def estimated(pairs: DataFrame, reps: DataFrame, bound: Bound) -> DataFrame:
     """Pairs ``(a, b)`` that the sizes and the sketches leave."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,12 +253,12 @@ def estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
                 continue
             n, m = np.array(batch.column(2)), np.array(batch.column(4))
             regs_a, regs_b = _regs(batch.column(3)), _regs(batch.column(5))
-            ok = [bool(plausible(regs_a[i], n[i], regs_b[i : i + 1], m[i : i + 1])[0]) for i in range(len(n))]
+            ok = [bool(plausible(regs_a[i], n[i], regs_b[i : i + 1], m[i : i + 1], bound)[0]) for i in range(len(n))]
             yield pa.RecordBatch.from_arrays([x.filter(pa.array(ok)) for x in (batch.column(0), batch.column(1))], ["a", "b"])
 
     one = reps.select(F.col("id").alias("a"), F.col("n_shingles").alias("n"), F.col("regs").alias("ra"))
     two = reps.select(F.col("id").alias("b"), F.col("n_shingles").alias("m"), F.col("regs").alias("rb"))
-    fits = 100 * F.least("n", "m") >= THRESHOLD * F.greatest("n", "m")
+    fits = 100 * F.least("n", "m") >= bound.percent * F.greatest("n", "m")
     # Sizes first: they are small, and drop most pairs before sketches are sent.
     pairs = pairs.join(one.select("a", "n"), "a").join(two.select("b", "m"), "b").where(fits).select("a", "b")
     return pairs.join(one, "a").join(two, "b").select("a", "b", "n", "ra", "m", "rb").mapInArrow(run, "a long, b long")
@@ -241,7 +272,7 @@ def needed_texts(need: DataFrame, docs: DataFrame, id_col: str, text_col: str) -
     return stage(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(need, "id", "left_semi"), "texts")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, bound: Bound) -> DataFrame:
     """Pairs whose whole sets are similar enough. A text that many pairs share is sent once for each ``SHARE`` partners."""
     texts = needed_texts(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), docs, id_col, text_col)
     degree = stage(pairs.groupBy("a").agg(F.count("*").alias("d")), "degree")
@@ -262,7 +293,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
                 own = shingles(text[i].as_py())
                 if other is None:
                     sets.append(own)  # more than one only where rows repeat an id
-                elif any(linked(x, own) for x in sets):
+                elif any(linked(x, own, bound) for x in sets):
                     out[0].append(key[0])
                     out[1].append(other)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], ["a", "b"])
@@ -271,7 +302,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
     return mixed.mapInArrow(run, "a long, b long")
 
 
-def rest_links(members: DataFrame, reps: DataFrame, labels: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def rest_links(members: DataFrame, reps: DataFrame, labels: DataFrame, docs: DataFrame, id_col: str, text_col: str, bound: Bound) -> DataFrame:
     """``(a, b)``: links between members of one bucket that lie in different components so far.
 
     A bucket's largest component need not meet itself: the other members (``minor``) are cut
@@ -312,11 +343,11 @@ def rest_links(members: DataFrame, reps: DataFrame, labels: DataFrame, docs: Dat
                     continue
                 if packed is None:
                     packed = [np.array(x) for x in asking]
-                    bands = packed[3].reshape(-1, BANDS, BAND_ROWS)
-                agree = (bands == regs[i].reshape(BANDS, BAND_ROWS)).all(axis=2)
-                here = (agree.argmax(axis=1) == key[0] % BANDS) & (packed[1] != comps[i]) & (packed[0] != ids[i])
+                    bands = bound.cut(packed[3])
+                agree = (bands == bound.cut(regs[i])).all(axis=2)
+                here = (agree.argmax(axis=1) == key[0] % 256) & (packed[1] != comps[i]) & (packed[0] != ids[i])
                 hits = np.flatnonzero(here)
-                hits = hits[plausible(regs[i], n[i], packed[3][hits], packed[2][hits])]
+                hits = hits[plausible(regs[i], n[i], packed[3][hits], packed[2][hits], bound)]
                 own = None
                 for j in hits.tolist():
                     one, two = groups.top(comps[i]), groups.top(asking[1][j])
@@ -325,7 +356,7 @@ def rest_links(members: DataFrame, reps: DataFrame, labels: DataFrame, docs: Dat
                     own = shingles(text[i].as_py()) if own is None else own
                     if j not in sets:
                         sets[j] = shingles(texts_[j])
-                    if linked(own, sets[j]):
+                    if linked(own, sets[j], bound):
                         groups.up[max(one, two)] = min(one, two)
                         out[0].append(min(asking[0][j], ids[i]))
                         out[1].append(max(asking[0][j], ids[i]))
@@ -335,18 +366,19 @@ def rest_links(members: DataFrame, reps: DataFrame, labels: DataFrame, docs: Dat
     return sorted_cells.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, n_shingles, component_id, kept)`` for each row of ``docs``."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+    """``(id, n_shingles, component_id, kept)`` for each row of ``docs``; texts link at a Jaccard of ``threshold`` percent."""
+    bound = Bound(threshold)
     sketched = stage(sketches(docs, id_col, text_col), "sketches")
     known = sketched.where("digest is not null and id is not null")
     # One row of each equal set goes on; its registers and size are those of the whole class.
     classes = stage(known.groupBy("digest").agg(F.min("id").alias("id")), "classes")
     reps = stage(known.join(classes, ["digest", "id"], "left_semi").select("id", "n_shingles", "digest", "regs").dropDuplicates(["id", "digest"]).drop("digest"), "reps")
-    members = stage(band_members(reps), "bands")
+    members = stage(band_members(reps, bound), "bands")
     stars = stage(members.select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), "stars")
-    links = stage(confirmed(stage(estimated(stars, reps), "star-pairs"), docs, id_col, text_col), "links")
+    links = stage(confirmed(stage(estimated(stars, reps, bound), "star-pairs"), docs, id_col, text_col, bound), "links")
     labels = components(links)
-    more = stage(rest_links(members, reps, labels, docs, id_col, text_col), "rest-links")
+    more = stage(rest_links(members, reps, labels, docs, id_col, text_col, bound), "rest-links")
     # Rows that repeat an id with different texts join their classes.
     same = known.join(classes.withColumnRenamed("id", "a"), "digest").where("id <> a").select("a", F.col("id").alias("b"), "digest")
     own = known.groupBy("id").agg(F.countDistinct("digest").alias("k")).where("k > 1").select(F.col("id").alias("b"))
