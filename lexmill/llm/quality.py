@@ -98,7 +98,6 @@ def cutoffs(
     alpha: float = 0.05,
     delta: float = 0.05,
     grid: int = 40,
-    holdout_rows: int = 200_000,
     id_col: str = "doc_id",
     label_col: str = "quality",
 ) -> DataFrame:
@@ -106,13 +105,9 @@ def cutoffs(
 
     ``measured`` has the id, the stratum and one column per rule. Candidate cutoffs are the
     upper quantiles of labelled bad and good documents together, ``grid`` of them, fixed before
-    the good documents' losses are seen one by one. ``holdout_rows`` bounds the labelled rows
-    used: beyond it a hash of the id thins them.
+    the good documents' losses are seen one by one. All labelled rows are used.
     """
     good = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("_good"))
-    share = holdout_rows / max(1, good.count())
-    if share < 1:
-        good = good.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < int(share * (1 << 30)))
     names = [n for n, _ in RULES]
     held = (
         measured.where(~F.col("base_failed"))
@@ -136,7 +131,8 @@ def cutoffs(
     )
     strata = losses.select(stratum).distinct().agg(F.count("*").alias("strata"))
     tested = losses.crossJoin(F.broadcast(strata)).withColumn(  # one row
-        "ok", (F.col("k") <= F.col("n") * (alpha / len(RULES))) & (binomial_tail("k", "n", alpha / len(RULES)) <= delta / len(RULES) / F.col("strata"))
+        # The tail is summed only where the losses lie below the limit, in as many steps as there are losses.
+        "ok", F.when(F.col("k") <= F.col("n") * (alpha / len(RULES)), binomial_tail("k", "n", alpha / len(RULES)) <= delta / len(RULES) / F.col("strata")).otherwise(False)
     )
     # The strictest cutoff above which every milder one passed too.
     failed = F.max(F.when(~F.col("ok"), F.col("cutoff")))
