@@ -12,7 +12,7 @@ logarithm of the longest file's records. Candidates never reached are payload, a
 back into the record they were cut from.
 
 Defined results: null html is an empty payload; null urls become ``about:blank``; line breaks
-in urls are dropped; null ids are written and read as null; rows repeating an id are each
+in urls are dropped, and urls have any length; null ids are written and read as null; rows repeating an id are each
 written; equal payloads of equal ids are told apart by an ordinal; empty tables give empty
 archives and no rows; other columns are ignored.
 """
@@ -96,7 +96,9 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
     parsed = stage(
         pieces.withColumn("size", F.octet_length("body").cast("long"))
         # Latin-1 keeps one character a byte, so positions in the header are byte offsets.
-        .withColumn("cut", F.locate("\r\n\r\n", F.decode(F.substring("body", 1, 16_384), "ISO-8859-1")))
+        # The end of most headers is near; those with a long url are searched for over the whole piece.
+        .withColumn("near", F.locate("\r\n\r\n", F.decode(F.substring("body", 1, 16_384), "ISO-8859-1")))
+        .withColumn("cut", F.when((F.col("near") > 0) | (F.col("size") <= 16_384), F.col("near")).otherwise(F.locate("\r\n\r\n", F.decode("body", "ISO-8859-1"))))
         .withColumn("head", F.when(F.col("cut") > 0, F.decode(F.substring(F.col("body"), F.lit(1), F.col("cut") - 1), "UTF-8")).otherwise(F.lit("")))
         .withColumn("length", F.expr("try_cast(nullif(regexp_extract(head, '(?:^|\\r\\n)Content-Length: ([0-9]{1,18})', 1), '') as bigint)"))
         .withColumn("payload", F.expr("case when length is not null and cut + 3 + length <= size then substring(body, cut + 4, cast(length as int)) end"))
