@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Unicode white space, written out because engines differ on \s.
 S = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 STRIP = rf"\A[{S}]+|[{S}]+\z"
+#: The same characters one by one.
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: Signs of a lost template or broken markup, one pattern a rule.
 DEFECTS = (
     rf"[^{S}] {{2,}}[^{S}]",
@@ -35,7 +37,7 @@ PRE_TOKEN = r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}|[^\s\p
 
 def strip(c: Column) -> Column:
     """Without Unicode white space at both ends."""
-    return F.regexp_replace(c, STRIP, "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def let(value: Column, body) -> Column:
@@ -47,18 +49,16 @@ def defect_rules(c: Column) -> list[Column]:
     return [c.rlike(p) for p in DEFECTS]
 
 
-def has_defect(c: Column) -> Column:
-    out = F.lit(False)
-    for hit in defect_rules(c):
-        out = out | hit
-    return out
+def defective(c: Column) -> Column:
+    """Whether any rule hits; one pass over the text for all of them."""
+    return c.rlike("|".join(f"(?:{p})" for p in DEFECTS))
 
 
-def sentences(c: Column) -> Column:
-    return F.filter(F.split(strip(c), rf"(?<={SENTENCE_END})[{S}]+(?={SENTENCE_START})"), lambda s: s != "")
+def sentences(c: Column, stripped: bool = False) -> Column:
+    return F.filter(F.split(c if stripped else strip(c), rf"(?<={SENTENCE_END})[{S}]+(?={SENTENCE_START})"), lambda s: s != "")
 
 
-def is_heading(c: Column, stripped: bool = False) -> Column:
+def is_title(c: Column, stripped: bool = False) -> Column:
     """A short line without closing punctuation."""
     s = c if stripped else strip(c)
     return (F.length(s) <= 90) & ~s.rlike(TERMINAL) & (F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit(""))) <= 12)
@@ -85,16 +85,24 @@ def body_lines(c: Column) -> Column:
     def cut(own):
         ends = F.array_position(F.transform(own, is_tail), F.lit(True)).cast("int")
         before = F.when(ends > 0, F.slice(own, F.lit(1), ends - 1)).otherwise(own)
-        return F.filter(before, lambda s: ~is_heading(s, stripped=True))
+        return F.filter(before, lambda s: ~is_title(s, stripped=True))
 
     return let(lines(c), cut)
 
 
 def judged_lines(c: Column) -> Column:
-    """``(n, kept)`` for each body line: its sentences, and those without defects."""
+    """``(n, kept)`` for each body line: its sentences, and those without defects.
+
+    A defect in a sentence is one in its line too: what the rules ask for at a sentence's
+    ends, the white space around it in the line fulfils. So most lines need one look.
+    """
 
     def one(line):
-        return let(sentences(line), lambda found: F.struct(F.size(found).alias("n"), F.filter(found, lambda s: ~has_defect(s)).alias("kept")))
+        def judged(found):
+            kept = F.when(defective(line), F.filter(found, lambda s: ~defective(s))).otherwise(found)
+            return F.struct(F.size(found).alias("n"), kept.alias("kept"))
+
+        return let(sentences(line, stripped=True), judged)
 
     return F.transform(body_lines(c), one)
 
@@ -109,7 +117,7 @@ def web_page(c: Column, least: int = 400, most: int = 20_000) -> Column:
     """Web text, or null if it is short, mostly not letters, or repeats its lines."""
     def judged(text):
         own = lines(text)
-        alpha = F.length(F.regexp_replace(text, r"[^\p{L}]", "")) / F.greatest(F.lit(1), F.length(text))
+        alpha = (F.length(text) - F.length(F.regexp_replace(text, r"\p{L}+", ""))) / F.greatest(F.lit(1), F.length(text))
         return F.when(alpha >= 0.6, let(own, lambda x: F.when(F.size(F.array_distinct(x)) >= F.size(x) * F.lit(0.7), F.array_join(x, "\n\n"))))
 
     return let(strip(c), lambda whole: F.when(F.length(whole) >= least, let(F.substring(whole, 1, most), judged)))

@@ -86,9 +86,26 @@ class Tokenizer:
         self.spelled = [s.encode() for s in SPECIALS] + [bytes([b]) for b in range(256)] + [a + b for a, b in learned]
         self.id_of = {s: i for i, s in enumerate(self.spelled) if i >= FIRST_BYTE}
 
+    @classmethod
+    def of(cls, vocabulary: list[dict]) -> Tokenizer:
+        """From rows as ``rows`` gives them; a vocabulary without the special tokens is refused."""
+        if absent := [t for t in SPECIALS if t not in {r["token"] for r in vocabulary}]:
+            raise ValueError(f"the vocabulary lacks {', '.join(absent)}")
+        learned = [(bytes.fromhex(r["left"]), bytes.fromhex(r["right"])) for r in sorted(vocabulary, key=lambda r: r["id"]) if r["left"]]
+        return cls(learned)
+
+    def rows(self) -> list[dict]:
+        """``{id, token, left, right}`` of the whole vocabulary; token as text for special ones, as hex for others."""
+        halves = dict(zip(range(FIRST_BYTE + 256, len(self.spelled)), self.rank, strict=True))
+        return [
+            {"id": i, "token": SPECIALS[i] if i < FIRST_BYTE else t.hex(), "left": halves[i][0].hex() if i in halves else "", "right": halves[i][1].hex() if i in halves else ""}
+            for i, t in enumerate(self.spelled)
+        ]
+
     def missing(self, tokens: list[str]) -> list[str]:
         """Of the given special tokens those that the vocabulary lacks."""
-        return [t for t in tokens if t not in SPECIALS]
+        known = {t.decode("utf-8", "replace") for t in self.spelled[:FIRST_BYTE]}
+        return [t for t in tokens if t not in known]
 
     def word(self, word: str) -> list[int]:
         parts = [bytes([b]) for b in word.encode()]

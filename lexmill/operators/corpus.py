@@ -10,18 +10,31 @@ from lexmill.functions import hashing
 from lexmill.operators.order import running_sum
 
 
-def first_wins(records: DataFrame, rank: str = "src_rank", ordinal: str = "ord", text: str = "text") -> DataFrame:
-    """Of texts with the same beginning and length the first by source and ordinal stays; rows without text all stay."""
-    # Rows without text are spread by what identifies them, so they don't meet under one null key.
-    keyed = records.withColumn("_key", hashing.dedup_key(F.col(text)))
-    alone = [F.when(F.col("_key").isNull(), F.col(c)) for c in (rank, ordinal)]
-    first = F.row_number().over(Window.partitionBy("_key", *alone).orderBy(rank, ordinal)) == 1
-    return keyed.withColumn("_first", first).where(F.col("_first") | F.col("_key").isNull()).drop("_first", "_key")
+def _dedup_keys(records: DataFrame, rank: str, ordinal: str, key: Column) -> tuple[DataFrame, list]:
+    """``records`` with ``_key``, and what rows are grouped by: rows without a key each stand alone, so they don't meet under null."""
+    keyed = records.withColumn("_key", key)
+    return keyed, ["_key", *[F.when(F.col("_key").isNull(), F.col(c)).alias(f"_{i}") for i, c in enumerate((rank, ordinal))]]
+
+
+def first_wins(records: DataFrame, rank: str = "src_rank", ordinal: str = "ord", text: str = "text", key: Column | None = None) -> DataFrame:
+    """Of texts with the same beginning and length the first by source and ordinal stays; rows without text all stay.
+
+    Rank and ordinal identify a row. Where the text isn't needed any more, a ``key`` made of
+    it before keeps it out of the shuffle. Spark limits groups before it deals them out, so
+    a text copied very often sends one row from each task.
+    """
+    keyed, groups = _dedup_keys(records, rank, ordinal, hashing.dedup_key(F.col(text)) if key is None else key)
+    return keyed.withColumn("_r", F.row_number().over(Window.partitionBy(*groups).orderBy(rank, ordinal))).where("_r = 1").drop("_r", "_key")
 
 
 def duplicates_by_source(records: DataFrame, source: str = "src", rank: str = "src_rank", ordinal: str = "ord", text: str = "text") -> DataFrame:
-    counted = records.withColumn("_n", F.row_number().over(Window.partitionBy(hashing.dedup_key(F.col(text))).orderBy(rank, ordinal)))
-    return counted.groupBy(source).agg(F.sum(F.when(F.col("_n") == 1, 1).otherwise(0)).alias("kept"), F.sum(F.when(F.col("_n") > 1, 1).otherwise(0)).alias("duplicates"))
+    """``(source, kept, duplicates)`` of ``first_wins``; copies are counted before they are dealt out."""
+    narrow = records.select(source, rank, ordinal, hashing.dedup_key(F.col(text)).alias("_k"))
+    keyed, groups = _dedup_keys(narrow, rank, ordinal, F.col("_k"))
+    counted = keyed.groupBy(*groups, source).agg(F.count("*").alias("_n"), F.min(F.struct(rank, ordinal)).alias("_m"))
+    first = F.min("_m").over(Window.partitionBy("_key", "_0", "_1"))  # one row for each source that has the text
+    flagged = counted.withColumn("_f", (F.col("_m") == first).cast("long"))
+    return flagged.groupBy(source).agg(F.sum("_f").alias("kept"), F.sum(F.col("_n") - F.col("_f")).alias("duplicates"))
 
 
 def union(*sources: DataFrame) -> DataFrame:
@@ -80,5 +93,16 @@ def flush_order(ordinal: str = "ord", is_chat: str = "is_chat", batch: int = 200
 
 
 def survivors(cleaned: DataFrame, text: str, most: int, seed: int, id_col: str) -> DataFrame:
-    """The first ``most`` rows that cleaning kept, in an order by seed."""
-    return cleaned.where(F.col(text).isNotNull()).orderBy(hashing.order_key(seed, F.col(id_col)), id_col).limit(most)
+    """The first ``most`` rows that cleaning kept, in an order by seed.
+
+    Ids are chosen first (``most`` of them meet in one task), then their rows are fetched.
+    """
+    chosen = cleaned.where(F.col(text).isNotNull()).select(F.col(id_col).alias("_id")).orderBy(hashing.order_key(seed, F.col("_id")), "_id").limit(most)
+    if most <= 1_000_000:  # 8 MB of ids; beyond it the join is shuffled
+        chosen = F.broadcast(chosen)
+    return cleaned.where(F.col(text).isNotNull()).join(chosen, F.col(id_col) == F.col("_id"), "left_semi")
+
+
+def raw_counts(raw: DataFrame, cleaned: Column, source: str = "src") -> DataFrame:
+    """``(source, raw, kept)``: rows read and rows that cleaning keeps."""
+    return raw.groupBy(source).agg(F.count("*").alias("raw"), F.count(cleaned).alias("kept"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,31 +13,38 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.window import Window
 
-from lexmill.functions.text import ARTICLES, S
+from lexmill.functions.text import ARTICLES
+from lexmill.operators.order import ranged
+from lexmill.storage import stage
 
 
-@pandas_udf(T.StringType())
-def without_marks(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Lower case, decomposed, without combining marks: there is no built-in for the decomposition."""
+@pandas_udf(T.ArrayType(T.StringType()))
+def answer_tokens(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Words that answers are compared by: lower case, decomposed (there is no built-in for it), without marks and articles."""
+    import regex
+
+    find = regex.compile(r"[\p{L}\p{N}_]+").findall
     for t in texts:
-        yield t.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFD", x.lower()) if unicodedata.category(c) != "Mn"))
+        yield t.map(
+            lambda x: None if x is None else [w for w in find("".join(c for c in unicodedata.normalize("NFD", x.lower()) if unicodedata.category(c) != "Mn")) if w not in ARTICLES]
+        )
 
 
-def answer_tokens(c: Column) -> Column:
-    """Words that answers are compared by."""
-    plain = F.regexp_replace(without_marks(c), rf"[^\p{{L}}\p{{N}}_{S}]", " ")
-    return F.filter(F.split(plain, f"[{S}]+"), lambda w: (w != "") & ~w.isin(*ARTICLES))
+@pandas_udf(T.DoubleType())
+def token_f1(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """F1 over two word lists as multisets, in time linear in them; null where a list is."""
 
+    def one(pred, ref) -> float | None:
+        if pred is None or ref is None:
+            return None
+        if not len(pred) or not len(ref):
+            return float(len(pred) == len(ref))
+        common = sum((Counter(pred) & Counter(ref)).values())
+        p, r = common / len(pred), common / len(ref)
+        return 2 * p * r / (p + r) if common else 0.0
 
-def token_f1(pred: Column, ref: Column) -> Column:
-    """F1 over two word lists as multisets; arguments are array columns."""
-    common = F.aggregate(
-        F.array_distinct(F.array_intersect(pred, ref)),
-        F.lit(0),
-        lambda n, w: n + F.least(F.size(F.filter(pred, lambda x: x == w)), F.size(F.filter(ref, lambda x: x == w))),
-    )
-    p, r = common / F.greatest(F.size(pred), F.lit(1)), common / F.greatest(F.size(ref), F.lit(1))
-    return F.when((F.size(pred) == 0) | (F.size(ref) == 0), (pred == ref).cast("double")).when(common == 0, F.lit(0.0)).otherwise(2 * p * r / (p + r))
+    for pred, ref in pairs:
+        yield pd.Series([one(a, b) for a, b in zip(pred, ref, strict=True)], dtype="float64")
 
 
 def qa_scores(scored: DataFrame) -> DataFrame:
@@ -68,14 +76,31 @@ def perplexity(loss: Column, most: float | None = None) -> Column:
 # ---- training logs: (it, val_loss), (it, loss, tokens, t) -----------------------------------------------------------
 
 
+def _over_parts(parts: DataFrame, *columns: Column) -> DataFrame:
+    """A window over ranges: one row for each."""
+    return F.broadcast(parts.select(F.col("_part").alias("_at"), *columns))
+
+
 def running_best(evals: DataFrame, best: float = float("inf")) -> DataFrame:
-    """``best_before``, ``improved`` (strictly below) and evaluations since the last improvement."""
-    # A run's log is a few thousand rows.
-    w = Window.orderBy("it")
-    seen = evals.withColumn("best_before", F.least(F.coalesce(F.min("val_loss").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(float("inf"))), F.lit(best)))
-    flagged = seen.withColumn("improved", F.col("val_loss") < F.col("best_before")).withColumn("_i", F.row_number().over(w).cast("long"))
-    last = F.max(F.when(F.col("improved"), F.col("_i"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return flagged.withColumn("no_improve", F.col("_i") - F.coalesce(last, F.lit(0))).drop("_i")
+    """``best_before``, ``improved`` (strictly below) and evaluations since the last improvement.
+
+    Inside ranges of iterations, and over the ranges' minima and last improvements.
+    """
+    infinity = F.lit(float("inf"))
+    cut = ranged(evals, "it", label="evals")
+    upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    least = _over_parts(
+        cut.groupBy("_part").agg(F.min("val_loss").alias("_m"), F.count("*").alias("_n")),
+        F.coalesce(F.min("_m").over(upto), infinity).alias("_m0"), F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_n0"),
+    )
+    within = Window.partitionBy("_part").orderBy("it")
+    seen = cut.withColumn("_m1", F.coalesce(F.min("val_loss").over(within.rowsBetween(Window.unboundedPreceding, -1)), infinity)).withColumn("_k", F.row_number().over(within).cast("long"))
+    seen = seen.join(least, F.col("_part") == F.col("_at")).withColumn("best_before", F.least("_m0", "_m1", F.lit(best))).withColumn("_i", F.col("_n0") + F.col("_k"))
+    flagged = stage(seen.select(*evals.columns, "_part", "_i", "best_before", (F.col("val_loss") < F.col("best_before")).alias("improved")), "improved")
+    hit = F.when(F.col("improved"), F.col("_i"))
+    last = _over_parts(flagged.groupBy("_part").agg(F.max(hit).alias("_l")), F.max("_l").over(upto).alias("_l0"))
+    out = flagged.withColumn("_l1", F.max(hit).over(within.rowsBetween(Window.unboundedPreceding, 0))).join(last, F.col("_part") == F.col("_at"))
+    return out.withColumn("no_improve", F.col("_i") - F.coalesce("_l1", "_l0", F.lit(0))).select(*evals.columns, "best_before", "improved", "no_improve")
 
 
 def early_stop(evals: DataFrame, patience: int, best: float = float("inf")) -> DataFrame:
@@ -96,9 +121,14 @@ def summary(evals: DataFrame) -> DataFrame:
 
 
 def throughput(log: DataFrame) -> DataFrame:
-    w = Window.orderBy("it")
-    dt = F.col("t") - F.lag("t").over(w)
-    return log.withColumn("tok_s", F.when(dt > 0, (F.col("tokens") - F.lag("tokens").over(w)) / dt))
+    """``tok_s``: tokens a second since the line before; a range's first line looks at the last one of those before it."""
+    cut = ranged(log, "it", label="log")
+    upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = _over_parts(cut.groupBy("_part").agg(F.max_by(F.struct("tokens", "t"), "it").alias("_e")), F.last("_e", True).over(upto).alias("_e0"))
+    before = F.lag(F.struct("tokens", "t")).over(Window.partitionBy("_part").orderBy("it"))
+    placed = cut.withColumn("_e1", before).join(ends, F.col("_part") == F.col("_at")).withColumn("_b", F.coalesce("_e1", "_e0"))
+    dt = F.col("t") - F.col("_b.t")
+    return placed.withColumn("tok_s", F.when(dt > 0, (F.col("tokens") - F.col("_b.tokens")) / dt)).select(*log.columns, "tok_s")
 
 
 def curves(log: DataFrame) -> DataFrame:
@@ -111,9 +141,9 @@ def curves(log: DataFrame) -> DataFrame:
 def checkpoints(files: DataFrame, keep: int, path: str = "path") -> DataFrame:
     """``(path, it, kept, latest)`` of checkpoint files by number; ``keep`` under 1 keeps all."""
     it = F.regexp_extract(path, r"ckpt_([0-9]+)\.pt$", 1)
-    rows = files.withColumn("_n", it).where(F.col("_n") != "").withColumn("it", F.col("_n").cast("long"))
-    r = F.row_number().over(Window.orderBy(F.col("it").desc()))  # the files of one folder
-    return rows.withColumn("_r", r).select(path, "it", ((F.col("_r") <= keep) | F.lit(keep <= 0)).alias("kept"), (F.col("_r") == 1).alias("latest"))
+    rows = files.withColumn("_n", it).where(F.col("_n") != "").select(path, F.col("_n").cast("long").alias("it"))
+    newest = rows.select("it").orderBy(F.col("it").desc()).limit(max(1, keep)).agg(F.min("it").alias("_lo"), F.max("it").alias("_hi"))  # one row
+    return rows.crossJoin(F.broadcast(newest)).select(path, "it", ((F.col("it") >= F.col("_lo")) | F.lit(keep <= 0)).alias("kept"), (F.col("it") == F.col("_hi")).alias("latest"))
 
 
 def resume_best(saved: Column, sidecar: Column) -> Column:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexmill.functions import hashing
+
 BUCKET = 4096
 
 
@@ -26,16 +28,28 @@ def running_sum(df: DataFrame, ordinal: str, value: str | Column, out: str, by:
     return summed.join(starts, [*by, "_bucket"]).withColumn(out, F.col("_start") + F.col("_inside")).drop("_bucket", "_value", "_inside", "_start")
 
 
-def numbered(df: DataFrame, *order: Column, out: str = "ord", by: list[str] | None = None, spread: int = 64) -> DataFrame:
-    """``out``: 0, 1, ... in the given order. The first order column is ranged into ``spread`` buckets, each numbered alone."""
-    by = by or []
-    ranged = df.repartitionByRange(spread, *[F.col(b) for b in by], *order).withColumn("_part", F.spark_partition_id()) if not by else df.withColumn("_part", F.lit(0))
-    if by:
-        return ranged.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long") - 1).drop("_part")
+def ranged(df: DataFrame, *order: Column | str, by: list[str] | None = None, label: str = "ranged") -> DataFrame:
+    """``df`` with ``_part``: ranges of the order, as many as the session deals shuffles to. Written, so all uses see the same borders."""
     from lexmill.storage import stage
 
-    ranged = stage(ranged, "numbered")  # both uses see the same borders
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    starts = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order)).cast("long") - 1
-    return ranged.withColumn("_inside", inside).join(F.broadcast(starts), "_part").withColumn(out, F.col("_start") + F.col("_inside")).drop("_part", "_inside", "_start")
+    return stage(df.repartitionByRange(*(by or []), *order).withColumn("_part", F.spark_partition_id()), label)
+
+
+def numbered(df: DataFrame, *order: Column, out: str = "ord", by: list[str] | None = None) -> DataFrame:
+    """``out``: 0, 1, ... in the given order, for each group of ``by``: inside ranges, and over the ranges' counts."""
+    by = by or []
+    cut = ranged(df, *order, by=by, label="numbered")
+    counts = cut.groupBy(*by, "_part").agg(F.count("*").alias("_n"))  # one row for each range, and group in it
+    upto = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*[F.col(b).alias(f"_by_{b}") for b in by], F.col("_part").alias("_at"), F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order)).cast("long") - 1
+    same = F.col("_part") == F.col("_at")
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"_by_{b}"))
+    placed = cut.withColumn("_inside", inside).join(starts, same)
+    return placed.withColumn(out, F.col("_start") + F.col("_inside")).select(*df.columns, out)
+
+
+def shuffled(df: DataFrame, seed: int, *key: str, out: str = "pos", by: list[str] | None = None) -> DataFrame:
+    """``out``: each row's place in an order by seed, for each group of ``by``. ``key`` identifies a row."""
+    return numbered(df, hashing.order_key(seed, *[F.col(k) for k in key]), *[F.col(k) for k in key], out=out, by=by)

@@ -105,11 +105,13 @@ def draw(probs: DataFrame, seed: int) -> DataFrame:
     return hit.groupBy("step").agg(F.min("token_id").alias("token_id"))
 
 
-def truncated_history(turns: DataFrame, context: int, max_new: int, conv: str = "conv_id", turn: str = "turn", n: str = "n_tokens", prompt: int = 1) -> DataFrame:
+def truncated_history(turns: DataFrame, context: int, max_new: int, conv: str = "conv_id", turn: str = "turn", n: str = "n_tokens", prompt: int = 1, least_answer: int = 16) -> DataFrame:
     """The turns that stay: a leading system turn, and the longest end of the talk that fits.
 
     A shortened talk doesn't begin with an assistant. If no end fits, the system turn stays
-    alone, or without one the last turn unless it is an assistant's. Groups are single talks.
+    alone, or without one the last turn unless it is an assistant's; of what is still too long
+    to leave ``least_answer`` tokens, the end is kept (``n_kept`` of each turn's tokens).
+    Groups are single talks.
     """
     room = context - min(max_new, context // 2) - prompt
     own = Window.partitionBy(conv)
@@ -122,4 +124,8 @@ def truncated_history(turns: DataFrame, context: int, max_new: int, conv: str =
     last = F.max(turn).over(own)
     alone = F.when((F.col("_any") == 0) & (F.col(turn) == last) & (F.col("role") != "assistant"), F.col(turn))
     first = fits.withColumn("_first", F.min(F.when(F.col("_ok"), F.col(turn))).over(own)).withColumn("_alone", F.max(alone).over(own))
-    return first.where(F.col("_sys") | (F.col(turn) >= F.coalesce("_first", "_alone"))).select(*turns.columns)
+    stay = first.where(F.col("_sys") | (F.col(turn) >= F.coalesce("_first", "_alone")))
+    later = F.sum(n).over(back) - F.col(n)
+    cut = F.greatest(F.lit(0), F.least(F.col(n), F.lit(room) - F.col("_later")))
+    whole = F.col("_total") + prompt + least_answer <= context
+    return stay.withColumn("_later", later).withColumn("_total", F.sum(n).over(own)).withColumn("n_kept", F.when(whole, F.col(n)).otherwise(cut)).select(*turns.columns, "n_kept")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import hashing
 from lexmill.functions.text import first_filled, strip
+from lexmill.operators.corpus import survivors
 
 #: Phrases about the assistant's identity in questions and in answers.
 IDENTITY_QUESTIONS = (
@@ -27,30 +28,41 @@ def pair(question: Column, answer: Column) -> Column:
     return F.array(message("user", question), message("assistant", answer))
 
 
-def contradicts_persona(question: Column, answer: Column, in_question=IDENTITY_QUESTIONS, in_answer=IDENTITY_ANSWERS) -> Column:
+def about_identity(question: Column, answer: Column, in_question=IDENTITY_QUESTIONS, in_answer=IDENTITY_ANSWERS) -> Column:
+    """Whether a pair says who the assistant is: such pairs would contradict the persona that is trained in."""
     plain = lambda c: F.replace(F.lower(c), F.lit("’"), F.lit("'"))
     found = lambda c, phrases: F.exists(F.array(*map(F.lit, phrases)), lambda k: F.contains(c, k))
     return found(plain(question), in_question) | found(plain(answer), in_answer)
 
 
 def instructions(rows: DataFrame, most_answer: int = 350, most_question: int = 300) -> DataFrame:
-    """``(question, answer)`` of instruction rows under any of their usual names that pass the filters."""
+    """``(question, answer)`` of instruction rows under any of their usual names that pass the filters.
+
+    A row needs an instruction of its own: an input alone isn't one. Markup and links are
+    looked for in the answer only.
+    """
     known = lambda names: first_filled(*[F.col(n) for n in names if n in rows.columns])
-    q, more, a = known(QUESTION_KEYS), known(INPUT_KEYS), known(ANSWER_KEYS)
-    question = F.when(more == "", q).otherwise(F.concat(q, F.lit("\n\n"), more))
-    out = rows.withColumn("_q", question).withColumn("_a", a)
-    clean = ~F.contains(F.concat("_q", F.lit(" "), "_a"), F.lit("###")) & ~F.contains(F.concat("_q", F.lit(" "), "_a"), F.lit("http"))
-    kept = (F.col("_q") != "") & (F.col("_a") != "") & (F.length("_q") <= most_question) & F.length("_a").between(3, most_answer) & clean & ~contradicts_persona(F.col("_q"), F.col("_a"))
-    return out.where(kept).withColumnRenamed("_q", "question").withColumnRenamed("_a", "answer")
-
-
-def replies(tree: DataFrame, lang: str = "fr", most_question: int = 400, most_answer: int = 500) -> DataFrame:
-    """``(message_id, question, answer)``: best-ranked assistant messages with the prompt they answer, by a self-join on the parent."""
-    own = tree.where(F.col("lang") == lang)
-    parents = own.where(F.col("role") == "prompter").groupBy(F.col("message_id").alias("parent_id")).agg(F.max_by("text", "text").alias("question"))
+    out = rows.withColumn("_i", known(QUESTION_KEYS)).withColumn("_m", known(INPUT_KEYS)).withColumn("_a", known(ANSWER_KEYS))
+    out = out.withColumn("_q", F.when(F.col("_m") == "", F.col("_i")).otherwise(F.concat("_i", F.lit("\n\n"), "_m")))
+    short = (F.length("_q") <= most_question) & F.length("_a").between(3, most_answer)
+    clean = ~F.contains("_a", F.lit("###")) & ~F.contains("_a", F.lit("http"))
+    kept = out.where((F.col("_i") != "") & (F.col("_a") != "") & short & clean & ~about_identity(F.col("_q"), F.col("_a")))
+    return kept.drop("_i", "_m", "question", "answer").withColumnRenamed("_q", "question").withColumnRenamed("_a", "answer")
+
+
+def replies(tree: DataFrame, lang: str = "fr", most_question: int = 400, most_answer: int = 500, most: int | None = None, seed: int = 0, ordinal: str = "ord") -> DataFrame:
+    """``(message_id, question, answer)``: best-ranked assistant messages with the prompt they answer, by a self-join on the parent.
+
+    Of rows with the same id in this language the last by ``ordinal`` counts. With ``most``,
+    so many pairs in an order by seed.
+    """
+    told = F.max_by(F.struct("parent_id", "role", "text", "rank"), F.col(ordinal))
+    own = tree.where(F.col("lang") == lang).groupBy("message_id").agg(told.alias("m")).select("message_id", "m.*")
+    parents = own.where(F.col("role") == "prompter").select(F.col("message_id").alias("parent_id"), F.col("text").alias("question"))
     answers = own.where((F.col("role") == "assistant") & (F.col("rank").isNull() | (F.col("rank") == 0))).select("message_id", "parent_id", F.col("text").alias("answer"))
     both = answers.join(parents, "parent_id").select("message_id", strip(F.col("question")).alias("question"), strip(F.col("answer")).alias("answer"))
-    return both.where((F.length("question") <= most_question) & F.length("answer").between(3, most_answer) & ~contradicts_persona(F.col("question"), F.col("answer")))
+    kept = both.where((F.length("question") <= most_question) & F.length("answer").between(3, most_answer) & ~about_identity(F.col("question"), F.col("answer")))
+    return survivors(kept, "answer", most, seed, "message_id") if most else kept
 
 
 def with_split(examples: DataFrame, permille: int, messages: str = "messages") -> DataFrame:
@@ -77,8 +89,10 @@ def fallback_validation(examples: DataFrame, least: int = 50, ordinal: str = "or
     return train.unionByName(examples.where("split = 'val'"))
 
 
-def add_persona(examples: DataFrame, persona: DataFrame, times: int) -> DataFrame:
-    """Persona examples go to training only, ``times`` each."""
+def add_persona(examples: DataFrame, persona: DataFrame, times: int, most: int | None = None) -> DataFrame:
+    """Persona examples go to training only, ``times`` each; with ``most``, those that don't fit are left out, uncounted."""
+    if most is not None:
+        persona = fits(persona, most).where("kept").drop("kept", "n_answer")
     copies = persona.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.lit(times)))).withColumn("split", F.lit("train"))
     return examples.unionByName(copies.drop("copy_no"), allowMissingColumns=True)
 

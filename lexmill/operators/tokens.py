@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,15 +18,31 @@ SPECIALS = ("<|endoftext|>", "<|system|>", "<|user|>", "<|assistant|>", "<|end|>
 EOT, SYSTEM, USER, ASSISTANT, END = range(5)
 ROLE = {"system": SYSTEM, "user": USER, "assistant": ASSISTANT}
 FIRST_BYTE = len(SPECIALS)
+#: Tokens that end an answer, and those that may not stand in one; padding is the end of text.
+STOP, FORBIDDEN, PAD = (END, EOT), (SYSTEM, USER, ASSISTANT), EOT
 
 
-def byte_ids(text: Column) -> Column:
-    """Ids of a vocabulary without merges: one a UTF-8 byte."""
+def special_tokens(spark) -> DataFrame:
+    """``(id, token, stops, forbidden, pads)`` of the special tokens."""
+    return spark.createDataFrame([(i, t, i in STOP, i in FORBIDDEN, i == PAD) for i, t in enumerate(SPECIALS)], "id int, token string, stops boolean, forbidden boolean, pads boolean")
+
+
+def _bytes(sane: Column) -> Column:
     # Latin-1 keeps one character a byte; the split is linear in long texts, where substrings by position are not.
-    single = F.split(F.decode(F.encode(sanitized(text), "UTF-8"), "ISO-8859-1"), "")
+    single = F.split(F.decode(F.encode(sane, "UTF-8"), "ISO-8859-1"), "")
     return F.transform(F.filter(single, lambda c: c != ""), lambda c: F.ascii(c) + FIRST_BYTE)
 
 
+def byte_ids(text: Column) -> Column:
+    """Ids of a vocabulary without merges: one a UTF-8 byte."""
+    return _bytes(sanitized(text))
+
+
+def n_byte_ids(text: Column) -> Column:
+    """How many ``byte_ids`` a text has, without making them."""
+    return F.octet_length(sanitized(text))
+
+
 def with_eot(ids: Column) -> Column:
     return F.concat(ids, F.array(F.lit(EOT)))
 
@@ -37,42 +56,43 @@ def role_id(role: Column) -> Column:
 
 def encode_chat(messages: Column, prompt: bool = False) -> tuple[Column, Column]:
     """Ids and mask: the mask is 1 on what an assistant says and on the token that ends it."""
-    ids = F.flatten(F.transform(messages, lambda m: F.concat(F.array(role_id(m["role"])), byte_ids(strip(m["content"])), F.array(F.lit(END)))))
-    mask = F.flatten(
-        F.transform(
-            messages,
-            lambda m: F.concat(
-                F.array(F.lit(0)),
-                F.array_repeat(F.when(m["role"] == "assistant", F.lit(1)).otherwise(F.lit(0)), F.octet_length(F.encode(sanitized(strip(m["content"])), "UTF-8")) + 1),
-            ),
-        )
-    )
-    if prompt:
-        ids, mask = F.concat(ids, F.array(F.lit(ASSISTANT))), F.concat(mask, F.array(F.lit(0)))
-    return ids, F.transform(mask, lambda x: x.cast("tinyint"))
+    sane = F.transform(messages, lambda m: F.struct(m["role"].alias("role"), sanitized(strip(m["content"])).alias("content")))
+    ids = F.flatten(F.transform(sane, lambda m: F.concat(F.array(role_id(m["role"])), _bytes(m["content"]), F.array(F.lit(END)))))
+    zero, one = F.lit(0).cast("tinyint"), F.lit(1).cast("tinyint")
+    mask = F.flatten(F.transform(sane, lambda m: F.concat(F.array(zero), F.array_repeat(F.when(m["role"] == "assistant", one).otherwise(zero), F.octet_length(m["content"]) + 1))))
+    return (F.concat(ids, F.array(F.lit(ASSISTANT))), F.concat(mask, F.array(zero))) if prompt else (ids, mask)
 
 
 def padded_vocab(n: int, multiple: int = 64) -> int:
     return -(-n // multiple) * multiple
 
 
-def blocks(docs: DataFrame, length: int, ids: str = "ids", ordinal: str = "ord", offset: int = 0) -> DataFrame:
+def blocks(docs: DataFrame, length: int, ids: str = "ids", ordinal: str = "ord", offset: int = 0, size: str | Column | None = None) -> DataFrame:
     """``(block_id, x, y)``: the stream of all documents cut into blocks of ``length`` + 1 tokens that share one.
 
-    Each document gives only the slices that fall into the blocks it touches.
+    Each document gives only the slices that fall into the blocks it touches. Blocks inside one
+    document leave it whole; only those over a border are dealt out and put together. Places
+    are summed up over the sizes alone (``size``, where they are known without the ids).
     """
-    sized = docs.select(ordinal, F.col(ids).alias("_ids"), F.size(ids).cast("long").alias("_n"))
-    at = running_sum(sized, ordinal, "_n", "_s").withColumn("_s", F.col("_s") - offset).withColumn("_e", F.col("_s") + F.col("_n"))
+    n = F.size(ids) if size is None else F.col(size) if isinstance(size, str) else size
+    sized = docs.select(ordinal, n.cast("long").alias("_n"))
+    at = running_sum(sized, ordinal, "_n", "_s").select(ordinal, (F.col("_s") - offset).alias("_s"), (F.col("_s") - offset + F.col("_n")).alias("_e"))
     total = sized.agg(F.sum("_n").alias("total"))
-    n_blocks = total.select(F.greatest(F.lit(0), F.expr(f"coalesce(total, 0) div {length} - 1")).alias("n_blocks"))
+    n_blocks = total.select(F.greatest(F.lit(0), F.expr(f"coalesce(total, 0) div {length} - 1")).alias("_blocks"))
+    placed = at.where("_e > 0 and _e > _s").join(docs.select(ordinal, F.col(ids).alias("_ids")), ordinal).crossJoin(F.broadcast(n_blocks))  # one row
     # Slices are cut before rows are made of them, so a long document isn't copied for each block.
     lo, hi = f"greatest(_s, b * {length})", f"least(_e, b * {length} + {length} + 1)"
     piece = f"named_struct('block_id', b, 'p', named_struct('_lo', {lo}, 't', slice(_ids, cast({lo} - _s + 1 as int), cast(greatest(0L, {hi} - {lo}) as int))))"
-    touched = at.where("_e > 0 and _n > 0").select(F.explode(F.expr(f"transform(sequence(greatest(0L, greatest(_s, 0L) - 1) div {length}, (_e - 1) div {length}), b -> {piece})")).alias("x"))
-    pieces = touched.select("x.block_id", "x.p").where(F.size("p.t") > 0)
-    cut = pieces.crossJoin(F.broadcast(n_blocks)).where("block_id < n_blocks").select("block_id", "p")  # one row
-    whole = cut.groupBy("block_id").agg(F.array_sort(F.collect_list("p")).alias("p")).select("block_id", F.flatten(F.transform("p", lambda p: p["t"])).alias("t"))
-    return whole.select("block_id", F.slice("t", 1, length).alias("x"), F.slice("t", 2, length).alias("y"))
+    first, last = f"(greatest(0L, greatest(_s, 0L) - 1) div {length})", f"least(_blocks - 1, (_e - 1) div {length})"
+    inside = f"(b * {length} >= _s and b * {length} + {length} + 1 <= _e)"
+
+    def cut(which: str) -> DataFrame:
+        touched = f"filter(case when {first} <= {last} then sequence({first}, {last}) else array() end, b -> {which})"
+        return placed.select(F.explode(F.expr(f"transform({touched}, b -> {piece})")).alias("x")).select("x.block_id", "x.p").where(F.size("p.t") > 0)
+
+    whole = cut(inside).select("block_id", F.col("p.t").alias("t"))
+    parts = cut(f"not {inside}").groupBy("block_id").agg(F.array_sort(F.collect_list("p")).alias("p")).select("block_id", F.flatten(F.transform("p", lambda p: p["t"])).alias("t"))
+    return whole.unionByName(parts).select("block_id", F.slice("t", 1, length).alias("x"), F.slice("t", 2, length).alias("y"))
 
 
 def epoch_positions(blocks_: DataFrame, seed: int, epoch: int, key: str = "block_id") -> DataFrame:
@@ -82,8 +102,9 @@ def epoch_positions(blocks_: DataFrame, seed: int, epoch: int, key: str = "block
     return numbered(blocks_, hashing.order_key(seed, epoch, F.col(key)), F.col(key), out="pos")
 
 
-def epoch_offset(seed: int, epoch: int, length: int) -> Column:
-    return F.floor(hashing.uniform(seed, "offset", epoch) * length).cast("long")
+def epoch_offset(seed: int, epoch: int, length: int) -> int:
+    """Where an epoch's first block begins: blocks lie differently in each."""
+    return int(int(hashlib.md5(f"{seed}:offset:{epoch}".encode()).hexdigest()[:8], 16) / 2**32 * length)
 
 
 def slots(spark, steps: int, batch: int, rank: int, world: int, n_blocks: int) -> DataFrame:
@@ -104,20 +125,50 @@ def validation_blocks(spark, n_blocks: int, need: int, rank: int = 0, world: int
     return grid.distinct().withColumn("i", i).where(F.col("i") % world == rank).select("i", "block_id")
 
 
-def bucketed_batches(examples: DataFrame, batch: int, seed: int, epoch: int, multiple: int = 32, key: str = "ord", length: str = "n") -> DataFrame:
-    """``(key, chunk, batch_no, row_no)``: rows of like length share a batch, batches come in random order.
+def gathered_batches(docs: DataFrame, steps: int, batch: int, rank: int, world: int, length: int, seed: int, ids: str = "ids", ordinal: str = "ord", size: str | None = None) -> DataFrame:
+    """``(g, j, x, y)``: a rank's training batches 0 to ``steps`` - 1, a pure function of seed, rank and step.
 
-    The epoch's order is cut into chunks of ``batch * multiple``; each is sorted by length.
+    Each slot looks its block up in its epoch's order; blocks are cut at the epoch's offset.
     """
-    placed = epoch_positions(examples, seed, epoch, key)
-    chunked = placed.withColumn("chunk", F.expr(f"pos div {batch * multiple}"))
+    spark = docs.sparkSession
+    total = docs.agg(F.sum(F.size(ids) if size is None else F.col(size))).first()[0] or 0
+    n_blocks = total // length - 1
+    if n_blocks < 1:
+        raise ValueError(f"{total} tokens are too few for blocks of {length}")
+    wanted = slots(spark, steps, batch, rank, world, n_blocks)
+    out = []
+    for epoch in range((steps * world * batch - 1) // n_blocks + 1):  # the epochs that the steps reach
+        order = epoch_positions(spark.range(n_blocks).withColumnRenamed("id", "block_id"), seed, epoch)
+        named = wanted.where(F.col("epoch") == epoch).join(order, "pos").select("g", "j", "block_id")
+        out.append(named.join(blocks(docs, length, ids, ordinal, epoch_offset(seed, epoch, length), size), "block_id").select("g", "j", "x", "y"))
+    return functools.reduce(DataFrame.unionByName, out)
+
+
+def bucketed_batches(examples: DataFrame, batch: int, seed: int, epoch: int, multiple: int = 32, key: str = "ord", length: str = "n", rank: int = 0, world: int = 1) -> DataFrame:
+    """``(key, length, chunk, batch_no, row_no, place)``: rows of like length share a batch; batches come in random order, by ``place``.
+
+    The epoch's order is cut off at whole batches on each of the ``world`` ranks and dealt to
+    them in turn; a rank's part is cut into chunks of ``batch * multiple``, each sorted by
+    length.
+    """
+    from lexmill.operators.order import numbered
+
+    whole = examples.count() // world // batch * batch * world
+    placed = epoch_positions(examples.select(key, length), seed, epoch, key).where((F.col("pos") < whole) & (F.col("pos") % world == rank))
+    chunked = placed.withColumn("pos", F.expr(f"pos div {world}")).withColumn("chunk", F.expr(f"pos div {batch * multiple}"))
     within = Window.partitionBy("chunk").orderBy(length, "pos")
-    return (
-        chunked.withColumn("_r", F.row_number().over(within).cast("long") - 1)
-        .withColumn("_b", F.expr(f"_r div {batch}"))
-        .withColumn("batch_key", hashing.order_key(seed, epoch, "batch", F.col("chunk"), F.col("_b")))
-        .select(key, length, "pos", "chunk", F.col("_b").alias("batch_no"), F.expr(f"_r % {batch}").alias("row_no"), "batch_key")
-    )
+    rows = chunked.withColumn("_r", F.row_number().over(within).cast("long") - 1).select(key, length, "chunk", F.expr(f"_r div {batch}").alias("batch_no"), F.expr(f"_r % {batch}").alias("row_no"))
+    named = rows.where("row_no = 0").select("chunk", "batch_no", hashing.order_key(seed, epoch, "batch", F.col("chunk"), F.col("batch_no")).alias("_key"))
+    return rows.join(numbered(named, F.col("_key"), F.col("chunk"), F.col("batch_no"), out="place").drop("_key"), ["chunk", "batch_no"]).select(key, length, "chunk", "batch_no", "row_no", "place")
+
+
+def evaluation_batches(examples: DataFrame, batch: int, rank: int = 0, world: int = 1, most: int = 0, key: str = "ord", length: str = "n") -> DataFrame:
+    """``(key, batch_no, row_no)``: rows by length in consecutive batches, dealt to the ranks in turn; with ``most``, a rank's first so many."""
+    from lexmill.operators.order import numbered
+
+    placed = numbered(examples.select(key, length), F.col(length), F.col(key), out="pos").withColumn("_b", F.expr(f"pos div {batch}"))
+    mine = placed.where(F.col("_b") % world == rank).select(key, F.expr(f"_b div {world}").alias("batch_no"), F.expr(f"pos % {batch}").alias("row_no"))
+    return mine.where(F.col("batch_no") < most) if most else mine
 
 
 def collated(examples: DataFrame, by: list[str], ids: str = "ids", mask: str = "mask", pad: int = EOT) -> DataFrame:

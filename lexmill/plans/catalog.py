@@ -15,7 +15,7 @@ from lexmill.functions import text as tx
 from lexmill.operators import bpe_training, config, corpus, metrics, order, sampling, sft, synthetic, tokens
 from lexmill.plans import duck
 from lexmill.sources import readers
-from lexmill.storage import importable
+from lexmill.storage import importable, new_path
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -38,10 +38,21 @@ def query(sql: str | None = None):
     return add
 
 
+def spread(df: DataFrame, most_bytes: int = 256 << 20) -> DataFrame:
+    """A small table, which one task may read whole, is dealt to all cores; a large one is read in splits anyway."""
+    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= most_bytes
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if small else df
+
+
 def docs(spark, d) -> DataFrame:
     return table(spark, d, "documents")
 
 
+def texts(spark, d) -> DataFrame:
+    """Documents for work that is heavy in each row."""
+    return spread(docs(spark, d).select("doc_id", "text", "source"))
+
+
 def talks(spark, d) -> DataFrame:
     """One row a conversation with its messages in order."""
     turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
@@ -60,7 +71,7 @@ def evals(spark, d) -> DataFrame:
 
 #: DuckDB: scores of next tokens; talks; a damaged copy of texts, so that defects occur.
 LOGITS = "logits as (select vec_id as step, (i - 1)::int as token_id, embedding[i]::double * 10 as logit from embeddings, range(1, len(embedding) + 1) r(i))"
-EVALS = "evals as (select event_id as it, value as val_loss from events where event_id % 10 = 0 and value is not null)"
+EVALS = "evals as (select event_id as it, value as val_loss from events where value is not null)"
 DAMAGED_SQL = "replace(replace(text, ' de ', ' de , '), ' the ', ' the  ')"
 
 
@@ -73,7 +84,7 @@ def damaged(c="text"):
 
 @query(f"with t as (select doc_id, {duck.web_page('text')} as t from documents) select doc_id, length(t)::bigint as n, md5(t) as digest from t where t is not null")
 def web_clean(spark, d):
-    rows = docs(spark, d).select("doc_id", tx.web_page(F.col("text")).alias("t")).where("t is not null")
+    rows = texts(spark, d).select("doc_id", tx.web_page(F.col("text")).alias("t")).where("t is not null")
     return rows.select("doc_id", F.length("t").cast("long").alias("n"), F.md5("t").alias("digest"))
 
 
@@ -91,20 +102,20 @@ WIKI = f"""l as (select doc_id, {duck.lines(DAMAGED_SQL)} as ls from documents),
     select doc_id, length(t)::bigint as n, md5(t) as digest from a where length(t) >= 300"""
 )
 def wiki_clean(spark, d):
-    rows = docs(spark, d).select("doc_id", tx.article(tx.judged_lines(damaged())).alias("t")).where("t is not null")
+    rows = texts(spark, d).select("doc_id", tx.article(tx.judged_lines(damaged())).alias("t")).where("t is not null")
     return rows.select("doc_id", F.length("t").cast("long").alias("n"), F.md5("t").alias("digest"))
 
 
 @query(f"with {WIKI} select sum(n)::bigint as sent_total, sum(n - len(kept))::bigint as sent_dropped, round(100.0::double * sum(n - len(kept)) / greatest(1, sum(n)), 6) as percent from q")
 def sentence_drop_rate(spark, d):
-    judged = docs(spark, d).select(F.explode(tx.judged_lines(damaged())).alias("p")).select(F.col("p.n").alias("n"), (F.col("p.n") - F.size("p.kept")).alias("gone"))
+    judged = texts(spark, d).select(F.explode(tx.judged_lines(damaged())).alias("p")).select(F.col("p.n").alias("n"), (F.col("p.n") - F.size("p.kept")).alias("gone"))
     total = judged.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("sent_total"), F.coalesce(F.sum("gone"), F.lit(0)).alias("sent_dropped"))
     return total.withColumn("percent", F.round(F.col("sent_dropped") * 100.0 / F.greatest(F.lit(1), "sent_total"), 6))
 
 
 @query(f"select doc_id, len({duck.sentences('text')})::bigint as n, md5(array_to_string({duck.sentences('text')}, chr(10))) as digest from documents")
 def sentence_split(spark, d):
-    s = docs(spark, d).select("doc_id", tx.sentences(F.col("text")).alias("s"))
+    s = texts(spark, d).select("doc_id", tx.sentences(F.col("text")).alias("s"))
     return s.select("doc_id", F.size("s").cast("long").alias("n"), F.md5(F.array_join("s", "\n")).alias("digest"))
 
 
@@ -121,7 +132,7 @@ def defect_counts_by_rule(spark, d):
 @query(f"with u as (select doc_id, unnest({duck.lines('text')}) as line from documents) select doc_id, count(*) filter ({duck.heading('line')})::bigint as headings, count(*)::bigint as lines from u group by doc_id")
 def heading_lines(spark, d):
     rows = docs(spark, d).select("doc_id", F.explode(tx.lines(F.col("text"))).alias("line"))
-    return rows.groupBy("doc_id").agg(F.sum(tx.is_heading(F.col("line")).cast("long")).alias("headings"), F.count("*").alias("lines"))
+    return rows.groupBy("doc_id").agg(F.sum(tx.is_title(F.col("line")).cast("long")).alias("headings"), F.count("*").alias("lines"))
 
 
 @query(
@@ -169,15 +180,16 @@ def dialogue_turns(spark, d):
 
 
 _W0 = "greatest(0, least(a - 200, length(text) - 600))"
-
-
-@query(
-    f"""with q as (select doc_id, text, length(text) // 2 as a, 20 as n from documents),
-    s as (select *, {_W0} as s0, substring(text, 1, a) as head from q),
+#: From (text, a, n), an answer's place and length, to the borders of its window.
+_WINDOW = f"""s as (select *, {_W0} as s0, substring(text, 1, a) as head from q),
     e as (select *, greatest(least(length(text), s0 + 600), a + n) as e0, case when instr(head, '. ') = 0 then -1 else a - instr(reverse(head), ' .') - 1 end as cut from s),
     b as (select *, case when s0 > 0 then case when cut <> -1 and cut >= s0 - 200 then cut + 2 when instr(substring(text, s0 + 1), ' ') = 0 then 0 else s0 + instr(substring(text, s0 + 1), ' ') end else s0 end as s1,
       case when instr(substring(text, a + n + 1), '. ') = 0 then 0 else a + n + instr(substring(text, a + n + 1), '. ') end as dot from e),
-    w as (select *, case when e0 < length(text) and dot > 0 and dot - 1 - s1 <= 850 then dot else e0 end as e1 from b)
+    w as (select *, case when e0 < length(text) and dot > 0 and dot - 1 - s1 <= 850 then dot else e0 end as e1 from b)"""
+
+
+@query(
+    f"""with q as (select doc_id, text, length(text) // 2 as a, 20 as n from documents), {_WINDOW}
     select doc_id, length(x)::bigint as n, md5(x) as digest from (select doc_id, {duck.strip('substring(text, s1 + 1, greatest(0, e1 - s1))')} as x from w)"""
 )
 def qa_window(spark, d):
@@ -186,7 +198,7 @@ def qa_window(spark, d):
 
 
 @query(
-    """select doc_id, md5(replace('<|user|> ' || text, '<|', '< |')) as sanitized, case when right(substring(text, 1, 30), 1) in ('.', '!', '?') then substring(text, 1, 30) else substring(text, 1, 30) || '.' end as ended,
+    """select doc_id, md5(replace('<|user|> ' || text, '<|', '< |')) as sanitized, case when right(text, 1) in ('.', '!', '?') then text else text || '.' end as ended,
     coalesce(nullif(lang, ''), source, '') as first_filled from documents"""
 )
 def text_repairs(spark, d):
@@ -228,9 +240,10 @@ def dedup_stats_by_source(spark, d):
 )
 def corpus_flagship(spark, d):
     """Web cleaning, first-wins deduplication, split, and counts by source and split."""
-    cleaned = ranked(spark, d).withColumn("text", tx.web_page(F.col("text"))).where("text is not null")
-    split = corpus.with_split(corpus.first_wins(cleaned), 10)
-    return split.groupBy("src", "split").agg(F.count("*").alias("docs"), F.sum(F.length("text")).cast("long").alias("chars"))
+    cleaned = spread(ranked(spark, d)).withColumn("text", tx.web_page(F.col("text"))).where("text is not null")
+    # What the counts need is taken from the texts before they are compared, so no text is shuffled.
+    narrow = corpus.with_split(cleaned, 10).select("src", "src_rank", "ord", "split", F.length("text").alias("n"), hashing.dedup_key(F.col("text")).alias("key"))
+    return corpus.first_wins(narrow, key=F.col("key")).groupBy("src", "split").agg(F.count("*").alias("docs"), F.sum("n").cast("long").alias("chars"))
 
 
 @query("select source as src, count(*)::bigint as docs, sum(length(text))::bigint as chars from documents group by rollup (source)")
@@ -238,7 +251,7 @@ def source_totals(spark, d):
     return corpus.source_stats(docs(spark, d), "source").withColumnRenamed("source", "src")
 
 
-@query("select doc_id, copy_no from documents, range(1, 5) r(copy_no) where doc_id % 7 = 0")
+@query("select doc_id, copy_no from documents, range(1, 5) r(copy_no)")
 def replicate_chat(spark, d):
     return corpus.repeated(docs(spark, d).select("doc_id"), 4).select("doc_id", F.col("copy_no").cast("long").alias("copy_no"))
 
@@ -287,6 +300,34 @@ def flush_order(spark, d):
     return order.numbered(rows, *corpus.flush_order("doc_id", batch=50), out="place").select("doc_id", "place")
 
 
+@query(f"with t as (select doc_id, {duck.web_page('text')} as t from documents) select doc_id, md5(t) as digest from t where t is not null order by md5('42:' || doc_id), doc_id limit 100")
+def web_sample(spark, d):
+    """The first hundred pages that cleaning keeps, in an order by seed."""
+    return readers.web(texts(spark, d), 100, 42, "doc_id").select("doc_id", F.md5("text").alias("digest"))
+
+
+@query(f"with t as (select source as src, {duck.web_page('text')} as t from documents) select src, count(*)::bigint as raw, count(t)::bigint as kept from t group by src")
+def source_raw_counts(spark, d):
+    return corpus.raw_counts(texts(spark, d).withColumnRenamed("source", "src"), tx.web_page(F.col("text")))
+
+
+@query("select doc_id, (row_number() over (partition by source order by md5('9:' || doc_id), doc_id) - 1)::bigint as pos from documents")
+def shuffled_by_source(spark, d):
+    """The last shuffle before writing: each split, here each source, in an order by seed."""
+    return order.shuffled(docs(spark, d).select("doc_id", "source"), 9, "doc_id", by=["source"]).select("doc_id", "pos")
+
+
+@query("select doc_id, (row_number() over (order by md5('10:' || doc_id), doc_id) - 1)::bigint as pos from documents")
+def shuffled_rows(spark, d):
+    return order.shuffled(docs(spark, d).select("doc_id"), 10, "doc_id")
+
+
+@query("select conv_id from (select distinct conv_id from conversations) order by md5('0:' || conv_id), conv_id limit 50")
+def qa_sample(spark, d):
+    """The examples that answers are scored on."""
+    return corpus.survivors(talks(spark, d), "messages", 50, 0, "conv_id").select("conv_id")
+
+
 @query("select doc_id from documents where length(text) >= 400 order by md5('7:' || doc_id), doc_id limit 100")
 def seeded_survivors(spark, d):
     rows = docs(spark, d).withColumn("kept", F.when(F.length("text") >= 400, F.col("text")))
@@ -297,22 +338,23 @@ def seeded_survivors(spark, d):
 
 
 def token_docs(spark, d) -> DataFrame:
-    return docs(spark, d).where("text is not null").select(F.col("doc_id").alias("ord"), F.col("source").alias("src"), F.col("text"), tokens.with_eot(tokens.byte_ids(F.col("text"))).alias("ids"))
+    rows = texts(spark, d).where("text is not null")
+    return rows.select(F.col("doc_id").alias("ord"), F.col("source").alias("src"), "text", (tokens.n_byte_ids(F.col("text")) + 1).alias("n"), tokens.with_eot(tokens.byte_ids(F.col("text"))).alias("ids"))
 
 
 _BYTES = "list_transform(regexp_extract_all(hex(encode({0})), '..'), lambda b: ('0x' || b)::int + 5)"
 _SANE = "replace(text, '<|', '< |')"
-_TOKENS = f"tok as (select doc_id as ord, source as src, text, list_append({_BYTES.format(_SANE)}, 0) as ids from documents where length(text) <= 2000)"
+_TOKENS = f"tok as (select doc_id as ord, source as src, text, list_append({_BYTES.format(_SANE)}, 0) as ids from documents where text is not null)"
 
 
 @query(f"with {_TOKENS} select src, sum(len(ids))::bigint as tokens, count(*)::bigint as docs from tok group by src")
 def tokens_per_source(spark, d):
-    return token_docs(spark, d).groupBy("src").agg(F.sum(F.size("ids")).cast("long").alias("tokens"), F.count("*").alias("docs")).orderBy(F.col("tokens").desc(), "src")
+    return token_docs(spark, d).groupBy("src").agg(F.sum("n").cast("long").alias("tokens"), F.count("*").alias("docs")).orderBy(F.col("tokens").desc(), "src")
 
 
 @query(f"with {_TOKENS} select round(sum(length(text))::double / greatest(1, sum(len(ids))), 3) as chars_per_token, max(list_max(ids))::int as max_id from tok")
 def chars_per_token(spark, d):
-    return token_docs(spark, d).agg(F.round(F.sum(F.length("text")) / F.greatest(F.lit(1), F.sum(F.size("ids"))), 3).alias("chars_per_token"), F.max(F.array_max("ids")).alias("max_id"))
+    return token_docs(spark, d).agg(F.round(F.sum(F.length("text")) / F.greatest(F.lit(1), F.sum("n")), 3).alias("chars_per_token"), F.max(F.array_max("ids")).alias("max_id"))
 
 
 @query(
@@ -321,7 +363,7 @@ def chars_per_token(spark, d):
     select block_id::bigint as block_id, md5(array_to_string(list(t order by k)[1:64], ',')) as x, md5(array_to_string(list(t order by k)[2:65], ',')) as y from b, n where block_id < n group by block_id"""
 )
 def pack_blocks(spark, d):
-    b = tokens.blocks(token_docs(spark, d), 64, offset=17)
+    b = tokens.blocks(token_docs(spark, d), 64, offset=17, size="n")
     return b.select("block_id", F.md5(F.array_join("x", ",")).alias("x"), F.md5(F.array_join("y", ",")).alias("y"))
 
 
@@ -341,12 +383,52 @@ def val_blocks(spark, d):
 
 
 @query(
-    """with p as (select doc_id as ord, length(text) as n, row_number() over (order by md5('3:0:' || doc_id), doc_id) - 1 as pos from documents), c as (select *, pos // 32 as chunk from p),
-    r as (select *, row_number() over (partition by chunk order by n, pos) - 1 as r from c) select ord, chunk::bigint as chunk, (r // 8)::bigint as batch_no, (r % 8)::bigint as row_no from r"""
+    """with p as (select doc_id as ord, length(text) as n, row_number() over (order by md5('3:0:' || doc_id), doc_id) - 1 as pos, count(*) over () as docs from documents),
+    m as (select ord, n, pos // 2 as pos from p where pos < docs // 2 // 8 * 8 * 2 and pos % 2 = 1), c as (select *, pos // 32 as chunk from m),
+    r as (select *, row_number() over (partition by chunk order by n, pos) - 1 as r from c), b as (select distinct chunk::bigint as chunk, (r // 8)::bigint as batch_no from r),
+    o as (select *, row_number() over (order by md5('3:0:batch:' || chunk || ':' || batch_no), chunk, batch_no) - 1 as place from b)
+    select ord, o.chunk, o.batch_no, (r % 8)::bigint as row_no, place::bigint as place from r join o on r.chunk = o.chunk and r.r // 8 = o.batch_no"""
 )
 def bucket_batches(spark, d):
+    """The second of two ranks: whole batches only, as many as the first has."""
+    rows = docs(spark, d).select(F.col("doc_id").alias("ord"), F.length("text").alias("n"))
+    return tokens.bucketed_batches(rows, 8, 3, 0, multiple=4, rank=1, world=2).select("ord", "chunk", "batch_no", "row_no", "place")
+
+
+@query("with p as (select doc_id as ord, row_number() over (order by length(text), doc_id) - 1 as pos from documents) select ord, (pos // 8 // 2)::bigint as batch_no, (pos % 8)::bigint as row_no from p where pos // 8 % 2 = 1 and pos // 8 // 2 < 40")
+def eval_batches(spark, d):
     rows = docs(spark, d).select(F.col("doc_id").alias("ord"), F.length("text").alias("n"))
-    return tokens.bucketed_batches(rows, 8, 3, 0, multiple=4).select("ord", "chunk", "batch_no", "row_no")
+    return tokens.evaluation_batches(rows, 8, rank=1, world=2, most=40)
+
+
+_BATCH_T, _BATCH_STEPS = 8192, 20
+
+
+@query(
+    f"""with {_TOKENS}, u as (select ord, unnest(range(0, len(ids))) as j, unnest(ids) as t from tok), g as (select t, row_number() over (order by ord, j) - 1 as pos from u), n as (select count(*) // {_BATCH_T} - 1 as n from u),
+    s as (select id // 8 as g, id % 8 as j, ((id // 8) * 2 + 1) * 8 + id % 8 as s from range(0, {_BATCH_STEPS * 8}) r(id)), a as (select g, j, s // n as epoch, s % n as pos from s, n),
+    e as (select distinct epoch, floor((('0x' || substring(md5('1337:offset:' || epoch), 1, 8))::bigint / 4294967296::double) * {_BATCH_T})::bigint as off from a),
+    p as (select epoch, off, b, row_number() over (partition by epoch order by md5('1337:' || epoch || ':' || b), b) - 1 as pos from e, (select unnest(range(0, n)) as b from n)),
+    w as (select g, a.j, off + b * {_BATCH_T} as s0 from a join p using (epoch, pos))
+    select w.g, w.j, md5(array_to_string(list(t order by pos)[1:{_BATCH_T}], ',')) as x, md5(array_to_string(list(t order by pos)[2:{_BATCH_T + 1}], ',')) as y from w join g on g.pos >= s0 and g.pos <= s0 + {_BATCH_T} group by w.g, w.j"""
+)
+def train_batches(spark, d):
+    """Blocks looked up for each slot of the second of two ranks; at small scales over several epochs."""
+    b = tokens.gathered_batches(token_docs(spark, d), _BATCH_STEPS, 8, 1, 2, _BATCH_T, 1337, size="n")
+    return b.select("g", "j", F.md5(F.array_join("x", ",")).alias("x"), F.md5(F.array_join("y", ",")).alias("y"))
+
+
+@query(f"with {_TOKENS}, s as (select ord, len(ids) as n, case when {duck.crc('substring(text, 1, 400)')} % 1000 < 150 then 'val' else 'train' end as split from tok) select split, ord, n::int as n, (sum(n) over (partition by split order by ord) - n)::bigint as \"offset\" from s")
+def stream_files(spark, d):
+    """Token streams by split, written and read back."""
+    path = new_path(spark, "stream")
+    readers.write_stream(corpus.with_split(token_docs(spark, d), 150).select("split", "ord", "ids"), path)
+    return readers.read_stream(spark, path, 64).select("split", "ord", F.size("ids").alias("n"), "offset")
+
+
+@query("select id::int as id, token, id in (0, 4) as stops, id in (1, 2, 3) as forbidden, id = 0 as pads from (values (0, '<|endoftext|>'), (1, '<|system|>'), (2, '<|user|>'), (3, '<|assistant|>'), (4, '<|end|>')) t(id, token)")
+def special_tokens(spark, d):
+    return tokens.special_tokens(spark)
 
 
 _CHAT = f"""msg as (select conv_id, turn, list_concat([case role when 'system' then 1 when 'user' then 2 else 3 end], {_BYTES.format("replace(" + duck.strip('text') + ", '<|', '< |')")}, [4]) as ids, role = 'assistant' as says from conversations),
@@ -355,7 +437,7 @@ _CHAT = f"""msg as (select conv_id, turn, list_concat([case role when 'system' t
 
 def chats(spark, d) -> DataFrame:
     ids, mask = tokens.encode_chat(F.col("messages"))
-    return talks(spark, d).select("conv_id", "messages", ids.alias("ids"), mask.alias("mask"))
+    return spread(talks(spark, d)).select("conv_id", "messages", ids.alias("ids"), mask.alias("mask"))
 
 
 @query(f"with {_CHAT} select conv_id, md5(array_to_string(ids, ',')) as ids, md5(array_to_string(mask, ',')) as mask, len(ids)::bigint as n from chat")
@@ -379,6 +461,16 @@ def collate_pad(spark, d):
     return tokens.collated(rows, ["batch"]).select("conv_id", F.md5(F.array_join("x", ",")).alias("x"), F.md5(F.array_join("y", ",")).alias("y"))
 
 
+@query(f"""with {_CHAT}, s as (select c.*, case when {duck.crc('q')} % 1000 < 150 then 'val' else 'train' end as split from chat c join (select conv_id, arg_min(text, turn) as q from conversations group by conv_id) using (conv_id))
+    select split, conv_id, len(ids)::int as n, list_sum(mask)::int as n_answer, (sum(len(ids)) over (partition by split order by conv_id) - len(ids))::bigint as "offset" from s""")
+def example_files(spark, d):
+    """Ragged examples by split, written and read back."""
+    path = new_path(spark, "examples")
+    readers.write_examples(sft.with_split(chats(spark, d), 150).select("split", "conv_id", "ids", "mask"), path, ordinal="conv_id")
+    rows = corpus.union(*[readers.read_examples(spark, path, split) for split in ("train", "val")])
+    return rows.select("split", "conv_id", F.size("ids").alias("n"), F.aggregate("mask", F.lit(0), lambda n, x: n + x.cast("int")).alias("n_answer"), "offset")
+
+
 @query(f"with {_CHAT} select conv_id, list_sum(mask)::int as n_answer, len(ids) <= 513 and list_sum(mask) > 0 as kept from chat")
 def length_filter(spark, d):
     return sft.fits(chats(spark, d), 512).select("conv_id", "n_answer", "kept")
@@ -440,39 +532,46 @@ def _contradicts(q: str, a: str) -> str:
 @query(f"select conv_id, turn, {_contradicts('q', 'text')} as contradicts from (select *, case when turn % 5 = 0 then 'Qui es-tu ? ' || text when turn % 5 = 1 then text || ' En tant qu’IA' else text end as q from conversations)")
 def persona_filter(spark, d):
     q = F.when(F.col("turn") % 5 == 0, F.concat(F.lit("Qui es-tu ? "), "text")).when(F.col("turn") % 5 == 1, F.concat("text", F.lit(" En tant qu’IA"))).otherwise(F.col("text"))
-    return table(spark, d, "conversations").select("conv_id", "turn", sft.contradicts_persona(q, F.col("text")).alias("contradicts"))
+    return table(spark, d, "conversations").select("conv_id", "turn", sft.about_identity(q, F.col("text")).alias("contradicts"))
 
 
 @query(
-    f"""with i as (select doc_id, case when doc_id % 3 = 0 then '' else substring(text, 1, 200 + doc_id % 200) end as instruction, case when doc_id % 2 = 0 then source else ' ' end as input, substring(text, 300, doc_id % 400) as output from documents),
+    f"""with i as (select doc_id, case when doc_id % 3 = 0 then '' else case when doc_id % 5 = 1 then 'http### ' else '' end || substring(text, 1, 180 + doc_id % 200) end as instruction,
+      case when doc_id % 2 = 0 then source else ' ' end as input, substring(text, 300, doc_id % 400) || case when doc_id % 13 = 0 then ' http' when doc_id % 17 = 0 then '###' else '' end as output from documents),
     q as (select doc_id, case when {duck.strip('instruction')} = '' then '' else instruction end as q0, case when {duck.strip('input')} = '' then '' else input end as m, case when {duck.strip('output')} = '' then '' else output end as a from i),
-    c as (select doc_id, case when m = '' then q0 else q0 || chr(10) || chr(10) || m end as q, a from q)
-    select doc_id, md5(q) as question, md5(a) as answer from c where q <> '' and a <> '' and length(q) <= 300 and length(a) between 3 and 350 and not contains(q || ' ' || a, '###') and not contains(q || ' ' || a, 'http') and not {_contradicts('q', 'a')}"""
+    c as (select doc_id, q0, case when m = '' then q0 else q0 || chr(10) || chr(10) || m end as q, a from q)
+    select doc_id, md5(q) as question, md5(a) as answer from c where q0 <> '' and a <> '' and length(q) <= 300 and length(a) between 3 and 350 and not contains(a, '###') and not contains(a, 'http') and not {_contradicts('q', 'a')}"""
 )
 def instruction_filter(spark, d):
     rows = docs(spark, d).select(
-        "doc_id", F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.expr("substring(text, 1, cast(200 + doc_id % 200 as int))")).alias("instruction"),
-        F.when(F.col("doc_id") % 2 == 0, F.col("source")).otherwise(F.lit(" ")).alias("input"), F.expr("substring(text, 300, cast(doc_id % 400 as int))").alias("output"),
+        "doc_id", F.expr("case when doc_id % 3 = 0 then '' else concat(if(doc_id % 5 = 1, 'http### ', ''), substring(text, 1, cast(180 + doc_id % 200 as int))) end").alias("instruction"),
+        F.when(F.col("doc_id") % 2 == 0, F.col("source")).otherwise(F.lit(" ")).alias("input"),
+        F.expr("concat(substring(text, 300, cast(doc_id % 400 as int)), case when doc_id % 13 = 0 then ' http' when doc_id % 17 = 0 then '###' else '' end)").alias("output"),
     )
     return sft.instructions(rows).select("doc_id", F.md5("question").alias("question"), F.md5("answer").alias("answer"))
 
 
 @query(
-    f"""with m as (select conv_id * 1000 + turn as message_id, conv_id * 1000 + turn - 1 as parent_id, case role when 'user' then 'prompter' else role end as role, case when conv_id % 5 = 0 then 'en' else 'fr' end as lang, text, case when turn % 3 = 0 then null else (turn % 2)::int end as rank from conversations),
-    j as (select c.message_id, {duck.strip('p.text')} as q, {duck.strip('c.text')} as a from m c join m p on c.parent_id = p.message_id where c.lang = 'fr' and p.lang = 'fr' and c.role = 'assistant' and p.role = 'prompter' and (c.rank is null or c.rank = 0))
+    f"""with o as (select conv_id * 1000 + turn as message_id, conv_id * 1000 + turn - 1 as parent_id, case role when 'user' then 'prompter' else role end as role, case when conv_id % 5 = 0 then 'en' else 'fr' end as lang, text, case when turn % 3 = 0 then null else (turn % 2)::int end as rank, 0 as ord from conversations),
+    t as (select * from o union all select * replace (substring(text, 1, 300) as text, 1 as ord) from o where message_id % 4 < 2),
+    m as (select * from t where lang = 'fr' qualify row_number() over (partition by message_id order by ord desc) = 1),
+    j as (select c.message_id, {duck.strip('p.text')} as q, {duck.strip('c.text')} as a from m c join m p on c.parent_id = p.message_id where c.role = 'assistant' and p.role = 'prompter' and (c.rank is null or c.rank = 0))
     select message_id, md5(q) as question, md5(a) as answer from j where length(q) <= 400 and length(a) between 3 and 500 and not {_contradicts('q', 'a')}"""
 )
 def parent_reply_pairs(spark, d):
     tree = table(spark, d, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("message_id"), (F.col("conv_id") * 1000 + F.col("turn") - 1).alias("parent_id"), F.when(F.col("role") == "user", F.lit("prompter")).otherwise(F.col("role")).alias("role"),
         F.when(F.col("conv_id") % 5 == 0, F.lit("en")).otherwise(F.lit("fr")).alias("lang"), "text", F.when(F.col("turn") % 3 == 0, None).otherwise((F.col("turn") % 2).cast("int")).alias("rank"),
+        F.lit(0).alias("ord"),
     )
+    tree = tree.unionByName(tree.where("message_id % 4 < 2").withColumn("text", F.substring("text", 1, 300)).withColumn("ord", F.lit(1)))
     return sft.replies(tree).select("message_id", F.md5("question").alias("question"), F.md5("answer").alias("answer"))
 
 
 @query(
-    f"""with q as (select doc_id, text, 'Q' || doc_id as question, {duck.strip('substring(text, length(text) // 2 + 1, 12)')} as a from documents where length(text) >= 100 and length(text) <= 600)
-    select doc_id, md5('Contexte : ' || {duck.strip('text')} || chr(10) || chr(10) || 'Question : ' || question) as question, case when right(a, 1) in ('.', '!', '?') then a else a || '.' end as answer from q where a <> '' and contains(text, a)"""
+    f"""with q as (select doc_id, text, length(text) // 2 as a, length(substring(text, length(text) // 2 + 1, 12)) as n, {duck.strip('substring(text, length(text) // 2 + 1, 12)')} as answer from documents), {_WINDOW},
+    x as (select doc_id, answer, {duck.strip('substring(text, s1 + 1, greatest(0, e1 - s1))')} as x from w)
+    select doc_id, md5('Contexte : ' || x || chr(10) || chr(10) || 'Question : Q' || doc_id) as question, case when right(answer, 1) in ('.', '!', '?') then answer else answer || '.' end as answer from x where answer <> '' and contains(x, answer)"""
 )
 def extractive_qa(spark, d):
     """Every document as a context, cut to the window around the answer where it is longer."""
@@ -558,7 +657,7 @@ def log_curves(spark, d):
     return metrics.curves(e.select(kind.alias("type"), F.col("event_id").alias("it"), F.col("value").alias("loss"), F.col("value").alias("val_loss"), (F.col("value") > 50).alias("improved")))
 
 
-@query("with l as (select event_id as it, event_id * 65536 as tokens, epoch(ts) as t from events where event_id % 100 = 0) select it, round(case when t - lag(t) over (order by it) > 0 then (tokens - lag(tokens) over (order by it)) / (t - lag(t) over (order by it)) end, 3) as tok_s from l")
+@query("with l as (select event_id as it, event_id * 65536 as tokens, epoch(ts) as t from events) select it, round(case when t - lag(t) over (order by it) > 0 then (tokens - lag(tokens) over (order by it)) / (t - lag(t) over (order by it)) end, 3) as tok_s from l")
 def throughput(spark, d):
     e = table(spark, d, "events").select(F.col("event_id").alias("it"), (F.col("event_id") * 65536).alias("tokens"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
     return metrics.throughput(e).select("it", F.round("tok_s", 3).alias("tok_s"))
@@ -570,6 +669,13 @@ def checkpoint_retention(spark, d):
     return metrics.checkpoints(files, 3)
 
 
+@query("select user_id, least(coalesce(min(case when event_id % 3 = 0 then value end), 'inf'::double), coalesce(min(case when event_id % 5 = 0 then value end), 'inf'::double)) as best from events group by user_id")
+def resume_best(spark, d):
+    """The best loss that a run goes on from: of its checkpoint and of the file beside it, either of which may be missing."""
+    e = table(spark, d, "events").groupBy("user_id").agg(F.min(F.when(F.col("event_id") % 3 == 0, F.col("value"))).alias("saved"), F.min(F.when(F.col("event_id") % 5 == 0, F.col("value"))).alias("sidecar"))
+    return e.select("user_id", metrics.resume_best(F.col("saved"), F.col("sidecar")).alias("best"))
+
+
 @query("select user_id % 20 as step, round(sum(value) / greatest(1, sum(event_id % 7)), 6) as loss from events group by 1")
 def step_loss(spark, d):
     rows = table(spark, d, "events").select((F.col("user_id") % 20).alias("step"), F.col("value").alias("loss_sum"), (F.col("event_id") % 7).alias("n_answer"))
@@ -645,16 +751,31 @@ def sampled_tokens(spark, d):
     return sampling.draw(sampling.softmax(logits(spark, d), 0.7), 11)
 
 
-@query(
-    """with t as (select conv_id, turn, role, octet_length(encode(text)) + 2 as n, role = 'system' and turn = min(turn) over (partition by conv_id) as sys from conversations),
+def _history_sql(context: int, max_new: int) -> str:
+    room = context - min(max_new, context // 2) - 1
+    return f"""with t as (select conv_id, turn, role, octet_length(encode(text)) + 2 as n, role = 'system' and turn = min(turn) over (partition by conv_id) as sys from conversations),
     a as (select *, sum(case when sys then n else 0 end) over (partition by conv_id) as head, bool_or(sys) over (partition by conv_id) as has_sys, max(turn) over (partition by conv_id) as last, min(case when not sys then turn end) over (partition by conv_id) as opening,
       sum(case when sys then 0 else n end) over (partition by conv_id order by turn desc rows unbounded preceding) as tail from t),
-    f as (select *, min(case when not sys and (turn = opening or role <> 'assistant') and head + tail <= 512 - 128 - 1 then turn end) over (partition by conv_id) as first, max(case when not has_sys and turn = last and role <> 'assistant' then turn end) over (partition by conv_id) as alone from a)
-    select conv_id, turn from f where sys or turn >= coalesce(first, alone)"""
-)
-def history_truncate(spark, d):
+    f as (select *, min(case when not sys and (turn = opening or role <> 'assistant') and head + tail <= {room} then turn end) over (partition by conv_id) as first, max(case when not has_sys and turn = last and role <> 'assistant' then turn end) over (partition by conv_id) as alone from a),
+    k as (select * from f where sys or turn >= coalesce(first, alone)),
+    c as (select *, sum(n) over (partition by conv_id) as total, sum(n) over (partition by conv_id order by turn desc rows unbounded preceding) - n as later from k)
+    select conv_id, turn, (case when total + 1 + 16 <= {context} then n else greatest(0, least(n, {room} - later)) end)::bigint as n_kept from c"""
+
+
+def _truncated(spark, d, context: int, max_new: int) -> DataFrame:
     turns = table(spark, d, "conversations").select("conv_id", "turn", "role", (F.octet_length("text") + 2).alias("n_tokens"))
-    return sampling.truncated_history(turns, 512, 128).select("conv_id", "turn")
+    return sampling.truncated_history(turns, context, max_new).select("conv_id", "turn", F.col("n_kept").cast("long").alias("n_kept"))
+
+
+@query(_history_sql(512, 128))
+def history_truncate(spark, d):
+    return _truncated(spark, d, 512, 128)
+
+
+@query(_history_sql(96, 48))
+def history_tail(spark, d):
+    """A context that single messages are too long for: their end stays."""
+    return _truncated(spark, d, 96, 48)
 
 
 # ---- settings -------------------------------------------------------------------------------------------------------
@@ -674,7 +795,7 @@ def lr_schedule(spark, d):
     return it.select("it", lr("cosine").alias("cosine"), lr("wsd").alias("wsd"))
 
 
-#: Model shapes as layers, width, heads, key heads, context.
+#: The six model shapes whose sizes must come out, as layers, width, heads, key heads, context.
 SHAPES = ((6, 256, 4, 4, 512), (6, 384, 6, 6, 512), (10, 512, 8, 8, 512), (12, 768, 12, 12, 1024), (24, 1024, 16, 8, 2048), (20, 2048, 16, 4, 2048))
 _SHAPES = ", ".join(map(str, SHAPES))
 _SPELLED = "case when n >= 1e9 then format('{:.1f}B', n / 1e9::double) when n >= 1e6 then round_even(n / 1e6::double, 0)::bigint::varchar || 'M' else round_even(n / 1e3::double, 0)::bigint::varchar || 'K' end"
@@ -709,17 +830,21 @@ def training_plan(spark, d):
 # ---- generated families ---------------------------------------------------------------------------------------------
 
 _U = "(('0x' || substring(md5('3:{}:' || i), 1, 8))::bigint / 4294967296::double)"
+_TOP = "case op " + " ".join(f"when '{op}' then {most + 1}" for op, _, most, *_ in synthetic.SUMS) + " end"
+_OPS = "[" + ", ".join(f"'{op}'" for op, share, *_ in synthetic.SUMS for _ in range(share)) + "]"
+_N_SUMS = 1200
 
 
 @query(
-    f"""with g as (select i, (['+', '+', '-', '*'])[floor({_U.format('op')} * 4)::int + 1] as op, {_U.format('a')} as ua, {_U.format('b')} as ub, {_U.format('form')} as uf from range(0, 200) r(i)),
-    m as (select *, floor(ua * case when op = '*' then 10 else 50 end)::bigint as x, floor(ub * case when op = '*' then 10 else 50 end)::bigint as y from g),
-    v as (select i, op, uf, case when op = '-' then greatest(x, y) else x end as a, case when op = '-' then least(x, y) else y end as b from m),
-    w as (select *, case op when '+' then a + b when '-' then a - b else a * b end as value, case op when '+' then 'plus' when '-' then 'moins' else 'fois' end as word from v)
-    select i, 'Combien font ' || a || ' ' || (case when uf < 0.6::double then word else op end) || ' ' || b || ' ?' as question, a || ' ' || word || ' ' || b || (case when value = 1 then ' fait ' else ' font ' end) || value || '.' as answer, value from w"""
+    f"""with g as (select i, ({_OPS})[floor({_U.format('op')} * 4)::int + 1] as op, {_U.format('a')} as ua, {_U.format('b')} as ub, {_U.format('form')} as uf, floor({_U.format('wording')} * 3)::int as w from range(0, {_N_SUMS}) r(i)),
+    m as (select *, floor(ua * {_TOP})::bigint as x, floor(ub * {_TOP})::bigint as y from g),
+    v as (select i, op, uf, w, case when op = '-' then greatest(x, y) else x end as a, case when op = '-' then least(x, y) else y end as b from m),
+    z as (select *, case op when '+' then a + b when '-' then a - b else a * b end as value, a || case op when '+' then ' plus ' when '-' then ' moins ' else ' fois ' end || b as said, a || case op when '+' then ' + ' when '-' then ' - ' else ' × ' end || b as written from v)
+    select i, case when uf >= 0.6::double then 'Combien font ' || written || ' ?' when w = 0 then 'Combien font ' || said || ' ?' when w = 1 then 'Combien fait ' || said || ' ?' else said || ' ?' end as question,
+      case when uf >= 0.6::double then written || ' = ' || value || '.' else said || (case when value = 1 then ' fait ' else ' font ' end) || value || '.' end as answer, value from z"""
 )
 def arithmetic_qa(spark, d):
-    return synthetic.arithmetic(spark, 200, 3).select("i", "question", "answer", "value")
+    return synthetic.arithmetic(spark, _N_SUMS, 3).select("i", "question", "answer", "value")
 
 
 DAYS = ["lundi", "mardi", "mercredi", "jeudi", "vendredi", "samedi", "dimanche"]
@@ -733,14 +858,15 @@ def _around(names: list[str], kind: str, article: str) -> str:
 
 
 @query(
-    f"""{_around(DAYS, 'jour', 'le ')} union all {_around(MONTHS, 'mois', '')} union all select 'Quel est le numéro du mois ' || case when regexp_matches(name, '^[aeiouâéèêô]') then 'd''' else 'de ' end || name || ' ?', i || '.' from (values {", ".join(f"({i + 1}, '{m}')" for i, m in enumerate(MONTHS))}) m(i, name)
+    f"""{_around(DAYS, 'jour', 'le ')} union all {_around(MONTHS, 'mois', '')} union all select 'Quel est le numéro du mois ' || case when regexp_matches(name, '^[{synthetic.VOWELS}]') then 'd''' else 'de ' end || name || ' ?', i || '.' from (values {", ".join(f"({i + 1}, '{m}')" for i, m in enumerate(MONTHS))}) m(i, name)
     union all select 'Quels sont les jours de la semaine ?', '{", ".join(DAYS)}.' union all select 'Quels sont les mois de l''année ?', '{", ".join(MONTHS)}.'"""
 )
 def calendar_qa(spark, d):
     return synthetic.calendar(spark, DAYS, MONTHS)
 
 
-OPPOSITES = [("grand", "petit"), ("chaud", "froid"), ("haut", "bas")]
+#: Own pairs: the families take their content as tables.
+OPPOSITES = [("plein", "vide"), ("clair", "sombre"), ("lourd", "léger"), ("ouvert", "fermé"), ("sec", "mouillé"), ("avant", "après"), ("dur", "mou"), ("large", "étroit"), ("propre", "sale"), ("rapide", "lent")]
 
 
 @query(f"with p(a, b) as (values {', '.join(map(str, OPPOSITES))}), u as (select a, b from p union all select b, a from p) select 'Quel est le contraire de ' || a || ' ?' as question, 'Le contraire de ' || a || ' est ' || b || '.' as answer from u")
@@ -748,28 +874,84 @@ def opposites_qa(spark, d):
     return synthetic.opposites(spark.createDataFrame(OPPOSITES, "a string, b string"))
 
 
+TEMPLATES = ("Où est {key} ?", "{key} est dans quelle région ?", "Région de {key} ?", "Situe {key}.", "Dans quelle région se trouve {key} ?", "{key}, c'est où ?")
+_QUOTED = [t.replace("'", "''") for t in TEMPLATES]
+
+
 @query(
-    """with f as (select n_name as key, r_name as value from nation join region on n_regionkey = r_regionkey), t(template) as (values ('Où est {key} ?'), ('{key} est dans quelle région ?'), ('Région de {key} ?'), ('Situe {key}.')),
+    f"""with f as (select n_name as key, r_name as value from nation join region on n_regionkey = r_regionkey), t(template) as (values {", ".join(f"('{t}')" for t in _QUOTED)}),
     x as (select key, value, template, row_number() over (partition by key order by md5('5:' || key || ':' || template)) as r from f, t)
-    select key, replace(template, '{key}', key) as question, key || ' : ' || value || '.' as answer from x where r <= 2"""
+    select key, replace(template, '{{key}}', key) as question, key || ' : ' || value || '.' as answer from x where r <= 3
+    union all select key, 'Cite un pays de la région ' || value || ', par exemple ' || key[1] || '.' as question, key || ' est un pays de la région ' || value || '.' as answer from f"""
 )
 def template_facts(spark, d):
-    facts = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("key"), F.col("r_name").alias("value"))
-    t = spark.createDataFrame([(x, "{key} : {value}.") for x in ("Où est {key} ?", "{key} est dans quelle région ?", "Région de {key} ?", "Situe {key}.")], "template string, answer_template string")
-    return synthetic.from_templates(facts, t, 2, 5)
+    """Three of six questions on each fact, and one the other way round."""
+    facts = regions(spark, d)
+    t = spark.createDataFrame([(x, "{key} : {value}.") for x in TEMPLATES], "template string, answer_template string")
+    hint = synthetic.inverse(facts.withColumn("first", F.substring("key", 1, 1)), "Cite un pays de la région {value}, par exemple ", "{key} est un pays de la région {value}.")
+    hint = hint.withColumn("question", F.concat("question", F.substring("key", 1, 1), F.lit(".")))
+    return synthetic.from_templates(facts, t, 3, 5).unionByName(hint)
+
+
+def regions(spark, d) -> DataFrame:
+    """Facts of the tables as ``(key, value)``."""
+    return table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("key"), F.col("r_name").alias("value"))
 
 
 @query()
 def two_turn_mix(spark, d):
-    """Pairs picked by hash from the arithmetic family."""
-    one = synthetic.arithmetic(spark, 200, 3).select("i", sft.pair(F.col("question"), F.col("answer")).alias("messages"))
+    """Pairs picked by hash from the arithmetic family; tests pick them again."""
+    one = synthetic.arithmetic(spark, _N_SUMS, 3).select("i", sft.pair(F.col("question"), F.col("answer")).alias("messages"))
     return synthetic.two_turns(one, 0.15, 3).select("k", F.to_json("messages").alias("messages"))
 
 
+#: Own wording: groups of questions and answers that go together.
+GROUPS = [
+    ("bonjour", ["Bonjour", "Salut", "Bonjour, tu es là ?"], ["Bonjour !", "Salut, que puis-je faire ?"]),
+    ("merci", ["Merci", "Un grand merci"], ["Je vous en prie.", "De rien."]),
+    ("adieu", ["À plus tard", "Bonne soirée"], ["À plus tard !"]),
+    ("outil", ["Que fais-tu ?", "À quoi sert cet outil ?"], ["Je réponds à de courtes questions."]),
+]
+#: Own wording: what can't be answered.
+UNKNOWN = [("Quel temps fera-t-il demain ?", "Je ne peux pas le savoir."), ("Quelle heure est-il ?", "Je n'ai pas d'horloge."), ("Où suis-je ?", "Je ne peux pas le voir.")]
+
+
+def groups(spark) -> DataFrame:
+    return spark.createDataFrame(GROUPS, "name string, questions array<string>, answers array<string>")
+
+
 @query()
 def picked_groups(spark, d):
-    groups = spark.createDataFrame([("bonjour", ["Bonjour", "Salut"], ["Bonjour !", "Salut, que puis-je faire ?"])], "name string, questions array<string>, answers array<string>")
-    return synthetic.picked(groups, 8, 3)
+    """Eight hashed pairs from each group; tests pick them again."""
+    return synthetic.picked(groups(spark), 8, 3)
+
+
+@query("select question, answer, copy_no from (values " + ", ".join("('" + q.replace("'", "''") + "', '" + a.replace("'", "''") + "')" for q, a in UNKNOWN) + ") u(question, answer), range(1, 4) r(copy_no)")
+def cannot_answer(spark, d):
+    rows = corpus.repeated(spark.createDataFrame(UNKNOWN, "question string, answer string"), 3)
+    return rows.withColumn("copy_no", F.col("copy_no").cast("long"))
+
+
+def families(spark, d, seed: int) -> dict[str, DataFrame]:
+    return {
+        "facts": template_facts(spark, d), "sums": synthetic.arithmetic(spark, _N_SUMS, seed), "calendar": synthetic.calendar(spark, DAYS, MONTHS),
+        "opposites": opposites_qa(spark, d), "unknown": cannot_answer(spark, d), "groups": synthetic.picked(groups(spark), 8, seed),
+    }
+
+
+_FAMILIES = {"sums": str(_N_SUMS), "calendar": "52", "opposites": str(2 * len(OPPOSITES)), "unknown": str(3 * len(UNKNOWN)), "groups": str(8 * len(GROUPS)), "facts": "(select 4 * count(*) from nation)"}
+
+
+@query(
+    "with f as (" + " union all ".join(f"select '{k}' as family, ({n})::bigint as n" for k, n in _FAMILIES.items()) + "), a as (select * from f union all select 'two turns', floor(sum(n) * 0.15::double)::bigint from f),"
+    " t as (select sum(n)::bigint as n from a) select r.repeat, family, a.n, t.n - 1 as last, case when family = 'two turns' then 4 else 2 end as most from a, t, (values (0), (1)) r(repeat)"
+)
+def synthetic_assembly(spark, d):
+    """All families with talks of two, in an order by seed, for two seeds; each counted."""
+    rows = synthetic.over_seeds(lambda seed: synthetic.assembled(families(spark, d, seed), seed), 3, 2)
+    last = rows.groupBy("repeat").agg(F.max("pos").alias("last"), F.countDistinct("pos").alias("places"))
+    counted = rows.groupBy("repeat", "family").agg(F.count("*").alias("n"), F.max(F.size("messages")).alias("most"))
+    return counted.join(last, "repeat").select("repeat", "family", "n", F.when(F.col("places") == F.col("last") + 1, F.col("last")).alias("last"), "most")
 
 
 @query("with u as (select doc_id, case when doc_id % 50 = 0 then 'persona' else source end as src, length(text) <= 3000 as kept from documents) select case when src = 'persona' then 'persona (x20)' else src end as src, sum(kept::int)::bigint as kept, sum((not kept and src <> 'persona')::int)::bigint as skipped_too_long from u group by 1")

@@ -15,6 +15,8 @@ from lexmill.operators import corpus, sft
 
 MESSAGES = T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType())]))
 RECORD = T.StructType([T.StructField("text", T.StringType()), T.StructField("messages", MESSAGES), T.StructField("src", T.StringType()), T.StructField("ord", T.LongType())])
+#: Names in users' own files, the first that is filled counts.
+OWN_QUESTIONS, OWN_ANSWERS = ("question", "instruction", "prompt"), ("answer", "response", "output")
 ANSWERS = T.StructType([T.StructField("text", T.ArrayType(T.StringType())), T.StructField("answer_start", T.ArrayType(T.IntegerType()))])
 
 
@@ -55,11 +57,14 @@ def instructions(rows: DataFrame, most: int | None, seed: int, id_col: str = "id
 
 
 def user_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """``messages`` of a JSON-lines file: given as such, or made of a question and an answer under any usual name."""
-    names = [*sft.QUESTION_KEYS, *sft.ANSWER_KEYS]
+    """``messages`` of a JSON-lines file: given as such, or made of a question and an answer under any usual name.
+
+    Where a line has several of the names, a question goes before an instruction, an answer before an output.
+    """
+    names = [*OWN_QUESTIONS, *OWN_ANSWERS]
     schema = T.StructType([T.StructField("messages", MESSAGES), *[T.StructField(n, T.StringType()) for n in names]])
     rows = spark.read.schema(schema).json(path)
-    q, a = tx.first_filled(*map(F.col, sft.QUESTION_KEYS)), tx.first_filled(*map(F.col, sft.ANSWER_KEYS))
+    q, a = tx.first_filled(*map(F.col, OWN_QUESTIONS)), tx.first_filled(*map(F.col, OWN_ANSWERS))
     made = F.when((q != "") & (a != ""), sft.pair(q, a))
     return rows.select(F.coalesce("messages", made).alias("messages")).where("messages is not null")
 
@@ -103,32 +108,84 @@ def write_stream(docs: DataFrame, path: str, ids: str = "ids", ordinal: str = "o
     running_sum(docs, ordinal, F.size(ids), "offset", by=["split"]).write.partitionBy("split").parquet(path)
 
 
+def _java(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def write_manifest(values: dict, spark: SparkSession, path: str) -> None:
-    """One JSON object, put in place by a rename."""
+    """One JSON object, put in place by a rename over what was there: at any time the old or the new one is whole."""
     jvm = spark._jvm
-    target, made = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".tmp")
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    target, fs = _java(spark, path)
+    made = jvm.org.apache.hadoop.fs.Path(path + ".tmp")
     out = fs.create(made, True)
     out.write(bytearray(json.dumps(values, ensure_ascii=False, indent=2).encode()))
     out.close()
-    if fs.exists(target):
-        fs.delete(target, False)
-    fs.rename(made, target)
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toUri(), spark._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    files.rename(fs.makeQualified(made), fs.makeQualified(target), options)
+
+
+def read_manifest(spark: SparkSession, path: str) -> dict | None:
+    """What ``write_manifest`` put there, or None."""
+    if not exists(spark, path):
+        return None
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
+
+
+def append_log(rows: DataFrame, path: str) -> None:
+    """Further lines of a run's log; each append is a file of its own, so none is rewritten."""
+    rows.write.mode("append").json(path)
+
+
+LOG = T.StructType(
+    [
+        *[T.StructField(n, k) for n, k in (("type", T.StringType()), ("it", T.LongType()), ("loss", T.DoubleType()), ("val_loss", T.DoubleType()), ("best", T.DoubleType()), ("improved", T.BooleanType()))],
+        *[T.StructField(n, k) for n, k in (("lr", T.DoubleType()), ("gnorm", T.DoubleType()), ("tok_s", T.DoubleType()), ("tokens", T.LongType()), ("t", T.DoubleType()), ("line_no", T.LongType()))],
+    ]
+)
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(LOG).json(path)
+
+
+def read_stream(spark: SparkSession, path: str, length: int) -> DataFrame:
+    """What ``write_stream`` wrote, unless a split is too small to cut blocks of ``length`` from."""
+    rows = spark.read.parquet(path)
+    sizes = {r["split"]: r["n"] for r in rows.groupBy("split").agg(F.sum(F.size("ids")).alias("n")).collect()}  # a row for each split
+    if sizes.get("train", 0) // length - 1 < 1:
+        raise ValueError(f"{sizes.get('train', 0)} training tokens are too few for blocks of {length}")
+    if sizes.get("val", 0) < length + 1:
+        raise ValueError(f"{sizes.get('val', 0)} validation tokens are too few for blocks of {length}: hold out more documents")
+    return rows
+
+
+def read_examples(spark: SparkSession, path: str, split: str, batch: int = 1, world: int = 1) -> DataFrame:
+    """One split of what ``write_examples`` wrote, unless training examples don't fill a batch on each rank."""
+    rows = spark.read.parquet(path).where(F.col("split") == split)
+    if split == "train" and (n := rows.count()) // world < batch:
+        raise ValueError(f"{n} training examples are too few for batches of {batch} on {world} ranks")
+    return rows
 
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a stage has run: its manifest is there."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    target, fs = _java(spark, path)
+    return fs.exists(target)
 
 
-def verified(docs: DataFrame, padded_vocab: int, ids: str = "ids") -> DataFrame:
-    """``docs``, unless it is empty or an id doesn't fit the vocabulary."""
-    most = docs.agg(F.max(F.array_max(ids))).first()[0]
+def verified(docs: DataFrame, padded_vocab: int, ids: str = "ids", least_val: int = 100_000) -> DataFrame:
+    """``docs``, unless it is empty or an id doesn't fit the vocabulary; few validation tokens are warned about."""
+    held = F.sum(F.when(F.col("split") == "val", F.size(ids)).otherwise(0)) if "split" in docs.columns else F.lit(least_val)
+    most, val = docs.agg(F.max(F.array_max(ids)), held).first()
     if most is None:
         raise ValueError("the corpus is empty")
     if most >= padded_vocab:
         raise ValueError(f"token id {most} doesn't fit a vocabulary of {padded_vocab}")
+    if val < least_val:
+        logging.getLogger(__name__).warning("only %s validation tokens: hold out more documents", val)
     return docs
 
 

@@ -2,8 +2,8 @@
 
 ``stage`` cuts lineage by writing a frame as Parquet and reading it back, so a lost
 executor costs a re-read and not a recomputation. The folder is the session's
-``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a temporary
-folder stands in for it.
+``spark.checkpoint.dir``; only on a local master where that is unset (tests, a laptop) a
+temporary folder stands in for it.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ def importable(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _fallback:
             _fallback.append("file://" + tempfile.mkdtemp(prefix="lexmill-"))
         root = _fallback[0]
@@ -49,7 +51,17 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def free(*staged: DataFrame) -> None:
+    """Delete tables that nothing reads any more: what was made of them is written by now."""
+    for df in staged:
+        for entry in [x for x in _staged if x[1] == df.staged_at]:
+            _delete(entry[2], entry[1])
+            _staged.remove(entry)
 
 
 @contextlib.contextmanager

@@ -20,7 +20,7 @@ def one(spark, value, column, kind="string"):
     [("Il est né le  à Lyon.", True), ("La fin du .", True), ("Une phrase (, vide).", True), ("Il va vers , puis part.", True), ("Le <b>mot</b> reste.", True), ("Une bonne phrase ; vraiment, 3,5 fois.", False), (None, None)],
 )
 def test_defects(spark, sentence, bad):
-    assert one(spark, sentence, tx.has_defect) is bad
+    assert one(spark, sentence, tx.defective) is bad
 
 
 def test_article_drops_defects_headings_and_tail(spark):
@@ -115,7 +115,7 @@ def test_f1(spark, p, r, f1):
 
 def test_persona(spark):
     df = spark.createDataFrame([("Qui es-tu ?", "x"), ("Bonjour", "En tant qu’IA, je"), ("Bonjour", "OpenAI"), ("Capitale ?", "Paris")], "q string, a string")
-    assert [r[0] for r in df.select(sft.contradicts_persona(F.col("q"), F.col("a"))).collect()] == [True, True, True, False]
+    assert [r[0] for r in df.select(sft.about_identity(F.col("q"), F.col("a"))).collect()] == [True, True, True, False]
 
 
 def test_checkpoints(spark):
@@ -183,7 +183,7 @@ def test_replies(spark):
         ("d", "q", "assistant", "fr", "Parent étranger.", 0), ("e", "none", "assistant", "fr", "Sans parent.", 0), ("f", "p", "assistant", "fr", "ab", 0),
         ("g", "p", "assistant", "fr", "x" * 501, 0), ("h", "p", "assistant", "fr", "Je suis une IA", 0), ("i", "a", "assistant", "fr", "Suite.", 0),
     ]
-    tree = spark.createDataFrame(rows, "message_id string, parent_id string, role string, lang string, text string, rank int")
+    tree = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "message_id string, parent_id string, role string, lang string, text string, rank int, ord int")
     assert sorted(r.message_id for r in sft.replies(tree).collect()) == ["a", "b"]
 
 
@@ -192,3 +192,5 @@ def test_short_talks_keep_their_end(spark):
     df = spark.createDataFrame(talks, "conv_id int, turn int, role string, n_tokens int")
     got = sorted((r.conv_id, r.turn) for r in sampling.truncated_history(df, 60, 20).collect())
     assert got == [(1, 0), (1, 3), (2, 0), (3, 0)]
+    kept = {(r.conv_id, r.turn): r.n_kept for r in sampling.truncated_history(df, 60, 20).collect()}
+    assert kept == {(1, 0): 5, (1, 3): 10, (2, 0): 39, (3, 0): 5}  # 60 - 20 - 1 of the long message
