@@ -17,7 +17,6 @@ repeated rows are encoded each for itself; other columns are ignored.
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -25,6 +24,8 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lexmill.llm.worker import kept, no_collection
+
 #: The public splitting pattern with its white space written out, since \s differs between engines.
 _SPACE = r"\t-\r\x20\x85\xa0  -     　"
 SPLIT_PATTERN = (
@@ -41,12 +42,15 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Merges compiled to a transducer whose states are built when a text first reaches them.
 
-    ``max_states`` and ``max_pairs`` bound memory: a full table is emptied and rebuilt on
-    demand, which changes time and never results.
+    ``max_bytes`` bounds what the tables take: full ones are emptied and rebuilt on demand,
+    which changes time and never results.
     """
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 400_000, max_pairs: int = 600_000):
-        self.ranks, self.max_states, self.max_pairs = ranks, max_states, max_pairs
+    #: Bytes of a state with its set, of a transition, and of a remembered pair, as measured.
+    STATE, MOVE, PAIR = 700, 230, 110
+
+    def __init__(self, ranks: dict[bytes, int], max_bytes: int = 200 << 20):
+        self.ranks, self.max_bytes = ranks, max_bytes
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.child: dict[int, int] = {}
         self.token_at, self.inner = [-1], [False]
@@ -62,7 +66,6 @@ class Transducer:
                     self.inner.append(False)
                 node = nxt
             self.token_at[node] = rank
-        self.pair_ok: dict[int, bool] = {}
         self.split_of: dict[int, tuple[int, int] | None] = {}
         self.edges: tuple[dict, dict] = ({}, {})
         self.reset()
@@ -72,6 +75,10 @@ class Transducer:
         self.number, self.sets = {start: 0}, [start]
         self.move: dict[int, tuple[int, tuple[int, ...]]] = {}
         self.last: dict[int, tuple[int, ...]] = {}
+        self.pair_ok: dict[int, bool] = {}
+
+    def full(self) -> bool:
+        return self.STATE * len(self.sets) + self.MOVE * len(self.move) + self.PAIR * len(self.pair_ok) > self.max_bytes
 
     def halves(self, token: int) -> tuple[int, int] | None:
         """The last merge that makes a token; None for single bytes and tokens that merging can't reach."""
@@ -122,8 +129,6 @@ class Transducer:
                             break
                     if not known:
                         break
-            if len(self.pair_ok) >= self.max_pairs:
-                self.pair_ok.clear()
             self.pair_ok[key] = known
         return known
 
@@ -158,7 +163,7 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.sets) > self.max_states:
+        if self.full():
             self.reset()
         out: list[int] = []
         state, move = 0, self.move
@@ -262,18 +267,23 @@ class StreamDecoder:
 
 
 class _Pieces(dict):
-    """Encodings of pieces met so far: (ids, the ids as decimal text). Emptied when full."""
+    """Encodings of pieces met so far: (ids, the ids as decimal text). Emptied when ``max_bytes`` are reached."""
+
+    #: Bytes of an entry and of each of its tokens, as measured.
+    ENTRY, TOKEN = 330, 20
 
-    def __init__(self, transducer: Transducer, limit: int = 400_000):
+    def __init__(self, transducer: Transducer, max_bytes: int = 96 << 20):
         super().__init__()
-        self.transducer, self.limit = transducer, limit
+        self.transducer, self.max_bytes, self.bytes = transducer, max_bytes, 0
 
     def __missing__(self, piece: str):
         ids = self.transducer.encode_piece(piece.encode())
         found = (ids, ",".join(map(str, ids)))
         if len(piece) <= 64:
-            if len(self) >= self.limit:
+            self.bytes += self.ENTRY + self.TOKEN * len(ids)
+            if self.bytes > self.max_bytes:
                 self.clear()
+                self.bytes = 0
             self[piece] = found
         return found
 
@@ -301,15 +311,9 @@ class Codec:
         return "".join([*out, self.decoder.finish()])
 
 
-_codecs: dict[int, Codec] = {}
-
-
 def _codec(shared) -> Codec:
     """One codec for each worker process and broadcast vocabulary."""
-    if shared.id not in _codecs:
-        _codecs.clear()
-        _codecs[shared.id] = Codec(shared.ranks.value)
-    return _codecs[shared.id]
+    return kept(("bpe", shared.id), lambda: Codec(shared.ranks.value))
 
 
 class _Shared:
@@ -324,13 +328,14 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
-        gc.disable()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):  # bounds what is held decoded and encoded at once
-                part = batch.slice(at, 256)
-                ids = [codec.encode(t or "") for t in part.column(1).to_pylist()]
+            for at in range(0, batch.num_rows, 64):  # bounds what is held decoded and encoded at once
+                part = batch.slice(at, 64)
+                with no_collection():
+                    ids = [codec.encode(t or "") for t in part.column(1).to_pylist()]
+                    texts = [codec.decode(x) for x in ids]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([codec.decode(x) for x in ids], pa.string())],
+                    [part.column(0), pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())],
                     ["id", "n_tokens", "token_ids", "decoded"],
                 )
 
@@ -344,14 +349,14 @@ def round_trip_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
-        gc.disable()  # the tables are large and hold no cycles; each collection would walk them
         for batch in batches:
             n, a, b = [], [], []
-            for text in batch.column(1):
-                ids, listed = codec.digest(text.as_py() or "")
-                n.append(len(ids))
-                a.append(hashlib.sha256(listed.encode()).hexdigest())
-                b.append(hashlib.sha256(codec.decode(ids).encode()).hexdigest())
+            with no_collection():
+                for text in batch.column(1):
+                    ids, listed = codec.digest(text.as_py() or "")
+                    n.append(len(ids))
+                    a.append(hashlib.sha256(listed.encode()).hexdigest())
+                    b.append(hashlib.sha256(codec.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())],
                 ["id", "n_tokens", "ids_sha256", "decoded_sha256"],

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.llm.worker import kept
 from lexmill.storage import stage
 
 UNKNOWN = "und"
@@ -186,12 +187,14 @@ def train(
 ) -> Model:
     """Piece probabilities of each language from the labelled rows of ``docs``.
 
-    ``sample_docs`` bounds the rows learned from: beyond it a hash of the id thins them.
+    ``sample_docs`` bounds the rows learned from. Each language may give an equal share of
+    them; a hash of the id thins those that have more, so a rare language is learned from whole.
     """
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    share = sample_docs / max(1, labelled.count())
-    if share < 1:
-        labelled = labelled.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < int(share * (1 << 30)))
+    sizes = stage(labelled.groupBy(F.col(lang_col).alias("_lang")).agg(F.count("*").alias("_rows")), "langid-sizes")  # one row for each language
+    each = max(1, sample_docs // max(1, sizes.count()))
+    thinned = labelled.join(F.broadcast(sizes), F.col(lang_col) == F.col("_lang"))
+    labelled = thinned.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) / float(1 << 30) * F.col("_rows") < each).drop("_lang", "_rows")
     counts = stage(word_counts(labelled, text_col, lang_col), "langid")
     langs = sorted(r[0] for r in counts.select("lang").distinct().collect())  # as many as there are languages
     pieces = load_pieces(vocabulary)
@@ -219,16 +222,17 @@ def train(
 
 
 class _Scorer:
-    """Log-probabilities of the words a worker has met; emptied when full."""
+    """Log-probabilities of the words a worker has met; emptied when ``max_bytes`` are reached."""
 
-    def __init__(self, pieces, model: Model, limit: int = 300_000):
-        self.lattice, self.model, self.limit, self.find = Lattice(pieces), model, limit, _letters()
+    def __init__(self, pieces, model: Model, max_bytes: int = 64 << 20):
+        self.lattice, self.model, self.find = Lattice(pieces), model, _letters()
+        self.limit = max_bytes // (180 + 8 * len(model.langs))  # a word with its place, and its row
         self.row: dict[str, int] = {}
         self.logs = np.zeros((1024, len(model.langs)))
 
     def learn(self, words: list[str]) -> None:
         if len(self.row) + len(words) > self.limit:
-            self.row.clear()
+            self.row, self.logs = {}, self.logs[:1024].copy()
         new = [w for w in words if w not in self.row]
         start = len(self.row)
         while start + len(new) > len(self.logs):
@@ -252,22 +256,17 @@ class _Scorer:
             yield self.model.langs[best], float(1 / np.exp(logs - logs[best]).sum())
 
 
-_scorers: dict[int, _Scorer] = {}
-
-
 def predict(docs: DataFrame, model: Model, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, lang_pred, score)`` for each row: the likeliest language and its posterior under even priors."""
     known = docs.sparkSession.sparkContext.broadcast((load_pieces(vocabulary), model))
     key = known._jbroadcast.id()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = _Scorer(*known.value)
+        scorer = kept(("langid", key), lambda: _Scorer(*known.value))
         for batch in batches:
             for at in range(0, batch.num_rows, 200):  # bounds the distinct words held at once
                 part = batch.slice(at, 200)
-                said = list(_scorers[key].predict(part.column(1).to_pylist()))
+                said = list(scorer.predict(part.column(1).to_pylist()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x for x, _ in said], pa.string()), pa.array([x for _, x in said], pa.float64())], ["id", "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -280,13 +279,11 @@ def identified(docs: DataFrame, model: Model, vocabulary: str, least_score: floa
     key, at_text = known._jbroadcast.id(), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = _Scorer(*known.value)
+        scorer = kept(("langid", key), lambda: _Scorer(*known.value))
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                said = _scorers[key].predict(part.column(at_text).to_pylist())
+                said = scorer.predict(part.column(at_text).to_pylist())
                 yield part.filter(pa.array([lang != UNKNOWN and score >= least_score for lang, score in said]))
 
     return docs.mapInArrow(run, docs.schema)
