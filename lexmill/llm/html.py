@@ -1,13 +1,18 @@
 """HTML to text with its layout: tree building with implied tags, then rendering.
 
 The tree builder knows void and raw-text elements and closes elements whose end is implied.
-Rendering leaves out what a browser doesn't show (head, scripts, hidden elements), keeps
-blocks on lines of their own and paragraphs apart by a blank line, indents and marks list
-items, and pads table cells to columns.
+Rendering leaves out what a browser doesn't show (head, scripts, hidden elements, all but the
+summary of closed details, options that aren't chosen), keeps blocks on lines of their own and
+paragraphs apart by a blank line, indents and marks list items, and pads table cells to
+columns, also under cells that span columns or rows.
+
+Time and output are linear in the markup. So items and quotes are indented up to ``LEVELS``
+deep, columns are aligned up to ``WIDEST`` wide (longer cells run over), spans reach up to
+``COLUMNS``, and tables inside more than ``TABLES`` others run on as blocks.
 
 Defined results: null and empty html give empty text; ill-formed markup never fails: stray
-end tags are dropped and open elements end with their parent; repeated rows are rendered each
-for itself; other columns are ignored.
+end tags are dropped, open elements end with their parent, and open quotes and comments reach
+to the end; repeated rows are rendered each for itself; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from pyspark.sql import functions as F
 #: Fixed values of the HTML standard: elements by how they are parsed and shown.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
-HIDDEN = frozenset("head script style template noscript title iframe noembed noframes object video audio canvas datalist svg math select".split())
+HIDDEN = frozenset("head script style template noscript title iframe noembed noframes object video audio canvas datalist annotation annotation-xml desc metadata defs".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr".split())
 BLOCKS = PARAGRAPHS | frozenset(
     "html body address article aside center details dialog dir div dd dt fieldset figcaption footer form header hgroup legend li main menu nav optgroup option search section summary tr td th thead tbody tfoot caption".split()
@@ -46,9 +51,11 @@ CLOSED_BY = {
 }
 CLOSES_P = (BLOCKS - frozenset("html body dt dd li tr td th thead tbody tfoot caption option optgroup legend".split())) | {"li", "dd", "dt"}
 FENCES = frozenset("table td th caption button".split())  # a paragraph outside these isn't closed from inside
+LISTS = frozenset("ul ol menu dir".split())
+LEVELS, WIDEST, COLUMNS, TABLES = 20, 200, 1000, 20
 HEAD_ONLY = frozenset("title base link meta script style noscript template".split())
 
-_MARKUP = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_MARKUP = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WHITE = re.compile(r"[ \t\n\f\r]+")
@@ -73,17 +80,17 @@ def parse(source: str) -> Node:
     root = Node("#root", {})
     open_: list[Node] = [root]
     names: list[str] = ["#root"]
+    places: dict[str, list[int]] = {}  # where elements of a name are open
 
     def close_to(depth: int) -> None:
-        del open_[depth:], names[depth:]
+        while len(names) > depth:
+            places[names.pop()].pop()
+            open_.pop()
 
     def last(wanted, stop=frozenset()) -> int:
-        for i in range(len(names) - 1, 0, -1):
-            if names[i] in wanted:
-                return i
-            if names[i] in stop:
-                return 0
-        return 0
+        """The innermost open element of the wanted ones, if no stop stands inside it."""
+        found = max([p[-1] for n in wanted if (p := places.get(n))], default=0)
+        return found if found and found >= max([p[-1] for n in stop if (p := places.get(n))], default=0) else 0
 
     at = 0
     while True:
@@ -107,7 +114,7 @@ def parse(source: str) -> Node:
                 close_to(depth)
         elif name:
             name = name.lower()
-            if name in ("html", "head", "body") and name in names:
+            if name in ("html", "head", "body") and places.get(name):
                 continue
             if names[-1] == "head" and name not in HEAD_ONLY and name != "head":
                 close_to(len(names) - 1)
@@ -129,6 +136,7 @@ def parse(source: str) -> Node:
                 node.children.append(entities.unescape(body) if name in ("textarea", "title") else body)
                 at = end.end() if end else len(source)
                 continue
+            places.setdefault(name, []).append(len(names))
             open_.append(node)
             names.append(name)
 
@@ -156,17 +164,20 @@ class Page:
         self.now: list[str] = []
         self.space = False
         self.gap = 0
-        self.indent: list[str] = []
+        self.prefixes: list[str] = [""]
         self.marker: str | None = None
 
+    def indent(self, columns: int) -> None:
+        self.prefixes.append(self.prefixes[-1] + " " * columns if len(self.prefixes) <= LEVELS else self.prefixes[-1])
+
     def end_line(self) -> None:
         if self.now:
             line = "".join(self.now).rstrip()
             if self.lines:
                 self.lines += [""] * self.gap
-            prefix = "".join(self.indent)
+            prefix = self.prefixes[-1]
             if self.marker is not None:
-                prefix = "".join(self.indent[:-1]) + self.marker
+                prefix = self.prefixes[-2] + self.marker
                 self.marker = None
             self.lines.append(prefix + line)
             self.gap = 0
@@ -213,8 +224,8 @@ def render(top: Node, depth: int = 0) -> str:
             if name == "li" or name == "dd" or name == "blockquote":
                 page.end_line()
                 page.marker = None
-                page.indent.pop()
-            if name in ("ul", "ol", "menu", "dir"):
+                page.prefixes.pop()
+            if name in LISTS:
                 lists.pop()
             if name == "q":
                 page.text("”")
@@ -241,7 +252,11 @@ def render(top: Node, depth: int = 0) -> str:
             if shown:
                 page.text(f" {shown} ")
             continue
-        if name == "table" and depth < 20:
+        if name == "select":
+            for shown in options(node):
+                page.text(f" {shown} ")
+            continue
+        if name == "table" and depth < TABLES:
             page.block(1)
             for line in table(node, depth).split("\n"):
                 if line:
@@ -251,7 +266,7 @@ def render(top: Node, depth: int = 0) -> str:
             continue
         if name in BLOCKS:
             page.block(1 if name in PARAGRAPHS and not (name in ("ul", "ol") and lists) else 0)
-        if name in ("ul", "ol", "menu", "dir"):
+        if name in LISTS:
             start = node.attributes.get("start", "1")
             lists.append([name == "ol", int(start) if re.fullmatch(r"-?[0-9]{1,9}", start) else 1])
         elif name == "li":
@@ -261,21 +276,46 @@ def render(top: Node, depth: int = 0) -> str:
                 lists[-1][1] += 1
             else:
                 page.marker = "- "
-            page.indent.append(" " * len(page.marker))
+            page.indent(len(page.marker))
         elif name == "dd" or name == "blockquote":
-            page.indent.append("  ")
+            page.indent(2)
         elif name == "q":
             page.text("“")
         todo.append(("close", node, pre))
         inner = pre or name in ("pre", "textarea", "xmp")
-        todo.extend(("open", child, inner) for child in reversed(node.children))
+        shown = node.children
+        if name == "details" and "open" not in node.attributes:
+            shown = [c for c in shown if isinstance(c, Node) and c.name == "summary"][:1]
+        todo.extend(("open", child, inner) for child in reversed(shown))
     page.end_line()
     return "\n".join(page.lines)
 
 
+def options(node: Node) -> list[str]:
+    """What a selection shows: its chosen options, or the first; all of them in an open list."""
+    found, todo = [], list(reversed(node.children))
+    while todo:
+        child = todo.pop()
+        if isinstance(child, Node) and visible(child):
+            if child.name == "option":
+                found.append(child)
+            else:
+                todo.extend(reversed(child.children))
+    size = node.attributes.get("size", "1")
+    if "multiple" not in node.attributes and not (size.isdecimal() and size.isascii() and int(size[:9]) > 1):
+        found = [o for o in found if "selected" in o.attributes][-1:] or found[:1]
+    return [" ".join(t for t in o.children if isinstance(t, str)).strip() for o in found]
+
+
+def _span(cell: Node, name: str) -> int:
+    said = cell.attributes.get(name, "1")
+    return max(1, min(int(said[:6]), 1 << 16)) if said.isdecimal() and said.isascii() else 1
+
+
 def table(node: Node, depth: int) -> str:
     """A table's captions, then its rows; cells of a column begin at the same place."""
     captions, rows = [], []
+    below: dict[int, int] = {}  # columns that a cell above spans, and how many rows more
     todo = list(reversed(node.children))
     while todo:
         child = todo.pop()
@@ -288,13 +328,25 @@ def table(node: Node, depth: int) -> str:
             captions.append(render(_inside(child), depth + 1))
         elif child.name == "tr":
             cells: list[str] = []
+            ahead: dict[int, int] = {}
+
+            def skip(cells=cells, ahead=ahead) -> None:
+                while (more := below.get(len(cells))) is not None:
+                    if more > 1:
+                        ahead[len(cells)] = more - 1
+                    cells.append("")
+
             for cell in child.children:
+                skip()
                 if isinstance(cell, Node) and visible(cell):
-                    cells.append(render(_inside(cell), depth + 1))
-                    span = cell.attributes.get("colspan", "1")
-                    cells += [""] * (min(int(span), 1000) - 1 if span.isdecimal() and span.isascii() and int(span) else 0)
+                    wide, high = min(_span(cell, "colspan"), max(1, COLUMNS - len(cells))), _span(cell, "rowspan")
+                    if high > 1 and len(cells) < COLUMNS:
+                        ahead |= dict.fromkeys(range(len(cells), len(cells) + wide), high - 1)
+                    cells += [render(_inside(cell), depth + 1), *[""] * (wide - 1)]
                 elif isinstance(cell, str) and cell.strip():
                     cells.append(cell.strip())
+            skip()
+            below = ahead | {c: n - 1 for c, n in below.items() if c >= len(cells) and n > 1}
             rows.append([c.split("\n") for c in cells])
         elif child.name in ("thead", "tbody", "tfoot", "colgroup"):
             todo.extend(reversed(child.children))
@@ -305,7 +357,7 @@ def table(node: Node, depth: int) -> str:
         for i, cell in enumerate(row):
             if i == len(widths):
                 widths.append(0)
-            widths[i] = max(widths[i], *map(width, cell))
+            widths[i] = min(WIDEST, max(widths[i], *map(width, cell)))
     lines = [c for c in captions if c]
     for row in rows:
         for k in range(max(map(len, row), default=0)):
