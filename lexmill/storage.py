@@ -47,19 +47,19 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
     return out
 
 
-def free(*staged: DataFrame) -> None:
-    """Delete tables that nothing reads any more: what was made of them is written by now."""
-    for df in staged:
-        for entry in [x for x in _staged if x[1] == df.staged_at]:
+def free(*staged: DataFrame | str) -> None:
+    """Delete tables, or new paths, that nothing reads any more: what was made of them is written by now."""
+    for item in staged:
+        for entry in [x for x in _staged if x[1] == (item if isinstance(item, str) else item.staged_at)]:
             _delete(entry[2], entry[1])
             _staged.remove(entry)
 
