@@ -2,10 +2,14 @@
 
 Each source is a line of its documents in hashed order, cut into blocks of equally many words.
 Slot t of the schedule takes the point ``frac((t + 1) * golden ratio)`` through the cumulative
-weights of the sources, weighted by the blocks they owe, to a source; slots are ranked inside
-their source and the r-th slot takes the r-th block, starting over at the line's end. Slots
-beyond what a source owes are dropped, and the few blocks still owed come last. The last block
-of a source is cut at its target, so each source is taken to the word.
+shares of the sources, which are the blocks that their targets come to. The source whose share
+holds the point gets the slot; slots are ranked inside their source, and the r-th takes the
+r-th block, starting over at the line's end. So the points alone decide how often each block
+is taken and when. Any run of slots has each source within a few blocks of its share, and so
+has the whole mix; what a source would get beyond three times its line is left out.
+
+There are as many slots as the words come to in blocks of ``block_words`` (2048), but at least
+``least_slots``: blocks of small tables are shorter, which keeps a few of them a small share.
 
 All prefix sums and ranks are two-level (inside bounded buckets, then over the buckets), so a
 hot source doesn't meet in one task.
@@ -17,6 +21,8 @@ equal rows and taken each for itself; an empty table gives no rows; other column
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,6 +33,8 @@ from lexmill.storage import stage
 WEIGHTS, MOST_EPOCHS = (5.0, 2.0, 1.0), 3
 #: 2**64 divided by the golden ratio, made odd: its multiples mod 2**64 are the points.
 GOLDEN = 0x9E3779B97F4A7C15
+#: Parts of the unit interval by which points find their source.
+CELLS = 1024
 
 
 def targets(sources: list[tuple[str | None, int]], weights=WEIGHTS, most: float = MOST_EPOCHS) -> list[float]:
@@ -60,42 +68,51 @@ def running(df: DataFrame, key: str, bucket: str, order: list, size: str, out: s
     return df.withColumn("_b", F.sum(size).over(within) - F.col(size)).join(sums, [key, bucket]).withColumn(out, F.col("_0") + F.col("_b")).drop("_0", "_b")
 
 
-def schedule(spark: SparkSession, owed: list[int], seed: int = 0, bucket_slots: int = 1 << 16) -> DataFrame:
-    """``(slot, source, turn)``: which source each slot takes, and that source's how-manieth slot it is.
+def rows_of(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A small table out of one literal, without Python workers."""
+    made = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")
+    return spark.range(1).select(F.explode(made).alias("r")).select("r.*")
 
-    ``owed`` is the number of blocks of each source, by source number.
-    """
-    slots = sum(owed)
-    if not slots:
-        return spark.createDataFrame([], "slot long, source int, turn long")
-    bounds, done = [], 0
-    for n in owed:
-        done += n
-        bounds.append(done / slots)
+
+def points(spark: SparkSession, slots: int, seed: int, step: int) -> DataFrame:
+    """``(slot, u)``: the points ``frac((slot + seed + 1) * step / 2**64)`` to 53 bits."""
     parts = max(1, min(10_000, slots // 200_000 + 1))
-    step = GOLDEN >> 11  # 53 bits, in 2**53 steps of the unit interval
-    half = 1 << 26
+    step, half = step >> 11, 1 << 26  # in 2**53 steps of the unit interval
     t = f"(id + {seed + 1})"
     # (t * step) mod 2**53 without leaving 64 bits: t is split at 26 bits.
     low = f"({t} & {half - 1}) * {step % (1 << 27)} + shiftleft((({t} & {half - 1}) * {step >> 27}) & {half - 1}, 27)"
     high = f"shiftleft(((shiftright({t}, 26) & {(1 << 27) - 1}) * {step & ((1 << 27) - 1)}) & {(1 << 27) - 1}, 26)"
-    point = f"(pmod(({low}) + ({high}), {1 << 53}) / {float(1 << 53)!r}D)"
-    source = "case " + " ".join(f"when u < {b!r}D then {i}" for i, b in enumerate(bounds[:-1])) + f" else {len(owed) - 1} end" if len(owed) > 1 else "0"
-    drawn = spark.range(0, slots, 1, parts).select(F.col("id").alias("slot"), F.expr(point).alias("u")).select("slot", F.expr(source).cast("int").alias("source"))
-    drawn = drawn.withColumn("_bucket", F.expr(f"slot div {bucket_slots}")).withColumn("_1", F.lit(1).cast("long"))
-    ranked = running(drawn, "source", "_bucket", ["slot"], "_1", "turn").select("slot", "source", "turn")
-    due = spark.createDataFrame(list(enumerate(owed)), "source int, owed long")  # one row for each source
-    ranked = ranked.join(F.broadcast(due), "source").where("turn < owed").drop("owed")
-    got = ranked.groupBy("source").agg(F.count("*").alias("got"))
-    late = due.join(got, "source", "left").withColumn("got", F.coalesce("got", F.lit(0))).where("got < owed")
-    late = late.select((F.lit(slots) + F.col("source")).alias("slot"), "source", F.explode(F.sequence("got", F.col("owed") - 1)).alias("turn"))
-    return ranked.select("slot", "source", "turn").unionByName(late)
-
-
-def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", block_words: int = 2048, bucket_rows: int = 4_000, seed: int = 0) -> DataFrame:
-    """``(id, row_hash, size, source_size, target, taken)`` for each row of ``docs``: how many of its words the mix takes.
-
-    ``row_hash`` tells rows that share an id apart by their text and source.
+    return spark.range(0, slots, 1, parts).select(F.col("id").alias("slot"), F.expr(f"pmod(({low}) + ({high}), {1 << 53}) / {float(1 << 53)!r}D").alias("u"))
+
+
+def schedule(spark: SparkSession, owed: list[float], seed: int = 0, bucket_slots: int = 1 << 16, step: int = GOLDEN) -> DataFrame:
+    """``(slot, source, turn)``: which source each slot takes, and that source's how-manieth slot it is.
+
+    ``owed`` is each source's number of blocks, by source number; there are as many slots as
+    all of them come to.
+    """
+    total, done, shares = sum(owed), 0.0, []
+    for i, n in enumerate(owed):
+        if n > 0:
+            shares.append({"source": i, "lo": done / total, "hi": min(1.0, (done + n) / total)})
+            done += n
+    if shares:
+        shares[-1]["hi"] = 2.0  # rounding leaves no point beyond the last
+    cells = rows_of(spark, shares, "source int, lo double, hi double").select("*", F.explode(F.expr(f"sequence(cast(floor(lo * {CELLS}) as int), cast(floor(least(hi, 1D) * {CELLS}) as int))")).alias("_cell"))
+    drawn = points(spark, round(total), seed, step).withColumn("_cell", F.expr(f"cast(floor(u * {CELLS}) as int)"))
+    # One row for each source, and at most one more for each cell.
+    found = drawn.join(F.broadcast(cells), "_cell").where("u >= lo and u < hi").select("slot", "source", F.expr(f"slot div {bucket_slots}").alias("_bucket"), F.lit(1).cast("long").alias("_1"))
+    return running(found, "source", "_bucket", ["slot"], "_1", "turn").select("slot", "source", "turn")
+
+
+def mix(
+    docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", block_words: int = 2048, least_slots: int = 1 << 16, bucket_rows: int = 4_000, seed: int = 0, step: int = GOLDEN
+) -> DataFrame:
+    """``(id, row_hash, size, source_size, target, taken, slots)`` for each row of ``docs``.
+
+    ``taken`` counts the words that the mix takes. ``slots`` are the places at which it comes
+    to the row's first word, one for each time. ``row_hash`` tells rows that share an id apart
+    by their text and source.
     """
     spark = docs.sparkSession
     sized = stage(
@@ -104,41 +121,36 @@ def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", tex
     # One row for each source; there are as many as the list of sources has names.
     sums = sorted(((r.name, r.size, r.n) for r in sized.groupBy("name").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()), key=lambda x: (x[0] is None, x[0] or ""))
     target = targets([(s, n) for s, n, _ in sums])
-    take = [min(round(t), MOST_EPOCHS * n) for t, (_, n, _) in zip(target, sums, strict=True)]
-    lengths = [n for _, n, _ in sums]
-    # Blocks of a source: equal, but for the one at the line's end.
-    per_epoch = [-(-n // block_words) for n in lengths]
-    owed = [0 if not n else (k // n) * b + -(-(k % n) // block_words) for k, n, b in zip(take, lengths, per_epoch, strict=True)]
-    facts = spark.createDataFrame(
-        [(i, s, n, t, k, b, max(1, c // bucket_rows + 1)) for i, (s, n, t, k, b, c) in enumerate(zip([x[0] for x in sums], lengths, target, take, per_epoch, [x[2] for x in sums], strict=True))],
-        "source int, name string, source_size long, target double, take long, blocks long, buckets long",
+    block = max(1, min(block_words, sum(n for _, n, _ in sums) // least_slots))
+    # A line's last block may be short: what a source owes is counted in lines, each of so many blocks.
+    lines = [-(-n // block) for _, n, _ in sums]
+    owed = [t / n * b if n else 0.0 for t, (_, n, _), b in zip(target, sums, lines, strict=True)]
+    facts = rows_of(
+        spark,
+        [{"source": i, "name": s, "source_size": n, "target": t, "blocks": b, "buckets": c // bucket_rows + 1} for i, ((s, n, c), t, b) in enumerate(zip(sums, target, lines, strict=True))],
+        "source int, name string, source_size long, target double, blocks long, buckets long",
     )
     named = sized.join(F.broadcast(facts), sized["name"].eqNullSafe(facts["name"])).drop("name")
-    ordered = named.groupBy("id", "row_hash", "source", "size", "source_size", "target", "take", "blocks", "buckets").agg(F.count("*").alias("_n"))
+    ordered = named.groupBy("id", "row_hash", "source", "size", "source_size", "target", "buckets").agg(F.count("*").alias("_n"))
     ordered = ordered.withColumn("ordinal", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).drop("_n")
     ordered = ordered.withColumn("h", F.xxhash64(F.lit(seed), "id", "row_hash", "ordinal"))
     ordered = ordered.withColumn("_bucket", F.expr("cast(floor((h / 18446744073709551616D + 0.5D) * buckets) as int)"))
     line = stage(running(ordered, "source", "_bucket", ["h", "id", "row_hash", "ordinal"], "size", "at"), "mix-line")
-    plan = schedule(spark, owed, seed)
-    # How often each block is taken, and how many words of it the last time: the target ends inside a block.
     taken = (
-        plan.join(F.broadcast(facts), "source")
-        .select("source", F.expr("turn div blocks").alias("epoch"), F.expr("turn % blocks").alias("block"), "source_size", "take")
-        .withColumn("from", F.col("block") * block_words)
-        .withColumn("words", F.least(F.lit(block_words), F.col("source_size") - F.col("from"), F.col("take") - F.col("epoch") * F.col("source_size") - F.col("from")))
-        .where("words > 0")
-        .groupBy("source", "block")
-        .agg(F.count("*").alias("times"), F.sort_array(F.collect_list("words")).alias("words"))  # at most three
+        schedule(spark, owed, seed, step=step)
+        .join(F.broadcast(facts.select("source", "blocks")), "source")
+        .where(F.col("turn") < MOST_EPOCHS * F.col("blocks"))
+        .groupBy("source", F.expr("turn % blocks").alias("block"))
+        .agg(F.sort_array(F.collect_list("slot")).alias("slots"))  # at most three
     )
     key = ["_id", "row_hash", "source", "ordinal"]
     line = line.withColumn("_id", F.coalesce(F.col("id").cast("string"), F.lit("")))  # joins don't match nulls
-    pieces = line.where("size > 0").select(*key, "at", "size", F.explode(F.expr(f"sequence(at div {block_words}, (at + size - 1) div {block_words})")).alias("block"))
-    start = f"greatest(at, block * {block_words}) - block * {block_words}"
-    stop = f"least(at + size, (block + 1) * {block_words}) - block * {block_words}"
+    pieces = line.where("size > 0").select(*key, "at", "size", F.explode(F.expr(f"sequence(at div {block}, (at + size - 1) div {block})")).alias("block"))
+    overlap = f"(least(at + size, (block + 1) * {block}) - greatest(at, block * {block}))"
     got = (
         pieces.join(taken, ["source", "block"])
-        .withColumn("_got", F.expr(f"aggregate(words, 0L, (n, w) -> n + greatest(0L, least(w, {stop}) - ({start})))"))
         .groupBy(*key)
-        .agg(F.sum("_got").alias("taken"))
+        .agg(F.sum(F.expr(f"size(slots) * {overlap}")).alias("taken"), F.max(F.when(F.expr(f"block = at div {block}"), F.col("slots"))).alias("slots"))
     )
-    return line.join(got, key, "left").select(F.col("id").alias(id_col), "row_hash", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    none = F.array().cast("array<long>")
+    return line.join(got, key, "left").select(F.col("id").alias(id_col), "row_hash", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("slots", none).alias("slots"))

@@ -63,7 +63,8 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    mixed = mix.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.try_element_at("slots", F.lit(1)).alias("first_slot"))
 
 
 def op10_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,13 +90,14 @@ QUERIES = {
 #: SQL twins. The others rest on trained models, hashes or automata and are tested against brute force.
 ORACLES: dict[str, str] = {
     "op2_warc_chain": """with p as (select page_id, coalesce(html, '') as html from pages), d as (select page_id, octet_length(encode(html))::bigint as payload_bytes, sha1(encode(html)) as payload_digest from p),
-        m as (select *, max(page_id) over (partition by payload_digest, payload_bytes) as top from d)
-        select page_id, payload_bytes, payload_digest, case when payload_bytes >= 1000 and page_id <> top then 'revisit' else 'response' end as record_type, case when payload_bytes >= 1000 and page_id <> top then top end as refers_to from m""",
+        m as (select *, max(page_id) over (partition by payload_digest, payload_bytes) as top, payload_bytes >= 1000 and row_number() over (partition by payload_digest, payload_bytes order by page_id desc nulls last) > 1 as again from d)
+        select page_id, payload_bytes, payload_digest, case when again then 'revisit' else 'response' end as record_type, case when again then top end as refers_to from m""",
     "op5_byte_shards": f"""with s as (select doc_id, (octet_length(encode(coalesce(text, ''))) + 8)::bigint as size, {crc("coalesce(text, '')")} as text_crc32 from documents),
-        l as (select *, sum(size) over (order by doc_id, text_crc32, size rows unbounded preceding) - size as before, sum(size) over () as total from s), c as (select *, least(23, ((2 * before + size) * 24) // (2 * total))::int as shard from l)
-        select doc_id, size, text_crc32, 'bytes' as law, shard, (row_number() over (partition by shard order by doc_id, text_crc32, size) - 1)::bigint as slot, null::int as grown_shard from c""",
+        l as (select *, sum(size) over (order by doc_id nulls first, text_crc32, size rows unbounded preceding) - size as before, sum(size) over () as total from s), c as (select *, least(23, ((2 * before + size) * 24) // (2 * total))::int as shard from l)
+        select doc_id, size, text_crc32, 'bytes' as law, shard, (row_number() over (partition by shard order by doc_id nulls first, text_crc32, size) - 1)::bigint as slot, null::int as grown_shard from c""",
     "op6_pivot_topk": """with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as v from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-        s as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score from v q join v c on c.vec_id <> q.vec_id where q.vec_id % 20 = 0),
+        q as (select vec_id, max(v) as v from v where vec_id % 20 = 0 group by vec_id),
+        s as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score from q join v c on c.vec_id <> q.vec_id),
         r as (select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score from s)
         select query_id, rank, vec_id, score from r where rank <= 20""",
     "op10_hyperminhash": r"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
