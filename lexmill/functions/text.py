@@ -21,13 +21,16 @@ DEFECTS = (
     rf"(?:\A|[^\p{{L}}\p{{N}}_])(?:le|la|les|en|du|de|des|au|aux|à|vers)[{S}]+[,;)]",
     r"\{\{|\}\}|\|\||==|<[a-z/][^>]*>",
 )
+#: What any of them asks for, quick to look for: two blanks, a bracket, a mark after white space or at the start, or markup.
+DEFECT_SIGNS = rf"  |\x{{a0}}\x{{a0}}|[(\[{{}}|=<]|[{S}][.,;)]|\A,"
 #: Titles of closing sections, after which an article is cut.
 TAIL_SECTIONS = (
     "notes et références", "notes", "références", "référence", "liens externes", "voir aussi", "bibliographie", "articles connexes",
     "annexes", "sources", "publications", "filmographie", "discographie", "liens internes", "lien externe",
 )
 SENTENCE_END, SENTENCE_START = "[.!?…»]", r'[A-ZÀ-ÖØ-Þ«"“(\p{Nd}]'
-TERMINAL = r"[.!?…»)\"”]\z"
+CLOSING = ".!?…»)\"”"
+TERMINAL = rf"[{CLOSING}]\z"
 #: Articles that answers are compared without.
 ARTICLES = ("le", "la", "les", "l", "un", "une", "des", "du", "de", "d", "au", "aux")
 
@@ -50,8 +53,8 @@ def defect_rules(c: Column) -> list[Column]:
 
 
 def defective(c: Column) -> Column:
-    """Whether any rule hits; one pass over the text for all of them."""
-    return c.rlike("|".join(f"(?:{p})" for p in DEFECTS))
+    """Whether any rule hits. Few texts show a sign of one; those are looked at rule by rule, in one pass."""
+    return c.rlike(DEFECT_SIGNS) & c.rlike("|".join(f"(?:{p})" for p in DEFECTS))
 
 
 def sentences(c: Column, stripped: bool = False) -> Column:
@@ -61,7 +64,7 @@ def sentences(c: Column, stripped: bool = False) -> Column:
 def is_title(c: Column, stripped: bool = False) -> Column:
     """A short line without closing punctuation."""
     s = c if stripped else strip(c)
-    return (F.length(s) <= 90) & ~s.rlike(TERMINAL) & (F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit(""))) <= 12)
+    return (F.length(s) <= 90) & ~F.coalesce(F.right(s, F.lit(1)).isin(*CLOSING), F.lit(False)) & (F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit(""))) <= 12)
 
 
 def lines(c: Column) -> Column:
@@ -70,7 +73,7 @@ def lines(c: Column) -> Column:
 
 
 def is_tail(line: Column) -> Column:
-    return F.regexp_replace(F.lower(line), "[ :]+$", "").isin(*TAIL_SECTIONS)
+    return F.rtrim(F.lower(line), F.lit(" :")).isin(*TAIL_SECTIONS)
 
 
 def paragraph(found: Column, most_dropped: float = 0.4) -> Column:
@@ -91,15 +94,11 @@ def body_lines(c: Column) -> Column:
 
 
 def judged_lines(c: Column) -> Column:
-    """``(n, kept)`` for each body line: its sentences, and those without defects.
-
-    A defect in a sentence is one in its line too: what the rules ask for at a sentence's
-    ends, the white space around it in the line fulfils. So most lines need one look.
-    """
+    """``(n, kept)`` for each body line: its sentences, and those without defects. A line without signs of one needs one look."""
 
     def one(line):
         def judged(found):
-            kept = F.when(defective(line), F.filter(found, lambda s: ~defective(s))).otherwise(found)
+            kept = F.when(line.rlike(DEFECT_SIGNS), F.filter(found, lambda s: ~defective(s))).otherwise(found)
             return F.struct(F.size(found).alias("n"), kept.alias("kept"))
 
         return let(sentences(line, stripped=True), judged)
