@@ -10,11 +10,11 @@ from lexmill.functions.text import first_filled, strip
 from lexmill.operators.corpus import survivors
 
 #: Phrases about the assistant's identity in questions and in answers.
-IDENTITY_QUESTIONS = (
+ASKS_WHO = (
     "qui es-tu", "qui êtes-vous", "tu es qui", "comment t'appelles", "comment vous appelez", "ton nom", "ton prénom", "qui t'a créé",
     "qui t'a conçu", "es-tu un", "es-tu une", "présente-toi", "présentez-vous",
 )
-IDENTITY_ANSWERS = (
+SAYS_WHO = (
     "openai", "chatgpt", "gpt-3", "gpt-4", "en tant qu'ia", "en tant qu'intelligence artificielle", "en tant que modèle de langage",
     "en tant qu'assistant", "en tant qu'ai", "je suis une ia", "je suis une intelligence artificielle", "je suis un assistant",
     "assistant virtuel", "open assistant", "open-assistant", "laion",
@@ -28,7 +28,7 @@ def pair(question: Column, answer: Column) -> Column:
     return F.array(message("user", question), message("assistant", answer))
 
 
-def about_identity(question: Column, answer: Column, in_question=IDENTITY_QUESTIONS, in_answer=IDENTITY_ANSWERS) -> Column:
+def about_identity(question: Column, answer: Column, in_question=ASKS_WHO, in_answer=SAYS_WHO) -> Column:
     """Whether a pair says who the assistant is: such pairs would contradict the persona that is trained in."""
     plain = lambda c: F.replace(F.lower(c), F.lit("’"), F.lit("'"))
     found = lambda c, phrases: F.exists(F.array(*map(F.lit, phrases)), lambda k: F.contains(c, k))

@@ -526,7 +526,7 @@ _PLAIN = "replace(lower({}), '’', '''')"
 
 def _contradicts(q: str, a: str) -> str:
     quote = lambda k: k.replace("'", "''")
-    return "(" + " or ".join([*(f"contains({_PLAIN.format(q)}, '{quote(k)}')" for k in sft.IDENTITY_QUESTIONS), *(f"contains({_PLAIN.format(a)}, '{quote(k)}')" for k in sft.IDENTITY_ANSWERS)]) + ")"
+    return "(" + " or ".join([*(f"contains({_PLAIN.format(q)}, '{quote(k)}')" for k in sft.ASKS_WHO), *(f"contains({_PLAIN.format(a)}, '{quote(k)}')" for k in sft.SAYS_WHO)]) + ")"
 
 
 @query(f"select conv_id, turn, {_contradicts('q', 'text')} as contradicts from (select *, case when turn % 5 = 0 then 'Qui es-tu ? ' || text when turn % 5 = 1 then text || ' En tant qu’IA' else text end as q from conversations)")
