@@ -8,11 +8,14 @@
    member: a star, as long as the bucket. Pairs pass the size bound, then the
    collision-corrected Jaccard estimate, then exact verification on both whole texts.
 4. Components of the confirmed links. Buckets that still hold several components are gone
-   through again in cells of bounded size: every pair of members whose components differ.
+   through again in cells of bounded size: every pair of members whose components differ. The
+   sketches meet first; texts are fetched only for members that have a partner by them.
 5. Components again: each document gets the smallest id it reaches.
 
 Step 4 covers every pair that shares a bucket, so links are lost only where no band agrees
-(under 1e-6 at the threshold) or the estimate falls four and a half deviations short.
+(under 1e-6 at the threshold) or the estimate falls four and a half deviations short; how many
+registers are independent of each other, which that deviation depends on, follows from the
+size of the smaller set (``Bound.least_estimate``). The README has measured recall by size.
 
 Defined results: null and empty texts have an empty set, stay alone and are kept; rows whose
 id is null stay alone (null component) and are kept; rows that repeat an id are one document
@@ -32,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.graph import components
+from lexmill.llm.worker import kept
 from lexmill.storage import stage
 
 WIDTH, THRESHOLD = 5, 85  # words in a shingle; percent
@@ -61,11 +65,13 @@ class Bound:
     def bands(self) -> int:
         return BUCKETS // self.rows
 
-    @functools.cached_property
-    def least_estimate(self) -> float:
-        """Four and a half standard deviations of the estimate under the threshold."""
-        at = self.percent / 100
-        return at - 4.5 * (at * (1 - at) / BUCKETS) ** 0.5
+    def least_estimate(self, sizes: np.ndarray) -> np.ndarray:
+        """Four and a half standard deviations of the estimate under the threshold, for sets of these sizes.
+
+        Small sets leave buckets empty, which borrow: only the others say something of their own.
+        """
+        at, own = self.percent / 100, BUCKETS * -np.expm1(-np.maximum(sizes, 1) / BUCKETS)
+        return at - 4.5 * np.sqrt(at * (1 - at) / own)
 
     def cut(self, regs: np.ndarray) -> np.ndarray:
         """Sketches as bands; registers that fill no band are left to the estimate."""
@@ -90,22 +96,27 @@ _PROBES = np.argsort(
 
 
 class _Words(dict):
+    """Hashes of the words a worker has met; emptied when ``max_bytes`` are reached."""
+
+    def __init__(self, max_bytes: int = 64 << 20):
+        super().__init__()
+        self.max_bytes, self.bytes = max_bytes, 0
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        self.bytes += 210 + len(word)
+        if self.bytes > self.max_bytes:
             self.clear()
+            self.bytes = 0
         found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found
 
 
-_words = _Words()
-
-
 def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the 5-word shingles; of a shorter text, of its whole sequence."""
     words = (text or "").encode().lower().split()  # bytes: only A-Z change, only ASCII white space splits
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(kept("words", _Words).__getitem__, words), np.uint64, len(words))
     if len(h) < WIDTH:
         total = (h * _FACTORS[: len(h)]).sum(dtype=np.uint64, keepdims=True) + _U(len(h))
         return _scramble(total)
@@ -143,29 +154,24 @@ def _chance(a: int, b: int) -> float:
     return float((p[0] * p[1]).sum())
 
 
-def collision_chance(n: int, m: int) -> float:
-    load = [round(4 * np.log2(max(1.0, x / BUCKETS))) for x in sorted((n, m))]
-    return _chance(*load)
-
-
-def estimates(one: np.ndarray, n: int, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Jaccard estimates of one sketch with others, corrected for registers that agree by chance."""
-    agree = (others == one).mean(axis=1)
-    loads = np.round(4 * np.log2(np.maximum(1.0, sizes / BUCKETS)))
-    chance = np.empty(len(sizes))
-    for load in np.unique(loads):
-        at = loads == load
-        chance[at] = collision_chance(n, sizes[at][0])
+def estimates(one: np.ndarray, n: np.ndarray, other: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Jaccard estimates of pairs of sketches of sets of n and m shingles, corrected for registers that agree by chance."""
+    agree = (one == other).mean(axis=1)
+    loads = [np.round(4 * np.log2(np.maximum(1.0, np.broadcast_to(x, agree.shape) / BUCKETS))).astype(np.int64) for x in (n, m)]
+    load, place = np.unique(np.minimum(*loads) << 32 | np.maximum(*loads), return_inverse=True)
+    chance = np.array([_chance(int(x >> 32), int(x & 0xFFFFFFFF)) for x in load])[place] if len(load) else np.empty(0)
     return (agree - chance) / (1 - chance)
 
 
-def plausible(one: np.ndarray, n: int, others: np.ndarray, sizes: np.ndarray, bound: Bound) -> np.ndarray:
-    """Pairs that the size bound and the estimate leave: no set shares more than the smaller holds."""
-    fits = 100 * np.minimum(sizes, n) >= bound.percent * np.maximum(sizes, n)
-    out = np.zeros(len(sizes), bool)
-    at = np.flatnonzero(fits)
+def plausible(one: np.ndarray, n: np.ndarray, other: np.ndarray, m: np.ndarray, bound: Bound) -> np.ndarray:
+    """Pairs that the size bound and the estimate leave: no set shares more than the smaller holds. Sketches and sizes broadcast."""
+    least, most = np.minimum(n, m), np.maximum(n, m)
+    out = np.asarray(100 * least >= bound.percent * most)
+    at = np.flatnonzero(out)
     if len(at):
-        out[at] = estimates(one, n, others[at], sizes[at]) >= bound.least_estimate
+        pick = lambda x, width: np.broadcast_to(x, (len(out), *width))[at]
+        found = estimates(pick(one, (BUCKETS,)), pick(n, ()), pick(other, (BUCKETS,)), pick(m, ()))
+        out[at] = found >= bound.least_estimate(least[at])
     return out
 
 
@@ -253,8 +259,8 @@ def estimated(pairs: DataFrame, reps: DataFrame, bound: Bound) -> DataFrame:
                 continue
             n, m = np.array(batch.column(2)), np.array(batch.column(4))
             regs_a, regs_b = _regs(batch.column(3)), _regs(batch.column(5))
-            ok = [bool(plausible(regs_a[i], n[i], regs_b[i : i + 1], m[i : i + 1], bound)[0]) for i in range(len(n))]
-            yield pa.RecordBatch.from_arrays([x.filter(pa.array(ok)) for x in (batch.column(0), batch.column(1))], ["a", "b"])
+            ok = pa.array(plausible(regs_a, n, regs_b, m, bound))
+            yield pa.RecordBatch.from_arrays([x.filter(ok) for x in (batch.column(0), batch.column(1))], ["a", "b"])
 
     one = reps.select(F.col("id").alias("a"), F.col("n_shingles").alias("n"), F.col("regs").alias("ra"))
     two = reps.select(F.col("id").alias("b"), F.col("n_shingles").alias("m"), F.col("regs").alias("rb"))
@@ -306,7 +312,8 @@ def rest_links(members: DataFrame, reps: DataFrame, labels: DataFrame, docs: Dat
     """``(a, b)``: links between members of one bucket that lie in different components so far.
 
     A bucket's largest component need not meet itself: the other members (``minor``) are cut
-    into chunks, and each chunk meets chunks of all members in a cell. Texts come along, so
+    into chunks, and each chunk meets chunks of all members in a cell. Sketches meet first and
+    leave the members that have a partner by them; these meet again with their texts, so
     pairs are refuted where they meet and only links leave. A pair is looked at in the first
     band in which it agrees, and not where the cell's links have joined it already.
     """
@@ -316,11 +323,53 @@ def rest_links(members: DataFrame, reps: DataFrame, labels: DataFrame, docs: Dat
     top = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("comps")).where("comps > 1")
     top = stage(top.select("key", F.col("top.comp").alias("major"), "all", (F.col("all") - F.col("top.n")).alias("others")), "mixed-buckets")
     rows = stage(rows.join(top, "key").withColumn("minor", F.col("comp") != F.col("major")).withColumn("h", F.xxhash64("id")), "mixed-members")
-    texts = needed_texts(rows.select("id").distinct(), docs, id_col, text_col)
     # Cells (u, v): chunk u of the minor members with chunk v of all members.
     as_minor = rows.where("minor").select("key", "id", "comp", F.lit(True).alias("asks"), F.expr(f"cast(pmod(h, others div {CELL} + 1) as int)").alias("u"), F.explode(F.expr(f"sequence(0, cast(`all` div {CELL} as int))")).alias("v"))
     as_any = rows.select("key", "id", "comp", F.lit(False).alias("asks"), F.explode(F.expr(f"sequence(0, cast(others div {CELL} as int))")).alias("u"), F.expr(f"cast(pmod(h, `all` div {CELL} + 1) as int)").alias("v"))
-    cells = as_minor.unionByName(as_any).join(reps.select("id", "n_shingles", "regs"), "id").join(texts, "id")
+    order = ["key", "u", "v"]
+    cells = as_minor.unionByName(as_any).join(reps.select("id", "n_shingles", "regs"), "id").select(*order, "asks", "id", "comp", "n_shingles", "regs")
+
+    def hits(key: int, packed: list[np.ndarray], bands: np.ndarray, comp: int, id_: int, n: int, regs: np.ndarray) -> np.ndarray:
+        """Of a chunk of minor members those that a member may be linked with, and meets here first."""
+        agree = (bands == bound.cut(regs)).all(axis=2)
+        found = np.flatnonzero((agree.argmax(axis=1) == key % 256) & agree.any(axis=1) & (packed[1] != comp) & (packed[0] != id_))
+        return found[plausible(packed[3][found], packed[2][found], regs, np.full(len(found), n), bound)]
+
+    def partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of cells that have a partner by their sketches."""
+        at = packed = bands = None
+        asking: list[tuple] = []
+        wanted: set[int] = set()
+
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], [*order, "asks", "id", "comp", "n_shingles", "regs"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            out, sketched = [], _regs(batch.column(7))
+            for i, row in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                if row[:3] != at:
+                    out += [asking[j] for j in sorted(wanted)]
+                    at, asking, packed, wanted = row[:3], [], None, set()
+                if row[3]:
+                    asking.append(row)
+                elif asking:
+                    if packed is None:
+                        packed = [np.array([r[c] for r in asking]) for c in (4, 5, 6)]
+                        packed.append(np.frombuffer(b"".join(r[7] for r in asking), np.uint16).reshape(-1, BUCKETS))
+                        bands = bound.cut(packed[3])
+                    found = hits(row[0], packed, bands, row[5], row[4], row[6], sketched[i])
+                    if len(found):
+                        wanted.update(found.tolist())
+                        out.append(row)
+            yield made(out)
+        yield made([asking[j] for j in sorted(wanted)])
+
+    schema = "key long, u int, v int, asks boolean, id long, comp long, n_shingles long, regs binary"
+    met = stage(cells.repartition(*order).sortWithinPartitions(*order, F.col("asks").desc()).mapInArrow(partnered, schema), "partnered")
+    texts = needed_texts(met.select("id").distinct(), docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = asking = texts_ = sets = packed = bands = groups = None
@@ -344,12 +393,8 @@ def rest_links(members: DataFrame, reps: DataFrame, labels: DataFrame, docs: Dat
                 if packed is None:
                     packed = [np.array(x) for x in asking]
                     bands = bound.cut(packed[3])
-                agree = (bands == bound.cut(regs[i])).all(axis=2)
-                here = (agree.argmax(axis=1) == key[0] % 256) & (packed[1] != comps[i]) & (packed[0] != ids[i])
-                hits = np.flatnonzero(here)
-                hits = hits[plausible(regs[i], n[i], packed[3][hits], packed[2][hits], bound)]
                 own = None
-                for j in hits.tolist():
+                for j in hits(key[0], packed, bands, comps[i], ids[i], n[i], regs[i]).tolist():
                     one, two = groups.top(comps[i]), groups.top(asking[1][j])
                     if one == two:
                         continue
@@ -362,8 +407,8 @@ def rest_links(members: DataFrame, reps: DataFrame, labels: DataFrame, docs: Dat
                         out[1].append(max(asking[0][j], ids[i]))
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], ["a", "b"])
 
-    sorted_cells = cells.select("key", "u", "v", "asks", "id", "comp", "n_shingles", "regs", "text").repartition("key", "u", "v").sortWithinPartitions("key", "u", "v", F.col("asks").desc())
-    return sorted_cells.mapInArrow(run, "a long, b long").distinct()
+    again = met.join(texts, "id").select(*order, "asks", "id", "comp", "n_shingles", "regs", "text").repartition(*order).sortWithinPartitions(*order, F.col("asks").desc())
+    return again.mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
