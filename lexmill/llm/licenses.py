@@ -48,6 +48,43 @@ TEMPLATES = {
     "bsd-text": (
         "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<optional>>1<<end>>"
         " redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
+        " <<optional>><<optional>>and<<end>> <<optional>>2<<end>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer"
+        " in the documentation and or other materials provided with the distribution<<end>>"
+    ),
+    "bsd-endorsement-clause": "neither the name of <<var 12>> nor the names of <<var 3>> contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "apache-2.0-terms": (
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind"
+        " either express or implied see the license for the specific language governing permissions and limitations under the license"
+    ),
+    "gpl-terms": (
+        "<<optional>>this program is<<end>> free software you can redistribute it and or modify it under the terms of the gnu <<optional>>affero<<end>> <<optional>>lesser<<end>> <<optional>>library<<end>>"
+        " general public license as published by the free software foundation <<optional>>either<<end>> version <<var 2>> of the license <<optional>>or at your option any later version<<end>>"
+    ),
+    "gpl-3.0-text": (
+        "the gnu general public license is a free copyleft license for software and other kinds of works the licenses for most software and other practical works are designed to take away"
+        " your freedom to share and change the works"
+    ),
+    "lgpl-3.0-text": "this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license supplemented by the additional permissions listed below",
+    "mpl-2.0-notice": (
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at"
+        " <<optional>>http<<end>> <<optional>>https<<end>> mozilla org mpl 2 0"
+    ),
+    "cc-notice": (
+        "licensed under <<optional>>a<<end>> <<optional>>the<<end>> creative commons attribution <<optional>>non commercial<<end>> <<optional>>noncommercial<<end>> <<optional>>share alike<<end>>"
+        " <<optional>>sharealike<<end>> <<optional>>no derivatives<<end>> <<optional>>noderivatives<<end>> <<var 2>> <<optional>>international<<end>> <<optional>>unported<<end>> license"
+    ),
+    "cc0-notice": "has waived all copyright and related or neighboring rights to <<var 12>> <<optional>>worldwide<<end>>",
+    "unlicense-text": (
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form"
+        " or as a compiled binary for any purpose commercial or non commercial and by any means"
+    ),
+    "zlib-text": (
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"
+        " <<optional>>1<<end>> the origin of this software must not be misrepresented you must not claim that you wrote the original software"
+    ),
+    "boost-text": (
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use"
+        " reproduce display distribute execute and transmit the software and to prepare derivative works of the software"
     ),
 }
 

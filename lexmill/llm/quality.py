@@ -146,9 +146,9 @@ def cutoffs(
 def judge(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", **risk) -> DataFrame:
     """Counts, ``base_failed``, ``kept`` and the rules broken, for each row of ``docs``.
 
-    ``row_hash``, of the text, tells rows that share an id apart.
+    ``row_hash``, of the text and the stratum, tells rows that share an id apart.
     """
-    keyed = docs.select(F.col(id_col), F.col(text_col), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), F.xxhash64(text_col).alias("row_hash"))
+    keyed = docs.select(F.col(id_col), F.col(text_col), F.col(stratum_col).cast("string").alias("stratum"), F.xxhash64(text_col, stratum_col).alias("row_hash"))
     counted = features(keyed, [id_col, "stratum", "row_hash"], text_col)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     measured = stage(counted.withColumn("base_failed", failed), "quality").select(
@@ -160,7 +160,7 @@ def judge(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang", id_col:
     wide = wide.select("stratum", *[F.col(n).alias(f"cut_{n}") for n, _ in RULES])
     broken = F.filter(F.array(*[F.when(F.col(n) >= F.col(f"cut_{n}"), F.lit(n)) for n, _ in RULES]), lambda x: x.isNotNull())
     return (
-        measured.join(wide, "stratum", "left")
+        measured.join(wide.withColumnRenamed("stratum", "_stratum"), F.col("stratum").eqNullSafe(F.col("_stratum")), "left")
         .withColumn("broken", F.when(F.col("base_failed"), F.array().cast("array<string>")).otherwise(broken))
         .withColumn("kept", ~F.col("base_failed") & (F.size("broken") == 0))
         .select(id_col, "row_hash", "stratum", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "broken")

@@ -186,20 +186,51 @@ def test_shards(spark, docs, none):
 def test_topk(spark):
     rng = np.random.default_rng(3)
     rows = [(i, rng.normal(size=8).tolist(), "c") for i in range(300)]
-    rows += [(300, rows[0][1], "c"), (301, rows[0][1], "c"), (302, None, "c"), (303, [1.0, None] + [0.0] * 6, "c"), (304, [float("nan")] * 8, "c"), (320, [float("inf")] * 8, "c"), (7, rows[7][1], "c"), (340, [1e5] * 8, "c")]
+    rows += [(300, rows[0][1], "c"), (301, rows[0][1], "c"), (302, None, "c"), (303, [1.0, None] + [0.0] * 6, "c"), (304, [float("nan")] * 8, "c"), (320, [float("inf")] * 8, "c"), (7, rows[7][1], "c"), (340, [1e5] * 8, "c"), (8, rows[8][1][:3], "c")]
+    rows += [(20, rows[20][1], "c"), (40, [9.0] * 8, "c")]  # ids that repeat ask once
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
-    use = {i: np.floor(64 * np.array(v)).astype(np.int64) for i, v, _ in rows if v and all(x is not None and math.isfinite(x) for x in v)}
+    use = [(i, [math.floor(64 * x) for x in v] + [0] * (8 - len(v))) for i, v, _ in rows if v and all(x is not None and math.isfinite(x) for x in v)]
     got = defaultdict(list)
     for r in topk.top_k(df, k=12).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.rank, r.vec_id, r.score))
-    assert set(got) == {i for i in use if i % 20 == 0}
-    for q in got:
-        best = sorted((-int(use[q] @ v), i) for i, v in use.items() if i != q)[:12]
+    asks = {}
+    for i, v in use:
+        if i % 20 == 0:
+            asks[i] = max(asks.get(i, v), v)
+    assert set(got) == set(asks)
+    for q, own in asks.items():
+        best = sorted((-sum(a * b for a, b in zip(own, v, strict=True)), i) for i, v in use if i != q)[:12]
         assert got[q] == [(n + 1, i, -s) for n, (s, i) in enumerate(best)]
     assert topk.top_k(df.limit(0)).count() == 0
     assert topk.top_k(df.where("vec_id in (0, 1)"), k=12).count() == 1
 
 
+def test_topk_beyond_64_bits(spark):
+    rows = [(0, [1e12, 1.0]), (1, [1e12, 2.0]), (2, [-1e12, 0.0]), (3, [1e300, 0.0]), (4, [0.5, 0.0]), (20, [1.0, 1.0])]
+    got = defaultdict(list)
+    for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    top = 2**63 - 1
+    whole = {i: [max(-top - 1, min(top, math.floor(64 * x))) for x in v] for i, v in rows}
+    for q in (0, 20):
+        want = sorted((-max(-top, min(top, sum(a * b for a, b in zip(whole[q], v, strict=True)))), i) for i, v in whole.items() if i != q)
+        assert got[q] == [(i, -s) for s, i in want]
+
+
+def test_topk_eliminates_where_vectors_lie_in_clusters(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 16)) * 4
+    made = [(i, (centres[i % 40] + rng.normal(size=16) * 0.1).tolist()) for i in range(12_000)]
+    df = spark.createDataFrame(made, "vec_id long, embedding array<double>")
+    assert topk.evaluated_share(df, every=400) < 0.1
+    use = np.floor(64 * np.array([v for _, v in made])).astype(np.int64)
+    got = defaultdict(list)
+    for r in topk.top_k(df, every=400).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((-r.score, r.vec_id))
+    for q in range(0, 12_000, 400):
+        assert got[q] == sorted((-int(s), i) for i, s in enumerate(use @ use[q]) if i != q)[:20]
+
+
 def test_word_scores_sum_all_segmentations():
     pieces = ["", "▁", "a", "b", "ab", "▁a", "ba", "▁ab", "aba"]
     rng = np.random.default_rng(0)
@@ -286,37 +317,78 @@ def test_targets(sizes):
     assert math.isclose(sum(t), sum(sizes), rel_tol=1e-9, abs_tol=1e-9)
 
 
-def test_schedule_is_even(spark):
-    owed = [300, 120, 60, 0, 1]
-    plan = mix.schedule(spark, owed).orderBy("slot").collect()
-    assert Counter(r.source for r in plan) == {i: n for i, n in enumerate(owed) if n}
+def golden(slots, seed=0, step=mix.GOLDEN):
+    return [((t + seed + 1) * (step >> 11)) % (1 << 53) / (1 << 53) for t in range(slots)]
+
+
+@pytest.mark.parametrize("owed", [[300, 120, 60, 0, 1], [0.4, 7.3, 900.8, 12.5], [5000.0]])
+def test_schedule_follows_the_points_and_is_even(spark, owed):
+    plan = mix.schedule(spark, owed, bucket_slots=64).orderBy("slot").collect()
+    total, ends = sum(owed), np.cumsum(owed) / sum(owed)
+    want = [int(np.searchsorted(ends, u, side="right").clip(max=len(owed) - 1)) for u in golden(round(total))]
+    assert [r.source for r in plan] == want and [r.slot for r in plan] == list(range(round(total)))
     seen = Counter()
     for k, r in enumerate(plan):
         assert r.turn == seen[r.source]
         seen[r.source] += 1
-        if k < sum(owed) - 10:
-            assert all(abs(seen[i] - (k + 1) * n / sum(owed)) < 4 for i, n in enumerate(owed))
-
-
-def test_mix(spark, docs, none):
-    got = mix.mix(docs, block_words=16, bucket_rows=20).collect()
-    rows = docs.collect()
+        assert all(abs(seen[i] - (k + 1) * n / total) < 4 for i, n in enumerate(owed))  # in any run of slots
+
+
+def mixed_by_hand(rows, block, step=mix.GOLDEN):
+    """Words taken from each source's line, block by block, as the points say."""
+    size = Counter()
+    for r in rows:
+        size[r.source] += len(WORD.findall(r.text or ""))
+    names = sorted(size, key=lambda s: (s is None, s or ""))
+    target = mix.targets([(s, size[s]) for s in names])
+    lines = [-(-size[s] // block) for s in names]
+    owed = [t / size[s] * b if size[s] else 0.0 for t, s, b in zip(target, names, lines, strict=True)]
+    ends, times, turn = np.cumsum(owed) / sum(owed), defaultdict(Counter), Counter()
+    for u in golden(round(sum(owed)), step=step):
+        i = int(np.searchsorted(ends, u, side="right").clip(max=len(names) - 1))
+        if turn[i] < 3 * lines[i]:
+            times[names[i]][turn[i] % lines[i]] += 1
+        turn[i] += 1
+    return size, dict(zip(names, target, strict=True)), times
+
+
+@pytest.mark.parametrize(("block", "step"), [(16, mix.GOLDEN), (16, 0x5851F42D4C957F2D), (1, mix.GOLDEN)])
+def test_mix(spark, docs, none, block, step):
+    run = lambda df: mix.mix(df, block_words=block, least_slots=1, bucket_rows=20, step=step).collect()
+    got, rows = run(docs), docs.collect()
     assert Counter((r.doc_id, r["size"]) for r in got) == Counter((r.doc_id, len(WORD.findall(r.text or ""))) for r in rows)
+    size, target, times = mixed_by_hand(rows, block, step)
     source = {r.doc_id: r.source for r in rows}
-    taken, target, size = Counter(), {}, Counter()
+    taken = Counter()
     for r in got:
-        assert 0 <= r.taken <= 3 * r["size"]
-        taken[source[r.doc_id]] += r.taken
-        size[source[r.doc_id]] += r["size"]
-        target[source[r.doc_id]] = r.target
-    want = dict(zip(sorted(size, key=lambda s: (s is None, s or "")), mix.targets([(s, size[s]) for s in sorted(size, key=lambda s: (s is None, s or ""))]), strict=True))
+        s = source[r.doc_id]
+        assert 0 <= r.taken <= 3 * r["size"] and math.isclose(r.target, target[s]) and r.source_size == size[s]
+        assert r.slots == sorted(set(r.slots)) and (r["size"] == 0) <= (r.slots == [])
+        taken[s] += r.taken
+    for s in size:
+        assert taken[s] == sum(n * min(block, size[s] - b * block) for b, n in times[s].items())
+        if step == mix.GOLDEN:
+            assert abs(taken[s] - target[s]) <= 4 * block
+    # Every block's words are taken as often as the block: documents lie in a line, in some order.
     for s in size:
-        assert math.isclose(target[s], want[s]) and abs(taken[s] - target[s]) <= 1
-    again = mix.mix(docs.repartition(5), block_words=16, bucket_rows=20).collect()
-    assert Counter(map(tuple, again)) == Counter(map(tuple, got))
+        per_doc = sorted((r.taken, r["size"]) for r in got if source[r.doc_id] == s and r["size"])
+        whole = {n for n in times[s].values()}
+        assert all(min(whole, default=0) * n <= t <= max(whole, default=0) * n or len(times[s]) < -(-size[s] // block) for t, n in per_doc)
+    assert Counter(map(str, run(docs.repartition(5)))) == Counter(map(str, got))
     assert mix.mix(none).count() == 0
 
 
+def test_another_point_sequence_gives_another_mix(spark, docs):
+    one, two = (Counter(map(str, mix.mix(docs, block_words=8, least_slots=1, step=step).collect())) for step in (mix.GOLDEN, 0x5851F42D4C957F2D))
+    assert one != two
+
+
+def test_mix_of_a_very_long_text(spark):
+    df = spark.createDataFrame([(0, "w " * 300_000, "a"), (1, "x y", "b"), (2, None, None)], "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in mix.mix(df).collect()}
+    assert got[0]["size"] == 300_000 and abs(got[0].taken - got[0].target) <= 16 and got[1].taken <= 6 and got[2].taken == 0
+
+
 def classes(texts):
     low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
     sets = []
@@ -367,13 +439,28 @@ def test_estimates_are_near(spark):
     for _ in range(60):
         both, only = rng.integers(0, 2**63, 850, dtype=np.uint64), rng.integers(0, 2**63, 150, dtype=np.uint64)
         a, b = np.unique(np.concatenate([both, only[:75]]) * np.uint64(2)), np.unique(np.concatenate([both, only[75:]]) * np.uint64(2))
-        errors.append(neardup.estimates(neardup.registers(a), len(a), neardup.registers(b)[None], np.array([len(b)]))[0] - 0.85)
+        errors.append(neardup.estimates(neardup.registers(a)[None], np.array([len(a)]), neardup.registers(b)[None], np.array([len(b)]))[0] - 0.85)
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.045
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+@pytest.mark.parametrize("n", [6, 20, 30, 60, 300, 2000])
+def test_recall_of_pairs_at_the_threshold(percent, n):
+    """Bands and estimates lose no pair that is just similar enough, whatever the size of the sets."""
+    rng, bound, union = np.random.default_rng(n), neardup.Bound(percent), n
+    both = -(-percent * union // 100)
+    for _ in range(400):
+        h = rng.integers(1, 2**63, union, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, union, dtype=np.uint64)
+        half = (union - both + 1) // 2
+        a, b = np.sort(h[: both + half]), np.sort(np.concatenate([h[:both], h[both + half :]]))
+        one, two = neardup.registers(a), neardup.registers(b)
+        assert (bound.cut(one) == bound.cut(two)).all(axis=1).any()
+        assert neardup.plausible(one, np.array([len(a)]), two[None], np.array([len(b)]), bound).all()
+
+
 def test_components(spark):
     rng = random.Random(6)
-    links = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(50), rng.randrange(50)) for _ in range(30)]
+    links = [(i, i + 1) for i in range(100, 600)] + [(rng.randrange(50), rng.randrange(50)) for _ in range(30)]
     up = {}
 
     def top(x):
