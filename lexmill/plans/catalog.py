@@ -72,6 +72,13 @@ def evals(spark, d) -> DataFrame:
 #: DuckDB: scores of next tokens; talks; a damaged copy of texts, so that defects occur.
 LOGITS = "logits as (select vec_id as step, (i - 1)::int as token_id, embedding[i]::double * 10 as logit from embeddings, range(1, len(embedding) + 1) r(i))"
 EVALS = "evals as (select event_id as it, value as val_loss from events where value is not null)"
+
+
+def _uniform(key: str) -> str:
+    """DuckDB: the number in [0, 1) that a key hashes to."""
+    return f"(('0x' || substring(md5({key}), 1, 8))::bigint / 4294967296::double)"
+
+
 DAMAGED_SQL = "replace(replace(text, ' de ', ' de , '), ' the ', ' the  ')"
 
 
@@ -745,7 +752,10 @@ def sampling_chain(spark, d):
     return sampling.distribution(logits(spark, d), histories(spark, d), cfg).select("step", "token_id", F.round("p", 9).alias("p"))
 
 
-@query()
+@query(
+    f"""with {LOGITS}, {_SOFT}, c as (select step, token_id, sum(p) over (partition by step order by token_id rows unbounded preceding) as c, sum(p) over (partition by step) as t from p)
+    select step, min(token_id) as token_id from c where c >= {_uniform("'11:' || step")} * t group by step"""
+)
 def sampled_tokens(spark, d):
     """One seeded draw a step; the number drawn with is a hash."""
     return sampling.draw(sampling.softmax(logits(spark, d), 0.7), 11)
@@ -835,14 +845,15 @@ _OPS = "[" + ", ".join(f"'{op}'" for op, share, *_ in synthetic.SUMS for _ in ra
 _N_SUMS = 1200
 
 
-@query(
-    f"""with g as (select i, ({_OPS})[floor({_U.format('op')} * 4)::int + 1] as op, {_U.format('a')} as ua, {_U.format('b')} as ub, {_U.format('form')} as uf, floor({_U.format('wording')} * 3)::int as w from range(0, {_N_SUMS}) r(i)),
+_SUMS = f"""g as (select i, ({_OPS})[floor({_U.format('op')} * 4)::int + 1] as op, {_U.format('a')} as ua, {_U.format('b')} as ub, {_U.format('form')} as uf, floor({_U.format('wording')} * 3)::int as w from range(0, {_N_SUMS}) r(i)),
     m as (select *, floor(ua * {_TOP})::bigint as x, floor(ub * {_TOP})::bigint as y from g),
     v as (select i, op, uf, w, case when op = '-' then greatest(x, y) else x end as a, case when op = '-' then least(x, y) else y end as b from m),
-    z as (select *, case op when '+' then a + b when '-' then a - b else a * b end as value, a || case op when '+' then ' plus ' when '-' then ' moins ' else ' fois ' end || b as said, a || case op when '+' then ' + ' when '-' then ' - ' else ' × ' end || b as written from v)
-    select i, case when uf >= 0.6::double then 'Combien font ' || written || ' ?' when w = 0 then 'Combien font ' || said || ' ?' when w = 1 then 'Combien fait ' || said || ' ?' else said || ' ?' end as question,
-      case when uf >= 0.6::double then written || ' = ' || value || '.' else said || (case when value = 1 then ' fait ' else ' font ' end) || value || '.' end as answer, value from z"""
-)
+    z as (select *, case op when '+' then a + b when '-' then a - b else a * b end as value, a || case op when '+' then ' plus ' when '-' then ' moins ' else ' fois ' end || b as said, a || case op when '+' then ' + ' when '-' then ' - ' else ' × ' end || b as written from v),
+    sums as (select i, case when uf >= 0.6::double then 'Combien font ' || written || ' ?' when w = 0 then 'Combien font ' || said || ' ?' when w = 1 then 'Combien fait ' || said || ' ?' else said || ' ?' end as question,
+      case when uf >= 0.6::double then written || ' = ' || value || '.' else said || (case when value = 1 then ' fait ' else ' font ' end) || value || '.' end as answer, value from z)"""
+
+
+@query(f"with {_SUMS} select * from sums")
 def arithmetic_qa(spark, d):
     return synthetic.arithmetic(spark, _N_SUMS, 3).select("i", "question", "answer", "value")
 
@@ -898,9 +909,15 @@ def regions(spark, d) -> DataFrame:
     return table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("key"), F.col("r_name").alias("value"))
 
 
-@query()
+_TURN = """'{{"role":"user","content":"' || {0}.question || '"}},{{"role":"assistant","content":"' || {0}.answer || '"}}'"""
+
+
+@query(
+    f"""with {_SUMS}, k as (select k, floor({_uniform("'3:first:' || k")} * {_N_SUMS})::bigint as a, floor({_uniform("'3:second:' || k")} * {_N_SUMS - 1})::bigint as b from range(0, {_N_SUMS * 15 // 100}) r(k))
+    select k, '[' || {_TURN.format("x")} || ',' || {_TURN.format("y")} || ']' as messages from k join sums x on x.i = k.a join sums y on y.i = k.b + (k.b >= k.a)::int"""
+)
 def two_turn_mix(spark, d):
-    """Pairs picked by hash from the arithmetic family; tests pick them again."""
+    """Pairs picked by hash from the arithmetic family."""
     one = synthetic.arithmetic(spark, _N_SUMS, 3).select("i", sft.pair(F.col("question"), F.col("answer")).alias("messages"))
     return synthetic.two_turns(one, 0.15, 3).select("k", F.to_json("messages").alias("messages"))
 
@@ -920,9 +937,16 @@ def groups(spark) -> DataFrame:
     return spark.createDataFrame(GROUPS, "name string, questions array<string>, answers array<string>")
 
 
-@query()
+def _sql_list(texts: list[str]) -> str:
+    return "[" + ", ".join("'" + t.replace("'", "''") + "'" for t in texts) + "]"
+
+
+@query(
+    f"""with g(name, q, a) as (values {", ".join(f"('{n}', {_sql_list(q)}, {_sql_list(a)})" for n, q, a in GROUPS)})
+    select name, k::int as k, q[floor({_uniform("'3:questions:' || name || ':' || k")} * len(q))::int + 1] as question, a[floor({_uniform("'3:answers:' || name || ':' || k")} * len(a))::int + 1] as answer from g, range(1, 9) r(k)"""
+)
 def picked_groups(spark, d):
-    """Eight hashed pairs from each group; tests pick them again."""
+    """Eight hashed pairs from each group."""
     return synthetic.picked(groups(spark), 8, 3)
 
 
