@@ -72,18 +72,20 @@ def blocks(docs: DataFrame, length: int, ids: str = "ids", ordinal: str = "ord",
 
     Each document gives only the slices that fall into the blocks it touches. Blocks inside one
     document leave it whole; only those over a border are dealt out and put together. Places
-    are summed up over the sizes alone (``size``, where they are known without the ids).
+    are summed up over the sizes alone (``size``, where they are known without the ids), which
+    are written once.
     """
+    from lexmill.storage import stage
+
     n = F.size(ids) if size is None else F.col(size) if isinstance(size, str) else size
-    sized = docs.select(ordinal, n.cast("long").alias("_n"))
+    sized = stage(docs.select(ordinal, n.cast("long").alias("_n")), "sizes")
+    n_blocks = (sized.agg(F.sum("_n")).first()[0] or 0) // length - 1
     at = running_sum(sized, ordinal, "_n", "_s").select(ordinal, (F.col("_s") - offset).alias("_s"), (F.col("_s") - offset + F.col("_n")).alias("_e"))
-    total = sized.agg(F.sum("_n").alias("total"))
-    n_blocks = total.select(F.greatest(F.lit(0), F.expr(f"coalesce(total, 0) div {length} - 1")).alias("_blocks"))
-    placed = at.where("_e > 0 and _e > _s").join(docs.select(ordinal, F.col(ids).alias("_ids")), ordinal).crossJoin(F.broadcast(n_blocks))  # one row
+    placed = at.where("_e > 0 and _e > _s").join(docs.select(ordinal, F.col(ids).alias("_ids")), ordinal)
     # Slices are cut before rows are made of them, so a long document isn't copied for each block.
     lo, hi = f"greatest(_s, b * {length})", f"least(_e, b * {length} + {length} + 1)"
     piece = f"named_struct('block_id', b, 'p', named_struct('_lo', {lo}, 't', slice(_ids, cast({lo} - _s + 1 as int), cast(greatest(0L, {hi} - {lo}) as int))))"
-    first, last = f"(greatest(0L, greatest(_s, 0L) - 1) div {length})", f"least(_blocks - 1, (_e - 1) div {length})"
+    first, last = f"(greatest(0L, greatest(_s, 0L) - 1) div {length})", f"least({n_blocks - 1}L, (_e - 1) div {length})"
     inside = f"(b * {length} >= _s and b * {length} + {length} + 1 <= _e)"
 
     def cut(which: str) -> DataFrame:
