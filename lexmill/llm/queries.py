@@ -8,9 +8,9 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import bpe, html, langid, licenses, mix, neardup, quality, shard, topk, warc
+from lexmill.llm import bpe, fim, html, langid, licenses, mix, neardup, periodic, quality, shard, tokenfile, topk, warc
 from lexmill.plans.duck import crc
-from lexmill.storage import importable
+from lexmill.storage import importable, new_path
 
 
 def vocabulary(name: str) -> str:
@@ -71,6 +71,43 @@ def op10_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), threshold=85)
 
 
+def op11_fim_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
+    both = made.withColumn("back", fim.restored(F.col("output"), F.col("form")))
+    return both.select(
+        "doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"), digest(F.col("output")).alias("output_sha256"), digest(F.col("back")).alias("restored_sha256")
+    )
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """Documents, of which one in ten by its id repeats words of its own from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    # The words are bound once to w, where repeating begins to s.a and how many words repeat to s.p.
+    place = "named_struct('a', cast(g % size(w) as int), 'p', cast(1 + (size(w) - g % size(w)) div (3 + g % 8) as int))"
+    words = f"transform(array({place}), s -> transform(sequence(0, size(w) - 1), i -> w[if(i < s.a, i, s.a + (i - s.a) % s.p)]))[0]"
+    again = F.expr(rf"transform(array(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)), w -> case when size(w) > 0 then array_join({words}, ' ') end)[0]")
+    return docs.withColumn("g", F.expr("crc32(cast(doc_id as string)) div 10")).withColumn("text", F.when(h % 10 == 0, again).otherwise(F.col("text")))
+
+
+def op12_lyndon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(planted(table(spark, sf_dir, "documents")))
+    greater = lambda best, x: F.when(x["length"] * best["period"] > best["length"] * x["period"], x).otherwise(best)
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], F.concat(r["period"].cast("string"), F.lit("\n")))), "")
+    rows = found.withColumn("best", F.aggregate("runs", F.try_element_at("runs", F.lit(1)), greater))
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.encode(listed, "UTF-8"), 256).alias("runs_sha256"), F.sha2(F.encode("collapsed", "UTF-8"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    path = new_path(spark, "token-blocks")
+    tokenfile.write(docs, path, vocabulary("word_bpe_49k.json"))
+    return tokenfile.read(spark, path, docs.schema["doc_id"].dataType.simpleString()).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -84,6 +121,9 @@ QUERIES = {
         op8_byte_bpe,
         op9_source_mix,
         op10_hyperminhash,
+        op11_fim_automaton,
+        op12_lyndon_runs,
+        op13_token_blocks,
     )
 }
 
@@ -106,4 +146,11 @@ ORACLES: dict[str, str] = {
         e as (select a, b from c where 100 * k >= 85 * (n + m - k)), l as (select a, b from e union all select b, a from e),
         r(id, there) as (select doc_id, doc_id from documents union select r.id, l.b from r join l on r.there = l.a), t as (select id, min(there) as component_id from r group by id)
         select doc_id, len(s)::bigint as n_shingles, component_id, doc_id = component_id as kept from g join t on id = doc_id""",
+    "op11_fim_automaton": """with t as (select doc_id, coalesce(text, '') as t, sha256('1:' || coalesce(doc_id::varchar, '')) as h from documents),
+        n as (select *, length(t)::bigint as n, [('0x' || h[8 * i + 1:8 * i + 8])::bigint for i in range(0, 4)] as k from t),
+        c as (select *, least(k[1] % (n + 1), k[2] % (n + 1)) as a, greatest(k[1] % (n + 1), k[2] % (n + 1)) as b,
+          case when n = 0 or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or k[3] % 100 >= 90 then 'plain' when k[4] % 100 < 20 then 'spm' else 'psm' end as form from n),
+        p as (select *, substring(t, 1, a) as prefix, substring(t, a + 1, b - a) as middle, substring(t, b + 1) as suffix from c)
+        select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars,
+        sha256(case form when 'plain' then t when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256, sha256(t) as restored_sha256 from p""",
 }
