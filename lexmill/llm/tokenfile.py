@@ -37,8 +37,8 @@ from lexmill.llm.worker import kept, no_collection
 
 #: Ids in a block, and blocks coded side by side.
 BLOCK, LANES = 2048, 2048
-#: Order-0 counts take in what was read whenever so many more ids are known.
-REFRESH = 128
+#: Order-0 counts take in what was read whenever so many ids are known, and every REFRESH ids beyond.
+EARLY, REFRESH = (0, 32, 64, 128, 256, 512), 512
 #: Ids are below this; each weighs 1 at order 0 before it is seen, and SEEN more for each time that it was.
 IDS, SEEN = 1 << 16, 96
 #: Slots of the predictions of orders 1 and 2 in each lane, and grades of confidence in one.
@@ -57,20 +57,20 @@ class _Order0:
         self.t = t
         self.total = IDS + SEEN * t
         if not t:
-            self.ids, self.before = np.array([1 << 62]), np.zeros(2, np.int64)
+            self.ids, self.before = np.array([(1 << 31) - 1], np.int32), np.zeros(2, np.int64)
             return
         rows = np.sort(ids[:lanes, :t].astype(np.uint16), axis=1, kind="stable")
-        flat = (rows + (np.arange(lanes, dtype=np.int64) * IDS)[:, None]).ravel()
+        flat = (rows + (np.arange(lanes, dtype=np.int32) * np.int32(IDS))[:, None]).ravel()
         first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
         #: Ids read, under their lane; how many ids were read in this and earlier lanes that are smaller.
-        self.ids = np.append(flat[first], 1 << 62)
+        self.ids = np.append(flat[first], np.int32((1 << 31) - 1))
         self.before = np.append(first, len(flat))
-        lane, own = flat[first] // IDS, flat[first] % IDS
+        lane, own = np.divmod(self.ids[:-1].astype(np.int64), IDS)
         self.begins = (lane << 40) + own + SEEN * (first - lane * t)
 
     def interval(self, lane: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where an id's share begins, and its size."""
-        key = lane * IDS + ids
+        key = (lane * IDS + ids).astype(np.int32)
         at = np.searchsorted(self.ids, key)
         count = np.where(self.ids[at] == key, self.before[np.minimum(at + 1, len(self.before) - 1)] - self.before[at], 0)
         return ids + SEEN * (self.before[at] - lane * self.t), 1 + SEEN * count
@@ -80,7 +80,7 @@ class _Order0:
         if not self.t:
             return target
         at = np.searchsorted(self.begins, (lane << 40) + target, side="right") - 1
-        inside = (at >= 0) & (self.ids[at] // IDS == lane)
+        inside = (at >= 0) & (self.ids[at] >> 16 == lane)
         at = np.maximum(at, 0)
         unseen = target - SEEN * (self.before[at + 1] - lane * self.t)  # beyond the share of the id that begins last
         return np.where(inside, np.maximum(self.ids[at] - lane * IDS, unseen), target)
@@ -172,10 +172,10 @@ def _encode_lanes(ids: np.ndarray, n: np.ndarray) -> list[bytes]:
     lanes = len(n)
     mixture = _Mixture(lanes)
     low, width = np.zeros(lanes, np.uint64), np.full(lanes, _MASK)
-    out, size = np.zeros((lanes, 512), np.uint16), np.zeros(lanes, np.int64)
+    out, size = np.zeros((lanes, 4 * REFRESH), np.uint16), np.zeros(lanes, np.int64)
     last = before = np.full(lanes, -1, np.int64)
     for t, k in _active(n):
-        if t % REFRESH == 0:
+        if t in EARLY or t % REFRESH == 0:
             order0 = _Order0(ids, k, t)
             if int(size.max()) + 4 * REFRESH > out.shape[1]:  # an id takes 26 bits at most, but for rounding
                 out = np.concatenate([out, np.zeros_like(out)], 1)
@@ -215,7 +215,7 @@ def _decode_lanes(coded: list[bytes], n: np.ndarray) -> np.ndarray:
     ids = np.zeros((lanes, int(n[0])), np.int64)
     last = before = np.full(lanes, -1, np.int64)
     for t, k in _active(n):
-        if t % REFRESH == 0:
+        if t in EARLY or t % REFRESH == 0:
             order0 = _Order0(ids, k, t)
         total = mixture.predict(order0, last[:k], before[:k])
         unit = width[:k] // total.astype(np.uint64)
@@ -286,7 +286,10 @@ def _parsed(line: bytes) -> tuple[int, int, int, int, int, list, bytes, int]:
 
 # ---- tokens of a text -----------------------------------------------------------------------------------------------
 
-_PLAIN = re.compile(rb"([A-Za-z0-9]+)([.,;:!?\")\]]+)")
+_MARKED = re.compile(r"([^\W\d_]+)([.,;:!?\")\]]+)")
+#: The characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, the others from U+0100 on.
+_BYTES = {b: chr(b) for b in (*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100))}
+_BYTES |= {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in _BYTES)}
 
 
 class Words(dict):
@@ -297,16 +300,20 @@ class Words(dict):
 
     def __init__(self, tokenizer, most: int = 1_500_000):
         super().__init__()
-        self.tokenizer, self.most = tokenizer, most
+        self.tokenizer, self.model, self.most = tokenizer, tokenizer.model, most
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= self.most:
             self.clear()
+        spelled = word.decode(errors="replace")
         # A word and the marks behind it are separate pieces: both are met more often alone.
-        if found := _PLAIN.fullmatch(word):
-            ids = self[found[1]] + self[found[2]]
+        if found := _MARKED.fullmatch(spelled):
+            ids = self[found[1].encode()] + self[found[2].encode()]
+        elif spelled.isalpha() and max(spelled) < "\u0100":  # one piece, composed already
+            known = self.model.tokenize("".join(map(_BYTES.__getitem__, spelled.lower().encode())))
+            ids = np.array([t.id for t in known], "<u2").tobytes()
         else:
-            ids = np.array(self.tokenizer.encode(word.decode(errors="replace"), add_special_tokens=False).ids, "<u2").tobytes()
+            ids = np.array(self.tokenizer.encode(spelled, add_special_tokens=False).ids, "<u2").tobytes()
         if len(word) <= 64:
             self[word] = ids
         return ids
