@@ -1,14 +1,15 @@
-"""Training a byte-level BPE vocabulary: frequencies on the executors, merges on the driver.
+"""Training a byte-level BPE vocabulary as rounds over two tables: spelled words and pair counts.
 
-Only distinct pre-tokens and their counts reach the driver, and those under ``min_frequency``
-don't. The merge loop keeps pair counts up to date instead of recounting.
+Words and pair counts stay on the executors. A round takes the most frequent pairs (a bounded
+list) to the driver, settles how many of them repeated merging would take next whatever the
+merges before them do, merges these in one pass over the words, and adds to the pair counts
+what changed in the words they touched.
 """
 
 from __future__ import annotations
 
 import heapq
 import unicodedata
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,6 +19,10 @@ from pyspark.sql import types as T
 
 from lexmill.functions.text import pre_tokens, sanitized
 from lexmill.operators.tokens import FIRST_BYTE, SPECIALS
+from lexmill.storage import free, stage
+
+#: Pairs looked at in a round; a round merges some of them.
+LISTED = 512
 
 
 def word_frequencies(docs: DataFrame, text: str = "text", min_frequency: int = 2) -> DataFrame:
@@ -25,50 +30,80 @@ def word_frequencies(docs: DataFrame, text: str = "text", min_frequency: int = 2
     return words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= min_frequency)
 
 
-def merges(words: dict[str, int], vocab_size: int, min_frequency: int = 2) -> list[tuple[bytes, bytes]]:
-    """The most frequent pair is merged first; ties go to the smaller pair."""
-    spelled = [([bytes([b]) for b in w.encode()], n) for w, n in sorted(words.items())]
-    count: Counter = Counter()
-    where: dict[tuple[bytes, bytes], set[int]] = defaultdict(set)
-    for i, (parts, n) in enumerate(spelled):
-        for pair in zip(parts, parts[1:], strict=False):
-            count[pair] += n
-            where[pair].add(i)
-    queue = [(-n, pair) for pair, n in count.items()]
-    heapq.heapify(queue)
+def _spelled(word: Column) -> Column:
+    """A word's tokens as hexadecimal bytes, each with a blank behind it: whole tokens can be replaced, and compare as bytes do."""
+    return F.regexp_replace(F.lower(F.hex(F.encode(word, "UTF-8"))), "(..)", "$1 ")
+
+
+def _pairs(spelled: str) -> Column:
+    """Neighbouring tokens; repeated as often as they stand side by side."""
+    parts = F.split(F.rtrim(F.col(spelled)), " ")
+    return F.transform(F.array(parts), lambda p: F.arrays_zip(F.slice(p, F.lit(1), F.size(p) - 1).alias("left"), F.slice(p, F.lit(2), F.size(p) - 1).alias("right")))[0]
+
+
+def next_merges(listed: list[tuple[str, str, int]], whole: bool, most: int) -> list[tuple[str, str]]:
+    """Of pairs with counts, most frequent first, those that merging one by one would take next, in that order.
+
+    Merging (a, b) changes the counts of pairs that end in a or begin with b, and makes pairs
+    that come at most as often as those did. Pairs down to the first changed one keep their
+    counts; they go next if they are more frequent than anything that can be made, or as
+    frequent and smaller. ``whole``: all pairs are listed.
+    """
+    taken: list[tuple[str, str, int]] = []
+    ceiling = 0
+    for left, right, n in listed:
+        if any(right == a or left == b for a, b, _ in taken) or (taken and taken[-1][0] == taken[-1][1]):
+            ceiling = n
+            break
+        taken.append((left, right, n))
+    else:
+        ceiling = 0 if whole or not listed else listed[-1][2]
+    out: list[tuple[str, str]] = []
+    for left, right, n in taken[:most]:
+        if out and (n < ceiling or n == ceiling and not all(left < a + b for a, b in out)):
+            break
+        out.append((left, right))
+    return out
+
+
+def merged(spelled: Column, pairs: list[tuple[str, str]]) -> Column:
+    """All occurrences of the pairs, which share no token at their seams, joined from left to right."""
+    either = "|".join(f"({a}) ({b}) " for a, b in pairs)
+    joined = "".join(f"${i + 1}" for i in range(2 * len(pairs)))
+    return F.regexp_replace(spelled, f"(?<![0-9a-f])(?:{either})", f"{joined} ")
+
+
+def learn(words: DataFrame, vocab_size: int, min_frequency: int = 2, listed: int = LISTED) -> list[tuple[bytes, bytes]]:
+    """Merges learned from ``(word, n)``: the most frequent pair first, ties to the smaller pair.
+
+    The same whatever the order and partitioning of the words. Only the merges, of which
+    ``vocab_size`` is the bound, and ``listed`` pairs a round come to the driver.
+    """
+    state = stage(words.select(_spelled(F.col("word")).alias("s"), F.col("n").cast("long").alias("n")).where("length(s) > 3"), "bpe-words")
+    counted = state.select("n", F.explode(_pairs("s")).alias("p")).groupBy("p.left", "p.right").agg(F.sum("n").alias("n"))
+    pairs = stage(counted, "bpe-pairs")
     out: list[tuple[bytes, bytes]] = []
-    while queue and len(out) + FIRST_BYTE + 256 < vocab_size:
-        n, pair = heapq.heappop(queue)
-        if -n != count[pair]:
-            continue
-        if count[pair] < min_frequency:
+    while (room := vocab_size - FIRST_BYTE - 256 - len(out)) > 0:
+        top = [(r["left"], r["right"], r["n"]) for r in pairs.where(F.col("n") >= min_frequency).orderBy(F.col("n").desc(), "left", "right").limit(listed).collect()]
+        if not top:
             break
-        out.append(pair)
-        joined, touched = pair[0] + pair[1], set()
-        for i in where.pop(pair):
-            parts, times = spelled[i]
-            for old in zip(parts, parts[1:], strict=False):
-                count[old] -= times
-                touched.add(old)
-            at, made = 0, []
-            while at < len(parts):
-                hit = at + 1 < len(parts) and parts[at] == pair[0] and parts[at + 1] == pair[1]
-                made.append(joined if hit else parts[at])
-                at += 1 + hit
-            spelled[i] = (made, times)
-            for new in zip(made, made[1:], strict=False):
-                count[new] += times
-                where[new].add(i)
-                touched.add(new)
-        for changed in touched:
-            if count[changed] > 0:
-                heapq.heappush(queue, (-count[changed], changed))
+        now = next_merges(top, len(top) < listed, room)
+        out += [(bytes.fromhex(a), bytes.fromhex(b)) for a, b in now]
+        # Words that are one token have no pairs left: they leave the table.
+        after = state.withColumn("t", merged(F.col("s"), now))
+        moved = stage(after.select("n", F.when(F.col("s") != F.col("t"), F.col("s")).alias("was"), F.col("t").alias("s")).where("was is not null or s like '% %_'"), "bpe-words")
+        touched = moved.where("was is not null")
+        change = touched.select((-F.col("n")).alias("n"), F.explode(_pairs("was")).alias("p")).unionByName(touched.select("n", F.explode(_pairs("s")).alias("p"))).select("p.left", "p.right", "n")
+        counts = stage(pairs.unionByName(change).groupBy("left", "right").agg(F.sum("n").alias("n")).where("n > 0"), "bpe-pairs")
+        free(pairs, state)
+        state, pairs = moved.drop("was"), counts
+        state.staged_at = moved.staged_at
+    free(pairs, state)
     return out
 
 
 def train(docs: DataFrame, vocab_size: int = 32_000, text: str = "text", min_frequency: int = 2) -> list[tuple[bytes, bytes]]:
-    rows = word_frequencies(docs, text, min_frequency).toLocalIterator()
-    return merges({r["word"]: r["n"] for r in rows}, vocab_size, min_frequency)
+    return learn(word_frequencies(docs, text, min_frequency), vocab_size, min_frequency)
 
 
 @F.pandas_udf(T.StringType())
@@ -108,13 +143,24 @@ class Tokenizer:
         return [t for t in tokens if t not in known]
 
     def word(self, word: str) -> list[int]:
-        parts = [bytes([b]) for b in word.encode()]
-        while len(parts) > 1:
-            rank, i = min((self.rank.get(pair, len(self.rank)), i) for i, pair in enumerate(zip(parts, parts[1:], strict=False)))
-            if rank == len(self.rank):
-                break
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [self.id_of[p] for p in parts]
+        """Ids of one pre-token: neighbours in a queue by rank, then place, so that long words take n log n steps."""
+        parts: list[bytes | None] = [bytes([b]) for b in word.encode()]
+        n, rank = len(parts), self.rank
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        queue = [(r, i, i + 1) for i, pair in enumerate(zip(parts, parts[1:], strict=False)) if (r := rank.get(pair)) is not None]
+        heapq.heapify(queue)
+        while queue:
+            r, i, j = heapq.heappop(queue)
+            if parts[i] is None or after[i] != j or j >= n or rank.get((parts[i], parts[j])) != r:
+                continue  # one of the two was merged meanwhile
+            parts[i], parts[j] = parts[i] + parts[j], None
+            after[i] = after[j]
+            if after[j] < n:
+                before[after[j]] = i
+            for x, y in ((before[i], i), (i, after[i])):
+                if x >= 0 and y < n and (found := rank.get((parts[x], parts[y]))) is not None:
+                    heapq.heappush(queue, (found, x, y))
+        return [self.id_of[p] for p in parts if p is not None]
 
     def decode(self, ids: list[int], skip_special: bool = True) -> str:
         return b"".join(self.spelled[i] for i in ids if not (skip_special and i < FIRST_BYTE)).decode("utf-8", "replace")

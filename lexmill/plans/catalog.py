@@ -513,7 +513,7 @@ def pre_tokens(spark, d):
 
 @query()
 def bpe_encode(spark, d):
-    """Merges learned from the corpus. Training is a loop; tests compare it with recounting."""
+    """Merges learned from the corpus, from distributed tables. Training is a loop; tests compare it with recounting."""
     learned = bpe_training.train(docs(spark, d), 320)
     return spark.createDataFrame([(i, a.hex(), b.hex()) for i, (a, b) in enumerate(learned)], "rank long, left string, right string")
 
@@ -877,7 +877,7 @@ def calendar_qa(spark, d):
 
 
 #: Own pairs: the families take their content as tables.
-OPPOSITES = [("plein", "vide"), ("clair", "sombre"), ("lourd", "léger"), ("ouvert", "fermé"), ("sec", "mouillé"), ("avant", "après"), ("dur", "mou"), ("large", "étroit"), ("propre", "sale"), ("rapide", "lent")]
+OPPOSITES = [("riche", "pauvre"), ("clair", "sombre"), ("épais", "mince"), ("cru", "cuit"), ("sec", "mouillé"), ("avant", "après"), ("dur", "mou"), ("large", "étroit"), ("calme", "agité"), ("sucré", "amer")]
 
 
 @query(f"with p(a, b) as (values {', '.join(map(str, OPPOSITES))}), u as (select a, b from p union all select b, a from p) select 'Quel est le contraire de ' || a || ' ?' as question, 'Le contraire de ' || a || ' est ' || b || '.' as answer from u")
@@ -930,7 +930,7 @@ GROUPS = [
     ("outil", ["Que fais-tu ?", "À quoi sert cet outil ?"], ["Je réponds à de courtes questions."]),
 ]
 #: Own wording: what can't be answered.
-UNKNOWN = [("Quel temps fera-t-il demain ?", "Je ne peux pas le savoir."), ("Quelle heure est-il ?", "Je n'ai pas d'horloge."), ("Où suis-je ?", "Je ne peux pas le voir.")]
+UNKNOWN = [("Qui vient de sonner à ma porte ?", "Je n'entends pas la sonnette."), ("Que contient ce tiroir ?", "Je ne peux pas l'ouvrir."), ("Combien de marches a mon escalier ?", "Je ne l'ai jamais vu.")]
 
 
 def groups(spark) -> DataFrame:

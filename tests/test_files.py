@@ -100,7 +100,7 @@ def test_long_persona_is_left_out(spark):
 
 
 def test_vocabulary_without_special_tokens_is_refused():
-    tokenizer = bpe_training.Tokenizer(bpe_training.merges({"abab": 5, "abc": 3}, 5 + 256 + 3))
+    tokenizer = bpe_training.Tokenizer([(b"a", b"b"), (b"ab", b"ab"), (b"ab", b"c")])
     rows = tokenizer.rows()
     again = bpe_training.Tokenizer.of(rows)
     assert again.rank == tokenizer.rank and again.spelled == tokenizer.spelled and again.word("ababc") == tokenizer.word("ababc")

@@ -1,6 +1,8 @@
 """Semantics on small fixtures, without SQL twins."""
 
 import math
+import random
+import time
 from collections import Counter
 
 import pytest
@@ -124,19 +126,17 @@ def test_checkpoints(spark):
     assert metrics.checkpoints(df, 0).where("kept").count() == 4
 
 
-def test_merges_equal_recounting():
-    words = {"abab": 5, "abc": 3, "bc": 7, "aaa": 4}
+def recounted(words, most, least=2):
+    """Merges by counting all pairs afresh for each."""
     parts = {w: [bytes([b]) for b in w.encode()] for w in words}
     want = []
-    while True:
+    while len(want) < most:
         pairs = Counter()
         for w, n in words.items():
             for pair in zip(parts[w], parts[w][1:], strict=False):
                 pairs[pair] += n
-        if not pairs or len(want) == 6:
-            break
-        top = min(pairs, key=lambda x: (-pairs[x], x))
-        if pairs[top] < 2:
+        top = min(pairs, key=lambda x: (-pairs[x], x), default=None)
+        if top is None or pairs[top] < least:
             break
         want.append(top)
         for w in words:
@@ -146,7 +146,65 @@ def test_merges_equal_recounting():
                 made.append(top[0] + top[1] if hit else parts[w][i])
                 i += 1 + hit
             parts[w] = made
-    assert bpe_training.merges(words, 5 + 256 + 6) == want
+    return want
+
+
+def drawn_words(seed, n=60):
+    rng = random.Random(seed)
+    return {"".join(rng.choices("aabcdé", k=rng.randint(1, 9))): rng.choice([1, 2, 2, 3, 5, 9]) for _ in range(n)} | {"aaaaaaa": 3, "abababab": 4}
+
+
+def learned(spark, words, merges, parts=3, **more):
+    rows = spark.createDataFrame(list(words.items()), "word string, n long").repartition(parts)
+    return bpe_training.learn(rows, 5 + 256 + merges, **more)
+
+
+@pytest.mark.parametrize(("seed", "parts", "listed"), [(1, 1, 512), (1, 5, 7), (2, 3, 512), (3, 2, 3)])
+def test_merges_equal_recounting(spark, seed, parts, listed):
+    words = drawn_words(seed)
+    assert learned(spark, words, 25, parts, listed=listed) == recounted(words, 25)
+
+
+def test_rounds_take_what_merging_one_by_one_would():
+    """The same choice as recounting, merge by merge, on many small tables; and more than one a round where that is safe."""
+    rounds = merges = 0
+    for seed in range(150):
+        words = drawn_words(seed, 25)
+        parts = {w: [f"{b:02x}" for b in w.encode()] for w in words}
+        done = []
+        for listed in (512, 4):
+            spelled, got = dict(parts), []
+            while len(got) < 20:
+                pairs = Counter()
+                for w, n in words.items():
+                    for pair in zip(spelled[w], spelled[w][1:], strict=False):
+                        pairs[pair] += n
+                top = sorted(((a, b, n) for (a, b), n in pairs.items() if n >= 2), key=lambda x: (-x[2], x[0], x[1]))[:listed]
+                if not top:
+                    break
+                now = bpe_training.next_merges(top, len(top) < listed, 20 - len(got))
+                assert now
+                rounds, merges = rounds + 1, merges + len(now)
+                got += now
+                for a, b in now:
+                    for w, p in spelled.items():
+                        made, i = [], 0
+                        while i < len(p):
+                            hit = p[i : i + 2] == [a, b]
+                            made.append(a + b if hit else p[i])
+                            i += 1 + hit
+                        spelled[w] = made
+            done.append([(bytes.fromhex(a), bytes.fromhex(b)) for a, b in got])
+        assert done[0] == done[1] == recounted(words, 20)
+    assert merges > 1.3 * rounds
+
+
+def test_long_words_are_merged_in_time():
+    tokenizer = bpe_training.Tokenizer([(b"a", b"a"), (b"aa", b"aa"), (b"b", b"c"), (b"a", b"bc")])
+    began = time.time()
+    assert len(tokenizer.word("a" * 200_001)) == 50_001 and time.time() - began < 10
+    spelled = lambda w: [tokenizer.spelled[i] for i in tokenizer.word(w)]
+    assert spelled("aaaaabc") == [b"aaaa", b"abc"] and spelled("aaabc") == [b"aa", b"abc"] and spelled("") == []
 
 
 def test_files_and_guards(spark, tmp_path):
@@ -168,8 +226,7 @@ def test_files_and_guards(spark, tmp_path):
 def test_tokenizer_round_trip(spark):
     texts = ["Été à l'hôtel, 1234 fois !", "<|end|> é \U0001f600", "", "aujourd'hui\n\nhier", None]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
-    learned = bpe_training.merges({"aujourd": 5, "hui": 4, " fois": 3, "tel": 3}, 5 + 256 + 12)
-    tokenizer = bpe_training.Tokenizer(learned)
+    tokenizer = bpe_training.Tokenizer(recounted({"aujourd": 5, "hui": 4, " fois": 3, "tel": 3}, 12))
     got = [r[0] for r in df.select(tokenizer.encode_col(F.col("text"))).collect()]
     assert [tokenizer.decode(ids) for ids in got] == [(t or "").replace("<|", "< |") for t in texts]
     assert all(i >= tokens.FIRST_BYTE for ids in got for i in ids) and len(tokenizer.word("1")) == 1
