@@ -6,8 +6,11 @@ ordinals, and over the buckets' totals.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lexmill.functions import hashing
@@ -53,3 +56,40 @@ def numbered(df: DataFrame, *order: Column, out: str = "ord", by: list[str] | No
 def shuffled(df: DataFrame, seed: int, *key: str, out: str = "pos", by: list[str] | None = None) -> DataFrame:
     """``out``: each row's place in an order by seed, for each group of ``by``. ``key`` identifies a row."""
     return numbered(df, hashing.order_key(seed, *[F.col(k) for k in key]), *[F.col(k) for k in key], out=out, by=by)
+
+
+#: Rounds of the permutation, and how many shapes of its grid are tried.
+ROUNDS, SHAPES = 4, 64
+
+
+def grid(n: int) -> tuple[int, int]:
+    """Sides of a nearly square grid with n places and as few more as possible."""
+    low = math.isqrt(max(n, 1) - 1) + 1
+    return min(((a, -(-n // a)) for a in range(low, low + SHAPES)), key=lambda s: (s[0] * s[1] - n, s[0]))
+
+
+def permuted(place: Column, n: int, *key) -> Column:
+    """Where a keyed permutation of 0 to n - 1 takes ``place``: by arithmetic alone, without an order of all places.
+
+    A Feistel network over a grid of n places or a few more: each round moves one coordinate by
+    a hash of the other. A result beyond n is taken through it again, which ends after as many
+    rounds as there are places too many.
+    """
+    a, b = grid(n)
+    number = T.LongType()
+
+    def hashed(r: Column, half: Column) -> Column:
+        return F.conv(F.substring(hashing.order_key(*key, r, half), 1, 8), 16, 10).cast(number)
+
+    def moved(at: Column, r: Column) -> Column:
+        x, y = at["x"], at["y"]
+        return F.when(r % 2 == 0, F.struct(((x + hashed(r, y)) % a).alias("x"), y.alias("y"))).otherwise(F.struct(x.alias("x"), ((y + hashed(r, x)) % b).alias("y")))
+
+    def network(v: Column) -> Column:
+        start = F.struct(((v - v % b) / b).cast(number).alias("x"), (v % b).alias("y"))  # the quotient is whole, so exact below 2^53
+        return F.aggregate(F.array(*[F.lit(r) for r in range(ROUNDS)]), start, moved, lambda at: at["x"] * b + at["y"])
+
+    first = network(place.cast(number))
+    if a * b == n:
+        return first
+    return F.aggregate(F.sequence(F.lit(1), F.lit(a * b - n)), first, lambda v, _: F.when(v < n, v).otherwise(network(v)))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-import hashlib
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -104,11 +101,6 @@ def epoch_positions(blocks_: DataFrame, seed: int, epoch: int, key: str = "block
     return numbered(blocks_, hashing.order_key(seed, epoch, F.col(key)), F.col(key), out="pos")
 
 
-def epoch_offset(seed: int, epoch: int, length: int) -> int:
-    """Where an epoch's first block begins: blocks lie differently in each."""
-    return int(int(hashlib.md5(f"{seed}:offset:{epoch}".encode()).hexdigest()[:8], 16) / 2**32 * length)
-
-
 def slots(spark, steps: int, batch: int, rank: int, world: int, n_blocks: int) -> DataFrame:
     """``(g, j, epoch, pos)``: which place of which epoch each row of a rank's batches takes."""
     s = f"((g * {world} + {rank}) * {batch} + j)"
@@ -127,25 +119,6 @@ def validation_blocks(spark, n_blocks: int, need: int, rank: int = 0, world: int
     return grid.distinct().withColumn("i", i).where(F.col("i") % world == rank).select("i", "block_id")
 
 
-def gathered_batches(docs: DataFrame, steps: int, batch: int, rank: int, world: int, length: int, seed: int, ids: str = "ids", ordinal: str = "ord", size: str | None = None) -> DataFrame:
-    """``(g, j, x, y)``: a rank's training batches 0 to ``steps`` - 1, a pure function of seed, rank and step.
-
-    Each slot looks its block up in its epoch's order; blocks are cut at the epoch's offset.
-    """
-    spark = docs.sparkSession
-    total = docs.agg(F.sum(F.size(ids) if size is None else F.col(size))).first()[0] or 0
-    n_blocks = total // length - 1
-    if n_blocks < 1:
-        raise ValueError(f"{total} tokens are too few for blocks of {length}")
-    wanted = slots(spark, steps, batch, rank, world, n_blocks)
-    out = []
-    for epoch in range((steps * world * batch - 1) // n_blocks + 1):  # the epochs that the steps reach
-        order = epoch_positions(spark.range(n_blocks).withColumnRenamed("id", "block_id"), seed, epoch)
-        named = wanted.where(F.col("epoch") == epoch).join(order, "pos").select("g", "j", "block_id")
-        out.append(named.join(blocks(docs, length, ids, ordinal, epoch_offset(seed, epoch, length), size), "block_id").select("g", "j", "x", "y"))
-    return functools.reduce(DataFrame.unionByName, out)
-
-
 def bucketed_batches(examples: DataFrame, batch: int, seed: int, epoch: int, multiple: int = 32, key: str = "ord", length: str = "n", rank: int = 0, world: int = 1) -> DataFrame:
     """``(key, length, chunk, batch_no, row_no, place)``: rows of like length share a batch; batches come in random order, by ``place``.
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import hashing
 from lexmill.functions import text as tx
-from lexmill.operators import bpe_training, config, corpus, metrics, order, sampling, sft, synthetic, tokens
+from lexmill.operators import bpe_training, config, corpus, lookup, metrics, order, sampling, sft, synthetic, tokens
 from lexmill.plans import duck
 from lexmill.sources import readers
 from lexmill.storage import importable, new_path
@@ -408,23 +408,36 @@ def eval_batches(spark, d):
     return tokens.evaluation_batches(rows, 8, rank=1, world=2, most=40)
 
 
-_BATCH_T, _BATCH_STEPS = 8192, 20
+_BATCH_T, _BATCH_STEPS = 8192, range(3, 23)
+_OFFSET = "floor({} * {})::bigint".format(_uniform("'1337:offset:' || epoch"), _BATCH_T)
 
 
 @query(
-    f"""with {_TOKENS}, u as (select ord, unnest(range(0, len(ids))) as j, unnest(ids) as t from tok), g as (select t, row_number() over (order by ord, j) - 1 as pos from u), n as (select count(*) // {_BATCH_T} - 1 as n from u),
-    s as (select id // 8 as g, id % 8 as j, ((id // 8) * 2 + 1) * 8 + id % 8 as s from range(0, {_BATCH_STEPS * 8}) r(id)), a as (select g, j, s // n as epoch, s % n as pos from s, n),
-    e as (select distinct epoch, floor((('0x' || substring(md5('1337:offset:' || epoch), 1, 8))::bigint / 4294967296::double) * {_BATCH_T})::bigint as off from a),
-    p as (select epoch, off, b, row_number() over (partition by epoch order by md5('1337:' || epoch || ':' || b), b) - 1 as pos from e, (select unnest(range(0, n)) as b from n)),
-    w as (select g, a.j, off + b * {_BATCH_T} as s0 from a join p using (epoch, pos))
+    f"""with recursive {_TOKENS}, u as (select ord, unnest(range(0, len(ids))) as j, unnest(ids) as t from tok), g as (select t, row_number() over (order by ord, j) - 1 as pos from u), n as (select count(*) // {_BATCH_T} - 1 as n from u),
+    s as (select id // 8 as g, id % 8 as j, ((id // 8) * 2 + 1) * 8 + id % 8 as s from range({_BATCH_STEPS.start * 8}, {_BATCH_STEPS.stop * 8}) r(id)), a as (select g, j, s // n as epoch, s % n as pos, '1337:' || s // n || ':block' as k from s, n),
+    e as (select distinct k from a), {duck.permutation("perm", "n", "e")}, w as (select a.g, a.j, {_OFFSET} + place * {_BATCH_T} as s0 from a join perm using (k, pos))
     select w.g, w.j, md5(array_to_string(list(t order by pos)[1:{_BATCH_T}], ',')) as x, md5(array_to_string(list(t order by pos)[2:{_BATCH_T + 1}], ',')) as y from w join g on g.pos >= s0 and g.pos <= s0 + {_BATCH_T} group by w.g, w.j"""
 )
 def train_batches(spark, d):
-    """Blocks looked up for each slot of the second of two ranks; at small scales over several epochs."""
-    b = tokens.gathered_batches(token_docs(spark, d), _BATCH_STEPS, 8, 1, 2, _BATCH_T, 1337, size="n")
+    """Blocks looked up for each slot of the second of two ranks, from a written stream; at small scales over several epochs."""
+    path = new_path(spark, "stream")
+    readers.write_stream(token_docs(spark, d).select(F.lit("train").alias("split"), "ord", "ids", "n"), path, size="n")
+    b = lookup.stored_batches(spark, path, _BATCH_STEPS, 8, 1, 2, _BATCH_T, 1337)
     return b.select("g", "j", F.md5(F.array_join("x", ",")).alias("x"), F.md5(F.array_join("y", ",")).alias("y"))
 
 
+@query(
+    f"""with recursive n as (select sum(octet_length(encode({_SANE})) + 1)::bigint // 64 - 1 as n from documents where text is not null), e as (select '1337:' || epoch || ':block' as k, epoch from range(0, 3) r(epoch)), {duck.permutation("perm", "n", "e")}
+    select epoch::bigint as epoch, pos, place as block_id from perm join e using (k)"""
+)
+def block_permutation(spark, d):
+    """Three epochs' orders of all blocks of 64 tokens, by arithmetic."""
+    total = token_docs(spark, d).agg(F.sum("n")).first()[0] or 0
+    n = total // 64 - 1
+    grid = spark.range(3 * n).select(F.expr(f"id div {n}").alias("epoch"), F.expr(f"id % {n}").alias("pos"))
+    return grid.select("epoch", "pos", lookup.block_of(F.col("pos"), n, 1337, F.col("epoch")).alias("block_id"))
+
+
 @query(f"with {_TOKENS}, s as (select ord, len(ids) as n, case when {duck.crc('substring(text, 1, 400)')} % 1000 < 150 then 'val' else 'train' end as split from tok) select split, ord, n::int as n, (sum(n) over (partition by split order by ord) - n)::bigint as \"offset\" from s")
 def stream_files(spark, d):
     """Token streams by split, written and read back."""
@@ -468,6 +481,22 @@ def collate_pad(spark, d):
     return tokens.collated(rows, ["batch"]).select("conv_id", F.md5(F.array_join("x", ",")).alias("x"), F.md5(F.array_join("y", ",")).alias("y"))
 
 
+@query(
+    f"""with recursive {_CHAT}, x as (select *, row_number() over (order by conv_id) - 1 as ord, len(ids) as n from chat), c as (select count(*) as n, count(*) // 2 // 4 as per from x), b as (select per as n from c),
+    s as (select g, g // per as epoch, g % per as i, '5:' || g // per || ':batch' as k from range(2, 120) r(g), c), bk as (select distinct k from s), ek as (select distinct '5:' || epoch || ':example' as k from s),
+    {duck.permutation("pb", "b", "bk")}, {duck.permutation("pe", "c", "ek")}, q as (select g, epoch, place as q from s join pb on s.k = pb.k and s.i = pb.pos),
+    p as (select g, epoch, q % 3 as nth, unnest(range(q // 3 * 12, least(q // 3 * 12 + 12, per * 4))) as k from q, c), m as (select p.*, pe.place as ord from p join pe on pe.k = '5:' || epoch || ':example' and pe.pos = p.k * 2 + 1),
+    r as (select m.g, m.nth, x.*, row_number() over (partition by g order by x.n, m.k) - 1 as r from m join x using (ord)), o as (select *, max(n) over (partition by g) - 1 as most, n - 1 as len from r where r // 4 = nth)
+    select g, (r % 4)::bigint as j, ord, md5(array_to_string(list_concat(ids[1:len], list_transform(range(0, most - len), lambda i: 0)), ',')) as x,
+    md5(array_to_string(list_concat(list_transform(range(1, len + 1), lambda i: case when mask[i + 1] > 0 then ids[i + 1] else -1 end), list_transform(range(0, most - len), lambda i: -1)), ',')) as y from o"""
+)
+def sft_train_batches(spark, d):
+    """Padded batches of the second of two ranks by step, over the borders of epochs where there are as few talks."""
+    rows = order.numbered(chats(spark, d).select("conv_id", "ids", "mask"), F.col("conv_id"))
+    b = lookup.example_batches(rows, range(2, 120), 4, 5, rank=1, world=2, multiple=3)
+    return b.select("g", "j", "ord", F.md5(F.array_join("x", ",")).alias("x"), F.md5(F.array_join("y", ",")).alias("y"))
+
+
 @query(f"""with {_CHAT}, s as (select c.*, case when {duck.crc('q')} % 1000 < 150 then 'val' else 'train' end as split from chat c join (select conv_id, arg_min(text, turn) as q from conversations group by conv_id) using (conv_id))
     select split, conv_id, len(ids)::int as n, list_sum(mask)::int as n_answer, (sum(len(ids)) over (partition by split order by conv_id) - len(ids))::bigint as "offset" from s""")
 def example_files(spark, d):

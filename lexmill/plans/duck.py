@@ -56,3 +56,18 @@ def web_page(x: str) -> str:
         f"case when length({strip(x)}) >= 400 and length(regexp_replace({t}, '[^\\p{{L}}]', '', 'g'))::double / greatest(1, length({t})) >= 0.6::double"
         f" and len(list_distinct({own})) >= len({own}) * 0.7::double then array_to_string({own}, chr(10) || chr(10)) end"
     )
+
+
+def permutation(name: str, n: str, keys: str) -> str:
+    """CTEs that end in ``name(k, pos, place)``: for each key ``k`` of the CTE ``keys``, where 0 to n - 1 go; the CTE ``n`` has one row n. Needs ``with recursive``."""
+    moves = ["x", "y"]
+    steps = []
+    for r in range(4):
+        own, other, side = (moves[r % 2], moves[1 - r % 2], "ab"[r % 2])
+        moved = f"({own} + ('0x' || substring(md5(k || ':{r}:' || {other}), 1, 8))::bigint) % {side} as {own}"
+        steps.append(f"{name}_{r + 1} as (select k, v, n, a, b, {', '.join(moved if c == own else c for c in 'xy')} from {name}_{r})")
+    low = "ceil(sqrt(n))::bigint"
+    return f"""{name}_d as (select n, a, (n + a - 1) // a as b from (select n, unnest(range({low}, {low} + 64)) as a from {n}) order by a * ((n + a - 1) // a) - n, a limit 1),
+        {name}_v as (select n, a, b, unnest(range(a * b)) as v from {name}_d), {name}_0 as (select k, v, n, a, b, v // b as x, v % b as y from {name}_v, {keys}), {', '.join(steps)},
+        {name}_m as (select k, v, x * b + y as place, n from {name}_4), {name}_w(k, pos, place, n) as (select k, v, place, n from {name}_m where v < n union all select w.k, w.pos, m.place, w.n from {name}_w w join {name}_m m on w.k = m.k and w.place = m.v where w.place >= w.n),
+        {name} as (select k, pos, place from {name}_w where place < n)"""

@@ -101,11 +101,35 @@ def write_examples(examples: DataFrame, path: str, ordinal: str = "ord", ids: st
     )
 
 
-def write_stream(docs: DataFrame, path: str, ids: str = "ids", ordinal: str = "ord") -> None:
-    """Token streams by split, each document with the position at which it begins."""
+#: Tokens of a stream that lie in one folder of it.
+SHELF = 1 << 26
+
+
+def write_stream(docs: DataFrame, path: str, ids: str = "ids", ordinal: str = "ord", shelf: int = SHELF, size: str | None = None) -> None:
+    """Token streams by split, each document with the position at which it begins, in shelves by position; and an index without the ids.
+
+    ``size`` names a column that has the number of ids without making them.
+    """
     from lexmill.operators.order import running_sum
+    from lexmill.storage import stage
+
+    n = (F.size(ids) if size is None else F.col(size)).cast("long")
+    sized = stage(docs.select("split", ordinal, n.alias("n")), "stream-sizes")
+    placed = running_sum(sized, ordinal, "n", "offset", by=["split"]).withColumn("shelf", F.expr(f"offset div {shelf}"))
+    placed.write.parquet(f"{path}/_index")
+    index = docs.sparkSession.read.schema(placed.schema).parquet(f"{path}/_index")
+    rows = docs.select("split", ordinal, F.col(ids).alias("ids")).join(index.select("split", ordinal, "offset", "shelf"), ["split", ordinal])
+    rows.write.partitionBy("split", "shelf").mode("append").parquet(path)
+
+
+def stream_index(spark: SparkSession, path: str) -> DataFrame:
+    """``(split, ordinal, n, offset, shelf)`` of each document of a stream, without reading ids."""
+    return spark.read.parquet(f"{path}/_index")
+
 
-    running_sum(docs, ordinal, F.size(ids), "offset", by=["split"]).write.partitionBy("split").parquet(path)
+def read_shelves(spark: SparkSession, path: str, split: str, shelves: list[int]) -> DataFrame:
+    """The documents on some shelves; folders of others aren't scanned."""
+    return spark.read.parquet(path).where((F.col("split") == split) & F.col("shelf").isin(shelves))
 
 
 def _java(spark: SparkSession, path: str):

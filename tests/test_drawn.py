@@ -83,23 +83,6 @@ def test_assembly_is_the_same_each_time_and_alternates(spark):
     assert all([role for role, _ in m] == ["user", "assistant"] * (len(m) // 2) for _, _, m in first)
 
 
-def test_batches_are_pure_and_ranks_differ(spark):
-    docs = spark.createDataFrame([(i, [(i * 7 + k) % 1000 for k in range(i % 40 + 1)]) for i in range(60)], "ord long, ids array<int>")
-    stream = [t for r in docs.orderBy("ord").collect() for t in r.ids]
-    length, n = 16, len(stream) // 16 - 1
-    run = lambda rank: {(r.g, r.j): (r.x, r.y) for r in tokens.gathered_batches(docs, 12, 4, rank, 2, length, 7).collect()}
-    zero, one = run(0), run(1)
-    assert zero == run(0) and len(zero) == len(one) == 48 and zero != one
-    for rank, got in ((0, zero), (1, one)):
-        for (g, j), (x, y) in got.items():
-            epoch, pos = divmod((g * 2 + rank) * 4 + j, n)
-            order = sorted(range(n), key=lambda b: (hashlib.md5(f"7:{epoch}:{b}".encode()).hexdigest(), b))
-            start = tokens.epoch_offset(7, epoch, length) + order[pos] * length
-            assert x == stream[start : start + length] and y == stream[start + 1 : start + length + 1]
-    with pytest.raises(ValueError, match="too few"):
-        tokens.gathered_batches(docs, 1, 1, 0, 1, 10**6, 7)
-
-
 def test_epoch_gives_each_rank_the_same_number_of_batches(spark):
     rows = spark.createDataFrame([(i, i * 37 % 101) for i in range(103)], "ord long, n int")
     seen = []
