@@ -14,7 +14,7 @@ from lexmill.functions import hashing
 from lexmill.functions import text as tx
 from lexmill.operators import bpe_training, config, corpus, lookup, metrics, order, sampling, sft, synthetic, tokens
 from lexmill.plans import duck
-from lexmill.sources import readers
+from lexmill.sources import flat, readers
 from lexmill.storage import importable, new_path
 
 QUERIES: dict = {}
@@ -446,6 +446,18 @@ def stream_files(spark, d):
     return readers.read_stream(spark, path, 64).select("split", "ord", F.size("ids").alias("n"), "offset")
 
 
+@query(
+    f"""with {_TOKENS}, s as (select ord, ids, case when {duck.crc('substring(text, 1, 400)')} % 1000 < 150 then 'val' else 'train' end as split from tok), u as (select split, ord, unnest(range(0, len(ids))) as j, unnest(ids) as t from s),
+    p as (select split, t, row_number() over (partition by split order by ord, j) - 1 as pos from u)
+    select split, (pos // 4096 * 4096)::bigint as first, count(*)::int as n, md5(string_agg(t, ',' order by pos)) as digest from p group by split, pos // 4096"""
+)
+def flat_stream_files(spark, d):
+    """Flat token files of two splits, written and read back by ranges."""
+    path = new_path(spark, "flat")
+    flat.write_stream(corpus.with_split(token_docs(spark, d), 150).select("split", "ord", "ids", "n"), path, 261, size="n")
+    return flat.read(spark, path).select("split", "first", F.size("ids").alias("n"), F.md5(F.array_join("ids", ",")).alias("digest"))
+
+
 @query("select id::int as id, token, id in (0, 4) as stops, id in (1, 2, 3) as forbidden, id = 0 as pads from (values (0, '<|endoftext|>'), (1, '<|system|>'), (2, '<|user|>'), (3, '<|assistant|>'), (4, '<|end|>')) t(id, token)")
 def special_tokens(spark, d):
     return tokens.special_tokens(spark)
@@ -507,6 +519,15 @@ def example_files(spark, d):
     return rows.select("split", "conv_id", F.size("ids").alias("n"), F.aggregate("mask", F.lit(0), lambda n, x: n + x.cast("int")).alias("n_answer"), "offset")
 
 
+@query(f"""with {_CHAT}, s as (select c.*, case when {duck.crc('q')} % 1000 < 150 then 'val' else 'train' end as split from chat c join (select conv_id, arg_min(text, turn) as q from conversations group by conv_id) using (conv_id))
+    select split, (row_number() over (partition by split order by conv_id) - 1)::bigint as ord, md5(array_to_string(ids, ',')) as ids, md5(array_to_string(mask, ',')) as mask from s""")
+def flat_example_files(spark, d):
+    """Ids, masks and offsets of two splits as arrays of one file each, written and read back."""
+    path = new_path(spark, "flat")
+    flat.write_examples(sft.with_split(chats(spark, d), 150).select("split", "conv_id", "ids", "mask"), path, 261, ordinal="conv_id")
+    return flat.read(spark, path).select("split", "ord", F.md5(F.array_join("ids", ",")).alias("ids"), F.md5(F.array_join(F.transform("mask", lambda x: x.cast("string")), ",")).alias("mask"))
+
+
 @query(f"with {_CHAT} select conv_id, list_sum(mask)::int as n_answer, len(ids) <= 513 and list_sum(mask) > 0 as kept from chat")
 def length_filter(spark, d):
     return sft.fits(chats(spark, d), 512).select("conv_id", "n_answer", "kept")
