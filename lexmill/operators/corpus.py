@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -92,15 +94,43 @@ def flush_order(ordinal: str = "ord", is_chat: str = "is_chat", batch: int = 200
     return [F.expr(f"{ordinal} div {batch}"), F.col(is_chat), F.col(ordinal)]
 
 
-def survivors(cleaned: DataFrame, text: str, most: int, seed: int, id_col: str) -> DataFrame:
-    """The first ``most`` rows that cleaning kept, in an order by seed.
+def computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed once, however often it is filtered on or used: as a one-row generator, which filters don't pass."""
+    made = F.explode(F.array(value)).alias(name)
+    return df.select(*[made if c == name else F.col(c) for c in df.columns], *([] if name in df.columns else [made]))
+
+
+def survivors(rows: DataFrame, text: str, most: int, seed: int, id_col: str, clean: Callable[[DataFrame], DataFrame] | None = None, sample: int = 1000) -> DataFrame:
+    """The first ``most`` rows whose ``text`` isn't null, in an order by seed.
 
-    Ids are chosen first (``most`` of them meet in one task), then their rows are fetched.
+    ``clean`` is the work that decides it, and is done for few rows more than are asked for:
+    the order is a uniform hash, so rows under a threshold come first in it. About ``sample``
+    rows tell how many survive, then the threshold rises until enough did; no row is cleaned
+    twice. Without ``clean`` the rows are taken as they are.
     """
-    chosen = cleaned.where(F.col(text).isNotNull()).select(F.col(id_col).alias("_id")).orderBy(hashing.order_key(seed, F.col("_id")), "_id").limit(most)
+    if clean is None:
+        found = rows.where(F.col(text).isNotNull())
+    else:
+        found = _cleaned_until(rows, text, most, hashing.uniform(seed, F.col(id_col)), clean, sample)
+    chosen = found.select(F.col(id_col).alias("_id")).orderBy(hashing.order_key(seed, F.col("_id")), "_id").limit(most)
     if most <= 1_000_000:  # 8 MB of ids; beyond it the join is shuffled
         chosen = F.broadcast(chosen)
-    return cleaned.where(F.col(text).isNotNull()).join(chosen, F.col(id_col) == F.col("_id"), "left_semi")
+    return found.join(chosen, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+
+
+def _cleaned_until(rows: DataFrame, text: str, most: int, place: Column, clean: Callable[[DataFrame], DataFrame], sample: int) -> DataFrame:
+    from lexmill.storage import stage
+
+    n = rows.count()
+    low, high, got, parts = 0.0, min(1.0, max(sample, most) / max(n, 1)), 0, []
+    while True:
+        part = rows.where((place >= low) & (place < high) if high < 1 else place >= low)
+        parts.append(stage(clean(part).where(F.col(text).isNotNull()), "survivors"))
+        got += parts[-1].count()
+        if got >= most or high >= 1:
+            return union(*parts)
+        # A fifth more than the rate so far asks for, and eight times as much as was tried at most, since rates of few rows vary.
+        low, high = high, min(1.0, max(high * 1.1, min(high * 8, 1.2 * most * high / max(got, 1))))
 
 
 def raw_counts(raw: DataFrame, cleaned: Column, source: str = "src") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import hashing
 from lexmill.functions import text as tx
-from lexmill.operators import bpe_training, config, corpus, lookup, metrics, order, sampling, sft, synthetic, tokens
+from lexmill.operators import bpe_training, chunking, config, corpus, lookup, metrics, order, sampling, sft, synthetic, tokens
 from lexmill.plans import duck
 from lexmill.sources import flat, readers
 from lexmill.storage import importable, new_path
@@ -91,7 +91,7 @@ def damaged(c="text"):
 
 @query(f"with t as (select doc_id, {duck.web_page('text')} as t from documents) select doc_id, length(t)::bigint as n, md5(t) as digest from t where t is not null")
 def web_clean(spark, d):
-    rows = texts(spark, d).select("doc_id", tx.web_page(F.col("text")).alias("t")).where("t is not null")
+    rows = corpus.computed(texts(spark, d).select("doc_id", F.col("text").alias("t")), "t", tx.web_page(F.col("t"))).where("t is not null")
     return rows.select("doc_id", F.length("t").cast("long").alias("n"), F.md5("t").alias("digest"))
 
 
@@ -109,7 +109,7 @@ WIKI = f"""l as (select doc_id, {duck.lines(DAMAGED_SQL)} as ls from documents),
     select doc_id, length(t)::bigint as n, md5(t) as digest from a where length(t) >= 300"""
 )
 def wiki_clean(spark, d):
-    rows = texts(spark, d).select("doc_id", tx.article(tx.judged_lines(damaged())).alias("t")).where("t is not null")
+    rows = corpus.computed(texts(spark, d).select("doc_id", F.col("text").alias("t")), "t", tx.article(tx.judged_lines(damaged("t")))).where("t is not null")
     return rows.select("doc_id", F.length("t").cast("long").alias("n"), F.md5("t").alias("digest"))
 
 
@@ -170,6 +170,23 @@ def chunk_paragraphs(spark, d):
     return c.select("doc_id", F.size("c").cast("long").alias("chunks"), F.md5(F.array_join("c", "|")).alias("digest"))
 
 
+@query(
+    f"""with recursive t as (select source as file, string_agg(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10) order by doc_id) as t from documents where text is not null group by source),
+    p as (select file, list_filter(list_transform(string_split(t, chr(10) || chr(10)), lambda x: {duck.strip('x')}), lambda x: x <> '') as ps from t), u as (select file, unnest(range(1, len(ps) + 1)) as i, unnest(ps) as para from p),
+    f as (select file, 0::bigint as i, 0::bigint as n, 0::bigint as k, null::bigint as own from p union all select f.file, f.i + 1, case when f.n + length(u.para) >= 4000 then 0 else f.n + length(u.para) end, f.k + (f.n + length(u.para) >= 4000)::int, f.k from f join u on u.file = f.file and u.i = f.i + 1),
+    c as (select f.file, f.own as k, string_agg(u.para, chr(10) || chr(10) order by u.i) as t, sum(length(u.para)) as n from f join u on u.file = f.file and u.i = f.i where f.i > 0 group by 1, 2)
+    select file, k::int as chunk_no, length(t)::int as n, md5(t) as digest from c where n >= 200"""
+)
+def chunk_long_files(spark, d):
+    """Each source's documents written as one long text of several files, and cut again at paragraphs."""
+    path = new_path(spark, "texts")
+    rows = docs(spark, d).where("text is not null").select("source", "doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("t"))
+    ordered = rows.repartitionByRange("source", "doc_id").sortWithinPartitions("source", "doc_id")
+    ordered.select("source", F.concat("t", F.lit("\n")).alias("value")).write.partitionBy("source").text(path)
+    chunks = chunking.chunked(chunking.paragraphs(chunking.lines(spark, [path], F.col("source").cast("string"))))
+    return chunks.select("file", "chunk_no", F.length("text").alias("n"), F.md5("text").alias("digest"))
+
+
 _SCRIPT = "string_agg('[' || role || ' :] ' || text, ' ' order by turn)"
 
 
@@ -247,7 +264,7 @@ def dedup_stats_by_source(spark, d):
 )
 def corpus_flagship(spark, d):
     """Web cleaning, first-wins deduplication, split, and counts by source and split."""
-    cleaned = spread(ranked(spark, d)).withColumn("text", tx.web_page(F.col("text"))).where("text is not null")
+    cleaned = corpus.computed(spread(ranked(spark, d)), "text", tx.web_page(F.col("text"))).where("text is not null")
     # What the counts need is taken from the texts before they are compared, so no text is shuffled.
     narrow = corpus.with_split(cleaned, 10).select("src", "src_rank", "ord", "split", F.length("text").alias("n"), hashing.dedup_key(F.col("text")).alias("key"))
     return corpus.first_wins(narrow, key=F.col("key")).groupBy("src", "split").agg(F.count("*").alias("docs"), F.sum("n").cast("long").alias("chars"))
@@ -337,8 +354,8 @@ def qa_sample(spark, d):
 
 @query("select doc_id from documents where length(text) >= 400 order by md5('7:' || doc_id), doc_id limit 100")
 def seeded_survivors(spark, d):
-    rows = docs(spark, d).withColumn("kept", F.when(F.length("text") >= 400, F.col("text")))
-    return corpus.survivors(rows, "kept", 100, 7, "doc_id").select("doc_id")
+    kept = lambda rows: rows.withColumn("kept", F.when(F.length("text") >= 400, F.col("text")))
+    return corpus.survivors(docs(spark, d), "kept", 100, 7, "doc_id", kept).select("doc_id")
 
 
 # ---- tokens ---------------------------------------------------------------------------------------------------------

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import json
 import logging
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexmill.functions import text as tx
-from lexmill.operators import corpus, sft
+from lexmill.operators import chunking, corpus, sft
 
 MESSAGES = T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType())]))
 RECORD = T.StructType([T.StructField("text", T.StringType()), T.StructField("messages", MESSAGES), T.StructField("src", T.StringType()), T.StructField("ord", T.LongType())])
@@ -20,26 +20,26 @@ OWN_QUESTIONS, OWN_ANSWERS = ("question", "instruction", "prompt"), ("answer", "
 ANSWERS = T.StructType([T.StructField("text", T.ArrayType(T.StringType())), T.StructField("answer_start", T.ArrayType(T.IntegerType()))])
 
 
+def _first(raw: DataFrame, clean: Callable[[DataFrame], DataFrame], column: str, most: int | None, seed: int, id_col: str) -> DataFrame:
+    return corpus.survivors(raw, column, most, seed, id_col, clean) if most else clean(raw).where(F.col(column).isNotNull())
+
+
 def articles(raw: DataFrame, most: int | None, seed: int, id_col: str = "id", text: str = "text") -> DataFrame:
     """Encyclopaedia articles, cleaned; the first ``most`` survivors in an order by seed."""
-    cleaned = raw.withColumn(text, tx.article(tx.judged_lines(F.col(text))))
-    return corpus.survivors(cleaned, text, most, seed, id_col) if most else cleaned.where(F.col(text).isNotNull())
+    return _first(raw, lambda df: corpus.computed(df, text, tx.article(tx.judged_lines(F.col(text)))), text, most, seed, id_col)
 
 
 def web(raw: DataFrame, most: int | None, seed: int, id_col: str = "id", text: str = "text") -> DataFrame:
-    cleaned = raw.withColumn(text, tx.web_page(F.col(text)))
-    return corpus.survivors(cleaned, text, most, seed, id_col) if most else cleaned.where(F.col(text).isNotNull())
+    return _first(raw, lambda df: corpus.computed(df, text, tx.web_page(F.col(text))), text, most, seed, id_col)
 
 
 def local_files(spark: SparkSession, paths: list[str], chunk_chars: int = 4000) -> DataFrame:
-    """``(path, chunk_no, text)`` of text files, cut at paragraphs."""
-    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    return files.select("path", F.posexplode(tx.chunks(F.col("value"), chunk_chars)).alias("chunk_no", "text"))
+    """``(path, chunk_no, text)`` of text files, cut at paragraphs; files of any size, read in splits. Ill-formed bytes are left out."""
+    return chunking.chunked(chunking.paragraphs(chunking.lines(spark, paths)), chunk_chars).withColumnRenamed("file", "path")
 
 
 def dialogues(raw: DataFrame, most: int | None, seed: int, id_col: str = "id", text: str = "text") -> DataFrame:
-    parsed = raw.withColumn("messages", tx.dialogue(F.col(text)))
-    return corpus.survivors(parsed, "messages", most, seed, id_col) if most else parsed.where("messages is not null")
+    return _first(raw, lambda df: corpus.computed(df, "messages", tx.dialogue(F.col(text))), "messages", most, seed, id_col)
 
 
 def extractive_qa(rows: DataFrame, prefix: str = "Contexte : ", middle: str = "\n\nQuestion : ") -> DataFrame:
@@ -86,6 +86,34 @@ def guarded(name: str, build: Callable[[], DataFrame], empty: DataFrame) -> Data
         return empty
 
 
+ERRORS = "source string, part int, error string, kept long"
+
+
+def guarded_parts(spark: SparkSession, name: str, parts: Iterable[Callable[[], DataFrame]], empty: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A source that comes in parts: those before a failure stay, and the failure is a row of the second table.
+
+    Each part is written for itself before the next is asked for, so what a later one loses
+    isn't theirs. Parts after the first failure aren't tried, as the source has ended there.
+    """
+    from lexmill.storage import stage
+
+    kept, failed, n = [], [], 0
+    for i, build in enumerate(parts):
+        try:
+            kept.append(stage(build(), f"source-{name}"))
+            n += kept[-1].count()
+        except Exception as e:  # any failure of a foreign source  # noqa: BLE001
+            logging.getLogger(__name__).warning("source %s ends at part %s, %s rows stay: %s", name, i, n, e)
+            failed.append((name, i, f"{type(e).__name__}: {e}"[:500], n))
+            break
+    return corpus.union(*kept) if kept else empty, spark.createDataFrame(failed, ERRORS)
+
+
+def in_parts(rows: Callable[[], DataFrame], ordinal: str, size: int, n: int) -> list[Callable[[], DataFrame]]:
+    """A source of ``n`` rows by ranges of its ordinal, ``size`` rows a part."""
+    return [lambda a=a: rows().where((F.col(ordinal) >= a) & (F.col(ordinal) < a + size)) for a in range(0, n, size)]
+
+
 def write_corpus(rows: DataFrame, path: str) -> None:
     """JSON lines by source, with the ordinal that readers order by."""
     rows.write.partitionBy("src").json(path)

@@ -1,5 +1,6 @@
 """Semantics on small fixtures, without SQL twins."""
 
+import hashlib
 import math
 import random
 import time
@@ -207,6 +208,93 @@ def test_long_words_are_merged_in_time():
     assert spelled("aaaaabc") == [b"aaaa", b"abc"] and spelled("aaabc") == [b"aa", b"abc"] and spelled("") == []
 
 
+def folded(text, size, least):
+    """Paragraph by paragraph."""
+    out, held = [], []
+    for para in filter(None, (p.strip() for p in text.split("\n\n"))):
+        held.append(para)
+        if sum(map(len, held)) >= size:
+            out.append("\n\n".join(held))
+            held = []
+    return out + (["\n\n".join(held)] if sum(map(len, held)) >= min(size, least) else [])
+
+
+@pytest.mark.parametrize("split_bytes", [200, 1 << 20])
+def test_chunks_of_files_in_many_splits(spark, tmp_path, split_bytes):
+    from lexmill.operators import chunking
+
+    rng = random.Random(3)
+    files = {}
+    for i in range(5):
+        paras = ["".join(rng.choices("abc é\U0001f600\ufffd\ufdd0", k=rng.choice([0, 1, 9, 40, 300]))) + rng.choice(["", "\nline", " ", "\n \nx"]) for _ in range(rng.choice([1, 40]))]
+        raw = rng.choice(["\n\n", "\n\n\n", "\r\n\r\n"]).join(paras).encode()
+        for _ in range(12):  # ill-formed bytes anywhere between characters or inside them
+            at = rng.randrange(len(raw) + 1)
+            raw = raw[:at] + rng.choice([b"\xff", b"\xc3", b"\xe2\x82", b"\x80"]) + raw[at:]
+        files[f"f{i}.txt"] = raw
+    files["empty.txt"], files["blank.txt"], files["one.txt"] = b"", b"\n\n \n\n", b"x" * 700
+    for name, raw in files.items():
+        (tmp_path / name).write_bytes(raw)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split_bytes)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        got = readers.local_files(spark, [str(tmp_path)], 150).collect()
+        assert split_bytes > 200 or spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 10
+        bare = chunking.chunked(chunking.paragraphs(chunking.lines(spark, [str(tmp_path)])), 60, 1).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    for name, raw in files.items():
+        text = raw.decode(errors="ignore").replace("\r\n", "\n").replace("\r", "\n")
+        assert [r.text for r in sorted(got, key=lambda r: r.chunk_no) if r.path.endswith("/" + name)] == folded(text, 150, 200), name
+        assert [r.text for r in sorted(bare, key=lambda r: r.chunk_no) if r.file.endswith("/" + name)] == folded(text, 60, 1), name
+
+
+def test_few_rows_more_than_asked_for_are_cleaned(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def judged(i):
+        seen.add(1)
+        return f"row {i}" if i % 5 == 0 else None
+
+    rows = spark.range(20_000).withColumnRenamed("id", "i")
+    for most in (40, 700):
+        before = seen.value
+        got = corpus.survivors(rows, "t", most, 11, "i", lambda df: corpus.computed(df, "t", judged("i"))).collect()
+        want = sorted((i for i in range(0, 20_000, 5)), key=lambda i: hashlib.md5(f"11:{i}".encode()).hexdigest())[:most]
+        assert sorted(r.i for r in got) == sorted(want) and seen.value - before < 1.6 * 5 * most + 1200
+    all_of_them = corpus.survivors(rows, "t", 5000, 11, "i", lambda df: corpus.computed(df, "t", judged("i")))
+    assert all_of_them.count() == 4000
+
+
+def test_texts_are_cleaned_once(spark):
+    raw = spark.createDataFrame([(1, "x " * 300)], "id long, text string")
+    for read in (lambda: readers.web(raw, None, 1), lambda: readers.articles(raw, None, 1)):
+        plan = read().where("length(text) > 3").select(F.md5("text"), F.length("text"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("btrim") + plan.count("trim(both") == readers_trims(raw, read), plan
+
+
+def readers_trims(raw, read):
+    """How often one cleaning expression trims."""
+    name = tx.web_page if "web" in read.__code__.co_names else lambda c: tx.article(tx.judged_lines(c))
+    plan = raw.select(name(F.col("text")).alias("t"))._jdf.queryExecution().optimizedPlan().toString()
+    return plan.count("btrim") + plan.count("trim(both")
+
+
+def test_what_a_source_gave_before_it_failed_stays(spark, tmp_path):
+    rows = spark.range(50).withColumnRenamed("id", "ord")
+    broken = lambda: rows.withColumn("x", F.when(F.col("ord") == 25, F.raise_error(F.lit("gone"))).otherwise(F.lit(1)))
+    kept, errors = readers.guarded_parts(spark, "own", readers.in_parts(broken, "ord", 10, 50), rows.limit(0))
+    assert sorted(r.ord for r in kept.collect()) == list(range(20))
+    (error,) = errors.collect()
+    assert (error.source, error.part, error.kept) == ("own", 2, 20) and "gone" in error.error
+    whole, none = readers.guarded_parts(spark, "own", readers.in_parts(lambda: rows, "ord", 20, 50), rows.limit(0))
+    assert whole.count() == 50 and none.count() == 0
+    empty, one = readers.guarded_parts(spark, "own", [lambda: spark.read.parquet(str(tmp_path / "none"))], rows.limit(0))
+    assert empty.count() == 0 and one.count() == 1
+
+
 def test_files_and_guards(spark, tmp_path):
     (tmp_path / "a.txt").write_text("un\n\n" + "deux" * 100 + "\n\ntrois")
     assert [r.text for r in readers.local_files(spark, [str(tmp_path)], 300).collect()] == ["un\n\n" + "deux" * 100]
