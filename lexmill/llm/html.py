@@ -7,8 +7,10 @@ paragraphs apart by a blank line, indents and marks list items, and pads table c
 columns, also under cells that span columns or rows.
 
 Time and output are linear in the markup. So items and quotes are indented up to ``LEVELS``
-deep, columns are aligned up to ``WIDEST`` wide (longer cells run over), spans reach up to
-``COLUMNS``, and tables inside more than ``TABLES`` others run on as blocks.
+deep, spans reach up to ``COLUMNS``, and tables inside more than ``TABLES`` others run on as
+blocks. Columns are aligned up to a width that halves, from ``WIDEST`` on, until a table's
+lines take no more than ``FILL`` times its cells' text and tags; a table for which none is
+narrow enough has its cells one after the other.
 
 Defined results: null and empty html give empty text; ill-formed markup never fails: stray
 end tags are dropped, open elements end with their parent, and open quotes and comments reach
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 #: Fixed values of the HTML standard: elements by how they are parsed and shown.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
-HIDDEN = frozenset("head script style template noscript title iframe noembed noframes object video audio canvas datalist annotation annotation-xml desc metadata defs".split())
+HIDDEN = frozenset("head script style template noscript title iframe noembed noframes rp video audio canvas datalist annotation annotation-xml desc metadata defs".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr".split())
 BLOCKS = PARAGRAPHS | frozenset(
     "html body address article aside center details dialog dir div dd dt fieldset figcaption footer form header hgroup legend li main menu nav optgroup option search section summary tr td th thead tbody tfoot caption".split()
@@ -52,12 +54,13 @@ CLOSED_BY = {
 CLOSES_P = (BLOCKS - frozenset("html body dt dd li tr td th thead tbody tfoot caption option optgroup legend".split())) | {"li", "dd", "dt"}
 FENCES = frozenset("table td th caption button".split())  # a paragraph outside these isn't closed from inside
 LISTS = frozenset("ul ol menu dir".split())
-LEVELS, WIDEST, COLUMNS, TABLES = 20, 200, 1000, 20
+LEVELS, WIDEST, COLUMNS, TABLES, FILL = 20, 200, 1000, 20, 12
 HEAD_ONLY = frozenset("title base link meta script style noscript template".split())
 
 _MARKUP = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_GONE = re.compile(r"display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 _WHITE = re.compile(r"[ \t\n\f\r]+")
 
 
@@ -142,11 +145,24 @@ def parse(source: str) -> Node:
 
 
 def visible(node: Node) -> bool:
-    if node.name in HIDDEN or (node.name == "input" and node.attributes.get("type", "").lower() == "hidden"):
+    """Whether an element has a place on the page; its text may still be hidden."""
+    if node.name in HIDDEN or (node.name == "dialog" and "open" not in node.attributes):
         return False
-    if not node.attributes:
-        return True
-    return "hidden" not in node.attributes and not _UNSEEN.search(node.attributes.get("style", ""))
+    return "hidden" not in node.attributes and not _GONE.search(node.attributes.get("style", "")) if node.attributes else True
+
+
+def seen(node: Node, inherited: bool) -> bool:
+    """Whether an element's own text is shown: as around it, unless the element says otherwise."""
+    said = _VISIBILITY.findall(node.attributes.get("style", "")) if node.attributes else ()
+    return said[-1].lower() == "visible" if said else inherited
+
+
+def field_text(node: Node) -> str:
+    kind = node.attributes.get("type", "").lower().strip()
+    if node.name == "img" or kind == "image":
+        return node.attributes.get("alt", "")
+    # A kind that isn't known is a text field.
+    return "" if kind in ("hidden", "password", "checkbox", "radio", "file", "range", "color") else node.attributes.get("value", "")
 
 
 def width(text: str) -> int:
@@ -212,13 +228,13 @@ class Page:
                 self.now.append(line)
 
 
-def render(top: Node, depth: int = 0) -> str:
+def render(top: Node, depth: int = 0, shown_around: bool = True) -> str:
     """Visible text of a tree. ``depth`` counts tables around it; far inside, cells run on as blocks."""
     page = Page()
-    todo: list[tuple] = [("open", top, False)]
+    todo: list[tuple] = [("open", top, False, shown_around)]
     lists: list[list] = []
     while todo:
-        what, node, pre = todo.pop()
+        what, node, pre, show = todo.pop()
         if what == "close":
             name = node.name
             if name == "li" or name == "dd" or name == "blockquote":
@@ -227,17 +243,18 @@ def render(top: Node, depth: int = 0) -> str:
                 page.prefixes.pop()
             if name in LISTS:
                 lists.pop()
-            if name == "q":
+            if name == "q" and show:
                 page.text("”")
             if name in BLOCKS:
                 page.block(1 if name in PARAGRAPHS and not (name in ("ul", "ol") and lists) else 0)
             continue
         if isinstance(node, str):
-            page.verbatim(node) if pre else page.text(node)
+            if show:
+                page.verbatim(node) if pre else page.text(node)
             continue
         if not visible(node):
             continue
-        name = node.name
+        name, show = node.name, seen(node, show)
         if name == "br":
             if page.now:
                 page.end_line()
@@ -248,17 +265,16 @@ def render(top: Node, depth: int = 0) -> str:
             page.block(1)
             continue
         if name == "img" or name == "input":
-            shown = node.attributes.get("alt" if name == "img" else "value", "")
-            if shown:
+            if show and (shown := field_text(node)):
                 page.text(f" {shown} ")
             continue
         if name == "select":
-            for shown in options(node):
+            for shown in options(node) if show else ():
                 page.text(f" {shown} ")
             continue
         if name == "table" and depth < TABLES:
             page.block(1)
-            for line in table(node, depth).split("\n"):
+            for line in table(node, depth, show).split("\n"):
                 if line:
                     page.now.append(line)
                     page.end_line()
@@ -279,14 +295,14 @@ def render(top: Node, depth: int = 0) -> str:
             page.indent(len(page.marker))
         elif name == "dd" or name == "blockquote":
             page.indent(2)
-        elif name == "q":
+        elif name == "q" and show:
             page.text("“")
-        todo.append(("close", node, pre))
+        todo.append(("close", node, pre, show))
         inner = pre or name in ("pre", "textarea", "xmp")
         shown = node.children
         if name == "details" and "open" not in node.attributes:
             shown = [c for c in shown if isinstance(c, Node) and c.name == "summary"][:1]
-        todo.extend(("open", child, inner) for child in reversed(shown))
+        todo.extend(("open", child, inner, show) for child in reversed(shown))
     page.end_line()
     return "\n".join(page.lines)
 
@@ -304,7 +320,19 @@ def options(node: Node) -> list[str]:
     size = node.attributes.get("size", "1")
     if "multiple" not in node.attributes and not (size.isdecimal() and size.isascii() and int(size[:9]) > 1):
         found = [o for o in found if "selected" in o.attributes][-1:] or found[:1]
-    return [" ".join(t for t in o.children if isinstance(t, str)).strip() for o in found]
+    return [_words(o) for o in found]
+
+
+def _words(node: Node) -> str:
+    """All text inside, of whatever elements."""
+    out, todo = [], [node]
+    while todo:
+        item = todo.pop()
+        if isinstance(item, str):
+            out.append(item)
+        elif visible(item):
+            todo.extend(reversed(item.children))
+    return "".join(out).strip()
 
 
 def _span(cell: Node, name: str) -> int:
@@ -312,20 +340,22 @@ def _span(cell: Node, name: str) -> int:
     return max(1, min(int(said[:6]), 1 << 16)) if said.isdecimal() and said.isascii() else 1
 
 
-def table(node: Node, depth: int) -> str:
+def table(node: Node, depth: int, show: bool = True) -> str:
     """A table's captions, then its rows; cells of a column begin at the same place."""
     captions, rows = [], []
     below: dict[int, int] = {}  # columns that a cell above spans, and how many rows more
-    todo = list(reversed(node.children))
+    todo = [(c, show) for c in reversed(node.children)]
     while todo:
-        child = todo.pop()
+        child, show = todo.pop()
         if isinstance(child, str):
-            if child.strip():
+            if show and child.strip():
                 captions.append(child.strip())
-        elif not visible(child):
             continue
-        elif child.name == "caption":
-            captions.append(render(_inside(child), depth + 1))
+        if not visible(child):
+            continue
+        show = seen(child, show)
+        if child.name == "caption":
+            captions.append(render(_inside(child), depth + 1, show))
         elif child.name == "tr":
             cells: list[str] = []
             ahead: dict[int, int] = {}
@@ -342,28 +372,58 @@ def table(node: Node, depth: int) -> str:
                     wide, high = min(_span(cell, "colspan"), max(1, COLUMNS - len(cells))), _span(cell, "rowspan")
                     if high > 1 and len(cells) < COLUMNS:
                         ahead |= dict.fromkeys(range(len(cells), len(cells) + wide), high - 1)
-                    cells += [render(_inside(cell), depth + 1), *[""] * (wide - 1)]
-                elif isinstance(cell, str) and cell.strip():
+                    cells += [render(_inside(cell), depth + 1, seen(cell, show)), *[""] * (wide - 1)]
+                elif isinstance(cell, str) and show and cell.strip():
                     cells.append(cell.strip())
             skip()
             below = ahead | {c: n - 1 for c, n in below.items() if c >= len(cells) and n > 1}
             rows.append([c.split("\n") for c in cells])
         elif child.name in ("thead", "tbody", "tfoot", "colgroup"):
-            todo.extend(reversed(child.children))
+            todo.extend((c, show) for c in reversed(child.children))
         else:
-            captions.append(render(child, depth + 1))
-    widths: list[int] = []
+            captions.append(render(child, depth + 1, show))
+    return "\n".join([*filter(None, captions), *_aligned(rows)])
+
+
+def _aligned(rows: list[list[list[str]]]) -> list[str]:
+    """Lines of cells that are lists of lines. Columns are as wide as ``FILL`` allows."""
+    # Each line of a row by what stands in it: (column, text), so that empty cells cost nothing.
+    lines: list[list[tuple[int, str]]] = []
+    most: list[int] = []
+    room = 0
     for row in rows:
+        most += [0] * (len(row) - len(most))
+        own: list[list[tuple[int, str]]] = []
         for i, cell in enumerate(row):
-            if i == len(widths):
-                widths.append(0)
-            widths[i] = min(WIDEST, max(widths[i], *map(width, cell)))
-    lines = [c for c in captions if c]
-    for row in rows:
-        for k in range(max(map(len, row), default=0)):
-            parts = [(cell[k] if k < len(cell) else "") for cell in row]
-            lines.append(" | ".join(p + " " * (w - width(p)) for p, w in zip(parts, widths, strict=False)).rstrip())
-    return "\n".join(lines)
+            room += 4 * FILL
+            for k, text in enumerate(cell):
+                if k == len(own):
+                    own.append([])
+                if text:
+                    own[k].append((i, text))
+                    most[i] = max(most[i], width(text))
+                room += FILL * (len(text) + 4)
+        lines += own
+    widest = WIDEST
+    while widest:
+        begins = [0]
+        for w in most:
+            begins.append(begins[-1] + min(w, widest) + 3)
+        if sum(begins[line[-1][0]] + len(line[-1][1]) for line in lines if line) <= room:
+            blank = "".join(" " * min(w, widest) + " | " for w in most)
+            return [_line(line, begins, blank) for line in lines]
+        widest //= 2
+    return [" | ".join(text for _, text in line) for line in lines]
+
+
+def _line(line: list[tuple[int, str]], begins: list[int], blank: str) -> str:
+    out, at = [], 0  # the column to come
+    for i, text in line:
+        out += [blank[begins[at] : begins[i]], text]
+        if (i, text) != line[-1]:
+            out.append(" " * (begins[i + 1] - 3 - begins[i] - width(text)) + " | ")
+        at = i + 1
+    return "".join(out).rstrip()
 
 
 def _inside(cell: Node) -> Node:

@@ -23,6 +23,52 @@ def test_a_megabyte_takes_seconds(source):
     assert time.thread_time() - began < 12 and len(text) < 60 * len(source)
 
 
+@pytest.mark.parametrize(("cells", "breaks"), [(100, 500), (200, 1000), (400, 2000), (1000, 1)])
+def test_many_cells_times_many_lines_stay_small(cells, breaks):
+    source = "<table><tr>" + f"<td>{'w' * 100}" * cells + "<td>" + "x<br>" * breaks + "</table>"
+    text = html.to_text(source)
+    assert len(text) < 16 * len(source) and text.count("x") == breaks and text.count("w") == 100 * cells
+
+
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ("<input type=password value=secret> <input type=CHECKBOX value=on> <input type=radio value=r> <input value=shown> <input type=submit value=Send> <input type=image alt=Go value=no> <input type=hidden value=h>", "shown Send Go"),
+        ("<div style='visibility: hidden'>a <b style='visibility:visible'>b</b> c</div> d", "b\nd"),
+        ("<div style='visibility:hidden'><table><tr><td>x<td style='visibility:visible'>y</table><q>z</q><input value=v></div>", "| y"),
+        ("<div style='display:none'>a <b style='visibility:visible'>b</b></div>c", "c"),
+        ("<select><option><b>Bold</b> x<option>y</select>", "Bold x"),
+        ("<ruby>漢<rp>(</rp><rt>kan</rt><rp>)</rp></ruby>", "漢kan"),
+        ("a<dialog>closed</dialog><dialog open>opened</dialog>", "a\nopened"),
+        ("<object data=x>fallback <b>text</b></object>", "fallback text"),
+        ("<table><tr><td>a<td><td>c<tr><td>d<td>e<td></table>", "a |   | c\nd | e"),
+    ],
+    ids=lambda s: s[:24],
+)
+def test_what_is_seen(source, text):
+    assert html.to_text(source).strip() == text
+
+
+def test_tables_against_a_plain_layout():
+    """Random small tables: every column begins where its widest cells let it."""
+    rng = random.Random(9)
+    for _ in range(300):
+        rows = [[["".join(rng.choices("ab", k=rng.randint(0, 6))) for _ in range(rng.choice([1, 1, 2, 3]))] for _ in range(rng.randint(1, 4))] for _ in range(rng.randint(1, 4))]
+        source = "<table>" + "".join("<tr>" + "".join("<td>" + "<br>".join(c) for c in row) for row in rows) + "</table>"
+        shown = [[[x for x in c if x] for c in row] for row in rows]
+        # A blank line inside a cell is kept where text follows it.
+        shown = [[html.to_text("<div>" + "<br>".join(c) + "</div>").split("\n") for c in row] for row in rows]
+        most = [max((len(x) for row in shown if i < len(row) for x in row[i]), default=0) for i in range(max(map(len, shown)))]
+        want = []
+        for row in shown:
+            for k in range(max(map(len, row))):
+                cells = [(c[k] if k < len(c) else "").ljust(w) for c, w in zip(row, most, strict=False)]
+                while cells and not cells[-1].strip():
+                    cells.pop()
+                want.append(" | ".join(cells).rstrip())
+        assert [x.rstrip() for x in html.to_text(source).split("\n")] == [x for x in want if x] or html.to_text(source) == ""
+
+
 def test_wide_tables_stay_small():
     rows = "<tr><td>" + "w" * 100_000 + "<td>b" + "<tr><td>a<td>b" * 5_000
     text = html.to_text(f"<table>{rows}</table>")
@@ -58,7 +104,7 @@ class Words(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         self.words.append("|")
-        if tag not in html.VOID and (self.hidden or tag in html.HIDDEN or "hidden" in dict(attrs) or html._UNSEEN.search(dict(attrs).get("style") or "")):
+        if tag not in html.VOID and (self.hidden or tag in html.HIDDEN or "hidden" in dict(attrs) or html._GONE.search(dict(attrs).get("style") or "")):
             self.hidden += 1
 
     def handle_endtag(self, tag):
