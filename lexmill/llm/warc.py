@@ -12,6 +12,9 @@ all jumps are doubled) reaches exactly the records of the chain, in as many roun
 logarithm of the longest file's records. Candidates never reached are payload, and are put
 back into the record they were cut from.
 
+Names in headers are read in any case, and any version 1 line opens a record. A chain that
+ends before its file does is an error that names the file: nothing is dropped in silence.
+
 Defined results: null html is an empty payload; null urls become ``about:blank``; line breaks
 in urls are dropped, and urls have any length; null ids are written and read as null, and are
 smaller than all others; rows repeating an id are each written. Of equal payloads exactly one
@@ -27,8 +30,8 @@ from pyspark.sql.window import Window
 
 from lexmill.storage import free, new_path, stage
 
-#: The version line that opens a record, and what closes one.
-MAGIC, END = "WARC/1.0\r\n", "\r\n\r\n"
+#: The version line that opens a record, what all versions' lines begin with, and what closes a record.
+MAGIC, VERSION, END = "WARC/1.0\r\n", "WARC/1.", "\r\n\r\n"
 #: Records of an equal payload of so many bytes are written once.
 LEAST_REVISIT = 1000
 
@@ -95,6 +98,15 @@ def _chain(candidates: DataFrame) -> DataFrame:
     return reached.join(candidates.select("f", "at").hint("merge"), ["f", "at"], "left_semi")
 
 
+def _whole(parsed: DataFrame, candidates: DataFrame, real: DataFrame, sep: int) -> None:
+    """An error unless each file's chain ends where the file does."""
+    sizes = parsed.groupBy("file", "f").agg((F.sum(F.col("size") + sep) - sep).alias("bytes")).where("bytes > 0")
+    ends = candidates.join(real.hint("merge"), ["f", "at"]).groupBy("f").agg(F.max("next").alias("end"))
+    bad = sizes.join(ends, "f", "left").where("end is null or end <> bytes").select("file", "end", "bytes").limit(5).collect()
+    if bad:
+        raise ValueError("records don't reach the ends of " + ", ".join(f"{r['file']} (to {r['end'] or 0} of {r['bytes']} bytes)" for r in bad))
+
+
 def read(spark: SparkSession, path: str, with_payload: bool = True, consume: bool = False) -> DataFrame:
     """``(file, at, type, id, url, digest, refers_to, payload_bytes, payload_digest[, payload BINARY])`` of each record.
 
@@ -102,12 +114,12 @@ def read(spark: SparkSession, path: str, with_payload: bool = True, consume: boo
     are scanned once; all that follows reads what the scan wrote. With ``consume``, archives
     in a path of this library's own are deleted after the scan.
     """
-    sep, end, bins = len(MAGIC), len(END), 1 << 22
+    sep, end, bins = len(VERSION), len(END), 1 << 22
     # A block is read by one task in order, so ``i`` orders its pieces; it is written with them.
-    pieces = spark.read.option("lineSep", MAGIC).text(path).select(
+    pieces = spark.read.option("lineSep", VERSION).text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"), F.col("value").cast("binary").alias("body")
     )
-    field = lambda name: F.regexp_extract("head", rf"(?:^|\r\n){name}: ([^\r\n]*)", 1)
+    field = lambda name: F.regexp_extract("head", rf"(?i)\r\n{name}[ \t]*:[ \t]*([^\r\n]*?)[ \t]*(?:\r\n|\z)", 1)
     number = lambda c: F.expr(f"try_cast(nullif(regexp_extract({c}, 'urn:page:(-?[0-9]+)', 1), '') as bigint)")
     parsed = stage(
         pieces.withColumn("size", F.octet_length("body").cast("long"))
@@ -115,8 +127,8 @@ def read(spark: SparkSession, path: str, with_payload: bool = True, consume: boo
         # The end of most headers is near; those with a long url are searched for over the whole piece.
         .withColumn("near", F.locate("\r\n\r\n", F.decode(F.substring("body", 1, 16_384), "ISO-8859-1")))
         .withColumn("cut", F.when((F.col("near") > 0) | (F.col("size") <= 16_384), F.col("near")).otherwise(F.locate("\r\n\r\n", F.decode("body", "ISO-8859-1"))))
-        .withColumn("head", F.when(F.col("cut") > 0, F.decode(F.substring(F.col("body"), F.lit(1), F.col("cut") - 1), "UTF-8")).otherwise(F.lit("")))
-        .withColumn("length", F.expr("try_cast(nullif(regexp_extract(head, '(?:^|\\r\\n)Content-Length: ([0-9]{1,18})', 1), '') as bigint)"))
+        .withColumn("head", F.when((F.col("cut") > 0) & F.substring("body", 1, 8).cast("string").rlike(r"\A[0-9]\r\n"), F.substring(F.col("body"), F.lit(1), F.col("cut") - 1).cast("string")).otherwise(F.lit("")))
+        .withColumn("length", F.expr("try_cast(nullif(regexp_extract(head, '(?i)\\r\\nContent-Length[ \\t]*:[ \\t]*([0-9]{1,18})[ \\t]*(?:\\r\\n|$)', 1), '') as bigint)"))
         .withColumn("payload", F.expr("case when length is not null and cut + 3 + length <= size then substring(body, cut + 4, cast(length as int)) end"))
         .select("file", F.xxhash64("file").alias("f"), "block", "i", "size", "cut", "length", field("WARC-Type").alias("type"), field("WARC-Record-ID").alias("urn"), field("WARC-Target-URI").alias("url"),
                 field("WARC-Payload-Digest").alias("digest"), field("WARC-Refers-To").alias("refers"), F.sha1("payload").alias("payload_digest"), "body"),
@@ -136,6 +148,7 @@ def read(spark: SparkSession, path: str, with_payload: bool = True, consume: boo
     claimed = F.when((F.col("cut") > 0) & F.col("length").isNotNull(), F.col("at") + sep + F.col("cut") + 3 + F.col("length") + end)
     candidates = stage(placed.select("f", "i", "at", (F.col("at") + F.col("span")).alias("stop"), claimed.alias("next"), "cut", "length").where("at >= 0"), "candidates")
     real = stage(_chain(candidates), "chain")
+    _whole(parsed, candidates, real, sep)
     found = stage(candidates.join(real.hint("merge"), ["f", "at"]), "records")
     out = found.select("f", "i", "at", "stop", "next").join(parsed.drop("f", *["body"] * (not with_payload)).hint("merge"), "i").select(
         "file", "f", "at", "i", "type", number("urn").alias("id"), "url", F.regexp_replace("digest", "^sha1:", "").alias("digest"), number("refers").alias("refers_to"),
@@ -151,7 +164,7 @@ def read(spark: SparkSession, path: str, with_payload: bool = True, consume: boo
         parts = inner.select("f", "owner", "i", "at").unionByName(short.select("f", F.col("at").alias("owner"), "i", "at"))
         joined = (
             parts.hint("merge").join(parsed.select("i", "body"), "i").groupBy("f", F.col("owner").alias("at")).agg(F.sort_array(F.collect_list(F.struct("at", "body"))).alias("p"))  # one record
-            .select("f", "at", F.expr(f"aggregate(slice(p, 2, size(p)), p[0].body, (z, x) -> concat(z, encode('{MAGIC[:-2]}\\r\\n', 'UTF-8'), x.body))").alias("all"))
+            .select("f", "at", F.array_join(F.transform("p", lambda x: x["body"].cast("string")), VERSION).cast("binary").alias("all"))
         )
         out = out.join(joined.hint("merge"), ["f", "at"], "left").withColumn("whole", F.expr("substring(all, cut + 4, cast(length as int))")).drop("all")
     out = out.withColumn("payload_digest", F.coalesce(F.sha1("whole"), "payload_digest"))
