@@ -23,6 +23,7 @@ from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lexmill.llm.worker import kept, no_collection
 
@@ -322,8 +323,8 @@ class _Shared:
         self.id = self.ranks._jbroadcast.id()
 
 
-def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows ``(id, n_tokens, token_ids ARRAY<INT>, decoded STRING)`` for each row of ``docs``."""
+def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows ``(id, *keep, n_tokens, token_ids ARRAY<INT>[, decoded STRING])`` for each row of ``docs``."""
     shared = _Shared(docs.sparkSession, load_ranks(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,15 +333,16 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
             for at in range(0, batch.num_rows, 64):  # bounds what is held decoded and encoded at once
                 part = batch.slice(at, 64)
                 with no_collection():
-                    ids = [codec.encode(t or "") for t in part.column(1).to_pylist()]
-                    texts = [codec.decode(x) for x in ids]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())],
-                    ["id", "n_tokens", "token_ids", "decoded"],
-                )
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n_tokens long, token_ids array<int>, decoded string").withColumnRenamed("id", id_col)
+                    ids = [codec.encode(t or "") for t in part.column(0).to_pylist()]
+                    texts = [codec.decode(x) for x in ids] if decode else []
+                made = [pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32())), *([pa.array(texts, pa.string())] if decode else [])]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *made], names)
+
+    own = [docs.schema[c] for c in (id_col, *keep)]
+    names = [*(f"c{i}" for i in range(len(own))), "n_tokens", "token_ids", *(["decoded"] if decode else [])]
+    kinds = [*(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(own)), "n_tokens long", "token_ids array<int>", *(["decoded string"] if decode else [])]
+    out = docs.select(F.col(text_col).alias("text"), *[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(own)]).mapInArrow(run, ", ".join(kinds))
+    return out.withColumnsRenamed({f"c{i}": f.name for i, f in enumerate(own)})
 
 
 def round_trip_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -144,7 +144,7 @@ def mix(
         .agg(F.sort_array(F.collect_list("slot")).alias("slots"))  # at most three
     )
     key = ["_id", "row_hash", "source", "ordinal"]
-    line = line.withColumn("_id", F.coalesce(F.col("id").cast("string"), F.lit("")))  # joins don't match nulls
+    line = line.withColumn("_id", F.coalesce(F.concat(F.lit("i"), F.col("id").cast("string")), F.lit("null")))  # joins don't match nulls
     pieces = line.where("size > 0").select(*key, "at", "size", F.explode(F.expr(f"sequence(at div {block}, (at + size - 1) div {block})")).alias("block"))
     overlap = f"(least(at + size, (block + 1) * {block}) - greatest(at, block * {block}))"
     got = (

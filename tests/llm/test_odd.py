@@ -119,6 +119,8 @@ def test_license_wording(label, text):
 
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, size long, slots string"
+#: Names that the stages use inside, and others that are easily taken.
+TAKEN = ("_id", "_hash", "_slots", "_slot", "_rows", "_lang", "carried", "row_hash", "kept", "id", "name", "n_words", "component_id", "stratum", "a.b", "_bucket", "copies")
 
 
 def prose(seed, n=80):
@@ -136,7 +138,7 @@ def test_stages_on_odd_rows(spark, tmp_path):
         out = stage(spark, docs, str(tmp_path))
         out.write.parquet(f"{tmp_path}/{i}")
         docs = spark.read.parquet(f"{tmp_path}/{i}")
-        assert name == "encoding" or docs.columns == [c.split()[0] for c in COLUMNS.split(", ")]
+        assert name == "encoding" or docs.columns == [c.split()[0] for c in COLUMNS.split(", ")] + [corpus_pipeline.PLACE] * (name == "mixture")
         seen[name] = Counter(r.doc_id for r in docs.collect())
     assert set(seen["language"]) == {None, 40, *range(30)} and seen["language"][3] == 3 and seen["language"][None] == 2
     assert seen["rules"] == seen["language"]
@@ -154,20 +156,38 @@ def test_stages_on_an_empty_table(spark, tmp_path):
         assert docs.count() == 0
 
 
-def test_mixture_comes_in_the_order_of_its_slots(spark, tmp_path):
-    docs = spark.createDataFrame([(i, prose(i, 30), "en", "abc"[i % 3], 1, 2, "x") for i in range(90)], COLUMNS)
-    corpus_pipeline.mixture(spark, docs, "").write.parquet(f"{tmp_path}/mix")
-    files = sorted(f for f in (tmp_path / "mix").iterdir() if f.suffix == ".parquet")
-    import pyarrow.parquet as pq
+def test_names_of_other_columns_do_not_matter(spark, tmp_path):
+    spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([(i, prose(i), "en", "abc"[i % 3], 1) for i in range(30)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select("doc_id", *[F.concat(F.lit(f"{c} "), "doc_id").alias(c) for c in TAKEN[:8]], "text", "lang", "source", "n_chars", *[F.col("doc_id").alias(c) for c in TAKEN[8:]])
+    columns = docs.columns
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{i}")
+        docs = spark.read.parquet(f"{tmp_path}/{i}")
+        assert docs.columns == columns + [corpus_pipeline.PLACE] * (name == "mixture")
+        assert docs.count() and all(r[c] == (f"{c} {r.doc_id}" if c in TAKEN[:8] else r.doc_id) for r in docs.collect() for c in TAKEN)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == docs.count()
 
-    got = [i for f in files for i in pq.read_table(f, columns=["doc_id"]).column(0).to_pylist()]
+
+def test_the_order_of_the_mix_survives_any_reader(spark, tmp_path):
+    docs = spark.createDataFrame([(i, prose(i, 30), "en", "abc"[i % 3], 1, 2, "x") for i in range(90)], COLUMNS)
+    mixed = corpus_pipeline.STAGES[3][1](spark, docs, "")
+    mixed.repartition(7, F.greatest(F.lit(60), "doc_id")).write.parquet(f"{tmp_path}/mix")  # files of different sizes
+    encoded = corpus_pipeline.STAGES[4][1](spark, spark.read.parquet(f"{tmp_path}/mix"), "")
+    got = [r.doc_id for r in encoded.orderBy(corpus_pipeline.PLACE).collect()]
     slots = {r.doc_id: r.slots for r in mix.mix(docs).collect()}
     assert got == [i for _, i in sorted((s, i) for i, own in slots.items() for s in own)]
-    first = Counter("abc"[i % 3] for i in got[: len(got) // 2])
-    whole = Counter("abc"[i % 3] for i in got)
+    first, whole = Counter("abc"[i % 3] for i in got[: len(got) // 2]), Counter("abc"[i % 3] for i in got)
     assert all(abs(first[s] / sum(first.values()) - whole[s] / len(got)) < 0.1 for s in whole)  # sources interleave
 
 
+def test_null_and_empty_ids_are_two_in_the_mix(spark):
+    rows = [(None, "one two three", "a"), ("", "one two three", "a"), ("x", "four", "a")]
+    got = mix.mix(spark.createDataFrame(rows, "doc_id string, text string, source string")).collect()
+    assert len(got) == 3 and {r.source_size for r in got} == {7} and sum(r.taken for r in got) <= 3 * 7
+    assert all(r.taken <= 3 * r["size"] for r in got)
+
+
 def test_rare_languages_are_learned_whole(spark):
     rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 2990, F.lit("the other thing")).otherwise(F.lit("ja nein vielleicht")).alias("text"), F.when(F.col("id") < 2990, F.lit("en")).otherwise(F.lit("de")).alias("lang"))
     pieces = vocabulary("piece_bpe_32k.model")

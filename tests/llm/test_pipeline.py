@@ -21,7 +21,7 @@ def test_stages(spark, tmp_path):
         out = stage(spark, docs, DATA)
         out.write.parquet(f"{tmp_path}/{i}")
         out = spark.read.parquet(f"{tmp_path}/{i}")
-        assert i == len(p.STAGES) - 1 or out.columns == columns
+        assert i == len(p.STAGES) - 1 or out.columns == columns + [p.PLACE] * (name == "mixture")
         at[name] = (docs, out)
         docs = out
     ids = lambda df: Counter(r.doc_id for r in df.select("doc_id").collect())
@@ -41,9 +41,12 @@ def test_stages(spark, tmp_path):
     text = {r.doc_id: r.text for r in before.collect()}
     assert all(codec.decode(list(r.token_ids)) == text[r.doc_id] and r.n_tokens == len(r.token_ids) for r in after.collect())
     assert ids(after) == ids(before)
+    order = lambda df: [(r[p.PLACE], r.doc_id) for r in df.select(p.PLACE, "doc_id").collect()]
+    assert sorted(order(after)) == sorted(order(before)) and after.columns == ["doc_id", p.PLACE, "n_tokens", "token_ids"]
 
 
 def test_run(spark):
     import corpus_pipeline as p
 
-    assert p.run(spark, DATA).count() > 0
+    rows = p.run(spark, DATA).select(p.PLACE).collect()
+    assert rows and len({r[0] for r in rows}) == len(rows)  # each place of the mix is one row's
