@@ -9,7 +9,6 @@ what changed in the words they touched.
 from __future__ import annotations
 
 import heapq
-import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexmill.functions.text import pre_tokens, sanitized
+from lexmill.functions.unicode import composed
 from lexmill.operators.tokens import FIRST_BYTE, SPECIALS
 from lexmill.storage import free, stage
 
@@ -106,13 +106,6 @@ def train(docs: DataFrame, vocab_size: int = 32_000, text: str = "text", min_fre
     return learn(word_frequencies(docs, text, min_frequency), vocab_size, min_frequency)
 
 
-@F.pandas_udf(T.StringType())
-def composed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Canonical composition (NFC), for which there is no built-in."""
-    for t in texts:
-        yield t.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
-
-
 class Tokenizer:
     """Ids of learned merges: special tokens, then bytes, then merges in the order they were learned."""
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -13,21 +12,16 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.window import Window
 
+from lexmill.functions import unicode
 from lexmill.functions.text import ARTICLES
 from lexmill.operators.order import ranged
 from lexmill.storage import stage
 
 
-@pandas_udf(T.ArrayType(T.StringType()))
-def answer_tokens(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Words that answers are compared by: lower case, decomposed (there is no built-in for it), without marks and articles."""
-    import regex
-
-    find = regex.compile(r"[\p{L}\p{N}_]+").findall
-    for t in texts:
-        yield t.map(
-            lambda x: None if x is None else [w for w in find("".join(c for c in unicodedata.normalize("NFD", x.lower()) if unicodedata.category(c) != "Mn")) if w not in ARTICLES]
-        )
+def answer_tokens(c: Column) -> Column:
+    """Words that answers are compared by: lower case, decomposed, without marks and articles; null for null."""
+    words = F.regexp_extract_all(unicode.unmarked(F.lower(c)), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
+    return F.filter(words, lambda w: ~w.isin(list(ARTICLES)))
 
 
 @pandas_udf(T.DoubleType())
