@@ -14,8 +14,8 @@ from lexmill.functions import hashing
 from lexmill.functions import text as tx
 from lexmill.operators import bpe_training, chunking, config, corpus, lookup, metrics, order, sampling, sft, synthetic, tokens
 from lexmill.plans import duck
-from lexmill.sources import flat, readers
-from lexmill.storage import importable, new_path
+from lexmill.sources import flat, readers, stages
+from lexmill.storage import importable, new_path, stage
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -270,6 +270,33 @@ def corpus_flagship(spark, d):
     return corpus.first_wins(narrow, key=F.col("key")).groupBy("src", "split").agg(F.count("*").alias("docs"), F.sum("n").cast("long").alias("chars"))
 
 
+def build_corpus(flow: stages.Flow, d: str, permille: int) -> DataFrame:
+    """Cleaned, distinct and split documents as stages that a second run reads."""
+    flow.source("documents", f"{d}/documents.parquet")
+    named = lambda rows: spread(rows).select("doc_id", "text", F.col("source").alias("src"), F.col("source").alias("src_rank"), F.col("doc_id").alias("ord"))
+    flow.stage("cleaned", lambda rows: corpus.computed(named(rows), "text", tx.web_page(F.col("text"))).where("text is not null"), "documents")
+    flow.stage("distinct", lambda rows: corpus.first_wins(rows), "cleaned")
+    return flow.stage("split", lambda rows, permille: corpus.with_split(rows, permille), "distinct", permille=permille)
+
+
+@query(
+    f"""with c as (select doc_id, source as src, {duck.web_page('text')} as t from documents),
+    k as (select *, row_number() over (partition by substring(t, 1, 600), length(t) order by src, doc_id) as r from c where t is not null),
+    p as (select * from (values (0, 10, 'cleaned,distinct,split'), (1, 10, ''), (2, 150, 'split')) v(run, permille, built))
+    select run, built, case when {duck.crc('substring(t, 1, 400)')} % 1000 < permille then 'val' else 'train' end as split, count(*)::bigint as docs, sum(length(t))::bigint as chars from k, p where r = 1 group by all"""
+)
+def resumed_corpus(spark, d):
+    """A corpus built, built again without work, and again with another share of validation, which only the last stage depends on."""
+    importable(spark)
+    root, runs = new_path(spark, "corpus-stages"), []
+    for run, permille in enumerate((10, 10, 150)):
+        flow = stages.Flow(spark, root)
+        counts = build_corpus(flow, d, permille).groupBy("split").agg(F.count("*").alias("docs"), F.sum(F.length("text")).cast("long").alias("chars"))
+        # A rebuilt stage replaces its table: counts are written before the next run.
+        runs.append(stage(counts.select(F.lit(run).alias("run"), F.lit(",".join(flow.built)).alias("built"), "split", "docs", "chars"), "corpus-counts"))
+    return corpus.union(*runs)
+
+
 @query("select source as src, count(*)::bigint as docs, sum(length(text))::bigint as chars from documents group by rollup (source)")
 def source_totals(spark, d):
     return corpus.source_stats(docs(spark, d), "source").withColumnRenamed("source", "src")
@@ -724,6 +751,18 @@ def log_dedup_min(spark, d):
     return metrics.summary(metrics.last_of_each(log))
 
 
+@query(
+    """with l as (select user_id as it, value as loss, row_number() over (order by event_id % 3, event_id) - 1 as line_no from events)
+    select it, line_no::bigint as line_no, loss from l qualify row_number() over (partition by it order by line_no desc) = 1"""
+)
+def committed_log(spark, d):
+    """A log written in three appends that number no lines; of each iteration the line committed last."""
+    path, e = new_path(spark, "log"), table(spark, d, "events")
+    for part in range(3):
+        readers.append_log(e.where(F.col("event_id") % 3 == part).orderBy("event_id").select(F.lit("train").alias("type"), F.col("user_id").alias("it"), F.col("value").alias("loss")), path)
+    return metrics.last_of_each(readers.read_log(spark, path)).select("it", "line_no", "loss")
+
+
 @query("select case when event_id % 2 = 0 then 'train' else 'eval' end as kind, event_id as it, value, case when event_id % 2 = 1 then value > 50 end as improved from events where event_id % 4 <> 3")
 def log_curves(spark, d):
     e = table(spark, d, "events")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import logging
+import uuid
 from collections.abc import Callable, Iterable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -186,10 +188,34 @@ def read_manifest(spark: SparkSession, path: str) -> dict | None:
     return json.loads(spark.read.text(path, wholetext=True).first()[0])
 
 
-def append_log(rows: DataFrame, path: str) -> None:
-    """Further lines of a run's log; each append is a file of its own, so none is rewritten."""
-    rows.write.mode("append").json(path)
+def append_log(rows: DataFrame, path: str) -> int:
+    """Further lines of a run's log, in the order they have; returns the number of the append.
 
+    An append is a folder of its own, so none is rewritten. It is written aside and put in
+    place by a rename to the next free number, which only one of several writers gets: what
+    fails midway is never seen, and commits have an order.
+    """
+    spark = rows.sparkSession
+    aside = f"{path}/_{uuid.uuid4().hex}"
+    rows.drop("line_no").withColumn(_PLACE, F.monotonically_increasing_id()).write.json(aside)
+    source, fs = _java(spark, aside)
+    jvm = spark._jvm
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(source.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toUri(), spark._jsc.hadoopConfiguration())
+    none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    while True:
+        taken = [s.getPath().getName() for s in fs.listStatus(source.getParent())]
+        number = 1 + max((int(t.partition("=")[2]) for t in taken if t.startswith(f"{_APPEND}=")), default=-1)
+        target = f"{path}/{_APPEND}={number}"
+        try:
+            files.rename(fs.makeQualified(source), fs.makeQualified(jvm.org.apache.hadoop.fs.Path(target)), none)
+            return number
+        except Py4JJavaError:
+            if not exists(spark, target):  # it failed for another reason than that another writer was first
+                raise
+
+
+#: Where a line stands: the append it came with, and its place there.
+_APPEND, _PLACE = "append", "place"
 
 LOG = T.StructType(
     [
@@ -200,7 +226,12 @@ LOG = T.StructType(
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(LOG).json(path)
+    """The log with ``line_no``: 0, 1, ... by commit, and inside an append by the order it was given in."""
+    from lexmill.operators.order import numbered
+
+    written = T.StructType([*[f for f in LOG if f.name != "line_no"], T.StructField(_PLACE, T.LongType()), T.StructField(_APPEND, T.LongType())])
+    rows = spark.read.schema(written).json(path)
+    return numbered(rows, F.col(_APPEND), F.col(_PLACE), out="line_no").select(*LOG.names)
 
 
 def read_stream(spark: SparkSession, path: str, length: int) -> DataFrame:
