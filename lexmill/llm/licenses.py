@@ -6,6 +6,10 @@ mandatory and must match exactly, in order and without gaps. The templates toget
 one nondeterministic automaton over words; sets of its states are determinised when a text
 first reaches them. A text is accepted at each place where a template's end is reached.
 
+Labels ending in ``-text`` and ``-header`` stand for the whole wording: one mandatory word changed
+anywhere, and they aren't given. ``-opening`` says only that a text begins like a license's. The
+texts of the GPL, LGPL, MPL and Apache licenses themselves are known by openings and notices.
+
 Beside the templates, base phrases are counted wherever their words stand consecutively.
 
 Defined results: null texts are empty; empty texts have no words and no labels (empty strings,
@@ -29,23 +33,23 @@ PHRASES = {
     "mit license": "mit",
 }
 
-#: Wording of public license notices and texts.
+#: Wording of public license notices, and of the parts that license texts begin with.
 TEMPLATES = {
     "mit-notice": "<<optional>>this <<var 4>> is<<end>> released under the mit license",
     "apache-2.0-notice": "licensed under the apache license version 2 0 <<optional>>the license you may not use this file except in compliance with the license<<end>>",
     "gpl-notice": "<<optional>>this <<var 4>> is<<end>> licensed under the gnu general public license <<optional>>version <<var 1>><<end>>",
     "cc-by-notice": "<<optional>>this <<var 4>> is<<end>> licensed under <<optional>>a<<end>> <<optional>>creative commons<<end>> cc by <<optional>>nc<<end>> <<optional>>sa<<end>> <<optional>>nd<<end>> <<optional>>4 0<<end>>",
-    "mit-text": (
+    "mit-opening": (
         "<<optional>>mit license<<end>> <<optional>>copyright <<var 12>><<end>> permission is hereby granted free of charge to any person obtaining a copy of this software and"
         " associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish"
         " distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the"
         " above copyright notice and this permission notice <<optional>>including the next paragraph<<end>> shall be included in all copies or substantial portions of the software"
     ),
-    "isc-text": (
+    "isc-opening": (
         "permission to use copy modify and <<optional>>or<<end>> distribute this software for any purpose with or without fee is hereby granted provided that the above"
         " copyright notice and this permission notice appear in all copies"
     ),
-    "bsd-text": (
+    "bsd-opening": (
         "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<optional>>1<<end>>"
         " redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
         " <<optional>><<optional>>and<<end>> <<optional>>2<<end>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer"
@@ -60,11 +64,11 @@ TEMPLATES = {
         "<<optional>>this program is<<end>> free software you can redistribute it and or modify it under the terms of the gnu <<optional>>affero<<end>> <<optional>>lesser<<end>> <<optional>>library<<end>>"
         " general public license as published by the free software foundation <<optional>>either<<end>> version <<var 2>> of the license <<optional>>or at your option any later version<<end>>"
     ),
-    "gpl-3.0-text": (
+    "gpl-3.0-opening": (
         "the gnu general public license is a free copyleft license for software and other kinds of works the licenses for most software and other practical works are designed to take away"
         " your freedom to share and change the works"
     ),
-    "lgpl-3.0-text": "this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license supplemented by the additional permissions listed below",
+    "lgpl-3.0-opening": "this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license supplemented by the additional permissions listed below",
     "mpl-2.0-notice": (
         "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at"
         " <<optional>>http<<end>> <<optional>>https<<end>> mozilla org mpl 2 0"
@@ -74,20 +78,81 @@ TEMPLATES = {
         " <<optional>>sharealike<<end>> <<optional>>no derivatives<<end>> <<optional>>noderivatives<<end>> <<var 2>> <<optional>>international<<end>> <<optional>>unported<<end>> license"
     ),
     "cc0-notice": "has waived all copyright and related or neighboring rights to <<var 12>> <<optional>>worldwide<<end>>",
-    "unlicense-text": (
+    "unlicense-opening": (
         "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form"
         " or as a compiled binary for any purpose commercial or non commercial and by any means"
     ),
-    "zlib-text": (
+    "zlib-opening": (
         "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"
         " <<optional>>1<<end>> the origin of this software must not be misrepresented you must not claim that you wrote the original software"
     ),
-    "boost-text": (
+    "boost-opening": (
         "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use"
         " reproduce display distribute execute and transmit the software and to prepare derivative works of the software"
     ),
 }
 
+_SOFTWARE_WARRANTY = (
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose"
+    " and noninfringement in no event shall the <<optional>>authors<<end>> <<optional>>or<<end>> <<optional>>copyright holders<<end>> be liable for any claim damages or other liability whether in an action of contract"
+    " tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+)
+_ISC_WARRANTY = (
+    "the software is provided as is and <<var 8>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"
+    " in no event shall <<var 8>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits"
+    " whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"
+)
+_BSD_CONDITIONS = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<optional>>1<<end>>"
+    " redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<optional>>and<<end>> <<optional>>2<<end>>"
+    " redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials"
+    " provided with the distribution"
+)
+_BSD_WARRANTY = (
+    "this software is provided by <<var 8>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose"
+    " are disclaimed in no event shall <<var 8>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods"
+    " or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise"
+    " arising in any way out of the use of this software even if advised of the possibility of such damage"
+)
+
+#: Whole license texts, and the whole notices that files carry for licenses too long to carry.
+WHOLE = {
+    "mit-text": f"{TEMPLATES['mit-opening']} {_SOFTWARE_WARRANTY}",
+    "isc-text": f"{TEMPLATES['isc-opening']} {_ISC_WARRANTY}",
+    "0bsd-text": f"permission to use copy modify and <<optional>>or<<end>> distribute this software for any purpose with or without fee is hereby granted {_ISC_WARRANTY}",
+    "bsd-2-clause-text": f"{_BSD_CONDITIONS} {_BSD_WARRANTY}",
+    "bsd-3-clause-text": f"{_BSD_CONDITIONS} <<optional>>and<<end>> <<optional>>3<<end>> {TEMPLATES['bsd-endorsement-clause']} {_BSD_WARRANTY}",
+    "zlib-text": (
+        "this software is provided as is without any express or implied warranty in no event will the <<optional>>authors<<end>> <<optional>>author<<end>> be held liable for any damages arising from the use of this software"
+        f" {TEMPLATES['zlib-opening']} if you use this software in a product an <<optional>>acknowledgment<<end>> <<optional>>acknowledgement<<end>> in the product documentation would be appreciated but is not required"
+        " <<optional>>2<<end>> altered source versions must be plainly marked as such and must not be misrepresented as being the original software"
+        " <<optional>>3<<end>> this notice may not be removed or altered from any source distribution"
+    ),
+    "boost-text": (
+        f"<<optional>>boost software license version 1 0 august 17th 2003<<end>> {TEMPLATES['boost-opening']} and to permit third parties to whom the software is furnished to do so all subject to the following"
+        " the copyright notices in the software and this entire statement including the above license grant this restriction and the following disclaimer must be included in all copies of the software"
+        " in whole or in part and all derivative works of the software unless such copies or derivative works are solely in the form of machine executable object code generated by a source language processor"
+        " the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose title and non infringement"
+        " in no event shall the copyright holders or anyone distributing the software be liable for any damages or other liability whether in contract tort or otherwise arising from out of or in connection with"
+        " the software or the use or other dealings in the software"
+    ),
+    "unlicense-text": (
+        f"{TEMPLATES['unlicense-opening']} in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain"
+        " we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity"
+        f" of all present and future rights to this software under copyright law {_SOFTWARE_WARRANTY}"
+    ),
+    "apache-2.0-header": (
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at"
+        f" <<optional>>http<<end>> <<optional>>https<<end>> www apache org licenses license 2 0 {TEMPLATES['apache-2.0-terms']}"
+    ),
+    "gpl-header": (
+        f"{TEMPLATES['gpl-terms']} <<var 6>> is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"
+        " see the gnu <<optional>>affero<<end>> <<optional>>lesser<<end>> <<optional>>library<<end>> general public license for more details you should have received a copy of the gnu"
+        " <<optional>>affero<<end>> <<optional>>lesser<<end>> <<optional>>library<<end>> general public license along with <<var 6>> if not"
+    ),
+}
+TEMPLATES |= WHOLE
+
 #: Bytes of words stay, A-Z become lower case, all others become spaces.
 _FOLD = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 32 for b in range(256))
 
@@ -196,10 +261,16 @@ def places(tokens: list[bytes], phrases: dict[str, str] = PHRASES) -> list[tuple
     return found
 
 
+def score(spans: dict, base: list) -> float:
+    if any(not label.endswith("-opening") for label in spans):
+        return 1.0
+    return 0.75 if spans else 0.5 if base else 0.0
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """``(id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans)`` for each row.
 
-    score is 1 where a template is accepted, one half where only phrases were found, else 0;
+    score is 1 where a template is accepted, 3/4 where only openings are, one half where only phrases were found, else 0;
     spans has label, first word and number of words of each accepted template.
     """
 
@@ -215,7 +286,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
                 at = [i for i, _ in base]
                 for column, x in zip(
                     out,
-                    (len(tokens), len(base), min(at, default=None), max(at, default=None), ",".join(sorted(own)), ",".join(sorted(own | spans.keys())), 1.0 if spans else 0.5 if base else 0.0,
+                    (len(tokens), len(base), min(at, default=None), max(at, default=None), ",".join(sorted(own)), ",".join(sorted(own | spans.keys())), score(spans, base),
                      [{"label": k, "first": a, "n": n} for k, (a, n) in sorted(spans.items())]),
                     strict=True,
                 ):
