@@ -230,15 +230,20 @@ def _search(rows: DataFrame, k: int, every: int, id_col: str, vec_col: str) -> t
             floor = np.sort(scores, axis=1)[:, -k] if scores.shape[1] >= k else np.full(len(ids), LOWEST)
             yield _packed(first + number, 0, 0, 0.0, ids, x, far, floor)
 
+    def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for qb, x, far, floor in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x, far = np.frombuffer(x, np.int64).reshape(-1, dim), np.frombuffer(far, np.float32).reshape(-1, len(pivots))
+                made = ([qb], [far.min(axis=0).tobytes()], [far.max(axis=0).tobytes()], [float((x.astype(np.float64) ** 2).sum(1).max())], [int(np.frombuffer(floor, np.int64).min())])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(made, (pa.int64(), pa.binary(), pa.binary(), pa.float64(), pa.int64()), strict=True)], ["qb", "least", "most", "square", "floor"])
+
     queries = asking.mapInArrow(measured, schema).repartitionByRange(max(1, query_blocks), *order).sortWithinPartitions(*order)
     queries = stage(queries.select("id", "vector", "far").mapInArrow(asks, _PACKED), "query-blocks")
     shared = None
     if query_blocks * (8 * len(pivots) + 64) <= SUMMARY_BYTES:
-        about = []
-        for r in queries.select("qb", "vectors", "far", "floor").toLocalIterator():  # a block at a time
-            x, far = np.frombuffer(r.vectors, np.int64).reshape(-1, dim), np.frombuffer(r.far, np.float32).reshape(-1, len(pivots))
-            about.append((r.qb, far.min(axis=0), far.max(axis=0), (x.astype(np.float64) ** 2).sum(1).max(), np.frombuffer(r.floor, np.int64).min()))
-        columns = [np.array(c) for c in zip(*about, strict=True)] if about else None
+        about = queries.select("qb", "vectors", "far", "floor").mapInArrow(summaries, "qb long, least binary, most binary, square double, floor long").collect()  # checked above
+        far = lambda name: np.array([np.frombuffer(r[name], np.float32) for r in about])
+        columns = (np.array([r.qb for r in about]), far("least"), far("most"), np.array([r.square for r in about]), np.array([r["floor"] for r in about])) if about else None
         shared = spark.sparkContext.broadcast(columns)
     numbers = [r.qb for r in queries.select("qb").collect()]  # one for each block of queries
 
