@@ -636,37 +636,57 @@ def persona_filter(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", sft.about_identity(q, F.col("text")).alias("contradicts"))
 
 
-@query(
-    f"""with i as (select doc_id, case when doc_id % 3 = 0 then '' else case when doc_id % 5 = 1 then 'http### ' else '' end || substring(text, 1, 180 + doc_id % 200) end as instruction,
+_ASKED = f"""i as (select doc_id, case when doc_id % 3 = 0 then '' else case when doc_id % 5 = 1 then 'http### ' else '' end || substring(text, 1, 180 + doc_id % 200) end as instruction,
       case when doc_id % 2 = 0 then source else ' ' end as input, substring(text, 300, doc_id % 400) || case when doc_id % 13 = 0 then ' http' when doc_id % 17 = 0 then '###' else '' end as output from documents),
     q as (select doc_id, case when {duck.strip('instruction')} = '' then '' else instruction end as q0, case when {duck.strip('input')} = '' then '' else input end as m, case when {duck.strip('output')} = '' then '' else output end as a from i),
-    c as (select doc_id, q0, case when m = '' then q0 else q0 || chr(10) || chr(10) || m end as q, a from q)
-    select doc_id, md5(q) as question, md5(a) as answer from c where q0 <> '' and a <> '' and length(q) <= 300 and length(a) between 3 and 350 and not contains(a, '###') and not contains(a, 'http') and not {_contradicts('q', 'a')}"""
-)
-def instruction_filter(spark, d):
-    rows = docs(spark, d).select(
+    c as (select doc_id, q0, case when m = '' then q0 else q0 || chr(10) || chr(10) || m end as q, a from q),
+    kept as (select doc_id, md5(q) as question, md5(a) as answer from c where q0 <> '' and a <> '' and length(q) <= 300 and length(a) between 3 and 350 and not contains(a, '###') and not contains(a, 'http') and not {_contradicts('q', 'a')})"""
+
+
+def asked(spark, d) -> DataFrame:
+    return docs(spark, d).select(
         "doc_id", F.expr("case when doc_id % 3 = 0 then '' else concat(if(doc_id % 5 = 1, 'http### ', ''), substring(text, 1, cast(180 + doc_id % 200 as int))) end").alias("instruction"),
         F.when(F.col("doc_id") % 2 == 0, F.col("source")).otherwise(F.lit(" ")).alias("input"),
         F.expr("concat(substring(text, 300, cast(doc_id % 400 as int)), case when doc_id % 13 = 0 then ' http' when doc_id % 17 = 0 then '###' else '' end)").alias("output"),
     )
-    return sft.instructions(rows).select("doc_id", F.md5("question").alias("question"), F.md5("answer").alias("answer"))
 
 
-@query(
-    f"""with o as (select conv_id * 1000 + turn as message_id, conv_id * 1000 + turn - 1 as parent_id, case role when 'user' then 'prompter' else role end as role, case when conv_id % 5 = 0 then 'en' else 'fr' end as lang, text, case when turn % 3 = 0 then null else (turn % 2)::int end as rank, 0 as ord from conversations),
+@query(f"with {_ASKED} select * from kept")
+def instruction_filter(spark, d):
+    return sft.instructions(asked(spark, d)).select("doc_id", F.md5("question").alias("question"), F.md5("answer").alias("answer"))
+
+
+@query(f"with {_ASKED} select * from kept order by md5('3:' || doc_id), doc_id limit 40")
+def instruction_sample(spark, d):
+    """The first instructions in an order by seed."""
+    return readers.instructions(asked(spark, d), 40, 3, "doc_id").select("doc_id", F.md5("question").alias("question"), F.md5("answer").alias("answer"))
+
+
+_REPLIES = f"""o as (select conv_id * 1000 + turn as message_id, conv_id * 1000 + turn - 1 as parent_id, case role when 'user' then 'prompter' else role end as role, case when conv_id % 5 = 0 then 'en' else 'fr' end as lang, text, case when turn % 3 = 0 then null else (turn % 2)::int end as rank, 0 as ord from conversations),
     t as (select * from o union all select * replace (substring(text, 1, 300) as text, 1 as ord) from o where message_id % 4 < 2),
     m as (select * from t where lang = 'fr' qualify row_number() over (partition by message_id order by ord desc) = 1),
-    j as (select c.message_id, {duck.strip('p.text')} as q, {duck.strip('c.text')} as a from m c join m p on c.parent_id = p.message_id where c.role = 'assistant' and p.role = 'prompter' and (c.rank is null or c.rank = 0))
-    select message_id, md5(q) as question, md5(a) as answer from j where length(q) <= 400 and length(a) between 3 and 500 and not {_contradicts('q', 'a')}"""
-)
-def parent_reply_pairs(spark, d):
+    j as (select c.message_id, {duck.strip('p.text')} as q, {duck.strip('c.text')} as a from m c join m p on c.parent_id = p.message_id where c.role = 'assistant' and p.role = 'prompter' and (c.rank is null or c.rank = 0))"""
+
+
+def message_tree(spark, d) -> DataFrame:
     tree = table(spark, d, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("message_id"), (F.col("conv_id") * 1000 + F.col("turn") - 1).alias("parent_id"), F.when(F.col("role") == "user", F.lit("prompter")).otherwise(F.col("role")).alias("role"),
         F.when(F.col("conv_id") % 5 == 0, F.lit("en")).otherwise(F.lit("fr")).alias("lang"), "text", F.when(F.col("turn") % 3 == 0, None).otherwise((F.col("turn") % 2).cast("int")).alias("rank"),
         F.lit(0).alias("ord"),
     )
-    tree = tree.unionByName(tree.where("message_id % 4 < 2").withColumn("text", F.substring("text", 1, 300)).withColumn("ord", F.lit(1)))
-    return sft.replies(tree).select("message_id", F.md5("question").alias("question"), F.md5("answer").alias("answer"))
+    return tree.unionByName(tree.where("message_id % 4 < 2").withColumn("text", F.substring("text", 1, 300)).withColumn("ord", F.lit(1)))
+
+
+@query(f"with {_REPLIES} select message_id, md5(q) as question, md5(a) as answer from j where length(q) <= 400 and length(a) between 3 and 500 and not {_contradicts('q', 'a')}")
+def parent_reply_pairs(spark, d):
+    return sft.replies(message_tree(spark, d)).select("message_id", F.md5("question").alias("question"), F.md5("answer").alias("answer"))
+
+
+@query(f"with {_REPLIES} select message_id, md5(q) as question, md5(a) as answer from j where length(q) <= 4000 and length(a) between 3 and 5000 and not {_contradicts('q', 'a')} order by md5('8:' || message_id), message_id limit 25")
+def reply_sample(spark, d):
+    """The first pairs in an order by seed, of longer ones too."""
+    pairs = sft.replies(message_tree(spark, d), most_question=4000, most_answer=5000, most=25, seed=8)
+    return pairs.select("message_id", F.md5("question").alias("question"), F.md5("answer").alias("answer"))
 
 
 @query(
