@@ -12,7 +12,8 @@ There are as many slots as the words come to in blocks of ``block_words`` (2048)
 ``least_slots``: blocks of small tables are shorter, which keeps a few of them a small share.
 
 All prefix sums and ranks are two-level (inside bounded buckets, then over the buckets), so a
-hot source doesn't meet in one task.
+hot source doesn't meet in one task. Sources are rows of a table from their sums to their shares
+of the unit interval, so there may be as many as a corpus has domains; the driver gets totals.
 
 Defined results: null and empty texts have no words and are never taken; the null source comes
 last; a source without words has target 0; repeated rows are told apart by an ordinal among
@@ -21,39 +22,21 @@ equal rows and taken each for itself; an empty table gives no rows; other column
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexmill.operators.order import BUCKET, numbered
 from lexmill.storage import stage
 
 #: Weights by place in the order of sources, and how often a source may be read.
 WEIGHTS, MOST_EPOCHS = (5.0, 2.0, 1.0), 3
 #: 2**64 divided by the golden ratio, made odd: its multiples mod 2**64 are the points.
 GOLDEN = 0x9E3779B97F4A7C15
-#: Parts of the unit interval by which points find their source.
+#: Parts of the unit interval by which points find their source, at least; there are more for many sources.
 CELLS = 1024
-
-
-def targets(sources: list[tuple[str | None, int]], weights=WEIGHTS, most: float = MOST_EPOCHS) -> list[float]:
-    """Shares of the whole by weight; what exceeds ``most`` times a source is shared again by weight among the rest."""
-    total = float(sum(n for _, n in sources))
-    given = [weights[i % len(weights)] for i in range(len(sources))]
-    target, free = [0.0] * len(sources), set(range(len(sources)))
-    while free:
-        left = total - sum(target[i] for i in range(len(sources)) if i not in free)
-        weight = sum(given[i] for i in free)
-        for i in free:
-            target[i] = left * given[i] / weight
-        full = {i for i in free if target[i] > most * sources[i][1]}
-        if not full:
-            break
-        for i in full:
-            target[i] = float(most * sources[i][1])
-        free -= full
-    return target
+#: Shares are whole numbers of such parts of a block: their sums are exact, so the interval has no gaps.
+UNITS = 1 << 20
 
 
 def n_words(text: Column) -> Column:
@@ -68,10 +51,29 @@ def running(df: DataFrame, key: str, bucket: str, order: list, size: str, out: s
     return df.withColumn("_b", F.sum(size).over(within) - F.col(size)).join(sums, [key, bucket]).withColumn(out, F.col("_0") + F.col("_b")).drop("_0", "_b")
 
 
-def rows_of(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
-    """A small table out of one literal, without Python workers."""
-    made = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")
-    return spark.range(1).select(F.explode(made).alias("r")).select("r.*")
+def whole(df: DataFrame, place: str, size: str, out: str) -> DataFrame:
+    """``out``: the sum of ``size`` over all rows with a smaller ``place``, of which there are 0, 1, ..."""
+    return running(df.withColumn("_all", F.lit(0)).withColumn("_at", F.expr(f"{place} div {BUCKET}")), "_all", "_at", [place], size, out).drop("_all", "_at")
+
+
+def targets(sums: DataFrame, weights=WEIGHTS, most: float = MOST_EPOCHS) -> DataFrame:
+    """``(name, size, ...)`` of each source with ``source``, its number in the order of names, and ``target``.
+
+    All sources share the sum of sizes by weight, and none gets more than ``most`` times its
+    size: a target is the weight times a level that all have in common, or that bound. In the
+    order in which a rising level reaches their bounds, the first source whose bound isn't
+    reached by what those before it leave gives the level.
+    """
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("source") % len(weights) + 1).cast("int"))
+    placed = numbered(sums, F.col("name").isNull(), F.col("name"), out="source").withColumn("_weight", weight).withColumn("_most", F.lit(float(most)) * F.col("size"))
+    filled = whole(whole(numbered(placed, F.col("_most") / F.col("_weight"), F.col("source"), out="_place"), "_place", "_most", "_full"), "_place", "_weight", "_lighter")
+    filled = stage(filled, "mix-levels")
+    words, heavy = filled.agg(F.sum("size"), F.sum("_weight")).first()
+    free = F.lit(heavy or 0.0) - F.col("_lighter")
+    enough = F.col("_full") + F.col("_most") / F.col("_weight") * free >= float(words or 0)
+    level = filled.where(enough).agg(F.min(F.struct("_place", (F.lit(float(words or 0)) - F.col("_full")).alias("left"), free.alias("free"))).alias("level")).first().level
+    target = F.least("_most", F.lit(level.left) * F.col("_weight") / F.lit(level.free)) if level else F.col("_most")
+    return filled.select(*sums.columns, "source", target.alias("target"))
 
 
 def points(spark: SparkSession, slots: int, seed: int, step: int) -> DataFrame:
@@ -85,24 +87,24 @@ def points(spark: SparkSession, slots: int, seed: int, step: int) -> DataFrame:
     return spark.range(0, slots, 1, parts).select(F.col("id").alias("slot"), F.expr(f"pmod(({low}) + ({high}), {1 << 53}) / {float(1 << 53)!r}D").alias("u"))
 
 
-def schedule(spark: SparkSession, owed: list[float], seed: int = 0, bucket_slots: int = 1 << 16, step: int = GOLDEN) -> DataFrame:
-    """``(slot, source, turn)``: which source each slot takes, and that source's how-manieth slot it is.
+def schedule(owed: DataFrame, seed: int = 0, bucket_slots: int = 1 << 16, step: int = GOLDEN) -> DataFrame:
+    """``(slot, source, turn)`` and further columns of ``owed``: which source each slot takes, and that source's how-manieth slot it is.
 
-    ``owed`` is each source's number of blocks, by source number; there are as many slots as
-    all of them come to.
+    ``owed`` has each source's number of blocks by ``source``, its number from 0; there are as
+    many slots as all of them come to.
     """
-    total, done, shares = sum(owed), 0.0, []
-    for i, n in enumerate(owed):
-        if n > 0:
-            shares.append({"source": i, "lo": done / total, "hi": min(1.0, (done + n) / total)})
-            done += n
-    if shares:
-        shares[-1]["hi"] = 2.0  # rounding leaves no point beyond the last
-    cells = rows_of(spark, shares, "source int, lo double, hi double").select("*", F.explode(F.expr(f"sequence(cast(floor(lo * {CELLS}) as int), cast(floor(least(hi, 1D) * {CELLS}) as int))")).alias("_cell"))
-    drawn = points(spark, round(total), seed, step).withColumn("_cell", F.expr(f"cast(floor(u * {CELLS}) as int)"))
-    # One row for each source, and at most one more for each cell.
-    found = drawn.join(F.broadcast(cells), "_cell").where("u >= lo and u < hi").select("slot", "source", F.expr(f"slot div {bucket_slots}").alias("_bucket"), F.lit(1).cast("long").alias("_1"))
-    return running(found, "source", "_bucket", ["slot"], "_1", "turn").select("slot", "source", "turn")
+    spark = owed.sparkSession
+    shares = owed.withColumn("_units", F.coalesce(F.round(F.col("owed") * UNITS), F.lit(0)).cast("long"))
+    shares = stage(whole(shares, "source", "_units", "_from").where("_units > 0"), "mix-shares")
+    total, n = shares.agg(F.sum("_units"), F.count("*")).first()
+    total, cells = total or 0, max(CELLS, 1 << (4 * n).bit_length())
+    shares = shares.withColumn("lo", F.col("_from") / F.lit(max(total, 1))).withColumn("hi", (F.col("_from") + F.col("_units")) / F.lit(max(total, 1)))
+    # One row for each source, and at most one more for each cell; points are even, so no cell is hot.
+    parts = shares.drop("owed", "_from", "_units").withColumn("_cell", F.explode(F.expr(f"sequence(cast(floor(lo * {cells}) as long), cast(floor(hi * {cells}) as long))")))
+    drawn = points(spark, (total + UNITS // 2) // UNITS, seed, step).withColumn("_cell", F.expr(f"cast(floor(u * {cells}) as long)"))
+    found = drawn.join(parts, "_cell").where("u >= lo and u < hi").drop("u", "lo", "hi", "_cell")
+    found = found.withColumn("_bucket", F.expr(f"slot div {bucket_slots}")).withColumn("_1", F.lit(1).cast("long"))
+    return running(found, "source", "_bucket", ["slot"], "_1", "turn").drop("_bucket", "_1")
 
 
 def mix(
@@ -114,31 +116,26 @@ def mix(
     to the row's first word, one for each time. ``row_hash`` tells rows that share an id apart
     by their text and source.
     """
-    spark = docs.sparkSession
     sized = stage(
         docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("name"), n_words(F.col(text_col)).alias("size"), F.xxhash64(text_col, source_col).alias("row_hash")), "mix-sizes"
     )
-    # One row for each source; there are as many as the list of sources has names.
-    sums = sorted(((r.name, r.size, r.n) for r in sized.groupBy("name").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()), key=lambda x: (x[0] is None, x[0] or ""))
-    target = targets([(s, n) for s, n, _ in sums])
-    block = max(1, min(block_words, sum(n for _, n, _ in sums) // least_slots))
+    shared = targets(sized.groupBy("name").agg(F.sum("size").alias("size"), F.count("*").alias("rows")))
+    shared = shared.withColumnRenamed("size", "source_size")
+    words = shared.agg(F.sum("source_size")).first()[0] or 0
+    block = max(1, min(block_words, words // least_slots))
     # A line's last block may be short: what a source owes is counted in lines, each of so many blocks.
-    lines = [-(-n // block) for _, n, _ in sums]
-    owed = [t / n * b if n else 0.0 for t, (_, n, _), b in zip(target, sums, lines, strict=True)]
-    facts = rows_of(
-        spark,
-        [{"source": i, "name": s, "source_size": n, "target": t, "blocks": b, "buckets": c // bucket_rows + 1} for i, ((s, n, c), t, b) in enumerate(zip(sums, target, lines, strict=True))],
-        "source int, name string, source_size long, target double, blocks long, buckets long",
-    )
-    named = sized.join(F.broadcast(facts), sized["name"].eqNullSafe(facts["name"])).drop("name")
+    shared = shared.withColumn("blocks", F.expr(f"(source_size + {block - 1}) div {block}"))
+    facts = stage(shared.withColumn("owed", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size") * F.col("blocks"))), "mix-sources")
+    # Spark broadcasts sources where its threshold says so; beyond it both sides are shuffled, and a hot source's narrow rows are split.
+    known = facts.select(F.col("name").alias("_name"), "source", "source_size", "target", F.expr(f"rows div {bucket_rows} + 1").alias("buckets"))
+    named = sized.join(known, F.col("name").eqNullSafe(F.col("_name"))).drop("name", "_name")
     ordered = named.groupBy("id", "row_hash", "source", "size", "source_size", "target", "buckets").agg(F.count("*").alias("_n"))
     ordered = ordered.withColumn("ordinal", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).drop("_n")
     ordered = ordered.withColumn("h", F.xxhash64(F.lit(seed), "id", "row_hash", "ordinal"))
     ordered = ordered.withColumn("_bucket", F.expr("cast(floor((h / 18446744073709551616D + 0.5D) * buckets) as int)"))
     line = stage(running(ordered, "source", "_bucket", ["h", "id", "row_hash", "ordinal"], "size", "at"), "mix-line")
     taken = (
-        schedule(spark, owed, seed, step=step)
-        .join(F.broadcast(facts.select("source", "blocks")), "source")
+        schedule(facts.select("source", "owed", "blocks"), seed, step=step)
         .where(F.col("turn") < MOST_EPOCHS * F.col("blocks"))
         .groupBy("source", F.expr("turn % blocks").alias("block"))
         .agg(F.sort_array(F.collect_list("slot")).alias("slots"))  # at most three

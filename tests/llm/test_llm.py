@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from lexmill.llm import bpe, graph, html, langid, licenses, mix, neardup, quality, shard, topk, warc
@@ -310,11 +311,24 @@ def test_bpe_digests(spark, docs, none, codec):
     assert bpe.encode(none, vocabulary("byte_bpe_multi_50k.tiktoken")).count() == 0
 
 
-@pytest.mark.parametrize("sizes", [[100, 100, 100], [10, 1000, 5], [0, 7], [3], [1, 1, 1, 1000, 50, 2]])
-def test_targets(sizes):
-    t = mix.targets([(str(i), n) for i, n in enumerate(sizes)])
+def level_targets(sizes, weights=(5, 2, 1), most=3):
+    """Bounded shares: the level that all weights have in common, by halving."""
+    lo, hi, given = 0.0, 3.0 * sum(sizes) + 1, [weights[i % 3] for i in range(len(sizes))]
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(min(most * n, mid * w) for n, w in zip(sizes, given, strict=True)) < sum(sizes) else (lo, mid)
+    return [min(float(most * n), hi * w) for n, w in zip(sizes, given, strict=True)]
+
+
+@pytest.mark.parametrize("sizes", [[100, 100, 100], [10, 1000, 5], [0, 7], [3], [1, 1, 1, 1000, 50, 2], [0, 0], [], list(range(5000)) + [10**7]])
+def test_targets(spark, sizes):
+    names = [f"{i:06}" for i in range(len(sizes) - 1)] + [None] * bool(sizes)
+    got = sorted(mix.targets(spark.createDataFrame(list(zip(names, sizes, strict=True)), "name string, size long")).collect(), key=lambda r: r.source)
+    assert [(r.source, r.name, r["size"]) for r in got] == list(zip(range(len(sizes)), names, sizes, strict=True))
+    t = [r.target for r in got]
     assert all(x <= 3 * n + 1e-6 for x, n in zip(t, sizes, strict=True))
     assert math.isclose(sum(t), sum(sizes), rel_tol=1e-9, abs_tol=1e-9)
+    assert np.allclose(t, level_targets(sizes), rtol=1e-9, atol=1e-9)
 
 
 def golden(slots, seed=0, step=mix.GOLDEN):
@@ -323,7 +337,7 @@ def golden(slots, seed=0, step=mix.GOLDEN):
 
 @pytest.mark.parametrize("owed", [[300, 120, 60, 0, 1], [0.4, 7.3, 900.8, 12.5], [5000.0]])
 def test_schedule_follows_the_points_and_is_even(spark, owed):
-    plan = mix.schedule(spark, owed, bucket_slots=64).orderBy("slot").collect()
+    plan = mix.schedule(spark.createDataFrame(list(enumerate(map(float, owed))), "source long, owed double"), bucket_slots=64).orderBy("slot").collect()
     total, ends = sum(owed), np.cumsum(owed) / sum(owed)
     want = [int(np.searchsorted(ends, u, side="right").clip(max=len(owed) - 1)) for u in golden(round(total))]
     assert [r.source for r in plan] == want and [r.slot for r in plan] == list(range(round(total)))
@@ -335,29 +349,49 @@ def test_schedule_follows_the_points_and_is_even(spark, owed):
 
 
 def mixed_by_hand(rows, block, step=mix.GOLDEN):
-    """Words taken from each source's line, block by block, as the points say."""
+    """Which slots take each block of each source's line, as the points say."""
     size = Counter()
     for r in rows:
         size[r.source] += len(WORD.findall(r.text or ""))
     names = sorted(size, key=lambda s: (s is None, s or ""))
-    target = mix.targets([(s, size[s]) for s in names])
+    target = level_targets([size[s] for s in names])
     lines = [-(-size[s] // block) for s in names]
     owed = [t / size[s] * b if size[s] else 0.0 for t, s, b in zip(target, names, lines, strict=True)]
-    ends, times, turn = np.cumsum(owed) / sum(owed), defaultdict(Counter), Counter()
-    for u in golden(round(sum(owed)), step=step):
+    ends, times, turn = np.cumsum(owed) / sum(owed), defaultdict(lambda: defaultdict(list)), Counter()
+    for slot, u in enumerate(golden(round(sum(owed)), step=step)):
         i = int(np.searchsorted(ends, u, side="right").clip(max=len(names) - 1))
         if turn[i] < 3 * lines[i]:
-            times[names[i]][turn[i] % lines[i]] += 1
+            times[names[i]][turn[i] % lines[i]].append(slot)
         turn[i] += 1
     return size, dict(zip(names, target, strict=True)), times
 
 
+def documents_by_hand(spark, rows, block, slots):
+    """``(doc_id, words taken, slots of its first word)`` of each row: the words of each source in a line, one by one."""
+    seen, keyed = Counter(), []
+    for r in rows:
+        seen[r.doc_id, r.text, r.source] += 1
+        keyed.append((r.doc_id, r.text, r.source, seen[r.doc_id, r.text, r.source]))
+    df = spark.createDataFrame(keyed, "id long, text string, source string, ordinal int").withColumn("row_hash", F.xxhash64("text", "source"))
+    line = sorted(df.withColumn("h", F.xxhash64(F.lit(0), "id", "row_hash", "ordinal")).collect(), key=lambda r: r.h)
+    at, out = Counter(), Counter()
+    for r in line:
+        n, place = len(WORD.findall(r.text or "")), at[r.source]
+        taken = sum(len(slots[r.source][w // block]) for w in range(place, place + n))
+        out[r.id, taken, tuple(slots[r.source][place // block]) if n else ()] += 1
+        at[r.source] += n
+    return out
+
+
 @pytest.mark.parametrize(("block", "step"), [(16, mix.GOLDEN), (16, 0x5851F42D4C957F2D), (1, mix.GOLDEN)])
 def test_mix(spark, docs, none, block, step):
     run = lambda df: mix.mix(df, block_words=block, least_slots=1, bucket_rows=20, step=step).collect()
     got, rows = run(docs), docs.collect()
     assert Counter((r.doc_id, r["size"]) for r in got) == Counter((r.doc_id, len(WORD.findall(r.text or ""))) for r in rows)
-    size, target, times = mixed_by_hand(rows, block, step)
+    size, target, slots = mixed_by_hand(rows, block, step)
+    times = {s: {b: len(x) for b, x in of.items()} for s, of in slots.items()}
+    times = defaultdict(dict, times)
+    assert Counter((r.doc_id, r.taken, tuple(r.slots)) for r in got) == documents_by_hand(spark, rows, block, slots)
     source = {r.doc_id: r.source for r in rows}
     taken = Counter()
     for r in got:
@@ -378,6 +412,29 @@ def test_mix(spark, docs, none, block, step):
     assert mix.mix(none).count() == 0
 
 
+def test_mix_of_as_many_sources_as_domains(spark):
+    """Sources that outgrow any broadcast: joins that shuffle both sides give the same mix."""
+    rows = [(i, " ".join(["w"] * (i % 7)), f"site{i % 2500}" if i % 3 else "hot") for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mix.mix(df).collect()
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for k in before:
+            spark.conf.set(k, {"spark.sql.autoBroadcastJoinThreshold": "-1"}.get(k, "false"))
+        shuffled = mix.mix(df)
+        assert "Broadcast" not in shuffled._jdf.queryExecution().executedPlan().toString()
+        assert Counter(map(str, shuffled.collect())) == Counter(map(str, got))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    size, target, slots = mixed_by_hand([Row(doc_id=i, text=t, source=s) for i, t, s in rows], 1)
+    assert len(size) == 2501 and all(math.isclose(r.target, target[rows[r.doc_id][2]], abs_tol=1e-9) for r in got)
+    taken = Counter()
+    for r in got:
+        taken[rows[r.doc_id][2]] += r.taken
+    assert all(taken[s] == sum(map(len, slots[s].values())) and abs(taken[s] - target[s]) <= 4 for s in size)
+
+
 def test_another_point_sequence_gives_another_mix(spark, docs):
     one, two = (Counter(map(str, mix.mix(docs, block_words=8, least_slots=1, step=step).collect())) for step in (mix.GOLDEN, 0x5851F42D4C957F2D))
     assert one != two
