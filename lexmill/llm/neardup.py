@@ -9,7 +9,8 @@
    collision-corrected Jaccard estimate, then exact verification on both whole texts.
 4. Components of the confirmed links. Buckets that still hold several components are gone
    through again in cells of bounded size: every pair of members whose components differ. The
-   sketches meet first; texts are fetched only for members that have a partner by them.
+   sketches meet first, each sent to at most 32 cells of its bucket while a bucket has up to a
+   million members; texts are fetched only for members that have a partner by them.
 5. Components again: each document gets the smallest id it reaches.
 
 Step 4 covers every pair that shares a bucket, so links are lost only where no band agrees
@@ -25,7 +26,7 @@ with several texts; other columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,7 +42,8 @@ from lexmill.storage import stage
 WIDTH, THRESHOLD = 5, 85  # words in a shingle; percent
 BUCKETS = 192
 VALUE_BITS, MANTISSA = 44, 10
-CELL = 400  # members of a bucket that meet as many others in one group
+CELL = 400  # members of a bucket that meet as many others in one group: with their texts at most, with their sketches at least
+CHUNKS, LARGEST = 16, 1 << 16  # chunks that a bucket's sketches are cut into at most, while none has more members than LARGEST
 SHARE = 64  # partners that one representative's text is sent along with
 
 
@@ -308,6 +310,23 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, bou
     return mixed.mapInArrow(run, "a long, b long")
 
 
+def sketch_chunks(n: str) -> str:
+    """Into how many chunks the sketches of n members are cut: few, so that what is sent grows with the bucket and not its square."""
+    return f"greatest(least({n} div {CELL} + 1, {CHUNKS}), {n} div {LARGEST} + 1)"
+
+
+def text_chunks(n: str) -> str:
+    return f"{n} div {CELL} + 1"
+
+
+def dealt(asking: DataFrame, met: DataFrame, keep: list[str], chunks: Callable[[str], str], hashed: str, u: str = "u", v: str = "v") -> DataFrame:
+    """Cells (u, v): chunk u of the rows that ask, of which there are ``others``, with chunk v of those they meet, of which there are ``all``."""
+    own = lambda n: F.expr(f"cast(pmod({hashed}, {chunks(n)}) as int)")
+    every = lambda n: F.explode(F.expr(f"sequence(0, cast({chunks(n)} as int) - 1)"))
+    asking = asking.select(*keep, F.lit(True).alias("asks"), own("others").alias(u), every("`all`").alias(v))
+    return asking.unionByName(met.select(*keep, F.lit(False).alias("asks"), every("others").alias(u), own("`all`").alias(v)))
+
+
 def rest_links(members: DataFrame, reps: DataFrame, labels: DataFrame, docs: DataFrame, id_col: str, text_col: str, bound: Bound) -> DataFrame:
     """``(a, b)``: links between members of one bucket that lie in different components so far.
 
@@ -323,16 +342,16 @@ def rest_links(members: DataFrame, reps: DataFrame, labels: DataFrame, docs: Dat
     top = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("comps")).where("comps > 1")
     top = stage(top.select("key", F.col("top.comp").alias("major"), "all", (F.col("all") - F.col("top.n")).alias("others")), "mixed-buckets")
     rows = stage(rows.join(top, "key").withColumn("minor", F.col("comp") != F.col("major")).withColumn("h", F.xxhash64("id")), "mixed-members")
-    # Cells (u, v): chunk u of the minor members with chunk v of all members.
-    as_minor = rows.where("minor").select("key", "id", "comp", F.lit(True).alias("asks"), F.expr(f"cast(pmod(h, others div {CELL} + 1) as int)").alias("u"), F.explode(F.expr(f"sequence(0, cast(`all` div {CELL} as int))")).alias("v"))
-    as_any = rows.select("key", "id", "comp", F.lit(False).alias("asks"), F.explode(F.expr(f"sequence(0, cast(others div {CELL} as int))")).alias("u"), F.expr(f"cast(pmod(h, `all` div {CELL} + 1) as int)").alias("v"))
     order = ["key", "u", "v"]
-    cells = as_minor.unionByName(as_any).join(reps.select("id", "n_shingles", "regs"), "id").select(*order, "asks", "id", "comp", "n_shingles", "regs")
+    cells = dealt(rows.where("minor"), rows, ["key", "id", "comp"], sketch_chunks, "h").join(reps.select("id", "n_shingles", "regs"), "id").select(*order, "asks", "id", "comp", "n_shingles", "regs")
 
     def hits(key: int, packed: list[np.ndarray], bands: np.ndarray, comp: int, id_: int, n: int, regs: np.ndarray) -> np.ndarray:
         """Of a chunk of minor members those that a member may be linked with, and meets here first."""
-        agree = (bands == bound.cut(regs)).all(axis=2)
-        found = np.flatnonzero((agree.argmax(axis=1) == key % 256) & agree.any(axis=1) & (packed[1] != comp) & (packed[0] != id_))
+        own, at = bound.cut(regs), key % 256
+        fits = 100 * np.minimum(packed[2], n) >= bound.percent * np.maximum(packed[2], n)
+        found = np.flatnonzero(fits & (packed[1] != comp) & (packed[0] != id_))
+        found = found[(bands[found, at] == own[at]).all(axis=1)]
+        found = found[~(bands[found, :at] == own[:at]).all(axis=2).any(axis=1)]
         return found[plausible(packed[3][found], packed[2][found], regs, np.full(len(found), n), bound)]
 
     def partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,9 +395,9 @@ def rest_links(members: DataFrame, reps: DataFrame, labels: DataFrame, docs: Dat
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
-            asks, ids, comps, n = (batch.column(i).to_pylist() for i in (3, 4, 5, 6))
-            regs, text = _regs(batch.column(7)), batch.column(8)
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True))
+            asks, ids, comps, n = (batch.column(i).to_pylist() for i in (5, 6, 7, 8))
+            regs, text = _regs(batch.column(9)), batch.column(10)
             out = ([], [])
             for i, key in enumerate(keys):
                 if key != at:
@@ -407,7 +426,12 @@ def rest_links(members: DataFrame, reps: DataFrame, labels: DataFrame, docs: Dat
                         out[1].append(max(asking[0][j], ids[i]))
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], ["a", "b"])
 
-    again = met.join(texts, "id").select(*order, "asks", "id", "comp", "n_shingles", "regs", "text").repartition(*order).sortWithinPartitions(*order, F.col("asks").desc())
+    # What is left of a cell meets in smaller ones, since texts are held there.
+    held = met.groupBy(*order).agg(F.count_if("asks").alias("others"), F.count_if(~F.col("asks")).alias("all"))
+    left = met.join(held, order).withColumn("h", F.xxhash64(F.lit(1), "id"))
+    small = [*order, "s", "t"]
+    again = dealt(left.where("asks"), left.where("not asks"), [*order, "id", "comp", "n_shingles", "regs"], text_chunks, "h", "s", "t").join(texts, "id")
+    again = again.select(*small, "asks", "id", "comp", "n_shingles", "regs", "text").repartition(*small).sortWithinPartitions(*small, F.col("asks").desc())
     return again.mapInArrow(run, "a long, b long").distinct()
 
 

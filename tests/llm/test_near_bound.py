@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexmill.llm import neardup
 
@@ -55,3 +56,54 @@ def test_bands_miss_no_pair_at_the_threshold():
     for percent in (80, 85):
         bound = neardup.Bound(percent)
         assert (1 - (percent / 100) ** bound.rows) ** bound.bands < 1e-6
+
+
+def bucket(spark, n, others):
+    """One bucket of n members, of which some ask."""
+    rows = spark.range(n).select(F.lit(5).cast("long").alias("key"), "id", F.lit(n).cast("long").alias("all"), F.lit(others).cast("long").alias("others"), F.xxhash64("id").alias("h"))
+    return neardup.dealt(rows.where(F.col("id") < others), rows, ["key", "id"], neardup.sketch_chunks, "h")
+
+
+@pytest.mark.parametrize(("n", "others"), [(100_000, 100_000), (100_000, 30_000), (1_000_000, 500_000)])
+def test_sketch_rows_grow_with_the_bucket(spark, n, others):
+    cells = bucket(spark, n, others)
+    assert cells.count() <= (n + others) * neardup.CHUNKS
+    assert cells.where("asks").groupBy("u", "v").count().agg(F.max("count")).first()[0] <= 1.2 * others / neardup.CHUNKS
+
+
+@pytest.mark.parametrize(("n", "others"), [(1, 1), (2, 1), (399, 12), (900, 850), (7000, 300)])
+def test_each_pair_meets_in_one_cell(spark, n, others):
+    cells = bucket(spark, n, others)
+    one, two = cells.where("asks").select("u", "v", F.col("id").alias("a")), cells.where("not asks").select("u", "v", F.col("id").alias("b"))
+    met = one.join(two, ["u", "v"])
+    assert met.count() == n * others == met.select("a", "b").distinct().count()
+
+
+@pytest.mark.parametrize(("cell", "chunks", "largest"), [(400, 16, 1 << 16), (2, 3, 7), (1, 1, 1 << 16)])
+def test_hot_buckets_lose_no_link(spark, monkeypatch, cell, chunks, largest):
+    """Texts that share a passage and so their buckets; some are alike enough, in chains that no star finds whole."""
+    for name, value in (("CELL", cell), ("CHUNKS", chunks), ("LARGEST", largest)):
+        monkeypatch.setattr(neardup, name, value)
+    rng = random.Random(11)
+    passage, tails, texts = [f"p{i}" for i in range(200)], [[f"t{g}x{i}" for i in range(60)] for g in range(30)], []
+    for k in range(240):
+        tail = list(tails[k % 30])
+        for at in range(0, rng.choice([0, 10, 25, 50])):
+            tail[at] = f"own{k}x{at}"
+        texts.append(" ".join(passage + tail))
+    sets, up = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+                one, two = sorted((top(a), top(b)))
+                up[two] = one
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(df).collect()}
+    assert got == {i: top(i) for i in range(len(texts))} and 30 <= len(set(got.values())) < 200
