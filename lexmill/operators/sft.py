@@ -78,14 +78,20 @@ def fits(examples: DataFrame, most: int, ids: str = "ids", mask: str = "mask") -
 
 def fallback_validation(examples: DataFrame, least: int = 50, ordinal: str = "ord") -> DataFrame:
     """If too few examples are held out, every step-th training example moves over, the first one first."""
-    from lexmill.operators.order import numbered
-
     counts = examples.groupBy("split").agg(F.count("*").alias("n")).collect()  # two rows
     n = {r["split"]: r["n"] for r in counts}
     if n.get("val", 0) >= least:
         return examples
-    step = max(2, n.get("train", 0) // 50)
-    train = numbered(examples.where("split = 'train'"), F.col(ordinal), out="_i").withColumn("split", F.when(F.col("_i") % step == 0, F.lit("val")).otherwise(F.lit("train"))).drop("_i")
+    return moved_over(examples, n.get("train", 0), ordinal)
+
+
+def moved_over(examples: DataFrame, n_train: int | None = None, ordinal: str = "ord") -> DataFrame:
+    """Every step-th training example moved to validation, the first one first, however many are held out: some 50, or half if there are fewer than 150."""
+    from lexmill.operators.order import numbered
+
+    training = examples.where("split = 'train'")
+    step = max(2, (training.count() if n_train is None else n_train) // 50)
+    train = numbered(training, F.col(ordinal), out="_i").withColumn("split", F.when(F.col("_i") % step == 0, F.lit("val")).otherwise(F.lit("train"))).drop("_i")
     return train.unionByName(examples.where("split = 'val'"))
 
 
