@@ -2,10 +2,11 @@
 
 The merges are read as an acceptor of token paths: a path of tokens is the BPE encoding of
 its bytes exactly when each token, and each two neighbours, encode to themselves. Reading a
-byte moves a set of hypotheses ``(pending tokens, last token, trie node)``; the tokens all
-hypotheses agree on are emitted at once, so the lookahead is bounded by the longest token.
-Sets are interned as states and their transitions remembered, which makes the transducer
-deterministic as far as texts have needed it.
+byte moves a set of hypotheses ``(last token, trie node)``, one for each place where a token may
+have begun, and puts out the token that ends there: the last one of the encoding of all bytes so
+far, whose other tokens are the encoding of what stands before it. Read back from the end of a
+piece, these are its tokens. Sets are interned as states and their transitions remembered,
+which makes the transducer deterministic as far as texts have needed it.
 
 Decoding runs an explicit UTF-8 automaton over the token stream; a token may end inside a
 character.
@@ -18,6 +19,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -33,6 +36,9 @@ SPLIT_PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+"
     rf"| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 )
+#: The same pattern for texts below U+0100, where the letters and numbers are these.
+_L, _N, _S = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r\x20\x85\xa0"
+LATIN_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -40,19 +46,29 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
+class _State(dict):
+    """Steps known so far by their byte: (state, token that ends there, raised by 1; 0: none)."""
+
+    __slots__ = ("lefts", "nodes")
+
+
 class Transducer:
     """Merges compiled to a transducer whose states are built when a text first reaches them.
 
+    A state is a set of hypotheses: trie nodes, and the last token before each, raised by 1 (0:
+    the start). What a byte makes of the nodes alone is shared by all states that have these.
+
     ``max_bytes`` bounds what the tables take: full ones are emptied and rebuilt on demand,
     which changes time and never results.
     """
 
-    #: Bytes of a state with its set, of a transition, and of a remembered pair, as measured.
-    STATE, MOVE, PAIR = 700, 230, 110
+    #: Bytes of a state with its set, of a transition, of a remembered pair, and of what a byte makes of nodes, as measured.
+    STATE, MOVE, PAIR, PLAN = 450, 150, 110, 700
 
     def __init__(self, ranks: dict[bytes, int], max_bytes: int = 200 << 20):
         self.ranks, self.max_bytes = ranks, max_bytes
         self.bytes_of = {i: t for t, i in ranks.items()}
+        self.length = {i: len(t) for t, i in ranks.items()}
         self.child: dict[int, int] = {}
         self.token_at, self.inner = [-1], [False]
         for token, rank in ranks.items():
@@ -72,14 +88,18 @@ class Transducer:
         self.reset()
 
     def reset(self) -> None:
-        start = frozenset({((), -1, 0)})
-        self.number, self.sets = {start: 0}, [start]
-        self.move: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self.last: dict[int, tuple[int, ...]] = {}
+        for state in getattr(self, "sets", {}).values():
+            state.clear()
+        self.sets: dict[tuple[int, ...], _State] = {}
+        self.places: dict[tuple[int, ...], int] = {}
+        self.nodes: list[tuple[int, ...]] = []
+        self.plans: dict[int, tuple] = {}
         self.pair_ok: dict[int, bool] = {}
+        self.moves = 0
+        self.start = self._state((self._place((0,)), 0))
 
     def full(self) -> bool:
-        return self.STATE * len(self.sets) + self.MOVE * len(self.move) + self.PAIR * len(self.pair_ok) > self.max_bytes
+        return self.STATE * len(self.sets) + self.MOVE * self.moves + self.PAIR * len(self.pair_ok) + self.PLAN * len(self.plans) > self.max_bytes
 
     def halves(self, token: int) -> tuple[int, int] | None:
         """The last merge that makes a token; None for single bytes and tokens that merging can't reach."""
@@ -114,13 +134,11 @@ class Transducer:
         It may, unless a merge across the border comes before both of its parts are gone;
         of two merges of equal rank the left one comes first.
         """
-        if left < 0:
-            return len(self.bytes_of[right]) == 1 or self.halves(right) is not None
-        key = left << 32 | right
+        key = left + 1 << 32 | right
         known = self.pair_ok.get(key)
         if known is None:
-            known = self.stands(-1, right)
-            if known:
+            known = len(self.bytes_of[right]) == 1 or self.halves(right) is not None
+            if known and left >= 0:
                 rank_of = self.ranks.get
                 for x, x_goes in self.edge(left, 1):
                     for y, y_goes in self.edge(right, 0):
@@ -133,51 +151,77 @@ class Transducer:
             self.pair_ok[key] = known
         return known
 
-    def _advance(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        after = []
-        for pending, left, node in self.sets[state]:
+    def _place(self, nodes: tuple[int, ...]) -> int:
+        place = self.places.get(nodes)
+        if place is None:
+            place = self.places[nodes] = len(self.nodes)
+            self.nodes.append(nodes)
+        return place
+
+    def _state(self, held: tuple[int, ...]) -> _State:
+        """The state of a place, which numbers the nodes, and the token before each of these."""
+        state = self.sets.get(held)
+        if state is None:
+            state = self.sets[held] = _State()
+            state.nodes, state.lefts = held[0], held[1:]
+        return state
+
+    def _plan(self, place: int, byte: int) -> tuple:
+        """Of some nodes under a byte: which stay inside of tokens, the tokens that may end, and the new nodes without and with one that begins."""
+        stays, ending, after = [], [], []
+        for i, node in enumerate(self.nodes[place]):
             nxt = self.child.get(node << 8 | byte)
             if nxt is None:
                 continue
             if self.inner[nxt]:
-                after.append((pending, left, nxt))
-            token = self.token_at[nxt]
-            if token >= 0 and self.stands(left, token):
-                after.append(((*pending, token), token, 0))
-        if not after:
+                stays.append(i)
+                after.append(nxt)
+            if self.token_at[nxt] >= 0:
+                ending.append((i, self.token_at[nxt]))
+        out = self.plans[place << 8 | byte] = (stays, ending, self._place(tuple(after)), self._place((*after, 0)))
+        return out
+
+    def _advance(self, state: _State, byte: int) -> tuple[_State, int]:
+        if self.full():
+            nodes = self.nodes[state.nodes]
+            self.reset()
+            state = self._state((self._place(nodes), *state.lefts))
+        lefts = state.lefts
+        stays, ending, without, begins = self.plans.get(state.nodes << 8 | byte) or self._plan(state.nodes, byte)
+        ends = 0
+        for i, token in ending:
+            known = self.pair_ok.get(lefts[i] << 32 | token)
+            if self.stands(lefts[i] - 1, token) if known is None else known:
+                ends = token + 1
+                break
+        if ends:
+            held = (begins, *[lefts[i] for i in stays], ends)
+        elif stays:
+            held = (without, *[lefts[i] for i in stays])
+        else:
             raise ValueError("the vocabulary lacks a byte")
-        first, agreed = after[0][0], 0
-        if first and all([p and p[0] == first[0] for p, _, _ in after]):
-            agreed, most = 1, min([len(p) for p, _, _ in after])
-            while agreed < most and all([p[agreed] == first[agreed] for p, _, _ in after]):
-                agreed += 1
-            after = [(p[agreed:], left, node) for p, left, node in after]
-        key = frozenset(after)
-        number = self.number.get(key)
-        if number is None:
-            number = self.number[key] = len(self.sets)
-            self.sets.append(key)
-        out = self.move[state << 8 | byte] = (number, first[:agreed])
+        self.moves += 1
+        out = state[byte] = (self._state(held), ends)
         return out
 
     def encode_piece(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if self.full():
-            self.reset()
-        out: list[int] = []
-        state, move = 0, self.move
+        ends = [] if len(piece) <= 4096 else array("i")
+        state, add, advance = self.start, ends.append, self._advance
         for byte in piece:
-            step = move.get(state << 8 | byte) or self._advance(state, byte)
-            state = step[0]
-            if step[1]:
-                out += step[1]
-        rest = self.last.get(state)
-        if rest is None:
-            (rest,) = (p for p, _, node in self.sets[state] if node == 0)
-            self.last[state] = rest
-        out += rest
+            state, token = state.get(byte) or advance(state, byte)
+            add(token)
+        out: list[int] = []
+        at, length = len(piece), self.length
+        while at:
+            token = ends[at - 1] - 1
+            if token < 0:
+                raise ValueError("the vocabulary lacks a byte")
+            out.append(token)
+            at -= length[token]
+        out.reverse()
         return out
 
 
@@ -268,21 +312,29 @@ class StreamDecoder:
 
 
 class _Pieces(dict):
-    """Encodings of pieces met so far: (ids, the ids as decimal text). Emptied when ``max_bytes`` are reached."""
+    """Encodings of pieces met so far: (ids, the ids as decimal text).
+
+    When half of ``max_bytes`` are reached, what is held becomes the older half, and the half
+    that was older goes; pieces met again come back from there.
+    """
 
     #: Bytes of an entry and of each of its tokens, as measured.
     ENTRY, TOKEN = 330, 20
 
-    def __init__(self, transducer: Transducer, max_bytes: int = 96 << 20):
+    def __init__(self, transducer: Transducer, max_bytes: int = 128 << 20):
         super().__init__()
         self.transducer, self.max_bytes, self.bytes = transducer, max_bytes, 0
+        self.older: dict = {}
 
     def __missing__(self, piece: str):
-        ids = self.transducer.encode_piece(piece.encode())
-        found = (ids, ",".join(map(str, ids)))
+        found = self.older.get(piece)
+        if found is None:
+            ids = self.transducer.encode_piece(piece.encode())
+            found = (ids, ",".join(map(str, ids)))
         if len(piece) <= 64:
-            self.bytes += self.ENTRY + self.TOKEN * len(ids)
-            if self.bytes > self.max_bytes:
+            self.bytes += self.ENTRY + self.TOKEN * len(found[0])
+            if self.bytes > self.max_bytes // 2:
+                self.older = dict(self)
                 self.clear()
                 self.bytes = 0
             self[piece] = found
@@ -295,12 +347,22 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str = SPLIT_PATTERN):
         import regex
 
-        self.split = regex.compile(pattern).findall
+        self.any = regex.compile(pattern).findall
+        self.latin = re.compile(LATIN_PATTERN).findall if pattern == SPLIT_PATTERN else None
         self.pieces = _Pieces(Transducer(ranks))
         self.decoder = StreamDecoder(self.pieces.transducer.bytes_of)
 
+    def split(self, text: str) -> list[str]:
+        if self.latin:
+            try:
+                text.encode("latin-1")
+                return self.latin(text)
+            except UnicodeEncodeError:
+                pass
+        return self.any(text)
+
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(ids for ids, _ in map(self.pieces.__getitem__, self.split(text))))
+        return list(chain.from_iterable([x[0] for x in map(self.pieces.__getitem__, self.split(text))]))
 
     def digest(self, text: str) -> tuple[list[int], str]:
         found = list(map(self.pieces.__getitem__, self.split(text)))
