@@ -88,9 +88,12 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``(doc_id, mix_slot, n_tokens, token_ids)`` of each row of the mix; a null text has no tokens. Without a mix before it, places are null."""
+    """``(doc_id, mix_slot, n_tokens, token_ids)`` of each row of the mix; a null text has no tokens. Without a mix before it, places are null.
+
+    All ids are decoded again; where that doesn't give the row's text the stage fails.
+    """
     place = F.col("carried").getField(PLACE) if PLACE in docs.schema["carried"].dataType.names else F.lit(None).cast("long")
-    return bpe.encode(docs.withColumn(PLACE, place), vocabulary("byte_bpe_multi_50k.tiktoken"), decode=False, keep=(PLACE,))
+    return bpe.encode(docs.withColumn(PLACE, place), vocabulary("byte_bpe_multi_50k.tiktoken"), decode=False, keep=(PLACE,), check=True)
 
 
 STAGES = [(f.__name__, _alone(f)) for f in (language, rules, duplicates, mixture, encoding)]

@@ -368,6 +368,13 @@ class Codec:
         found = list(map(self.pieces.__getitem__, self.split(text)))
         return list(chain.from_iterable([x[0] for x in found])), ",".join([x[1] for x in found])
 
+    def checked(self, text: str) -> list[int]:
+        """The ids of a text, from which decoding gave it back; an error if it didn't."""
+        ids = self.encode(text)
+        if self.decode(ids) != text:
+            raise ValueError("a text's ids don't decode to it under this vocabulary")
+        return ids
+
     def decode(self, ids: Iterable[int], chunk: int = 4096) -> str:
         ids = ids if isinstance(ids, list) else list(ids)
         out = [self.decoder.feed(ids[i : i + chunk]) for i in range(0, len(ids), chunk)]
@@ -385,17 +392,22 @@ class _Shared:
         self.id = self.ranks._jbroadcast.id()
 
 
-def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Rows ``(id, *keep, n_tokens, token_ids ARRAY<INT>[, decoded STRING])`` for each row of ``docs``."""
+def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = True, keep: tuple[str, ...] = (), check: bool = False) -> DataFrame:
+    """Rows ``(id, *keep, n_tokens, token_ids ARRAY<INT>[, decoded STRING])`` for each row of ``docs``.
+
+    With ``check``, every row's ids are decoded where they are made, and ids that don't give
+    the text back are an error.
+    """
     shared = _Shared(docs.sparkSession, load_ranks(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
+        encoded = codec.checked if check else codec.encode
         for batch in batches:
             for at in range(0, batch.num_rows, 64):  # bounds what is held decoded and encoded at once
                 part = batch.slice(at, 64)
                 with no_collection():
-                    ids = [codec.encode(t or "") for t in part.column(0).to_pylist()]
+                    ids = [encoded(t or "") for t in part.column(0).to_pylist()]
                     texts = [codec.decode(x) for x in ids] if decode else []
                 made = [pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32())), *([pa.array(texts, pa.string())] if decode else [])]
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], *made], names)
