@@ -185,3 +185,16 @@ def first_filled(*columns: Column) -> Column:
 def pre_tokens(c: Column) -> Column:
     """Pieces that merges never cross: contractions, words, single digits, punctuation, line breaks, blanks."""
     return F.regexp_extract_all(c, F.lit(rf"(?U){PRE_TOKEN}"), F.lit(0))
+
+
+#: The pre-tokenizer's pattern for texts below U+0100, with their letters, numbers and blanks written out.
+_L, _N, _S = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r\x20\x85\xa0"
+LATIN_PRE_TOKEN = (
+    rf"'(?:[sStTmMdD]|[rR][eE]|[vV][eE]|[lL]{{2}})|[^\r\n{_L}{_N}]?[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+[\r\n]*"
+    rf"|[{_S}]*[\r\n]+|[{_S}]+(?![^{_S}])|[{_S}]+"
+)
+
+
+def is_latin(c: Column) -> Column:
+    """Texts below U+0100: composed already, and cut by Python's ``re`` as ``pre_tokens`` does."""
+    return ~c.rlike(r"[^\x00-\xff]")

@@ -9,25 +9,50 @@ what changed in the words they touched.
 from __future__ import annotations
 
 import heapq
+import re
+from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexmill.functions.text import pre_tokens, sanitized
+from lexmill.functions.text import LATIN_PRE_TOKEN, is_latin, pre_tokens, sanitized
 from lexmill.functions.unicode import composed
 from lexmill.operators.tokens import FIRST_BYTE, SPECIALS
 from lexmill.storage import free, stage
 
 #: Pairs looked at in a round; a round merges some of them.
 LISTED = 512
+#: Distinct words that a task counts or keeps before it begins anew.
+KNOWN = 400_000
 
 
 def word_frequencies(docs: DataFrame, text: str = "text", min_frequency: int = 2) -> DataFrame:
-    words = docs.select(F.explode(pre_tokens(composed(sanitized(F.col(text))))).alias("word"))
-    return words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= min_frequency)
+    """Latin texts are cut and counted in Arrow batches, so that only a task's counts are shuffled; others natively."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = re.compile(LATIN_PRE_TOKEN).findall
+        counts: Counter[str] = Counter()
+
+        def counted() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+
+        for batch in batches:
+            for one in batch.column(0):
+                counts.update(cut(one.as_py().replace("<|", "< |")))
+                if len(counts) >= KNOWN:
+                    yield counted()
+                    counts.clear()
+        if counts:
+            yield counted()
+
+    latin = docs.where(is_latin(F.col(text))).select(text).mapInArrow(run, "word string, n long")
+    others = docs.where(~is_latin(F.col(text))).select(F.explode(pre_tokens(composed(sanitized(F.col(text))))).alias("word"), F.lit(1).cast("long").alias("n"))
+    words = latin.unionByName(others)
+    return words.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= min_frequency)
 
 
 def _spelled(word: Column) -> Column:
@@ -160,22 +185,34 @@ class Tokenizer:
 
     def encode_col(self, text: Column) -> Column:
         """``ARRAY<INT>``: sanitized, composed, cut natively, merged in Arrow batches with the words met so far kept."""
+        return self._merging(lambda pieces: pieces or ())(pre_tokens(composed(sanitized(F.coalesce(text, F.lit(""))))))
+
+    def encode(self, docs: DataFrame, text: str = "text", out: str = "ids") -> DataFrame:
+        """``docs`` with ``out``, the same ids; Latin texts are cut where they are merged."""
+        cut = re.compile(LATIN_PRE_TOKEN).findall
+        latin = F.coalesce(is_latin(F.col(text)), F.lit(True))
+        own = self._merging(lambda t: cut((t or "").replace("<|", "< |")))
+        return docs.where(latin).withColumn(out, own(F.col(text))).unionByName(docs.where(~latin).withColumn(out, self.encode_col(F.col(text))))
+
+    def _merging(self, cut):
+        """An Arrow function from what ``cut`` makes pieces of to ids."""
         shared = self
 
-        @F.pandas_udf(T.ArrayType(T.IntegerType()))
-        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            known: dict[str, list[int]] = {}
+        class Known(dict):
+            def __missing__(self, word: str) -> bytes:
+                if len(self) >= KNOWN:
+                    self.clear()
+                ids = np.array(shared.word(word), "<i4").tobytes()
+                if len(word) <= 256:
+                    self[word] = ids
+                return ids
+
+        @F.arrow_udf(T.ArrayType(T.IntegerType()))
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            known = Known()
             for batch in batches:
-                out = []
-                for words in batch:
-                    ids: list[int] = []
-                    for w in words if words is not None else ():
-                        if w not in known:
-                            if len(known) >= 200_000:
-                                known.clear()
-                            known[w] = shared.word(w)
-                        ids += known[w]
-                    out.append(ids)
-                yield pd.Series(out)
-
-        return run(pre_tokens(composed(sanitized(F.coalesce(text, F.lit(""))))))
+                rows = [b"".join(map(known.__getitem__, cut(x.as_py()))) for x in batch]
+                offsets = np.cumsum([0, *(len(r) // 4 for r in rows)])
+                yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(rows), "<i4"), pa.int32()))
+
+        return run
