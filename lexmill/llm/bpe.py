@@ -2,11 +2,12 @@
 
 The merges are read as an acceptor of token paths: a path of tokens is the BPE encoding of
 its bytes exactly when each token, and each two neighbours, encode to themselves. Reading a
-byte moves a set of hypotheses ``(last token, trie node)``, one for each place where a token may
-have begun, and puts out the token that ends there: the last one of the encoding of all bytes so
-far, whose other tokens are the encoding of what stands before it. Read back from the end of a
-piece, these are its tokens. Sets are interned as states and their transitions remembered,
-which makes the transducer deterministic as far as texts have needed it.
+byte moves a set of trie nodes, one for each place where a token may have begun, and puts out
+the token that ends there: the last one of the encoding of all bytes so far, whose other tokens
+are the encoding of what stands before it. Read back from the end of a piece, these are its
+tokens. Sets are interned as states and their transitions remembered with the tokens that may
+end, as are the pairs of tokens that may be neighbours; so the transducer becomes deterministic
+as far as texts have needed it.
 
 Decoding runs an explicit UTF-8 automaton over the token stream; a token may end inside a
 character.
@@ -21,9 +22,11 @@ import base64
 import hashlib
 import re
 from array import array
-from collections.abc import Iterable, Iterator
-from itertools import chain
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,25 +50,38 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class _State(dict):
-    """Steps known so far by their byte: (state, token that ends there, raised by 1; 0: none)."""
+    """Steps known so far by their byte: (state, tokens that may end there: where each begins, counted back, and what may stand before it)."""
 
-    __slots__ = ("lefts", "nodes")
+    __slots__ = ("nodes", "transducer")
+
+    def __missing__(self, byte: int) -> tuple[_State, tuple]:
+        return self.transducer.advance(self, byte)
+
+
+class _After(dict):
+    """Of a token, by the token before it, raised by 1 (0: the start, -1: none ends there): the token raised by 1 where it stands there, else 0."""
+
+    __slots__ = ("token", "transducer")
+
+    def __missing__(self, left: int) -> int:
+        return self.transducer.pair(self, left)
 
 
 class Transducer:
     """Merges compiled to a transducer whose states are built when a text first reaches them.
 
-    A state is a set of hypotheses: trie nodes, and the last token before each, raised by 1 (0:
-    the start). What a byte makes of the nodes alone is shared by all states that have these.
+    A state is a set of trie nodes, one for each place where a token may have begun. A step puts
+    out the token that ends there, of those that may end the one that stands after the token put
+    out where it begins. As that token isn't part of the state, states are no more than nodes.
 
-    ``max_bytes`` bounds what the tables take: full ones are emptied and rebuilt on demand,
-    which changes time and never results.
+    ``max_bytes`` bounds what the tables take, a half states and a half pairs of tokens: a full
+    half is emptied and rebuilt on demand, which changes time and never results.
     """
 
-    #: Bytes of a state with its set, of a transition, of a remembered pair, and of what a byte makes of nodes, as measured.
-    STATE, MOVE, PAIR, PLAN = 450, 150, 110, 700
+    #: Bytes of a state with its set, of a transition, and of a remembered pair, as measured.
+    STATE, MOVE, PAIR = 450, 250, 110
 
-    def __init__(self, ranks: dict[bytes, int], max_bytes: int = 200 << 20):
+    def __init__(self, ranks: dict[bytes, int], max_bytes: int = 64 << 20):
         self.ranks, self.max_bytes = ranks, max_bytes
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.length = {i: len(t) for t, i in ranks.items()}
@@ -85,21 +101,21 @@ class Transducer:
             self.token_at[node] = rank
         self.split_of: dict[int, tuple[int, int] | None] = {}
         self.edges: tuple[dict, dict] = ({}, {})
+        self.after: dict[int, _After] = {}
+        self.pairs = 0
+        self.sets: dict[tuple[int, ...], _State] = {}
         self.reset()
 
     def reset(self) -> None:
-        for state in getattr(self, "sets", {}).values():
+        for state in self.sets.values():
             state.clear()
-        self.sets: dict[tuple[int, ...], _State] = {}
-        self.places: dict[tuple[int, ...], int] = {}
-        self.nodes: list[tuple[int, ...]] = []
-        self.plans: dict[int, tuple] = {}
-        self.pair_ok: dict[int, bool] = {}
+        self.sets.clear()
         self.moves = 0
-        self.start = self._state((self._place((0,)), 0))
+        self.start = self._state((0,))
+        self.path: tuple[bytes, list[int], list[_State]] = (b"", [0], [self.start])
 
     def full(self) -> bool:
-        return self.STATE * len(self.sets) + self.MOVE * self.moves + self.PAIR * len(self.pair_ok) + self.PLAN * len(self.plans) > self.max_bytes
+        return self.STATE * len(self.sets) + self.MOVE * self.moves > self.max_bytes // 2
 
     def halves(self, token: int) -> tuple[int, int] | None:
         """The last merge that makes a token; None for single bytes and tokens that merging can't reach."""
@@ -134,89 +150,94 @@ class Transducer:
         It may, unless a merge across the border comes before both of its parts are gone;
         of two merges of equal rank the left one comes first.
         """
-        key = left + 1 << 32 | right
-        known = self.pair_ok.get(key)
-        if known is None:
-            known = len(self.bytes_of[right]) == 1 or self.halves(right) is not None
-            if known and left >= 0:
-                rank_of = self.ranks.get
-                for x, x_goes in self.edge(left, 1):
-                    for y, y_goes in self.edge(right, 0):
-                        rank = rank_of(x + y)
-                        if rank is not None and rank < x_goes and rank <= y_goes:
-                            known = False
-                            break
-                    if not known:
-                        break
-            self.pair_ok[key] = known
-        return known
-
-    def _place(self, nodes: tuple[int, ...]) -> int:
-        place = self.places.get(nodes)
-        if place is None:
-            place = self.places[nodes] = len(self.nodes)
-            self.nodes.append(nodes)
-        return place
-
-    def _state(self, held: tuple[int, ...]) -> _State:
-        """The state of a place, which numbers the nodes, and the token before each of these."""
-        state = self.sets.get(held)
+        if len(self.bytes_of[right]) > 1 and self.halves(right) is None:
+            return False
+        if left >= 0:
+            rank_of = self.ranks.get
+            for x, x_goes in self.edge(left, 1):
+                for y, y_goes in self.edge(right, 0):
+                    rank = rank_of(x + y)
+                    if rank is not None and rank < x_goes and rank <= y_goes:
+                        return False
+        return True
+
+    def pair(self, after: _After, left: int) -> int:
+        if self.PAIR * self.pairs > self.max_bytes // 2:
+            for known in self.after.values():
+                known.clear()
+            self.pairs = 0
+        self.pairs += 1
+        out = after[left] = after.token + 1 if left >= 0 and self.stands(left - 1, after.token) else 0
+        return out
+
+    def _after(self, token: int) -> _After:
+        after = self.after.get(token)
+        if after is None:
+            after = self.after[token] = _After()
+            after.token, after.transducer = token, self
+        return after
+
+    def _state(self, nodes: tuple[int, ...]) -> _State:
+        state = self.sets.get(nodes)
         if state is None:
-            state = self.sets[held] = _State()
-            state.nodes, state.lefts = held[0], held[1:]
+            state = self.sets[nodes] = _State()
+            state.nodes, state.transducer = nodes, self
         return state
 
-    def _plan(self, place: int, byte: int) -> tuple:
-        """Of some nodes under a byte: which stay inside of tokens, the tokens that may end, and the new nodes without and with one that begins."""
-        stays, ending, after = [], [], []
-        for i, node in enumerate(self.nodes[place]):
+    def advance(self, state: _State, byte: int) -> tuple[_State, tuple]:
+        nodes = state.nodes
+        if self.full():
+            self.reset()
+            state = self._state(nodes)
+        stays, ending = [], []
+        for node in nodes:  # the longest first
             nxt = self.child.get(node << 8 | byte)
             if nxt is None:
                 continue
             if self.inner[nxt]:
-                stays.append(i)
-                after.append(nxt)
-            if self.token_at[nxt] >= 0:
-                ending.append((i, self.token_at[nxt]))
-        out = self.plans[place << 8 | byte] = (stays, ending, self._place(tuple(after)), self._place((*after, 0)))
-        return out
-
-    def _advance(self, state: _State, byte: int) -> tuple[_State, int]:
-        if self.full():
-            nodes = self.nodes[state.nodes]
-            self.reset()
-            state = self._state((self._place(nodes), *state.lefts))
-        lefts = state.lefts
-        stays, ending, without, begins = self.plans.get(state.nodes << 8 | byte) or self._plan(state.nodes, byte)
-        ends = 0
-        for i, token in ending:
-            known = self.pair_ok.get(lefts[i] << 32 | token)
-            if self.stands(lefts[i] - 1, token) if known is None else known:
-                ends = token + 1
-                break
-        if ends:
-            held = (begins, *[lefts[i] for i in stays], ends)
-        elif stays:
-            held = (without, *[lefts[i] for i in stays])
-        else:
-            raise ValueError("the vocabulary lacks a byte")
+                stays.append(nxt)
+            token = self.token_at[nxt]
+            if token >= 0 and (self.length[token] == 1 or self.halves(token) is not None):
+                ending.append((-self.length[token], self._after(token)))
         self.moves += 1
-        out = state[byte] = (self._state(held), ends)
+        out = state[byte] = (self._state((*stays, 0)), tuple(ending))
         return out
 
+    def _read(self, state: _State, part: bytes, ends: list[int] | array, keep: Callable[[_State], None]) -> None:
+        add = ends.append
+        for byte in part:
+            state, ending = state[byte]
+            keep(state)
+            for begin, after in ending:
+                token = after[ends[begin]]
+                if token:
+                    add(token)
+                    break
+            else:
+                add(-1)
+
     def encode_piece(self, piece: bytes) -> list[int]:
+        """The tokens of a piece. What the piece before it begins with as well isn't read again."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        ends = [] if len(piece) <= 4096 else array("i")
-        state, add, advance = self.start, ends.append, self._advance
-        for byte in piece:
-            state, token = state.get(byte) or advance(state, byte)
-            add(token)
+        if len(piece) <= 4096:
+            (last, ends, states), same = self.path, 0
+            for a, b in zip(last, piece):
+                if a != b:
+                    break
+                same += 1
+            del ends[same + 1 :], states[same + 1 :]
+            self.path = last[:same], ends, states
+            self._read(states[same], piece[same:] if same else piece, ends, states.append)
+            self.path = piece, ends, states
+        else:
+            ends = array("i", [0])
+            self._read(self.start, piece, ends, deque(maxlen=0).append)
         out: list[int] = []
         at, length = len(piece), self.length
         while at:
-            token = ends[at - 1] - 1
+            token = ends[at] - 1
             if token < 0:
                 raise ValueError("the vocabulary lacks a byte")
             out.append(token)
@@ -311,34 +332,83 @@ class StreamDecoder:
         return rest
 
 
-class _Pieces(dict):
-    """Encodings of pieces met so far: (ids, the ids as decimal text).
+class _Known(dict):
+    """Pieces by their numbers, which say where their ids stand among ``ids``.
 
-    When half of ``max_bytes`` are reached, what is held becomes the older half, and the half
-    that was older goes; pieces met again come back from there.
+    A piece asked for first gets a number at once, and its ids with all ``new`` ones. Pieces of
+    more than 64 characters are held in ``long``, under negative numbers, and not known later.
+    """
+
+    def __init__(self):
+        super().__init__()
+        self.ids, self.begins = array("i"), array("q", [0])
+        self.new: list[str] = []
+        self.long: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        if len(piece) > 64:
+            self.long.append(piece)
+            return -len(self.long)
+        self.new.append(piece)
+        out = self[piece] = len(self)
+        return out
+
+    def of(self, piece: str) -> array | None:
+        at = self.get(piece)
+        return None if at is None else self.ids[self.begins[at] : self.begins[at + 1]]
+
+    def append(self, ids: Iterable[int]) -> None:
+        self.ids.extend(ids)
+        self.begins.append(len(self.ids))
+
+
+class _Pieces:
+    """Encodings of pieces met so far; their ids stand in one array.
+
+    When half of ``max_bytes`` are reached, what is held becomes the older half before the next
+    texts, and the half that was older goes; pieces met again come back from there.
     """
 
     #: Bytes of an entry and of each of its tokens, as measured.
-    ENTRY, TOKEN = 330, 20
+    ENTRY, TOKEN = 250, 5
 
-    def __init__(self, transducer: Transducer, max_bytes: int = 128 << 20):
-        super().__init__()
+    def __init__(self, transducer: Transducer, max_bytes: int = 80 << 20):
         self.transducer, self.max_bytes, self.bytes = transducer, max_bytes, 0
-        self.older: dict = {}
-
-    def __missing__(self, piece: str):
-        found = self.older.get(piece)
-        if found is None:
-            ids = self.transducer.encode_piece(piece.encode())
-            found = (ids, ",".join(map(str, ids)))
-        if len(piece) <= 64:
-            self.bytes += self.ENTRY + self.TOKEN * len(found[0])
-            if self.bytes > self.max_bytes // 2:
-                self.older = dict(self)
-                self.clear()
-                self.bytes = 0
-            self[piece] = found
-        return found
+        self.known, self.older = _Known(), _Known()
+
+    def _settle(self) -> None:
+        """The ids of new pieces. Those that no half knows are encoded in their order, so that many begin as the one before."""
+        known, encode = self.known, self.transducer.encode_piece
+        made = {piece: self.older.of(piece) for piece in known.new}
+        for piece in sorted(piece for piece, ids in made.items() if ids is None):
+            made[piece] = encode(piece.encode())
+        for ids in made.values():
+            known.append(ids)
+            self.bytes += self.ENTRY + self.TOKEN * len(ids)
+        for piece in known.long:
+            known.append(encode(piece.encode()))
+        known.new, known.long = [], []
+
+    def encode(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Of texts given as their pieces, the ids of all, and where each text's begin, with the end of the last."""
+        if self.bytes > self.max_bytes // 2:
+            self.known, self.older, self.bytes = _Known(), self.known, 0
+        known, sizes = self.known, list(map(len, texts))
+        at = np.fromiter(map(known.__getitem__, chain.from_iterable(texts)), np.int64, sum(sizes))
+        np.subtract(len(known) - 1, at, out=at, where=at < 0)  # long pieces come after all others
+        try:
+            self._settle()
+        except ValueError:
+            self.known, self.bytes = _Known(), 0
+            raise
+        begins = np.frombuffer(known.begins, np.int64)
+        counts = begins[at + 1] - begins[at]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        every = np.repeat(begins[at] - ends[:-1], counts) + np.arange(ends[-1])
+        out = np.frombuffer(known.ids, np.int32)[every] if len(every) else np.zeros(0, np.int32)
+        del begins  # arrays that are looked into can't shrink or grow
+        del known.ids[known.begins[len(known)] :], known.begins[len(known) + 1 :]
+        return out, ends[np.cumsum([0, *sizes])]
 
 
 class Codec:
@@ -351,6 +421,7 @@ class Codec:
         self.latin = re.compile(LATIN_PATTERN).findall if pattern == SPLIT_PATTERN else None
         self.pieces = _Pieces(Transducer(ranks))
         self.decoder = StreamDecoder(self.pieces.transducer.bytes_of)
+        self.decimals: pa.Array | None = None
 
     def split(self, text: str) -> list[str]:
         if self.latin:
@@ -361,25 +432,47 @@ class Codec:
                 pass
         return self.any(text)
 
-    def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable([x[0] for x in map(self.pieces.__getitem__, self.split(text))]))
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and where each text's begin, with the end of the last."""
+        return self.pieces.encode(list(map(self.split, texts)))
 
-    def digest(self, text: str) -> tuple[list[int], str]:
-        found = list(map(self.pieces.__getitem__, self.split(text)))
-        return list(chain.from_iterable([x[0] for x in found])), ",".join([x[1] for x in found])
+    def encode(self, text: str) -> list[int]:
+        return self.encode_all([text])[0].tolist()
 
-    def checked(self, text: str) -> list[int]:
-        """The ids of a text, from which decoding gave it back; an error if it didn't."""
-        ids = self.encode(text)
-        if self.decode(ids) != text:
-            raise ValueError("a text's ids don't decode to it under this vocabulary")
-        return ids
+    def listed(self, ids: np.ndarray, begins: np.ndarray) -> Iterator[memoryview | bytes]:
+        """Of each text the ids as decimal text, joined by commas."""
+        if self.decimals is None:
+            self.decimals = pa.array([b"%d," % i for i in range(max(self.pieces.transducer.bytes_of) + 1)], pa.large_binary())
+        made = self.decimals.take(pa.array(ids))
+        at = np.frombuffer(made.buffers()[1], np.int64)[: len(ids) + 1][begins].tolist()
+        data = memoryview(made.buffers()[2] or b"")
+        return (data[a : max(a, b - 1)] for a, b in pairwise(at))
 
     def decode(self, ids: Iterable[int], chunk: int = 4096) -> str:
         ids = ids if isinstance(ids, list) else list(ids)
         out = [self.decoder.feed(ids[i : i + chunk]) for i in range(0, len(ids), chunk)]
         return "".join([*out, self.decoder.finish()])
 
+    def decode_all(self, ids: np.ndarray, begins: np.ndarray) -> Iterator[str]:
+        return (self.decode(ids[a:b].tolist()) for a, b in pairwise(begins.tolist()))
+
+
+#: What is encoded at once, in texts and in their code points.
+TEXTS, POINTS = 256, 1 << 20
+
+
+def _parts(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """The texts of a column in parts, each with the place where it begins; null is empty."""
+    part, points, begin = [], 0, 0
+    for i, value in enumerate(column):
+        part.append(value.as_py() or "")
+        points += len(part[-1])
+        if len(part) == TEXTS or points >= POINTS:
+            yield begin, part
+            part, points, begin = [], 0, i + 1
+    if part:
+        yield begin, part
+
 
 def _codec(shared) -> Codec:
     """One codec for each worker process and broadcast vocabulary."""
@@ -402,15 +495,16 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
-        encoded = codec.checked if check else codec.encode
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):  # bounds what is held decoded and encoded at once
-                part = batch.slice(at, 64)
+            for at, texts in _parts(batch.column(0)):  # bounds what is held decoded and encoded at once
                 with no_collection():
-                    ids = [encoded(t or "") for t in part.column(0).to_pylist()]
-                    texts = [codec.decode(x) for x in ids] if decode else []
-                made = [pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32())), *([pa.array(texts, pa.string())] if decode else [])]
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], *made], names)
+                    ids, begins = codec.encode_all(texts)
+                    decoded = list(codec.decode_all(ids, begins)) if decode or check else []
+                if check and decoded != texts:
+                    raise ValueError("a text's ids don't decode to it under this vocabulary")
+                lists = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(ids))
+                made = [pa.array(np.diff(begins), pa.int64()), lists, *([pa.array(decoded, pa.string())] if decode else [])]
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, len(texts)).columns[1:], *made], names)
 
     own = [docs.schema[c] for c in (id_col, *keep)]
     names = [*(f"c{i}" for i in range(len(own))), "n_tokens", "token_ids", *(["decoded"] if decode else [])]
@@ -428,11 +522,11 @@ def round_trip_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
         for batch in batches:
             n, a, b = [], [], []
             with no_collection():
-                for text in batch.column(1):
-                    ids, listed = codec.digest(text.as_py() or "")
-                    n.append(len(ids))
-                    a.append(hashlib.sha256(listed.encode()).hexdigest())
-                    b.append(hashlib.sha256(codec.decode(ids).encode()).hexdigest())
+                for _, texts in _parts(batch.column(1)):
+                    ids, begins = codec.encode_all(texts)
+                    n += np.diff(begins).tolist()
+                    a += [hashlib.sha256(x).hexdigest() for x in codec.listed(ids, begins)]
+                    b += [hashlib.sha256(x.encode()).hexdigest() for x in codec.decode_all(ids, begins)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())],
                 ["id", "n_tokens", "ids_sha256", "decoded_sha256"],
