@@ -194,6 +194,18 @@ class Tokenizer:
         own = self._merging(lambda t: cut((t or "").replace("<|", "< |")))
         return docs.where(latin).withColumn(out, own(F.col(text))).unionByName(docs.where(~latin).withColumn(out, self.encode_col(F.col(text))))
 
+    def decode_col(self, ids: Column, skip_special: bool = True) -> Column:
+        """``STRING`` of ``ARRAY<INT>``, as ``decode`` gives it; null for null."""
+        spelled = [b"" if skip_special and i < FIRST_BYTE else t for i, t in enumerate(self.spelled)]
+
+        @F.arrow_udf(T.StringType())
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            one = spelled.__getitem__
+            for batch in batches:
+                yield pa.array([b"".join(map(one, x.values.to_numpy().tolist())).decode("utf-8", "replace") if x.is_valid else None for x in batch], pa.string())
+
+        return run(ids)
+
     def _merging(self, cut):
         """An Arrow function from what ``cut`` makes pieces of to ids."""
         shared = self
