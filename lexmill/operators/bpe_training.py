@@ -185,14 +185,19 @@ class Tokenizer:
 
     def encode_col(self, text: Column) -> Column:
         """``ARRAY<INT>``: sanitized, composed, cut natively, merged in Arrow batches with the words met so far kept."""
-        return self._merging(lambda pieces: pieces or ())(pre_tokens(composed(sanitized(F.coalesce(text, F.lit(""))))))
+        return self._native(text)
 
-    def encode(self, docs: DataFrame, text: str = "text", out: str = "ids") -> DataFrame:
-        """``docs`` with ``out``, the same ids; Latin texts are cut where they are merged."""
+    def _native(self, text: Column, decode: bool = False) -> Column:
+        return self._merging(lambda pieces: pieces or (), decode)(pre_tokens(composed(sanitized(F.coalesce(text, F.lit(""))))))
+
+    def encode(self, docs: DataFrame, text: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
+        """``docs`` with ``out``, the same ids; Latin texts are cut where they are merged. ``decoded``: a column for what all ids of a text decode to."""
         cut = re.compile(LATIN_PRE_TOKEN).findall
         latin = F.coalesce(is_latin(F.col(text)), F.lit(True))
-        own = self._merging(lambda t: cut((t or "").replace("<|", "< |")))
-        return docs.where(latin).withColumn(out, own(F.col(text))).unionByName(docs.where(~latin).withColumn(out, self.encode_col(F.col(text))))
+        decode = decoded is not None
+        own = self._merging(lambda t: cut((t or "").replace("<|", "< |")), decode)
+        made = docs.where(latin).withColumn(out, own(F.col(text))).unionByName(docs.where(~latin).withColumn(out, self._native(F.col(text), decode)))
+        return made.withColumns({out: F.col(out)["ids"], decoded: F.col(out)["decoded"]}) if decode else made
 
     def decode_col(self, ids: Column, skip_special: bool = True) -> Column:
         """``STRING`` of ``ARRAY<INT>``, as ``decode`` gives it; null for null."""
@@ -206,9 +211,14 @@ class Tokenizer:
 
         return run(ids)
 
-    def _merging(self, cut):
-        """An Arrow function from what ``cut`` makes pieces of to ids."""
+    def _merging(self, cut, decode: bool = False):
+        """An Arrow function from what ``cut`` makes pieces of to ids; with ``decode`` to ``(ids, decoded)``, decoded in the same worker."""
         shared = self
+        ids_type = T.ArrayType(T.IntegerType())
+
+        def spelled(row: bytes) -> str:
+            ids, one = np.frombuffer(row, "<i4"), shared.spelled.__getitem__
+            return b"".join(b"".join(map(one, ids[i : i + 65_536].tolist())) for i in range(0, len(ids), 65_536)).decode("utf-8", "replace")
 
         class Known(dict):
             def __missing__(self, word: str) -> bytes:
@@ -219,12 +229,14 @@ class Tokenizer:
                     self[word] = ids
                 return ids
 
-        @F.arrow_udf(T.ArrayType(T.IntegerType()))
+        @F.arrow_udf(T.StructType().add("ids", ids_type).add("decoded", T.StringType()) if decode else ids_type)
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             known = Known()
             for batch in batches:
-                rows = [b"".join(map(known.__getitem__, cut(x.as_py()))) for x in batch]
-                offsets = np.cumsum([0, *(len(r) // 4 for r in rows)])
-                yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(rows), "<i4"), pa.int32()))
+                for at in range(0, len(batch), 256):  # bounds what is held encoded and decoded at once
+                    rows = [b"".join(map(known.__getitem__, cut(x.as_py()))) for x in batch.slice(at, 256)]
+                    offsets = np.cumsum([0, *(len(r) // 4 for r in rows)])
+                    ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(rows), "<i4"), pa.int32()))
+                    yield pa.StructArray.from_arrays([ids, pa.array(map(spelled, rows), pa.string())], ["ids", "decoded"]) if decode else ids
 
         return run
